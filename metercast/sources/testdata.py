@@ -262,8 +262,8 @@ class TestData:
         """Alert limits: the dashboard defaults plus scaled variants."""
         rows = [("default", "daily", 10.0, True), ("default", "weekly", 50.0, True),
                 ("default", "monthly", 200.0, True),
-                ("tight", "daily", 1.0, True), ("tight", "weekly", 5.0, True),
-                ("tight", "monthly", 20.0, True),
+                ("scaled", "daily", 20000.0, True), ("scaled", "weekly", 100000.0, True),
+                ("scaled", "monthly", 300000.0, True),
                 ("disabled", "daily", 1.0, False), ("disabled", "weekly", 5.0, False),
                 ("disabled", "monthly", 20.0, False)]
         return self.spark.createDataFrame(rows, "profile string, period string, `limit` double, enabled boolean")
