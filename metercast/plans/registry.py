@@ -376,3 +376,240 @@ def q_opportunities(spark, sf_dir):
     t = td(spark, sf_dir)
     return O.opportunities(t.usage(), t.query_history(users=False), CAT.load_catalog(spark),
                            AS_OF_ORDERS, OPP_DAYS)
+
+
+# --- C18 token statistics, E16 prompt fill ---------------------------------------------
+
+from ..operators import catalog_ops as CO  # noqa: E402
+from ..operators import costing as C  # noqa: E402
+from ..operators import text_stats as TS  # noqa: E402
+
+_TOK = "greatest(1, length(text) // 4)"
+_IN_TOK = "CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END"
+_STATS = f"""COUNT(*) AS sample_size, AVG(t) AS avg_tokens, MIN(t) AS min_tokens, MAX(t) AS max_tokens,
+       round(stddev_samp(t), 6) AS stddev_tokens"""
+
+
+@register("text_token_stats", f"""
+SELECT {_STATS} FROM (SELECT {_TOK} AS t FROM documents WHERE text IS NOT NULL) s""")
+def q_text_token_stats(spark, sf_dir):
+    return TS.token_stats(td(spark, sf_dir).texts(), "text")
+
+
+@register("sampled_token_stats", f"""
+SELECT {_STATS} FROM (SELECT {_TOK} AS t FROM documents WHERE text IS NOT NULL
+                      ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000) s""")
+def q_sampled_token_stats(spark, sf_dir):
+    return TS.sampled_token_stats(td(spark, sf_dir).texts(), "text", "doc_id", 1000)
+
+
+PROMPT = "Summarize the following text in one sentence:\n\n{text}"
+_PROMPT_SQL = "replace('" + PROMPT.replace("'", "''") + "', '{text}', text)"
+
+
+@register("prompt_fill", f"""
+SELECT doc_id, md5({_PROMPT_SQL}) AS prompt_md5, CAST(length({_PROMPT_SQL}) AS INTEGER) AS prompt_chars,
+       CASE WHEN length({_PROMPT_SQL}) > 0 THEN greatest(1, length({_PROMPT_SQL}) // 4) ELSE 0 END AS prompt_tokens,
+       {_IN_TOK} AS text_tokens
+FROM documents WHERE text IS NOT NULL""")
+def q_prompt_fill(spark, sf_dir):
+    return TS.fill_prompts(td(spark, sf_dir).texts(), "text", PROMPT, "doc_id")
+
+
+# --- C19 corpus cost, C5 price spread ---------------------------------------------------
+
+def _cost_sql(e8: str) -> str:
+    return (f"CAST({e8} AS DOUBLE) / 1e8 AS total_credits_raw, "
+            f"CAST(({e8}) * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw")
+
+
+_E8 = "(input_tokens * in_centi + output_tokens * out_centi)"
+_ROUND2 = f"CAST(round(CAST(CAST({_E8} * 300 AS DOUBLE) / 1e10 AS DECIMAL(38,10)), 2) AS DOUBLE)"
+
+
+def _corpus_sql(keys: str) -> str:
+    k = f"{keys}, " if keys else ""
+    grp = f"GROUP BY {keys}" if keys else ""
+    return X.with_(X.CAT, f"""g AS (
+  SELECT {k}COUNT(*) AS rows, CAST(SUM({_IN_TOK}) AS BIGINT) AS input_tokens,
+         CAST(SUM(150) AS BIGINT) AS output_tokens
+  FROM documents WHERE text IS NOT NULL {grp})""") + f"""
+SELECT {k}model, pos, rows, input_tokens, output_tokens, {_cost_sql(_E8)}, {_ROUND2} AS total_cost_usd
+FROM g CROSS JOIN cat WHERE rows > 0"""
+
+
+@register("corpus_cost_by_model", _corpus_sql(""))
+def q_corpus_cost_by_model(spark, sf_dir):
+    return C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150)
+
+
+@register("corpus_cost_by_lang_model", _corpus_sql("lang"))
+def q_corpus_cost_by_lang_model(spark, sf_dir):
+    return C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150,
+                                keys=["lang"])
+
+
+@register("price_spread_by_lang", "WITH c AS (" + _corpus_sql("lang") + """)
+SELECT lang, MIN(total_cost_usd_raw) AS min_cost, MAX(total_cost_usd_raw) AS max_cost,
+       COUNT(*) AS n_models,
+       CASE WHEN MIN(total_cost_usd_raw) > 0 THEN MAX(total_cost_usd_raw) / MIN(total_cost_usd_raw)
+            ELSE 0.0 END AS price_ratio
+FROM c GROUP BY lang""")
+def q_price_spread_by_lang(spark, sf_dir):
+    costs = C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150,
+                                 keys=["lang"])
+    return C.price_spread(costs, ["lang"])
+
+
+# --- C20 request-log cost, C2, C3, T4, P15 ----------------------------------------------
+
+_CONV = X.with_(X.CAT, """conv AS (
+  SELECT conv_id, COUNT(*) AS turns,
+         CAST(SUM(CASE WHEN role <> 'assistant' THEN greatest(1, length(coalesce(text, '')) // 4) ELSE 0 END) AS BIGINT) AS input_tokens,
+         CAST(SUM(CASE WHEN role = 'assistant' THEN coalesce(length(text) // 4, 0) ELSE 0 END) AS BIGINT) AS output_tokens
+  FROM conversations GROUP BY conv_id)""")
+_CONV_COST = _CONV.rstrip("\n") + f""",
+cc AS (SELECT conv_id, turns, model, pos, input_tokens, output_tokens,
+              CAST({_E8} * 300 AS DOUBLE) / 1e10 AS cost, {_ROUND2} AS usd
+       FROM conv CROSS JOIN cat)
+"""
+
+
+@register("request_cost_by_model", _CONV + f"""
+SELECT model, requests, input_tokens, output_tokens, {_cost_sql(_E8)}
+FROM (SELECT COUNT(*) AS requests, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+             CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM conv) g CROSS JOIN cat""")
+def q_request_cost_by_model(spark, sf_dir):
+    return C.estimate_request_cost(td(spark, sf_dir).conversations(), CAT.load_catalog(spark))
+
+
+@register("cheapest_model_per_conversation", _CONV_COST + """
+SELECT lo.conv_id, lo.input_tokens, lo.output_tokens, lo.model AS cheapest_model, lo.cost AS cheapest_cost_usd,
+       hi.model AS dearest_model, hi.cost AS dearest_cost_usd,
+       CASE WHEN hi.cost > 0 THEN (hi.cost - lo.cost) / hi.cost * 100.0 ELSE 0.0 END AS savings_pct
+FROM (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, pos) = 1) lo
+JOIN (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost DESC, pos) = 1) hi
+USING (conv_id)""")
+def q_cheapest_model_per_conversation(spark, sf_dir):
+    return C.cheapest_model_per_request(td(spark, sf_dir).conversations(), CAT.load_catalog(spark))
+
+
+@register("cheapest_k_models_per_conversation", _CONV_COST + """
+SELECT conv_id, rank, model, cost AS total_cost_usd_raw FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, pos) AS rank FROM cc) r
+WHERE rank <= 5""")
+def q_cheapest_k_models_per_conversation(spark, sf_dir):
+    return C.cheapest_k_per_request(td(spark, sf_dir).conversations(), CAT.load_catalog(spark), 5)
+
+
+def _cost9(in_: str, out_: str) -> str:
+    e = f"({in_} * in_centi + {out_} * out_centi)"
+    r = "CAST(round(CAST({x} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
+    return ", ".join([
+        r.format(x=f"CAST({in_} * in_centi AS DOUBLE) / 1e8", d=4) + " AS input_credits",
+        r.format(x=f"CAST({out_} * out_centi AS DOUBLE) / 1e8", d=4) + " AS output_credits",
+        r.format(x=f"CAST({e} AS DOUBLE) / 1e8", d=4) + " AS total_credits",
+        r.format(x=f"CAST({in_} * in_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS input_cost_usd",
+        r.format(x=f"CAST({out_} * out_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS output_cost_usd",
+        r.format(x=f"CAST({e} * 300 AS DOUBLE) / 1e10", d=2) + " AS total_cost_usd",
+        f"CAST({e} AS DOUBLE) / 1e8 AS total_credits_raw",
+        f"CAST({e} * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw"])
+
+
+@register("compare_models", _CONV + f"""
+SELECT conv_id, turns, model, pos, input_tokens, output_tokens, {_cost9('input_tokens', 'output_tokens')}
+FROM conv CROSS JOIN cat""")
+def q_compare_models(spark, sf_dir):
+    per = C.request_tokens(td(spark, sf_dir).conversations())
+    return C.compare_models(per, CAT.load_catalog(spark))
+
+
+@register("cost_calculator", _CONV + f"""
+, w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv),
+c AS (SELECT conv_id, model, pos, {_cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN cat),
+lo AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd, total_cost_usd_raw, pos) = 1),
+hi AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)
+SELECT conv_id AS work_id, CAST(22 AS BIGINT) AS n_models, lo.model AS cheapest_model, lo.total_cost_usd AS cheapest_cost_usd,
+       hi.model AS most_expensive_model, hi.total_cost_usd AS most_expensive_cost_usd,
+       hi.total_cost_usd - lo.total_cost_usd AS savings_usd,
+       CASE WHEN hi.total_cost_usd > 0 THEN (hi.total_cost_usd - lo.total_cost_usd) / hi.total_cost_usd * 100.0 ELSE 0.0 END AS savings_pct
+FROM lo JOIN hi USING (conv_id)""".replace("\n, w AS", ", w AS"))
+def q_cost_calculator(spark, sf_dir):
+    from pyspark.sql import functions as F
+    per = C.request_tokens(td(spark, sf_dir).conversations())
+    work = per.select(F.col("conv_id").alias("work_id"),
+                      F.col("input_tokens").alias("input_tokens_per_request"),
+                      F.col("output_tokens").alias("output_tokens_per_request"),
+                      F.lit(10000).cast("long").alias("requests"))
+    return C.cost_calculator(work, CAT.load_catalog(spark))
+
+
+@register("request_cost_by_named_tier", _CONV + f"""
+, tiers AS (SELECT * FROM {CAT.tiers_values_sql('t')})
+SELECT tier, model, requests, input_tokens, output_tokens, {_cost_sql(_E8)}
+FROM (SELECT COUNT(*) AS requests, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+             CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM conv) g
+CROSS JOIN cat JOIN tiers USING (model)""".replace("\n, tiers AS", ", tiers AS"))
+def q_request_cost_by_named_tier(spark, sf_dir):
+    return C.named_tier_costs(td(spark, sf_dir).conversations(), CAT.load_catalog(spark),
+                              CAT.load_named_tiers(spark))
+
+
+# --- C4 / C6 / C33 over the usage log ---------------------------------------------------
+
+@register("spend_by_provider_tier", X.with_(X.USAGE, X.QH, X.CAT) + f"""
+SELECT provider, category AS tier, supports_vision, available, COUNT(*) AS calls,
+       SUM(tokens) AS total_tokens, {X.SUM_CREDITS} AS total_credits,
+       COUNT(DISTINCT model_name) AS models
+{_joined(MA_DAYS)} LEFT JOIN cat ON cat.model = u.model_name
+GROUP BY provider, category, supports_vision, available""")
+def q_spend_by_provider_tier(spark, sf_dir):
+    t = td(spark, sf_dir)
+    return CO.spend_by_catalog_attr(t.usage(), t.query_history(users=False), CAT.load_catalog(spark),
+                                    AS_OF_ORDERS, MA_DAYS)
+
+
+def _mft_sql(literal: bool) -> str:
+    if literal:
+        m = "m AS (SELECT DISTINCT task, model FROM (SELECT DISTINCT task FROM tc) x CROSS JOIN cat)"
+    else:
+        m = ("mc AS (SELECT DISTINCT model, task_category FROM bf JOIN kw ON contains(lower(use_case), keyword)),\n"
+             "m AS (SELECT DISTINCT task, model FROM tc JOIN mc USING (task_category))")
+    return X.with_(X.USAGE, X.CAT, f"bf AS (SELECT * FROM {CAT.best_for_values_sql('b')})",
+                   f"kw AS (SELECT * FROM {CAT.keywords_values_sql('k')})",
+                   "t AS (SELECT DISTINCT function_name AS task FROM usage WHERE function_name IS NOT NULL)",
+                   "tc AS (SELECT DISTINCT task, task_category FROM t JOIN kw ON contains(lower(task), keyword))",
+                   m,
+                   """fb AS (SELECT task, model FROM t
+           CROSS JOIN (SELECT model FROM cat ORDER BY input_credits, pos LIMIT 5) ch
+           WHERE task NOT IN (SELECT task FROM m))""",
+                   """a AS (SELECT task, model, FALSE AS fallback FROM m
+          UNION ALL SELECT task, model, TRUE FROM fb)""") + """
+SELECT task, model, input_credits, fallback,
+       row_number() OVER (PARTITION BY task ORDER BY input_credits, pos) AS rank
+FROM a JOIN cat USING (model)"""
+
+
+@register("models_for_task", _mft_sql(False))
+def q_models_for_task(spark, sf_dir):
+    from pyspark.sql import functions as F
+    tasks = td(spark, sf_dir).usage().select(F.col("function_name").alias("task"))
+    return CO.models_for_task(tasks, CAT.load_catalog(spark), CAT.load_task_keywords(spark))
+
+
+@register("models_for_task_literal", _mft_sql(True))
+def q_models_for_task_literal(spark, sf_dir):
+    from pyspark.sql import functions as F
+    tasks = td(spark, sf_dir).usage().select(F.col("function_name").alias("task"))
+    return CO.models_for_task(tasks, CAT.load_catalog(spark), CAT.load_task_keywords(spark),
+                              literal=True)
+
+
+@register("function_rate_cost", X.with_(X.USAGE, f"rates AS (SELECT * FROM {CAT.rates_values_sql('function', 'r')})") + """
+SELECT function_name, COUNT(*) AS calls, SUM(tokens) AS tokens,
+       MAX(credits_per_unit) AS rate_credits_per_1m,
+       CAST(SUM(tokens * rate_centi) AS DOUBLE) / 1e8 AS rate_credits
+FROM usage LEFT JOIN rates ON rates.name = usage.function_name
+GROUP BY function_name""")
+def q_function_rate_cost(spark, sf_dir):
+    return C.function_cost(td(spark, sf_dir).usage(), CAT.load_rates(spark, "function"))
