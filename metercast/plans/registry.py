@@ -608,8 +608,187 @@ def q_models_for_task_literal(spark, sf_dir):
 @register("function_rate_cost", X.with_(X.USAGE, f"rates AS (SELECT * FROM {CAT.rates_values_sql('function', 'r')})") + """
 SELECT function_name, COUNT(*) AS calls, SUM(tokens) AS tokens,
        MAX(credits_per_unit) AS rate_credits_per_1m,
-       CAST(SUM(tokens * rate_centi) AS DOUBLE) / 1e8 AS rate_credits
+       CAST(SUM(tokens * rates.rate_centi) AS DOUBLE) / 1e8 AS rate_credits
 FROM usage LEFT JOIN rates ON rates.name = usage.function_name
 GROUP BY function_name""")
 def q_function_rate_cost(spark, sf_dir):
     return C.function_cost(td(spark, sf_dir).usage(), CAT.load_rates(spark, "function"))
+
+
+# --- C21-C31 logged runs, F1 batch scoring ------------------------------------------------
+
+from ..operators import runs as RU  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+from ..sources.testdata import MOD8_MODELS  # noqa: E402
+
+RUN_MODELS = [m for _k, m in MOD8_MODELS if m]
+_RUNS = X.with_(X.CAT, X.RESULTS, X.RUNS)
+_PTS = ", ".join(f"(CAST({p} AS BIGINT))" for p in RU.SCALE_POINTS)
+_PROJ = _RUNS.rstrip("\n") + f""",
+proj AS (
+  SELECT model, p.rows,
+         CAST(floor(CAST(input_tokens + output_tokens AS DOUBLE) / r.rows * p.rows) AS BIGINT) AS est_tokens,
+         total_cost / r.rows * p.rows AS est_cost,
+         time_seconds / r.rows * p.rows / 60.0 AS est_time_min
+  FROM runs r CROSS JOIN (VALUES {_PTS}) p(rows) WHERE r.rows > 0)
+"""
+
+
+def _runs(spark, sf_dir):
+    return td(spark, sf_dir).runs()
+
+
+@register("run_comparison", _RUNS + """
+SELECT model, rows, input_tokens, output_tokens, total_credits AS credits, total_cost AS cost, time_seconds,
+       CASE WHEN time_seconds > 0 THEN CAST(input_tokens + output_tokens AS DOUBLE) / time_seconds
+            ELSE 0.0 END AS tokens_per_sec
+FROM runs""")
+def q_run_comparison(spark, sf_dir):
+    return RU.compare_runs(_runs(spark, sf_dir))
+
+
+@register("run_totals", _RUNS + """
+SELECT COUNT(*) AS models_tested, CAST(SUM(rows) AS BIGINT) AS total_rows,
+       CAST(SUM(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
+       CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost,
+       (SELECT model FROM runs ORDER BY total_cost, model LIMIT 1) AS cheapest_model,
+       (SELECT total_cost FROM runs ORDER BY total_cost, model LIMIT 1) AS cheapest_cost,
+       (SELECT model FROM runs ORDER BY time_seconds, model LIMIT 1) AS fastest_model,
+       (SELECT time_seconds FROM runs ORDER BY time_seconds, model LIMIT 1) AS fastest_seconds
+FROM runs""")
+def q_run_totals(spark, sf_dir):
+    return RU.run_totals(_runs(spark, sf_dir))
+
+
+@register("project_scale", _PROJ + "SELECT * FROM proj")
+def q_project_scale(spark, sf_dir):
+    return RU.project_scale(_runs(spark, sf_dir))
+
+
+@register("projection_pivot", _PROJ + "SELECT rows, " + ", ".join(
+    f"MAX(CASE WHEN model = '{m}' THEN est_cost END) AS \"{m}\"" for m in RUN_MODELS)
+    + " FROM proj GROUP BY rows")
+def q_projection_pivot(spark, sf_dir):
+    return RU.projection_pivot(RU.project_scale(_runs(spark, sf_dir)), RUN_MODELS)
+
+
+@register("best_per_scale", _PROJ + """
+SELECT rows, n_models, model AS cheapest_model, est_cost AS cheapest_cost, dearest_cost,
+       dearest_cost - est_cost AS savings
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY rows) AS n_models,
+             MAX(est_cost) OVER (PARTITION BY rows) AS dearest_cost,
+             row_number() OVER (PARTITION BY rows ORDER BY est_cost, model) AS rn
+      FROM proj WHERE rows IN (1000, 10000, 100000)) x
+WHERE rn = 1""")
+def q_best_per_scale(spark, sf_dir):
+    return RU.best_per_scale(RU.project_scale(_runs(spark, sf_dir)))
+
+
+@register("project_to_table", _RUNS + """
+, t AS (SELECT model, n.table_rows, total_cost / rows * n.table_rows AS est_cost,
+              time_seconds / rows * n.table_rows / 60.0 AS est_time_min
+       FROM runs CROSS JOIN (SELECT COUNT(*) AS table_rows FROM documents WHERE text IS NOT NULL) n
+       WHERE rows > 0)
+SELECT model, table_rows, est_cost, est_time_min, mx - est_cost AS savings_vs_dearest,
+       CASE WHEN mx > 0 THEN (mx - est_cost) / mx * 100.0 ELSE 0.0 END AS savings_pct
+FROM t CROSS JOIN (SELECT MAX(est_cost) AS mx FROM t) m""".replace("\n, t AS", ", t AS"))
+def q_project_to_table(spark, sf_dir):
+    t = td(spark, sf_dir)
+    return RU.project_to_table(t.runs(), t.texts(), "text")
+
+
+_BATCHES = ", ".join(f"(CAST({b} AS BIGINT))" for b in RU.DEFAULT_BATCHES)
+_SCALED = X.with_(X.CAT, X.RESULTS).rstrip("\n") + f""",
+scaled AS (
+  SELECT left(test, 20) AS test, model, function, b.rows, cost * b.rows AS total_cost,
+         cost AS cost_per_row, e10 * b.rows AS e10
+  FROM results CROSS JOIN (VALUES {_BATCHES}) b(rows) WHERE status = 'success')
+"""
+
+
+def _scaled(spark, sf_dir):
+    return RU.scale_runs(td(spark, sf_dir).results())
+
+
+@register("scale_runs", _SCALED + """
+SELECT test, model, function, rows, total_cost, cost_per_row FROM scaled""")
+def q_scale_runs(spark, sf_dir):
+    return _scaled(spark, sf_dir).drop("total_cost_e10")
+
+
+@register("scale_matrix", _SCALED + "SELECT model, " + ", ".join(
+    f"MAX(CASE WHEN rows = {b} THEN mean_cost END) AS \"{b}\"" for b in RU.DEFAULT_BATCHES)
+    + """ FROM (SELECT model, rows, CAST(SUM(e10) AS DOUBLE) / 1e10 / COUNT(*) AS mean_cost
+          FROM scaled GROUP BY model, rows) g GROUP BY model""")
+def q_scale_matrix(spark, sf_dir):
+    return RU.scale_matrix(_scaled(spark, sf_dir))
+
+
+@register("savings_at_scale", _SCALED + """
+
+, sel AS (SELECT * FROM scaled WHERE rows = (SELECT COALESCE(MAX(CASE WHEN rows = 100000 THEN rows END), MAX(rows)) FROM scaled)),
+lo AS (SELECT * FROM sel ORDER BY e10, model, function, test LIMIT 1),
+hi AS (SELECT * FROM sel ORDER BY e10 DESC, model DESC, function DESC, test DESC LIMIT 1)
+SELECT lo.rows, lo.model AS cheapest_model, CAST(lo.e10 AS DOUBLE) / 1e10 AS cheapest_cost,
+       hi.model AS dearest_model, CAST(hi.e10 AS DOUBLE) / 1e10 AS dearest_cost,
+       CAST(hi.e10 - lo.e10 AS DOUBLE) / 1e10 AS savings
+FROM lo CROSS JOIN hi""".replace("\n, sel AS", ", sel AS"))
+def q_savings_at_scale(spark, sf_dir):
+    return RU.savings_at_scale(_scaled(spark, sf_dir))
+
+
+_RES = X.with_(X.CAT, X.RESULTS)
+
+
+@register("compare_all", _RES + """
+SELECT COUNT(DISTINCT test) AS total_tests,
+       COUNT(*) FILTER (WHERE status = 'success') AS total_runs,
+       COUNT(DISTINCT model) FILTER (WHERE status = 'success') AS models_tested,
+       COUNT(DISTINCT function) FILTER (WHERE status = 'success') AS functions_used
+FROM results""")
+def q_compare_all(spark, sf_dir):
+    return RU.compare_all(td(spark, sf_dir).results())
+
+
+@register("all_results", _RES + """
+SELECT test, model, function, latency, cost, output_tokens FROM results WHERE status = 'success'""")
+def q_all_results(spark, sf_dir):
+    return RU.results_table(td(spark, sf_dir).results())
+
+
+@register("winners", _RES + """
+, s AS (SELECT * FROM results WHERE status = 'success'),
+c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
+l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
+SELECT c.model AS cheapest_model, c.function AS cheapest_function, c.cost AS cheapest_cost,
+       l.model AS fastest_model, l.function AS fastest_function, l.latency AS fastest_latency,
+       (SELECT CAST(SUM(latency_centi) AS DOUBLE) / 100.0 / COUNT(*) FROM s) AS avg_latency,
+       (SELECT COUNT(*) FROM s) AS runs
+FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
+def q_winners(spark, sf_dir):
+    return RU.winners(td(spark, sf_dir).results())
+
+
+@register("prompt_vs_builtin", _RES + """
+, s AS (SELECT * FROM results WHERE status = 'success' AND function IN ('SENTIMENT', 'SUMMARIZE')),
+u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10 FROM s
+      UNION ALL
+      SELECT function, 'builtin', model || ' (via ' || function || ')',
+             greatest(1, length(response) // 4), 1000000 FROM s)
+SELECT function, variant, COUNT(*) AS runs, COUNT(DISTINCT model) AS models,
+       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost
+FROM u GROUP BY function, variant""".replace("\n, s AS", ", s AS"))
+def q_prompt_vs_builtin(spark, sf_dir):
+    return RU.prompt_vs_builtin(td(spark, sf_dir).results())
+
+
+SCORE_MODELS = ["llama3.1-8b", "mistral-large2", "claude-3-5-sonnet"]
+SCORE_TEMPLATE = "Summarize the following text in one sentence:\n\n{text}"
+
+
+@register("score_texts")
+def q_score_texts(spark, sf_dir):
+    """F1 with the deterministic stand-in scorer (rows-only check)."""
+    return SC.score_texts(td(spark, sf_dir).texts(), "text", "doc_id", SCORE_MODELS,
+                          SC.echo_scorer_factory(fail_every=97), CAT.load_catalog(spark),
+                          template=SCORE_TEMPLATE)
