@@ -56,7 +56,8 @@ def _service_total(spec: SourceSpec, as_of, days: int) -> DataFrame:
                           F.lit(STATUS_OK).alias("status"))
     except AnalysisException:
         spark = SparkSession.getActiveSession()
-        return spark.createDataFrame([(spec.service, 0, STATUS_NO_ACCESS)], schema)
+        from decimal import Decimal
+        return spark.createDataFrame([(spec.service, Decimal(0), STATUS_NO_ACCESS)], schema)
 
 
 def service_totals(sources: list[SourceSpec], as_of, days: int = 30) -> DataFrame:

@@ -72,6 +72,8 @@ def _ts(s: str) -> Column:
 class TestData:
     """Logical tables over one scale-factor folder."""
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
