@@ -95,27 +95,38 @@ def models_for_task(tasks: DataFrame, catalog: DataFrame, keywords: DataFrame,
     reproduces the shipped behaviour where any keyword in the task matches
     every model. Tasks with no match fall back to the ``k`` cheapest models.
     Ranking: input price, then catalog order.
+
+    Plan: one scan and one shuffle. The task column is reduced to distinct
+    values (partial aggregation, hash-partitioned by task); every later join
+    broadcasts a dimension of fixed size (keywords, catalog), so the task
+    partitioning carries through to the per-task grouping and the ranking
+    window. A task's model set is bounded by the catalog size.
     """
     t = tasks.select(F.col(task_col).alias("task")).where(F.col("task").isNotNull()).distinct()
-    kw = F.broadcast(keywords)
-    # (task, category) pairs: the small keyword list is broadcast, the task
-    # list is already reduced to distinct values by the partial aggregate.
-    tc = (t.join(kw, F.lower(F.col("task")).contains(F.col("keyword")), "inner")
-           .select("task", "task_category").distinct())
+    kw = F.broadcast(keywords.select("task_category", "keyword"))
     cat_small = catalog.select("model", "pos", "input_credits", "best_for")
+    # (task, category) with unmatched tasks kept (category NULL)
+    tc = t.join(kw, F.lower(F.col("task")).contains(F.col("keyword")), "left") \
+          .select("task", "task_category")
     if literal:
-        matches = tc.select("task").distinct().crossJoin(F.broadcast(cat_small.select("model")))
+        mc = cat_small.select("model").crossJoin(
+            keywords.select("task_category").distinct())
     else:
         uc = cat_small.select("model", F.explode("best_for").alias("use_case"))
-        mc = (uc.join(F.broadcast(keywords), F.lower(F.col("use_case")).contains(F.col("keyword")))
+        mc = (uc.join(kw, F.lower(F.col("use_case")).contains(F.col("keyword")))
                 .select("model", "task_category").distinct())
-        matches = tc.join(F.broadcast(mc), "task_category").select("task", "model").distinct()
-    matched = matches.withColumn("fallback", F.lit(False))
-    cheap = cheapest_models(catalog, k).select("model")
-    unmatched = t.join(matches.select("task").distinct(), "task", "left_anti")
-    fb = unmatched.crossJoin(F.broadcast(cheap)).withColumn("fallback", F.lit(True))
-    allm = matched.unionByName(fb)
-    r = allm.join(F.broadcast(cat_small.select("model", "pos", "input_credits")), "model")
+    tm = tc.join(F.broadcast(mc), "task_category", "left")
+    per_task = tm.groupBy("task").agg(F.collect_set("model").alias("_matched"))
+    # the k cheapest models as one bounded array (fallback list, T4)
+    cheap = cheapest_models(catalog, k).agg(
+        F.sort_array(F.collect_list(F.struct("input_credits", "pos", "model"))).alias("_cheap"))
+    fb = F.size("_matched") == 0
+    picked = per_task.crossJoin(F.broadcast(cheap)).select(
+        "task", fb.alias("fallback"),
+        F.when(fb, F.transform("_cheap", lambda c: c["model"])).otherwise(F.col("_matched"))
+         .alias("_models"))
+    r = (picked.select("task", "fallback", F.explode("_models").alias("model"))
+               .join(F.broadcast(cat_small.select("model", "pos", "input_credits")), "model"))
     w = Window.partitionBy("task").orderBy("input_credits", "pos")
     return r.select("task", "model", "input_credits", "fallback",
                     F.row_number().over(w).cast("long").alias("rank"))

@@ -1,15 +1,18 @@
 """Linear daily-spend forecast.
 
-Per key: the series' first and last values and its length come from one
-aggregation (``min_by``/``max_by`` over the unique day), the horizon rows
-from ``explode(sequence(...))``; nothing is collected and the work scales
-with the number of keys, not the number of days.
+One pass over the daily series: a window per key (the series is already one
+row per key and day, so a key's frame is bounded by the number of days, never
+by the number of raw usage rows) gives every row its key's first value, last
+value, last date and length; the last day of each key then fans out into the
+``horizon`` forecast rows with ``explode``. The daily aggregate is computed
+once: no self-join, no second scan of the usage table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def forecast(daily: DataFrame, date_col: str = "usage_date", value_col: str = "credits",
@@ -22,25 +25,27 @@ def forecast(daily: DataFrame, date_col: str = "usage_date", value_col: str = "c
     Keys with fewer than two days produce no rows.
     """
     keys = list(keys or [])
-    stats = (daily.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(value_col, date_col).alias("_first"),
-        F.max_by(value_col, date_col).alias("_last"),
-        F.max(date_col).alias("_last_date"))
-        .where(F.col("_n") > 1))
+    # Without keys the whole (daily, hence small) series is one frame.
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    s = daily.select(
+        *keys, F.col(date_col), F.col(value_col).cast("double").alias("_v"),
+        F.count(F.lit(1)).over(w).alias("_n"),
+        F.min_by(F.col(value_col).cast("double"), F.col(date_col)).over(w).alias("_first"),
+        F.max_by(F.col(value_col).cast("double"), F.col(date_col)).over(w).alias("_last"),
+        F.max(date_col).over(w).alias("_last_date"),
+    ).where(F.col("_n") > 1)
     slope = (F.col("_last") - F.col("_first")) / (F.col("_n") - F.lit(1)).cast("double")
-    fc = (stats.select(*keys, "_last", "_last_date", slope.alias("_slope"),
-                       F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("_i"))
-               .select(*keys,
-                       F.date_add(F.col("_last_date"), F.col("_i") + 1).alias(date_col),
-                       F.greatest(F.col("_last") + F.col("_slope") * F.col("_i").cast("double"),
-                                  F.lit(0.0)).alias(value_col),
-                       F.lit("Forecast").alias("type")))
-    actual = (daily.join(stats.select(*keys) if keys else stats.select(F.lit(1).alias("_k")),
-                         keys if keys else F.lit(True), "left_semi")
-                   .select(*keys, date_col, F.col(value_col).cast("double").alias(value_col),
-                           F.lit("Actual").alias("type")))
-    return actual.unionByName(fc)
+    actual = F.array(F.struct(F.col(date_col).alias("d"), F.col("_v").alias("v"),
+                              F.lit("Actual").alias("t")))
+    ahead = F.transform(
+        F.sequence(F.lit(0), F.lit(horizon - 1)),
+        lambda i: F.struct(F.date_add(F.col("_last_date"), i + 1).alias("d"),
+                           F.greatest(F.col("_last") + slope * i.cast("double"), F.lit(0.0)).alias("v"),
+                           F.lit("Forecast").alias("t")))
+    rows = F.when(F.col(date_col) == F.col("_last_date"), F.concat(actual, ahead)).otherwise(actual)
+    return (s.select(*keys, F.explode(rows).alias("_r"))
+             .select(*keys, F.col("_r.d").alias(date_col), F.col("_r.v").alias(value_col),
+                     F.col("_r.t").alias("type")))
 
 
 def daily_totals(daily_by_service: DataFrame, date_col: str = "usage_date",

@@ -30,29 +30,44 @@ def opportunities(usage: DataFrame, qh: DataFrame, catalog: DataFrame, as_of, da
     'llama3.1-70b'; a flat ``rule2_pct`` saving. A group can fire both.
     """
     g = expensive_groups(usage, qh, as_of, days)
+    return opportunities_from_groups(g, catalog, premium, simple, cheap, min_calls, rule2_pct)
+
+
+def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
+                              premium: list[str] = PREMIUM_MODELS,
+                              simple: list[str] = SIMPLE_FUNCTIONS, cheap: str = CHEAP_MODEL,
+                              min_calls: int = RULE2_MIN_CALLS,
+                              rule2_pct: float = RULE2_SAVINGS_PCT) -> DataFrame:
+    """Both rules in one pass over the grouped rows: each group meets the
+    broadcast rates of its own and of the cheap model, and emits 0, 1 or 2
+    rule rows through ``explode`` (no second scan, no union of two plans)."""
     rates = F.broadcast(catalog.select(F.col("model").alias("model_name"),
                                        F.col("input_credits").alias("current_rate")))
     cheap_rate = F.broadcast(catalog.where(F.col("model") == cheap)
                              .select(F.col("input_credits").alias("cheap_rate")))
+    j = g.join(rates, "model_name", "left").join(cheap_rate, F.lit(True), "left")
     is_premium = F.exists(F.array(*[F.lit(p) for p in premium]),
                           lambda p: F.col("model_name").contains(p))
-    r1 = (g.where(is_premium & F.col("function_name").isin(list(simple)))
-           .join(rates, "model_name", "inner")
-           .crossJoin(cheap_rate))
+    fires1 = (is_premium & F.col("function_name").isin(list(simple))
+              & F.col("current_rate").isNotNull() & F.col("cheap_rate").isNotNull())
+    fires2 = ((F.col("function_name") == RULE2_FUNCTION) & (F.col("call_count") > min_calls)
+              & F.col("model_name").contains(RULE2_PATTERN))
     pct1 = (F.lit(1.0) - F.col("cheap_rate") / F.col("current_rate")) * F.lit(100.0)
-    r1 = r1.select(F.lit(1).alias("rule"), F.col("model_name").alias("current"),
-                   F.lit(cheap).alias("recommended"), F.col("function_name").alias("function"),
-                   F.col("call_count").alias("calls"), F.col("total_credits").alias("current_credits"),
-                   (F.col("total_credits") * (pct1 / F.lit(100.0))).alias("potential_savings"),
-                   pct1.alias("savings_pct"))
-    r2 = g.where((F.col("function_name") == RULE2_FUNCTION) & (F.col("call_count") > min_calls)
-                 & F.col("model_name").contains(RULE2_PATTERN))
-    r2 = r2.select(F.lit(2).alias("rule"), F.col("model_name").alias("current"),
-                   F.lit(cheap).alias("recommended"), F.col("function_name").alias("function"),
-                   F.col("call_count").alias("calls"), F.col("total_credits").alias("current_credits"),
-                   (F.col("total_credits") * F.lit(rule2_pct / 100.0)).alias("potential_savings"),
-                   F.lit(float(rule2_pct)).alias("savings_pct"))
-    return (r1.unionByName(r2).withColumn("type", F.lit("model_switch"))
+
+    def rule(n: int, fires, savings, pct):
+        return F.when(fires, F.struct(F.lit(n).alias("rule"), savings.alias("potential_savings"),
+                                      pct.alias("savings_pct")))
+
+    rules = F.array(
+        rule(1, fires1, F.col("total_credits") * (pct1 / F.lit(100.0)), pct1),
+        rule(2, fires2, F.col("total_credits") * F.lit(rule2_pct / 100.0), F.lit(float(rule2_pct))))
+    hits = j.select("*", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("_r"))
+    return (hits.select(F.col("_r.rule").alias("rule"), F.col("model_name").alias("current"),
+                        F.lit(cheap).alias("recommended"), F.col("function_name").alias("function"),
+                        F.col("call_count").alias("calls"), F.col("total_credits").alias("current_credits"),
+                        F.col("_r.potential_savings").alias("potential_savings"),
+                        F.col("_r.savings_pct").alias("savings_pct"),
+                        F.lit("model_switch").alias("type"))
               .orderBy(F.desc("potential_savings"), "rule", "current", "function"))
 
 

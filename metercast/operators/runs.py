@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import bands, money, tokens
 
@@ -101,8 +102,10 @@ def project_to_table(runs: DataFrame, table: DataFrame, text_col: str) -> DataFr
     r = r.select("model", "table_rows",
                  (F.col("total_cost") / F.col("rows") * F.col("table_rows")).alias("est_cost"),
                  (F.col("time_seconds") / F.col("rows") * F.col("table_rows") / F.lit(60.0)).alias("est_time_min"))
-    mx = r.agg(F.max("est_cost").alias("max_cost"))
-    j = r.crossJoin(F.broadcast(mx))
+    # one row per model: the dearest cost comes from a window over that small
+    # table instead of a second aggregate (which would recompute the runs)
+    mx = F.max("est_cost").over(Window.partitionBy(F.lit(0)))
+    j = r.withColumn("max_cost", mx)
     return j.select("model", "table_rows", "est_cost", "est_time_min",
                     (F.col("max_cost") - F.col("est_cost")).alias("savings_vs_dearest"),
                     bands.savings_pct(F.col("est_cost"), F.col("max_cost")).alias("savings_pct")
@@ -147,14 +150,19 @@ def scale_matrix(scaled: DataFrame, batches=DEFAULT_BATCHES) -> DataFrame:
 
 def savings_at_scale(scaled: DataFrame, target: int = 100000) -> DataFrame:
     """At ``target`` rows if simulated, else the largest size (P17): the
-    cheapest and dearest result and the difference (C30)."""
-    pick = scaled.agg(F.coalesce(F.max(F.when(F.col("rows") == target, F.col("rows"))),
-                                 F.max("rows")).alias("_pick"))
-    at = scaled.join(F.broadcast(pick), F.col("rows") == F.col("_pick"), "left_semi")
+    cheapest and dearest result and the difference (C30).
+
+    One pass: the arg-min/arg-max per batch size is a partial + final
+    aggregate over the scaled rows; the batch size is then picked among the
+    few aggregated rows (one per simulated size)."""
     key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
-    g = at.agg(F.min(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("lo"),
-               F.max(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("hi"),
-               F.max("rows").alias("rows"))
+    g = scaled.groupBy("rows").agg(
+        F.min(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("lo"),
+        F.max(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("hi"))
+    w = Window.partitionBy(F.lit(0))
+    pick = F.coalesce(F.max(F.when(F.col("rows") == target, F.col("rows"))).over(w),
+                      F.max("rows").over(w))
+    g = g.withColumn("_pick", pick).where(F.col("rows") == F.col("_pick"))
     return g.select("rows", F.col("lo.m").alias("cheapest_model"),
                     money.e10_to_usd("lo.c").alias("cheapest_cost"),
                     F.col("hi.m").alias("dearest_model"), money.e10_to_usd("hi.c").alias("dearest_cost"),
@@ -199,13 +207,15 @@ def prompt_vs_builtin(results: DataFrame, functions=BUILTIN_FUNCTIONS,
     and cost a flat ``call_usd`` per call (E8)."""
     s = successful(results).where(F.col("function").isin(list(functions)))
     call_e10 = int(round(call_usd * money.E10))
-    prompt = s.select("function", F.lit("prompt").alias("variant"), "model", "output_tokens",
+    prompt = F.struct(F.lit("prompt").alias("variant"), F.col("model").alias("model"),
+                      F.col("output_tokens").alias("output_tokens"),
                       F.col("cost_e10").cast(money.SUM_TYPE).alias("e10"))
-    builtin = s.select("function", F.lit("builtin").alias("variant"),
+    builtin = F.struct(F.lit("builtin").alias("variant"),
                        F.concat(F.col("model"), F.lit(" (via "), F.col("function"), F.lit(")")).alias("model"),
                        tokens.est_tokens(F.col("response")).alias("output_tokens"),
                        F.lit(call_e10).cast(money.SUM_TYPE).alias("e10"))
-    u = prompt.unionByName(builtin)
+    # both variants of a result from one scan
+    u = s.select("function", F.explode(F.array(prompt, builtin)).alias("_v")).select("function", "_v.*")
     return u.groupBy("function", "variant").agg(
         F.count(F.lit(1)).alias("runs"), F.countDistinct("model").alias("models"),
         F.sum("output_tokens").alias("output_tokens"), money.usd_sum("e10").alias("total_cost"))

@@ -126,14 +126,15 @@ def efficiency(usage: DataFrame, qh: DataFrame, as_of, days: int = 30, n: int =
 # -- C7 usage overview over metering ---------------------------------------------
 
 def daily_usage(metering: DataFrame, as_of, days: int = 30,
-                service_type: str | None = "AI_SERVICES") -> DataFrame:
-    """Daily credits per service type (A1), oldest first."""
+                service_type: str | None = "AI_SERVICES", ordered: bool = True) -> DataFrame:
+    """Daily credits per service type (A1), oldest first. ``ordered=False``
+    leaves out the final sort when the series feeds another operator."""
     m = metering.where(since(metering, "start_time", as_of, days))
     if service_type is not None:
         m = m.where(F.col("service_type") == service_type)
-    return (m.groupBy(F.to_date("start_time").alias("usage_date"), "service_type")
-             .agg(money.credits_sum(credit_e8(m, "credits_used")).alias("credits"))
-             .orderBy("usage_date", "service_type"))
+    g = (m.groupBy(F.to_date("start_time").alias("usage_date"), "service_type")
+          .agg(money.credits_sum(credit_e8(m, "credits_used")).alias("credits")))
+    return g.orderBy("usage_date", "service_type") if ordered else g
 
 
 def usage_overview(metering: DataFrame, as_of, days: int = 30, price: float = 3.0,

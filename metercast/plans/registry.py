@@ -242,7 +242,7 @@ FROM s CROSS JOIN range(0, 30) t(i)"""
   FROM metering WHERE start_time >= {EV_LOOKBACK.format(d=30)} AND service_type = 'AI_SERVICES'
   GROUP BY 1)""", ""))
 def q_forecast_30d(spark, sf_dir):
-    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30)
+    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, ordered=False)
     return FC.forecast(FC.daily_totals(daily), horizon=30)
 
 
@@ -251,7 +251,8 @@ def q_forecast_30d(spark, sf_dir):
   FROM metering WHERE start_time >= {EV_LOOKBACK.format(d=30)}
   GROUP BY 1, 2)""", "service_type"))
 def q_forecast_by_service(spark, sf_dir):
-    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, service_type=None)
+    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, service_type=None,
+                          ordered=False)
     return FC.forecast(daily, keys=["service_type"], horizon=30)
 
 
