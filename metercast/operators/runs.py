@@ -27,6 +27,62 @@ def successful(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") == "success")
 
 
+# -- A19 runs from per-row results, E7 built-in function runs -------------------------
+
+BUILTIN_CREDITS_PER_TOKEN_E8 = 100  # fixed value: 1e-6 credits per input token (E7)
+REALTIME_BUILTINS = ["SENTIMENT", "SUMMARIZE", "TRANSLATE", "CLASSIFY_TEXT"]
+
+
+def summarize_runs(results: DataFrame, catalog: DataFrame, price: float = 3.0,
+                   latency_col: str = "latency", response_col: str = "response") -> DataFrame:
+    """One run row per model over the successful per-row results (A19):
+    rows, token sums, credits and cost, summed latency and a sample output.
+
+    Cost is linear in tokens, so it is priced once per model from the exact
+    token sums (identical to summing per-row costs, without carrying money
+    through the shuffle); the catalog joins the per-model aggregate, not the
+    rows. An exact ``latency_centi`` column is summed when present.
+    """
+    s = successful(results)
+    t = (money.exact_sum("latency_centi").cast("double") / F.lit(100.0)
+         if "latency_centi" in s.columns else F.sum(latency_col).cast("double"))
+    g = s.groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        t.alias("time_seconds"),
+        F.left(F.min(response_col), F.lit(500)).alias("sample_output"))
+    c = F.broadcast(catalog.select("model", "in_centi", "out_centi"))
+    e8 = (F.col("input_tokens").cast(money.SUM_TYPE) * F.col("in_centi")
+          + F.col("output_tokens").cast(money.SUM_TYPE) * F.col("out_centi"))
+    e10 = e8 * F.lit(money.price_centi(price))
+    return g.join(c, "model").select(
+        "model", "rows", "input_tokens", "output_tokens",
+        money.e8_to_credits(e8).alias("total_credits"), money.e10_to_usd(e10).alias("total_cost"),
+        "time_seconds", "sample_output", e10.alias("cost_e10"))
+
+
+def builtin_runs(texts: DataFrame, text_col: str, functions=REALTIME_BUILTINS,
+                 price: float = 3.0) -> DataFrame:
+    """Run rows of the built-in text functions over a whole text column (E7):
+    input tokens ``len // 4`` per non-null text (E3), no output tokens, a
+    flat 1e-6 credits per input token whatever the function. The column is
+    aggregated once; the function list only fans out that one row. Wall
+    time is not measured without a service call: ``time_seconds`` is 0."""
+    g = texts.where(F.col(text_col).isNotNull()).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(tokens.est_output_tokens(F.col(text_col))), F.lit(0).cast("long"))
+         .alias("input_tokens"))
+    e8 = F.col("input_tokens").cast(money.SUM_TYPE) * F.lit(BUILTIN_CREDITS_PER_TOKEN_E8)
+    e10 = e8 * F.lit(money.price_centi(price))
+    fn = F.explode(F.array(*[F.lit(f) for f in functions])).alias("model")
+    return g.where(F.col("rows") > 0).select(
+        fn, "rows", "input_tokens", F.lit(0).cast("long").alias("output_tokens"),
+        money.e8_to_credits(e8).alias("total_credits"), money.e10_to_usd(e10).alias("total_cost"),
+        F.lit(0.0).alias("time_seconds"), F.lit(None).cast("string").alias("sample_output"),
+        e10.alias("cost_e10"))
+
+
 # -- C21 run comparison ------------------------------------------------------------
 
 def compare_runs(runs: DataFrame) -> DataFrame:

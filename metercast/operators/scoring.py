@@ -24,6 +24,7 @@ Scorer = Callable[[str, list], list]
 
 _OUT = T.StructType([
     T.StructField("key", T.LongType()),
+    T.StructField("text_tokens", T.LongType()),
     T.StructField("model", T.StringType()),
     T.StructField("prompt_chars", T.LongType()),
     T.StructField("response", T.StringType()),
@@ -61,7 +62,8 @@ def _score_partition(models: list[str], template: str | None, scorer_factory: Ca
                             lat.append(0.0)
                             st.append("error")
                 yield pd.DataFrame({
-                    "key": pdf["key"].astype("int64").values, "model": model,
+                    "key": pdf["key"].astype("int64").values,
+                    "text_tokens": pdf["text_tokens"].astype("int64").values, "model": model,
                     "prompt_chars": [len(p) for p in prompts],
                     "response": resp, "latency_s": lat, "status": st})
     return run
@@ -70,28 +72,35 @@ def _score_partition(models: list[str], template: str | None, scorer_factory: Ca
 def score_texts(df: DataFrame, text_col: str, key_col: str, models: list[str],
                 scorer_factory: Callable[[], Scorer], catalog: DataFrame,
                 template: str | None = None, price: float = 3.0,
-                count_template: bool = False) -> DataFrame:
+                count_template: bool = False, checkpoint: bool = False) -> DataFrame:
     """Run every non-null text through every model with the user's scorer.
 
     Per (key, model): response, status ('error' rows carry the message and
     zero tokens, latency and cost), latency, estimated input tokens (E2 on
     the text, or on the prompt with ``count_template``), output tokens (E3)
     and the catalog cost (C1; models outside the catalog are dropped).
+
+    The text's token estimate is computed on the JVM side before the Python
+    stage and carried through it, so the scored rows need no join back to the
+    source. With ``checkpoint`` the scored rows are written to the shared
+    checkpoint folder, so a lost executor never repeats the model calls.
     """
     src = df.where(F.col(text_col).isNotNull()).select(
-        F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+        F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"),
+        tokens.est_input_tokens(F.col(text_col)).alias("text_tokens"))
     scored = src.mapInPandas(_score_partition(list(models), template, scorer_factory), _OUT)
-    texts = src.select("key", tokens.est_input_tokens(F.col("text")).alias("text_tokens"))
+    if checkpoint:
+        from ..session import materialize
+        scored = materialize(scored)
     ok = F.col("status") == "success"
     in_tok = (F.when(F.col("prompt_chars") > 0, F.greatest(F.lit(1).cast("long"),
                      F.floor(F.col("prompt_chars") / 4).cast("long"))).otherwise(F.lit(0).cast("long"))
               if count_template else F.col("text_tokens"))
-    j = scored.join(texts, "key")
-    j = j.select(F.col("key").alias(key_col), "model", "response", "status",
-                 F.when(ok, F.col("latency_s")).otherwise(F.lit(0.0)).alias("latency_s"),
-                 F.when(ok, in_tok).otherwise(F.lit(0).cast("long")).alias("input_tokens"),
-                 F.when(ok, tokens.est_output_tokens(F.col("response"))).otherwise(F.lit(0).cast("long"))
-                  .alias("output_tokens"))
+    j = scored.select(F.col("key").alias(key_col), "model", "response", "status",
+                      F.when(ok, F.col("latency_s")).otherwise(F.lit(0.0)).alias("latency_s"),
+                      F.when(ok, in_tok).otherwise(F.lit(0).cast("long")).alias("input_tokens"),
+                      F.when(ok, tokens.est_output_tokens(F.col("response")))
+                       .otherwise(F.lit(0).cast("long")).alias("output_tokens"))
     return with_cost(j, catalog, price=price, strict=False)
 
 

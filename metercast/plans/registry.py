@@ -793,3 +793,34 @@ def q_score_texts(spark, sf_dir):
     return SC.score_texts(td(spark, sf_dir).texts(), "text", "doc_id", SCORE_MODELS,
                           SC.echo_scorer_factory(fail_every=97), CAT.load_catalog(spark),
                           template=SCORE_TEMPLATE)
+
+
+# --- E7 built-in function runs, compared with the model runs (C21) ---------------------
+
+_BUILTIN_FNS = ", ".join(f"('{f}')" for f in RU.REALTIME_BUILTINS)
+_BUILTIN = f"""builtin AS (
+  SELECT f.model, g.rows, g.input_tokens, CAST(0 AS BIGINT) AS output_tokens,
+         CAST(g.input_tokens * 100 AS DOUBLE) / 1e8 AS total_credits,
+         CAST(g.input_tokens * 100 * 300 AS DOUBLE) / 1e10 AS total_cost,
+         CAST(0.0 AS DOUBLE) AS time_seconds, CAST(NULL AS VARCHAR) AS sample_output
+  FROM (SELECT COUNT(*) AS rows, CAST(COALESCE(SUM(coalesce(length(text) // 4, 0)), 0) AS BIGINT) AS input_tokens
+        FROM documents WHERE text IS NOT NULL) g
+  CROSS JOIN (VALUES {_BUILTIN_FNS}) f(model) WHERE g.rows > 0)"""
+
+
+@register("builtin_run_cost", X.with_(_BUILTIN) + "SELECT * FROM builtin")
+def q_builtin_run_cost(spark, sf_dir):
+    return RU.builtin_runs(td(spark, sf_dir).texts(), "text").drop("cost_e10")
+
+
+@register("run_comparison_with_builtin", _RUNS.rstrip("\n") + ",\n" + _BUILTIN + """
+SELECT model, rows, input_tokens, output_tokens, total_credits AS credits, total_cost AS cost, time_seconds,
+       CASE WHEN time_seconds > 0 THEN CAST(input_tokens + output_tokens AS DOUBLE) / time_seconds
+            ELSE 0.0 END AS tokens_per_sec
+FROM (SELECT model, rows, input_tokens, output_tokens, total_credits, total_cost, time_seconds FROM runs
+      UNION ALL
+      SELECT model, rows, input_tokens, output_tokens, total_credits, total_cost, time_seconds FROM builtin) u""")
+def q_run_comparison_with_builtin(spark, sf_dir):
+    t = td(spark, sf_dir)
+    both = t.runs().unionByName(RU.builtin_runs(t.texts(), "text"))
+    return RU.compare_runs(both)

@@ -241,23 +241,8 @@ class TestData:
 
     def runs(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """One run per model over the successful results."""
-        r = self.results(price).where(F.col("status") == "success")
-        c = F.broadcast(cat.load_catalog(self.spark).select("model", "in_centi", "out_centi"))
-        g = r.groupBy("model").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            money.exact_sum("latency_centi").alias("t_centi"),
-            money.exact_sum("cost_e10").alias("cost_e10"),
-            F.min("response").alias("sample_output"))
-        g = g.join(c, "model")
-        e8 = (F.col("input_tokens").cast(money.SUM_TYPE) * F.col("in_centi")
-              + F.col("output_tokens").cast(money.SUM_TYPE) * F.col("out_centi"))
-        return g.select("model", "rows", "input_tokens", "output_tokens",
-                        money.e8_to_credits(e8).alias("total_credits"),
-                        money.e10_to_usd("cost_e10").alias("total_cost"),
-                        (F.col("t_centi").cast("double") / F.lit(100.0)).alias("time_seconds"),
-                        "sample_output", F.col("cost_e10"))
+        from ..operators.runs import summarize_runs
+        return summarize_runs(self.results(price), cat.load_catalog(self.spark), price)
 
     # -- budget limits -------------------------------------------------------
     def limits(self) -> DataFrame:

@@ -92,3 +92,48 @@ def test_entry_contract(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert "model_analysis" in sql and "score_texts" not in sql
+
+
+def test_summarize_runs_prices_token_sums(spark, catalog):
+    res = spark.createDataFrame(
+        [("llama3.1-8b", 1000, 100, 0.5, "b", "success"),
+         ("llama3.1-8b", 2000, 0, 0.25, "a", "success"),
+         ("llama3.1-8b", 9999, 9999, 9.0, "z", "error"),
+         ("not-in-catalog", 10, 10, 1.0, "x", "success")],
+        "model string, input_tokens long, output_tokens long, latency double, response string, status string")
+    out = RU.summarize_runs(res, catalog, price=3.0).collect()
+    assert [r.model for r in out] == ["llama3.1-8b"]
+    r = out[0]
+    # 3000 in + 100 out at 0.03 credits / 1M each = 9.3e-5 credits, x $3
+    assert (r.rows, r.input_tokens, r.output_tokens) == (2, 3000, 100)
+    assert r.total_credits == pytest.approx(9.3e-5, abs=1e-15)
+    assert r.total_cost == pytest.approx(2.79e-4, abs=1e-15)
+    assert r.time_seconds == pytest.approx(0.75)
+    assert r.sample_output == "a"
+
+
+def test_builtin_runs_flat_rate(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "abc"), (3, ""), (4, None)],
+                                 "doc_id long, text string")
+    out = {r.model: r for r in RU.builtin_runs(docs, "text", ["SENTIMENT", "SUMMARIZE"]).collect()}
+    assert set(out) == {"SENTIMENT", "SUMMARIZE"}
+    r = out["SENTIMENT"]
+    # len // 4 per text, 0 for short or empty text; NULL text is not a row
+    assert (r.rows, r.input_tokens, r.output_tokens) == (3, 2, 0)
+    assert r.total_credits == pytest.approx(2e-6, abs=1e-18)
+    assert r.total_cost == pytest.approx(6e-6, abs=1e-18)
+    assert r.time_seconds == 0.0
+
+
+def test_builtin_runs_empty_column_gives_no_rows(spark):
+    docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    assert RU.builtin_runs(docs, "text").count() == 0
+
+
+def test_score_texts_checkpointed(spark, catalog):
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "Three")], "doc_id long, text string")
+    out = SC.score_texts(docs, "text", "doc_id", ["mistral-7b"], SC.echo_scorer_factory(),
+                         catalog, checkpoint=True)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].input_tokens == 2 and rows[2].input_tokens == 1
+    assert all(r.status == "success" for r in rows.values())
