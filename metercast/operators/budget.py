@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, money
-from .common import credit_e8, date_literal, ts_literal
+from .common import at_or_after, credit_e8, date_literal, ts_literal
 
 PERIODS = ["daily", "weekly", "monthly"]
 
@@ -21,7 +21,8 @@ def period_usage(metering: DataFrame, as_of, service_type: str = "AI_SERVICES")
     month_start = F.date_trunc("month", now).cast(metering.schema["start_time"].dataType)
     day_start = today.cast(metering.schema["start_time"].dataType)
     lower = F.least(week_start, month_start, day_start)
-    m = metering.where((F.col("service_type") == service_type) & (F.col("start_time") >= lower))
+    m = metering.where((F.col("service_type") == service_type)
+                       & at_or_after(metering, "start_time", lower))
     e8 = credit_e8(m, "credits_used")
     zero = F.lit(0).cast("long")
     g = m.agg(

@@ -28,9 +28,27 @@ def ts_literal(df: DataFrame, col: str, as_of) -> Column:
     return F.lit(_as_str(as_of)).cast(t)
 
 
+# Partition column written by ``sinks.write_usage_log``: the day of the row's
+# timestamp. Never a column of the source tables themselves.
+LOG_DATE = "log_date"
+
+
 def since(df: DataFrame, col: str, as_of, days: int) -> Column:
-    """Rolling look-back ``col >= as_of - days`` (n x 24 h, no upper bound; P1)."""
-    return F.col(col) >= ts_literal(df, col, as_of) - F.make_dt_interval(F.lit(int(days)))
+    """Rolling look-back ``col >= as_of - days`` (n x 24 h, no upper bound; P1).
+
+    On a log partitioned by day (``log_date`` column) the implied bound
+    ``log_date >= day(as_of - days)`` is added, so whole days are pruned
+    before any file is opened."""
+    lower = ts_literal(df, col, as_of) - F.make_dt_interval(F.lit(int(days)))
+    return at_or_after(df, col, lower)
+
+
+def at_or_after(df: DataFrame, col: str, lower: Column) -> Column:
+    """``col >= lower`` plus the implied day bound on a day-partitioned log."""
+    cond = F.col(col) >= lower
+    if LOG_DATE in df.columns and col != LOG_DATE:
+        cond = cond & (F.col(LOG_DATE) >= F.to_date(lower))
+    return cond
 
 
 def date_literal(as_of) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, money
+from ..sources.readers import check_access  # noqa: F401  (S13, re-exported)
 from .common import credit_e8, since
 
 STATUS_OK = "OK"
@@ -30,16 +31,6 @@ class SourceSpec:
     notes: dict = field(default_factory=dict)
 
 
-def check_access(spark: SparkSession, table: str) -> bool:
-    """True iff the table exists and a probe returns a row."""
-    try:
-        if not spark.catalog.tableExists(table):
-            return False
-        return len(spark.table(table).limit(1).take(1)) > 0
-    except AnalysisException:
-        return False
-
-
 def _service_total(spec: SourceSpec, as_of, days: int) -> DataFrame:
     """One-row ``(service, credits_e8, status)``; a source that cannot be
     resolved contributes 0 with status 'No Access' (S14). Only analysis

@@ -824,3 +824,23 @@ def q_run_comparison_with_builtin(spark, sf_dir):
     t = td(spark, sf_dir)
     both = t.runs().unionByName(RU.builtin_runs(t.texts(), "text"))
     return RU.compare_runs(both)
+
+
+# --- S17 export summary (flattened) --------------------------------------------------
+
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("export_summary", _RES + """
+, s AS (SELECT * FROM results WHERE status = 'success'),
+c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
+l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
+SELECT (SELECT COUNT(DISTINCT test) FROM results) AS tests, (SELECT COUNT(*) FROM s) AS results,
+       c.model AS cheapest_model, c.cost AS cheapest_cost,
+       l.model AS fastest_model, l.latency AS fastest_latency
+FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
+def q_export_summary(spark, sf_dir):
+    s = SK.results_summary(td(spark, sf_dir).results())
+    return s.select("tests", "results", s.cheapest.model.alias("cheapest_model"),
+                    s.cheapest.cost.alias("cheapest_cost"), s.fastest.model.alias("fastest_model"),
+                    s.fastest.latency.alias("fastest_latency"))
