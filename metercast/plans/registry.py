@@ -844,3 +844,31 @@ def q_export_summary(spark, sf_dir):
     return s.select("tests", "results", s.cheapest.model.alias("cheapest_model"),
                     s.cheapest.cost.alias("cheapest_cost"), s.fastest.model.alias("fastest_model"),
                     s.fastest.latency.alias("fastest_latency"))
+
+
+# --- windowed budget check (batch form of the streaming monitor) ---------------------
+
+from ..streaming import budget_monitor as BM  # noqa: E402
+
+
+@register("budget_windows", X.with_(X.METERING, _LIMITS_SQL, """ai AS (
+  SELECT start_time, e8 FROM metering WHERE service_type = 'AI_SERVICES'),
+spend AS (
+  SELECT 'daily' AS period, date_trunc('day', start_time) AS window_start,
+         date_trunc('day', start_time) + INTERVAL 1 DAY AS window_end, SUM(e8) AS e8
+  FROM ai GROUP BY 2, 3
+  UNION ALL
+  SELECT 'weekly', date_trunc('day', start_time) - k * INTERVAL 1 DAY,
+         date_trunc('day', start_time) - k * INTERVAL 1 DAY + INTERVAL 7 DAY, SUM(e8)
+  FROM ai CROSS JOIN range(0, 7) r(k) GROUP BY 2, 3)""") + """
+SELECT profile, "limit", enabled, period, CAST(window_start AS TIMESTAMP) AS window_start,
+       CAST(window_end AS TIMESTAMP) AS window_end, used, used * 3.0 AS used_usd, pct,
+       CASE WHEN pct < 80.0 THEN 'green' WHEN pct < 100.0 THEN 'yellow' ELSE 'red' END AS light,
+       enabled AND used > "limit" AS alert
+FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
+             CASE WHEN enabled AND "limit" > 0 THEN CAST(e8 AS DOUBLE) / 1e8 / "limit" * 100.0
+                  ELSE 0.0 END AS pct
+      FROM spend JOIN limits USING (period)) x""")
+def q_budget_windows(spark, sf_dir):
+    t = td(spark, sf_dir)
+    return BM.budget_windows(t.metering(), t.limits(), watermark=None)
