@@ -40,6 +40,7 @@ def budget_status(metering: DataFrame, limits: DataFrame, as_of,
     """Per limit row (``period``, ``limit``, ``enabled`` + any profile
     columns): used credits, cost, percent of the limit and its light."""
     used = period_usage(metering, as_of, service_type)
+    # ``used`` is three rows by construction (one global aggregate, exploded)
     j = limits.join(F.broadcast(used), "period", "left")
     u = F.coalesce(F.col("used"), F.lit(0.0))
     pct = bands.budget_pct(u, F.col("limit"), F.col("enabled"))

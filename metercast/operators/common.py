@@ -73,6 +73,24 @@ def model_label(col: str = "model_name", label: str = "Specialized Function") ->
     return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(label))
 
 
+# Largest dimension broadcast to every task (rows). The price catalog,
+# rate lists, keyword lists and budget limits are far below it.
+DIM_MAX_ROWS = 100_000
+
+
+def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for a dimension whose size is proven small.
+
+    Proof is either that the frame is a local relation (built on the driver,
+    e.g. the fixed catalog) or a bounded probe that reads at most
+    ``max_rows + 1`` rows. Beyond the bound no hint is given and Spark plans
+    a shuffled join (adaptive execution may still broadcast it at runtime).
+    """
+    if df.isLocal() or df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
 def with_history(usage: DataFrame, qh: DataFrame, as_of, days: int,
                  cols: tuple[str, ...] = ()) -> DataFrame:
     """Usage joined to the query history of the look-back window.

@@ -14,12 +14,13 @@ from pyspark.sql.window import Window
 
 from ..functions import bands, money, tokens
 from ..sources.catalog import DEFAULT_CREDIT_PRICE
+from .common import dimension
 
 _RATE_COLS = ["model", "pos", "in_centi", "out_centi"]
 
 
 def _rates(catalog: DataFrame) -> DataFrame:
-    return F.broadcast(catalog.select(*_RATE_COLS))
+    return dimension(catalog.select(*_RATE_COLS))
 
 
 def cost_columns(in_tok: Column, out_tok: Column, price: float = DEFAULT_CREDIT_PRICE,
@@ -213,7 +214,7 @@ def cheapest_k_per_request(conversations: DataFrame, catalog: DataFrame, k: int
 def named_tier_costs(conversations: DataFrame, catalog: DataFrame, tiers: DataFrame,
                      price: float = DEFAULT_CREDIT_PRICE, key: str = "conv_id") -> DataFrame:
     """Request-log cost on the models of each named tier ∩ catalog."""
-    members = F.broadcast(tiers.join(catalog.select("model"), "model", "left_semi"))
+    members = dimension(tiers.join(dimension(catalog.select("model")), "model", "left_semi"))
     per = estimate_request_cost(conversations, catalog, price, key)
     return per.join(members, "model", "inner").select("tier", *per.columns)
 
@@ -224,7 +225,7 @@ def function_cost(usage: DataFrame, rates: DataFrame, name_col: str = "function_
                   tokens_col: str = "tokens") -> DataFrame:
     """Per function: calls, tokens and the cost at the function's list rate
     (E25). Functions without a list rate keep NULL rate and cost."""
-    r = F.broadcast(rates.select(F.col("name").alias(name_col), "credits_per_unit", "rate_centi"))
+    r = dimension(rates.select(F.col("name").alias(name_col), "credits_per_unit", "rate_centi"))
     j = usage.select(name_col, tokens_col).join(r, name_col, "left")
     g = j.groupBy(name_col).agg(
         F.count(F.lit(1)).alias("calls"), F.sum(tokens_col).alias("tokens"),

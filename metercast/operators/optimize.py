@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dimension
 from .usage import expensive_groups
 
 # The two rules of the optimization tab.
@@ -41,9 +42,9 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
     """Both rules in one pass over the grouped rows: each group meets the
     broadcast rates of its own and of the cheap model, and emits 0, 1 or 2
     rule rows through ``explode`` (no second scan, no union of two plans)."""
-    rates = F.broadcast(catalog.select(F.col("model").alias("model_name"),
+    rates = dimension(catalog.select(F.col("model").alias("model_name"),
                                        F.col("input_credits").alias("current_rate")))
-    cheap_rate = F.broadcast(catalog.where(F.col("model") == cheap)
+    cheap_rate = dimension(catalog.where(F.col("model") == cheap)
                              .select(F.col("input_credits").alias("cheap_rate")))
     j = g.join(rates, "model_name", "left").join(cheap_rate, F.lit(True), "left")
     is_premium = F.exists(F.array(*[F.lit(p) for p in premium]),

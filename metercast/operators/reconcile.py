@@ -78,11 +78,18 @@ def reconcile(metering: DataFrame, sources: list[SourceSpec], as_of, days: int =
     """One-row summary: baseline, granular total, variance, variance %,
     coverage % and status band. A zero baseline gives 0 % (EXCELLENT) and
     sets ``baseline_missing``."""
-    b = baseline(metering, as_of, days, service_type)
-    g = service_totals(sources, as_of, days).agg(
-        F.sum("credits_e8").alias("granular_e8"),
-        F.sum(F.when(F.col("status") != STATUS_OK, 1).otherwise(0)).alias("sources_missing"))
-    j = b.crossJoin(g)
+    # baseline and service totals are small rows of one union; a single
+    # aggregate splits them again (no join between the two sides)
+    b = baseline(metering, as_of, days, service_type).select(
+        F.lit(True).alias("_base"), F.col("baseline_e8").alias("e8"),
+        F.lit(STATUS_OK).alias("status"))
+    s = service_totals(sources, as_of, days).select(
+        F.lit(False).alias("_base"), F.col("credits_e8").alias("e8"), "status")
+    j = b.unionByName(s).agg(
+        F.sum(F.when(F.col("_base"), F.col("e8"))).alias("baseline_e8"),
+        F.sum(F.when(~F.col("_base"), F.col("e8"))).alias("granular_e8"),
+        F.sum(F.when(~F.col("_base") & (F.col("status") != STATUS_OK), 1).otherwise(0))
+         .alias("sources_missing"))
     base = money.e8_to_credits("baseline_e8")
     gran = money.e8_to_credits("granular_e8")
     var = money.e8_to_credits(F.col("granular_e8") - F.col("baseline_e8"))

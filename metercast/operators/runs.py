@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bands, money, tokens
+from .common import dimension
 
 # Projection points and batch sizes of the scale steps.
 SCALE_POINTS = [1000, 5000, 10000, 25000, 50000, 100000]
@@ -52,7 +53,7 @@ def summarize_runs(results: DataFrame, catalog: DataFrame, price: float = 3.0,
         F.sum("output_tokens").alias("output_tokens"),
         t.alias("time_seconds"),
         F.left(F.min(response_col), F.lit(500)).alias("sample_output"))
-    c = F.broadcast(catalog.select("model", "in_centi", "out_centi"))
+    c = dimension(catalog.select("model", "in_centi", "out_centi"))
     e8 = (F.col("input_tokens").cast(money.SUM_TYPE) * F.col("in_centi")
           + F.col("output_tokens").cast(money.SUM_TYPE) * F.col("out_centi"))
     e10 = e8 * F.lit(money.price_centi(price))
@@ -154,6 +155,7 @@ def project_to_table(runs: DataFrame, table: DataFrame, text_col: str) -> DataFr
     non-null row count (one global aggregate) times the per-row figures,
     ranked, with the saving against the dearest model."""
     n = table.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("table_rows"))
+    # ``n`` is one row by construction (a global count)
     r = runs.where(F.col("rows") > 0).crossJoin(F.broadcast(n))
     r = r.select("model", "table_rows",
                  (F.col("total_cost") / F.col("rows") * F.col("table_rows")).alias("est_cost"),

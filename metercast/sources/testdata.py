@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..operators.common import dimension
 from . import catalog as cat
 
 # Fixed values of the fixture mapping (FIXTURES.md §3).
@@ -230,7 +231,7 @@ class TestData:
             in_tok.alias("input_tokens"), out_tok.alias("output_tokens"),
             lat.alias("latency_centi"),
             F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"))
-        c = F.broadcast(cat.load_catalog(self.spark).select("model", "in_centi", "out_centi"))
+        c = dimension(cat.load_catalog(self.spark).select("model", "in_centi", "out_centi"))
         e8 = F.col("input_tokens") * F.col("in_centi") + F.col("output_tokens") * F.col("out_centi")
         e10 = F.when(F.col("status") == "success", e8 * F.lit(money.price_centi(price))).otherwise(F.lit(0).cast("long"))
         return (base.join(c, "model", "inner")

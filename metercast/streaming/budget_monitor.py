@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import bands, money
-from ..operators.common import credit_e8
+from ..operators.common import credit_e8, dimension
 
 DEFAULT_WATERMARK = "3 hours"
 # Window per period (duration, slide).
@@ -50,8 +50,10 @@ def windowed_spend(metering: DataFrame, period: str = "daily",
 
 def check_limits(spend: DataFrame, limits: DataFrame, price: float = 3.0) -> DataFrame:
     """Per window and limit row of the same period: used, cost, percent of
-    the limit, light, and whether it raises an alert (strictly over)."""
-    j = spend.join(F.broadcast(limits), "period", "inner")
+    the limit, light, and whether it raises an alert (strictly over).
+    ``limits`` is expected to carry its broadcast decision already
+    (:func:`metercast.operators.common.dimension`), taken once per query."""
+    j = spend.join(limits, "period", "inner")
     pct = bands.budget_pct(F.col("used"), F.col("limit"), F.col("enabled"))
     return j.select(*[c for c in limits.columns if c != "period"], "period",
                     "window_start", "window_end", "used",
@@ -64,6 +66,7 @@ def budget_windows(metering: DataFrame, limits: DataFrame, periods=("daily", "we
                    service_type: str | None = "AI_SERVICES", price: float = 3.0,
                    watermark: str | None = DEFAULT_WATERMARK) -> DataFrame:
     """All windowed periods checked against their limits (batch or stream)."""
+    limits = dimension(limits)
     out = None
     for p in periods:
         part = check_limits(windowed_spend(metering, p, service_type, watermark), limits, price)
@@ -97,6 +100,7 @@ def start_budget_monitor(metering_stream: DataFrame, limits: DataFrame, alerts_p
     spark = metering_stream.sparkSession
     ckpt = checkpoint_location or f"{_checkpoint_root(spark)}/budget-monitor-{period}"
     spend = windowed_spend(metering_stream, period, service_type, watermark)
+    limits = dimension(limits)  # size checked once, not per micro-batch
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         checked = check_limits(batch, limits, price).withColumn("batch_id", F.lit(batch_id))
