@@ -73,7 +73,10 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
 
 
 def total_savings(opps: DataFrame, price: float = 3.0) -> DataFrame:
-    """Total potential savings in credits and USD."""
-    return opps.agg(F.coalesce(F.sum("potential_savings"), F.lit(0.0)).alias("total_savings")) \
-               .withColumn("total_savings_usd", F.col("total_savings") * F.lit(price))
-
+    """Total potential savings in credits and USD (A21), rounded half-up to
+    6 and 4 decimals so the figure does not depend on summation order."""
+    from ..functions import money
+    t = F.coalesce(F.sum("potential_savings"), F.lit(0.0))
+    return opps.agg(money.round_half_up(t, 6).alias("total_savings"),
+                    money.round_half_up(t * F.lit(price), 4).alias("total_savings_usd"),
+                    F.count(F.lit(1)).alias("opportunities"))

@@ -16,10 +16,13 @@ def _stats(df: DataFrame, tok: str) -> DataFrame:
                   F.round(F.stddev_samp(tok), 6).alias("stddev_tokens"))
 
 
-def token_stats(df: DataFrame, text_col: str) -> DataFrame:
+def token_stats(df: DataFrame, text_col: str, counter=None) -> DataFrame:
     """n, mean, min, max and sample stddev of estimated tokens over the whole
-    non-null column (E1 per row)."""
-    t = df.where(F.col(text_col).isNotNull()).select(tokens.est_tokens(F.col(text_col)).alias("t"))
+    non-null column (E1 per row), or of exact counts with ``counter`` (F3,
+    :func:`metercast.functions.tokens.token_counter`)."""
+    col = F.col(text_col)
+    t = df.where(col.isNotNull()).select(
+        (counter(col) if counter is not None else tokens.est_tokens(col)).alias("t"))
     return _stats(t, "t")
 
 

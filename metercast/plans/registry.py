@@ -872,3 +872,14 @@ FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
 def q_budget_windows(spark, sf_dir):
     t = td(spark, sf_dir)
     return BM.budget_windows(t.metering(), t.limits(), watermark=None)
+
+
+# --- A21 total potential savings ---------------------------------------------------------
+
+@register("opportunity_savings_total", "WITH o AS (" + ORACLE["opportunities"] + """)
+SELECT CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) AS DECIMAL(38,10)), 6) AS DOUBLE) AS total_savings,
+       CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) * 3.0 AS DECIMAL(38,10)), 4) AS DOUBLE) AS total_savings_usd,
+       COUNT(*) AS opportunities
+FROM o""")
+def q_opportunity_savings_total(spark, sf_dir):
+    return O.total_savings(q_opportunities(spark, sf_dir))
