@@ -1,20 +1,23 @@
 """Token costing against the price catalog.
 
 Cost is linear in tokens, so every group-level estimate sums tokens first
-and only then meets the 22-row catalog: the cross join multiplies the number
-of *groups* (not rows) by the number of models, and the catalog side is a
-broadcast of fixed size.
+and only then meets the catalog. The catalog's rates travel as **one row
+holding a bounded array** (one struct per model, catalog order) joined to
+the work by broadcast: pricing a workload on every model is then a
+projection over that array. ``explode`` gives one row per (workload, model);
+the cheapest / dearest model, the k cheapest and the savings are
+``array_min`` / ``array_max`` / ``array_sort`` inside the same projection, so
+no aggregation, sort or window follows the fan-out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import bands, money, tokens
 from ..sources.catalog import DEFAULT_CREDIT_PRICE
-from .common import dimension
+from .common import DIM_MAX_ROWS, dimension
 
 _RATE_COLS = ["model", "pos", "in_centi", "out_centi"]
 
@@ -23,26 +26,55 @@ def _rates(catalog: DataFrame) -> DataFrame:
     return dimension(catalog.select(*_RATE_COLS))
 
 
+def rate_list(catalog: DataFrame, max_models: int = DIM_MAX_ROWS) -> DataFrame:
+    """The catalog's rates as one row: ``_rates`` = array of
+    struct(pos, model, in_centi, out_centi) in catalog order.
+
+    The array lives in one task and is copied to every task, so the catalog
+    size is checked first (a local relation, or a bounded probe)."""
+    r = catalog.select("pos", "model", "in_centi", "out_centi")
+    if not r.isLocal() and r.limit(max_models + 1).count() > max_models:
+        raise ValueError(f"price catalog has more than {max_models} models")
+    return r.agg(F.sort_array(F.collect_list(F.struct("pos", "model", "in_centi", "out_centi")))
+                 .alias("_rates"))
+
+
+def _with_rate_list(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    # one row by construction (a global aggregate), size-checked in rate_list
+    return df.crossJoin(F.broadcast(rate_list(catalog)))
+
+
+def _e8(in_tok: Column, out_tok: Column, in_rate: Column, out_rate: Column):
+    in_e8 = in_tok.cast(money.SUM_TYPE) * in_rate
+    out_e8 = out_tok.cast(money.SUM_TYPE) * out_rate
+    return in_e8, out_e8, in_e8 + out_e8
+
+
+def _usd_raw(e8: Column, price: float) -> Column:
+    return money.e10_to_usd(e8 * F.lit(money.price_centi(price)))
+
+
 def cost_columns(in_tok: Column, out_tok: Column, price: float = DEFAULT_CREDIT_PRICE,
-                 raw: bool = True) -> list[Column]:
-    """The 9-field cost record (E5, E6) given ``in_centi``/``out_centi`` in
-    scope: credits rounded to 4 dp and USD to 2 dp (HALF_UP on decimal),
+                 raw: bool = True, in_rate: Column | None = None,
+                 out_rate: Column | None = None) -> list[Column]:
+    """The 9-field cost record (E5, E6) given the input/output rates in
+    centi-credits per 1M tokens (default: ``in_centi``/``out_centi`` in
+    scope): credits rounded to 4 dp and USD to 2 dp (HALF_UP on decimal),
     plus exact twins when ``raw``."""
-    pc = money.price_centi(price)
-    in_e8 = in_tok.cast(money.SUM_TYPE) * F.col("in_centi")
-    out_e8 = out_tok.cast(money.SUM_TYPE) * F.col("out_centi")
-    tot_e8 = in_e8 + out_e8
+    in_rate = F.col("in_centi") if in_rate is None else in_rate
+    out_rate = F.col("out_centi") if out_rate is None else out_rate
+    in_e8, out_e8, tot_e8 = _e8(in_tok, out_tok, in_rate, out_rate)
     cols = [
         money.round_half_up(money.e8_to_credits(in_e8), 4).alias("input_credits"),
         money.round_half_up(money.e8_to_credits(out_e8), 4).alias("output_credits"),
         money.round_half_up(money.e8_to_credits(tot_e8), 4).alias("total_credits"),
-        money.round_half_up(money.e10_to_usd(in_e8 * F.lit(pc)), 2).alias("input_cost_usd"),
-        money.round_half_up(money.e10_to_usd(out_e8 * F.lit(pc)), 2).alias("output_cost_usd"),
-        money.round_half_up(money.e10_to_usd(tot_e8 * F.lit(pc)), 2).alias("total_cost_usd"),
+        money.round_half_up(_usd_raw(in_e8, price), 2).alias("input_cost_usd"),
+        money.round_half_up(_usd_raw(out_e8, price), 2).alias("output_cost_usd"),
+        money.round_half_up(_usd_raw(tot_e8, price), 2).alias("total_cost_usd"),
     ]
     if raw:
         cols += [money.e8_to_credits(tot_e8).alias("total_credits_raw"),
-                 money.e10_to_usd(tot_e8 * F.lit(pc)).alias("total_cost_usd_raw")]
+                 _usd_raw(tot_e8, price).alias("total_cost_usd_raw")]
     return cols
 
 
@@ -71,21 +103,25 @@ def with_cost(df: DataFrame, catalog: DataFrame, in_col: str = "input_tokens",
 def compare_models(work: DataFrame, catalog: DataFrame, in_col: str = "input_tokens",
                    out_col: str = "output_tokens", price: float = DEFAULT_CREDIT_PRICE) -> DataFrame:
     """Every workload row on every catalog model (C2, J3): |work| x |models|
-    rows via a broadcast nested-loop join against the fixed catalog."""
-    j = work.crossJoin(_rates(catalog))
+    rows by exploding the broadcast rate array; the work keeps its
+    partitioning (a narrow projection, no join fan-out stage)."""
     keep = [c for c in work.columns if c not in (in_col, out_col)]
-    return j.select(*keep, "model", "pos",
-                    F.col(in_col).alias("input_tokens"), F.col(out_col).alias("output_tokens"),
-                    *cost_columns(F.col(in_col), F.col(out_col), price))
-
+    j = _with_rate_list(work, catalog).select(
+        *keep, F.col(in_col).alias("_in"), F.col(out_col).alias("_out"), F.explode("_rates").alias("_r"))
+    return j.select(*keep, F.col("_r.model").alias("model"), F.col("_r.pos").alias("pos"),
+                    F.col("_in").alias("input_tokens"), F.col("_out").alias("output_tokens"),
+                    *cost_columns(F.col("_in"), F.col("_out"), price,
+                                  in_rate=F.col("_r.in_centi"), out_rate=F.col("_r.out_centi")))
 
-def _argmin(measure: Column, pos: Column, model: Column) -> Column:
-    """First-occurrence argmin as ``min(struct(measure, pos, model))``."""
-    return F.min(F.struct(measure.alias("m"), pos.alias("p"), model.alias("model")))
 
-
-def _argmax(measure: Column, pos: Column, model: Column) -> Column:
-    return F.max(F.struct(measure.alias("m"), pos.alias("p"), model.alias("model")))
+def _model_costs(in_tok: Column, out_tok: Column, price: float, fields) -> Column:
+    """Per row: the array of ``fields(r, usd_raw, usd_rounded)`` structs over
+    the rate array ``_rates`` in scope."""
+    def one(r):
+        _i, _o, tot = _e8(in_tok, out_tok, r["in_centi"], r["out_centi"])
+        raw = _usd_raw(tot, price)
+        return fields(r, raw, money.round_half_up(raw, 2))
+    return F.transform("_rates", one)
 
 
 def cost_calculator(work: DataFrame, catalog: DataFrame, key: str = "work_id",
@@ -95,21 +131,22 @@ def cost_calculator(work: DataFrame, catalog: DataFrame, key: str = "work_id",
                     allowed: list[str] | None = None) -> DataFrame:
     """Workload calculator (C3): tokens per request x requests on every
     allowed model; per workload the cheapest and dearest model (ranked by the
-    displayed cost, then exact cost, then catalog order), savings and %."""
+    displayed cost, then exact cost, then catalog order), savings and %.
+    One projection per workload row over the rate array: no shuffle."""
     cat = catalog if allowed is None else catalog.where(F.col("model").isin(list(allowed)))
-    w = work.select(key, (F.col(in_per_request) * F.col(requests)).alias("input_tokens"),
-                    (F.col(out_per_request) * F.col(requests)).alias("output_tokens"))
-    c = compare_models(w, cat, price=price)
-    # the cross join keeps the workload side's partitioning: no second shuffle
-    g = c.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_models"),
-        F.min(F.struct("total_cost_usd", "total_cost_usd_raw", "pos", "model")).alias("lo"),
-        F.max(F.struct("total_cost_usd", "total_cost_usd_raw", "pos", "model")).alias("hi"))
-    lo, hi = F.col("lo.total_cost_usd"), F.col("hi.total_cost_usd")
-    return g.select(key, "n_models",
-                    F.col("lo.model").alias("cheapest_model"), lo.alias("cheapest_cost_usd"),
-                    F.col("hi.model").alias("most_expensive_model"), hi.alias("most_expensive_cost_usd"),
-                    (hi - lo).alias("savings_usd"), bands.savings_pct(lo, hi).alias("savings_pct"))
+    w = work.select(key, (F.col(in_per_request) * F.col(requests)).alias("_in"),
+                    (F.col(out_per_request) * F.col(requests)).alias("_out"))
+    costs = _model_costs(F.col("_in"), F.col("_out"), price,
+                         lambda r, raw, usd: F.struct(usd.alias("usd"), raw.alias("raw"),
+                                                      r["pos"].alias("pos"), r["model"].alias("model")))
+    c = _with_rate_list(w, cat).where(F.size("_rates") > 0).select(
+        key, F.size("_rates").cast("long").alias("n_models"), costs.alias("_c"))
+    lo, hi = F.array_min("_c"), F.array_max("_c")
+    return c.select(key, "n_models",
+                    lo["model"].alias("cheapest_model"), lo["usd"].alias("cheapest_cost_usd"),
+                    hi["model"].alias("most_expensive_model"), hi["usd"].alias("most_expensive_cost_usd"),
+                    (hi["usd"] - lo["usd"]).alias("savings_usd"),
+                    bands.savings_pct(lo["usd"], hi["usd"]).alias("savings_pct"))
 
 
 def price_spread(costs: DataFrame, keys: list[str], measure: str = "total_cost_usd_raw") -> DataFrame:
@@ -187,15 +224,20 @@ def request_costs(conversations: DataFrame, catalog: DataFrame,
 
 def cheapest_model_per_request(conversations: DataFrame, catalog: DataFrame,
                                price: float = DEFAULT_CREDIT_PRICE, key: str = "conv_id") -> DataFrame:
-    """Cheapest and dearest model per request (T9): struct-min over the
-    per-model rows; the request key partitioning carries through the
-    broadcast cross join, so the arg-min needs no further shuffle."""
-    c = request_costs(conversations, catalog, price, key)
-    g = c.groupBy(key).agg(
-        F.first("input_tokens").alias("input_tokens"), F.first("output_tokens").alias("output_tokens"),
-        _argmin(F.col("total_cost_usd_raw"), F.col("pos"), F.col("model")).alias("lo"),
-        _argmax(F.col("total_cost_usd_raw"), -F.col("pos"), F.col("model")).alias("hi"))
-    return g.select(key, "input_tokens", "output_tokens",
+    """Cheapest and dearest model per request (T9), first in catalog order
+    on ties: ``array_min`` / ``array_max`` over the request's per-model
+    costs, in one projection after the per-request token sums."""
+    per = request_tokens(conversations, key)
+    lo_costs = _model_costs(F.col("input_tokens"), F.col("output_tokens"), price,
+                            lambda r, raw, usd: F.struct(raw.alias("m"), r["pos"].alias("p"),
+                                                         r["model"].alias("model")))
+    hi_costs = _model_costs(F.col("input_tokens"), F.col("output_tokens"), price,
+                            lambda r, raw, usd: F.struct(raw.alias("m"), (-r["pos"]).alias("p"),
+                                                         r["model"].alias("model")))
+    c = _with_rate_list(per, catalog).where(F.size("_rates") > 0).select(
+        key, "input_tokens", "output_tokens",
+        F.array_min(lo_costs).alias("lo"), F.array_max(hi_costs).alias("hi"))
+    return c.select(key, "input_tokens", "output_tokens",
                     F.col("lo.model").alias("cheapest_model"), F.col("lo.m").alias("cheapest_cost_usd"),
                     F.col("hi.model").alias("dearest_model"), F.col("hi.m").alias("dearest_cost_usd"),
                     bands.savings_pct(F.col("lo.m"), F.col("hi.m")).alias("savings_pct"))
@@ -203,12 +245,17 @@ def cheapest_model_per_request(conversations: DataFrame, catalog: DataFrame,
 
 def cheapest_k_per_request(conversations: DataFrame, catalog: DataFrame, k: int = 5,
                            price: float = DEFAULT_CREDIT_PRICE, key: str = "conv_id") -> DataFrame:
-    """The ``k`` cheapest models per request (T4 per group) with a window
-    over the request key (already the partitioning of the cost rows)."""
-    c = request_costs(conversations, catalog, price, key)
-    w = Window.partitionBy(key).orderBy("total_cost_usd_raw", "pos")
-    return (c.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-             .select(key, "rank", "model", "total_cost_usd_raw"))
+    """The ``k`` cheapest models per request (T4 per group): the request's
+    per-model costs sorted in the row (cost, then catalog order), the first
+    ``k`` exploded with their rank."""
+    per = request_tokens(conversations, key)
+    costs = _model_costs(F.col("input_tokens"), F.col("output_tokens"), price,
+                         lambda r, raw, usd: F.struct(raw.alias("c"), r["pos"].alias("p"),
+                                                      r["model"].alias("model")))
+    c = _with_rate_list(per, catalog).select(
+        key, F.posexplode(F.slice(F.array_sort(costs), 1, k)).alias("_i", "_s"))
+    return c.select(key, (F.col("_i") + 1).cast("long").alias("rank"),
+                    F.col("_s.model").alias("model"), F.col("_s.c").alias("total_cost_usd_raw"))
 
 
 def named_tier_costs(conversations: DataFrame, catalog: DataFrame, tiers: DataFrame,

@@ -210,13 +210,17 @@ def savings_at_scale(scaled: DataFrame, target: int = 100000) -> DataFrame:
     """At ``target`` rows if simulated, else the largest size (P17): the
     cheapest and dearest result and the difference (C30).
 
-    One pass: the arg-min/arg-max per batch size is a partial + final
-    aggregate over the scaled rows; the batch size is then picked among the
+    The arg-min/arg-max runs on pre-aggregated rows: a hash aggregate per
+    (size, model, function, test) keeps only numeric extremes (partial
+    aggregation collapses the rows map-side), and the struct extremes per
+    size are taken over that small set. The size is then picked among the
     few aggregated rows (one per simulated size)."""
+    pre = scaled.groupBy("rows", "model", "function", "test").agg(
+        F.min("total_cost_e10").alias("_lo"), F.max("total_cost_e10").alias("_hi"))
     key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
-    g = scaled.groupBy("rows").agg(
-        F.min(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("lo"),
-        F.max(F.struct(F.col("total_cost_e10").alias("c"), *key)).alias("hi"))
+    g = pre.groupBy("rows").agg(
+        F.min(F.struct(F.col("_lo").alias("c"), *key)).alias("lo"),
+        F.max(F.struct(F.col("_hi").alias("c"), *key)).alias("hi"))
     w = Window.partitionBy(F.lit(0))
     pick = F.coalesce(F.max(F.when(F.col("rows") == target, F.col("rows"))).over(w),
                       F.max("rows").over(w))
@@ -227,12 +231,30 @@ def savings_at_scale(scaled: DataFrame, target: int = 100000) -> DataFrame:
                     money.e10_to_usd(F.col("hi.c") - F.col("lo.c")).alias("savings"))
 
 
-def compare_all(results: DataFrame) -> DataFrame:
-    """Counts of tests, successful runs, models and functions."""
+def result_groups(results: DataFrame) -> DataFrame:
+    """Results reduced to one row per (test, model, function): successful
+    runs, their cheapest cost and fastest latency and the latency sum. A hash
+    aggregate with partial aggregation; the per-result reports below (counts,
+    distinct counts, arg-mins) then read this small frame instead of every
+    result row."""
     ok = F.col("status") == "success"
-    return results.agg(
+    lat = (money.exact_sum(F.when(ok, F.col("latency_centi")))
+           if "latency_centi" in results.columns else F.sum(F.when(ok, F.col("latency"))))
+    return results.groupBy("test", "model", "function").agg(
+        F.count(F.when(ok, F.lit(1))).alias("n_ok"),
+        F.min(F.when(ok, F.col("cost"))).alias("min_cost"),
+        F.min(F.when(ok, F.col("latency"))).alias("min_latency"),
+        lat.alias("latency_sum"))
+
+
+def compare_all(results: DataFrame) -> DataFrame:
+    """Counts of tests, successful runs, models and functions (C28, A16),
+    with the distinct counts taken over the reduced result groups."""
+    g = result_groups(results)
+    ok = F.col("n_ok") > 0
+    return g.agg(
         F.countDistinct("test").alias("total_tests"),
-        F.count(F.when(ok, F.lit(1))).alias("total_runs"),
+        F.coalesce(F.sum("n_ok"), F.lit(0)).cast("long").alias("total_runs"),
         F.countDistinct(F.when(ok, F.col("model"))).alias("models_tested"),
         F.countDistinct(F.when(ok, F.col("function"))).alias("functions_used"))
 
@@ -244,18 +266,19 @@ def results_table(results: DataFrame) -> DataFrame:
 
 def winners(results: DataFrame) -> DataFrame:
     """Cheapest and fastest successful run (C29, T9); ties go to the first in
-    (model, function, test) order."""
-    s = successful(results)
+    (model, function, test) order. Arg-mins over the reduced result groups."""
+    g = result_groups(results).where(F.col("n_ok") > 0)
     key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
-    avg = (money.exact_sum("latency_centi").cast("double") / F.lit(100.0) / F.count(F.lit(1))
-           if "latency_centi" in s.columns else F.avg("latency"))
-    g = s.agg(F.min(F.struct(F.col("cost").alias("v"), *key)).alias("c"),
-              F.min(F.struct(F.col("latency").alias("v"), *key)).alias("l"),
-              avg.alias("avg_latency"), F.count(F.lit(1)).alias("runs"))
-    return g.select(F.col("c.m").alias("cheapest_model"), F.col("c.f").alias("cheapest_function"),
+    scale = 100.0 if "latency_centi" in results.columns else 1.0
+    a = g.agg(F.min(F.struct(F.col("min_cost").alias("v"), *key)).alias("c"),
+              F.min(F.struct(F.col("min_latency").alias("v"), *key)).alias("l"),
+              F.sum("latency_sum").alias("_lat"), F.sum("n_ok").alias("_n"))
+    return a.select(F.col("c.m").alias("cheapest_model"), F.col("c.f").alias("cheapest_function"),
                     F.col("c.v").alias("cheapest_cost"),
                     F.col("l.m").alias("fastest_model"), F.col("l.f").alias("fastest_function"),
-                    F.col("l.v").alias("fastest_latency"), "avg_latency", "runs")
+                    F.col("l.v").alias("fastest_latency"),
+                    (F.col("_lat").cast("double") / F.lit(scale) / F.col("_n")).alias("avg_latency"),
+                    F.col("_n").cast("long").alias("runs"))
 
 
 def prompt_vs_builtin(results: DataFrame, functions=BUILTIN_FUNCTIONS,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import LOG_DATE
+from ..operators.runs import result_groups
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -19,17 +20,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def results_summary(results: DataFrame) -> DataFrame:
     """The export summary as one row (S17): number of tests and results, the
-    cheapest and the fastest successful result. One aggregate over one scan;
-    the arg-mins are struct-mins restricted to successes (ties: model,
-    function, test order)."""
-    ok = F.col("status") == "success"
+    cheapest and the fastest successful result (ties: model, function, test
+    order). Reads the reduced result groups (one hash aggregate over the
+    results), so the distinct count and arg-mins never touch every row."""
+    g = result_groups(results)
+    ok = F.col("n_ok") > 0
     key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
-    g = results.agg(
+    a = g.agg(
         F.countDistinct("test").alias("tests"),
-        F.count(F.when(ok, F.lit(1))).alias("results"),
-        F.min(F.when(ok, F.struct(F.col("cost").alias("v"), *key))).alias("c"),
-        F.min(F.when(ok, F.struct(F.col("latency").alias("v"), *key))).alias("l"))
-    return g.select(
+        F.coalesce(F.sum("n_ok"), F.lit(0)).cast("long").alias("results"),
+        F.min(F.when(ok, F.struct(F.col("min_cost").alias("v"), *key))).alias("c"),
+        F.min(F.when(ok, F.struct(F.col("min_latency").alias("v"), *key))).alias("l"))
+    return a.select(
         "tests", "results",
         F.struct(F.col("c.m").alias("model"), F.col("c.v").alias("cost")).alias("cheapest"),
         F.struct(F.col("l.m").alias("model"), F.col("l.v").alias("latency")).alias("fastest"))
