@@ -28,7 +28,7 @@ def by_tier(catalog: DataFrame, tier: str) -> DataFrame:
 def allowed_models(catalog: DataFrame, allowed: DataFrame | list[str]) -> DataFrame:
     """Selected ∩ known (P14): a semi join against an allow-list."""
     if isinstance(allowed, DataFrame):
-        return catalog.join(dimension(allowed.select("model")), "model", "left_semi")
+        return catalog.join(dimension(allowed.select("model"), of=allowed), "model", "left_semi")
     return catalog.where(F.col("model").isin(list(allowed)))
 
 
@@ -75,7 +75,8 @@ def spend_by_catalog_attr(usage: DataFrame, qh: DataFrame, catalog: DataFrame, a
     if allowed is not None:
         j = j.where(F.col("model_name").isin(list(allowed)))
     c = dimension(catalog.select(F.col("model").alias("model_name"), "provider",
-                                   F.col("category").alias("tier"), "supports_vision", "available"))
+                                 F.col("category").alias("tier"), "supports_vision", "available"),
+                  of=catalog)
     e = j.join(c, "model_name", "left")
     return (e.groupBy("provider", "tier", "supports_vision", "available")
              .agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("total_tokens"),
@@ -103,7 +104,7 @@ def models_for_task(tasks: DataFrame, catalog: DataFrame, keywords: DataFrame,
     window. A task's model set is bounded by the catalog size.
     """
     t = tasks.select(F.col(task_col).alias("task")).where(F.col("task").isNotNull()).distinct()
-    kw = dimension(keywords.select("task_category", "keyword"))
+    kw = dimension(keywords.select("task_category", "keyword"), of=keywords)
     cat_small = catalog.select("model", "pos", "input_credits", "best_for")
     # (task, category) with unmatched tasks kept (category NULL)
     tc = t.join(kw, F.lower(F.col("task")).contains(F.col("keyword")), "left") \
@@ -115,7 +116,7 @@ def models_for_task(tasks: DataFrame, catalog: DataFrame, keywords: DataFrame,
         uc = cat_small.select("model", F.explode("best_for").alias("use_case"))
         mc = (uc.join(kw, F.lower(F.col("use_case")).contains(F.col("keyword")))
                 .select("model", "task_category").distinct())
-    tm = tc.join(dimension(mc), "task_category", "left")
+    tm = tc.join(dimension(mc, of=[catalog, keywords]), "task_category", "left")
     per_task = tm.groupBy("task").agg(F.collect_set("model").alias("_matched"))
     # the k cheapest models as one bounded array (fallback list, T4)
     cheap = cheapest_models(catalog, k).agg(
@@ -127,7 +128,7 @@ def models_for_task(tasks: DataFrame, catalog: DataFrame, keywords: DataFrame,
         F.when(fb, F.transform("_cheap", lambda c: c["model"])).otherwise(F.col("_matched"))
          .alias("_models"))
     r = (picked.select("task", "fallback", F.explode("_models").alias("model"))
-               .join(dimension(cat_small.select("model", "pos", "input_credits")), "model"))
+               .join(dimension(cat_small.select("model", "pos", "input_credits"), of=catalog), "model"))
     w = Window.partitionBy("task").orderBy("input_credits", "pos")
     return r.select("task", "model", "input_credits", "fallback",
                     F.row_number().over(w).cast("long").alias("rank"))

@@ -78,15 +78,19 @@ def model_label(col: str = "model_name", label: str = "Specialized Function") ->
 DIM_MAX_ROWS = 100_000
 
 
-def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS,
+              of: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """Broadcast hint for a dimension whose size is proven small.
 
-    Proof is either that the frame is a local relation (built on the driver,
-    e.g. the fixed catalog) or a bounded probe that reads at most
-    ``max_rows + 1`` rows. Beyond the bound no hint is given and Spark plans
-    a shuffled join (adaptive execution may still broadcast it at runtime).
+    Proof is either that the frame is derived only from local relations
+    (tables built on the driver, such as the fixed catalog; ``of`` names the
+    frames ``df`` filters, projects or combines, whose product bounds its
+    size) or a bounded probe that reads at most ``max_rows + 1`` rows of
+    ``df``. Beyond the bound no hint is given and Spark plans a shuffled
+    join (adaptive execution may still broadcast it at runtime).
     """
-    if df.isLocal() or df.limit(max_rows + 1).count() <= max_rows:
+    srcs = [df] if of is None else (of if isinstance(of, list) else [of])
+    if all(s.isLocal() for s in srcs) or df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 

@@ -23,25 +23,28 @@ _RATE_COLS = ["model", "pos", "in_centi", "out_centi"]
 
 
 def _rates(catalog: DataFrame) -> DataFrame:
-    return dimension(catalog.select(*_RATE_COLS))
+    return dimension(catalog.select(*_RATE_COLS), of=catalog)
 
 
-def rate_list(catalog: DataFrame, max_models: int = DIM_MAX_ROWS) -> DataFrame:
+def rate_list(catalog: DataFrame, max_models: int = DIM_MAX_ROWS,
+              of: DataFrame | None = None) -> DataFrame:
     """The catalog's rates as one row: ``_rates`` = array of
     struct(pos, model, in_centi, out_centi) in catalog order.
 
     The array lives in one task and is copied to every task, so the catalog
-    size is checked first (a local relation, or a bounded probe)."""
+    size is checked first: the catalog (or ``of``, the frame it filters) is
+    a local relation, or a bounded probe."""
     r = catalog.select("pos", "model", "in_centi", "out_centi")
-    if not r.isLocal() and r.limit(max_models + 1).count() > max_models:
+    src = catalog if of is None else of
+    if not src.isLocal() and r.limit(max_models + 1).count() > max_models:
         raise ValueError(f"price catalog has more than {max_models} models")
     return r.agg(F.sort_array(F.collect_list(F.struct("pos", "model", "in_centi", "out_centi")))
                  .alias("_rates"))
 
 
-def _with_rate_list(df: DataFrame, catalog: DataFrame) -> DataFrame:
+def _with_rate_list(df: DataFrame, catalog: DataFrame, of: DataFrame | None = None) -> DataFrame:
     # one row by construction (a global aggregate), size-checked in rate_list
-    return df.crossJoin(F.broadcast(rate_list(catalog)))
+    return df.crossJoin(F.broadcast(rate_list(catalog, of=of)))
 
 
 def _e8(in_tok: Column, out_tok: Column, in_rate: Column, out_rate: Column):
@@ -139,7 +142,7 @@ def cost_calculator(work: DataFrame, catalog: DataFrame, key: str = "work_id",
     costs = _model_costs(F.col("_in"), F.col("_out"), price,
                          lambda r, raw, usd: F.struct(usd.alias("usd"), raw.alias("raw"),
                                                       r["pos"].alias("pos"), r["model"].alias("model")))
-    c = _with_rate_list(w, cat).where(F.size("_rates") > 0).select(
+    c = _with_rate_list(w, cat, of=catalog).where(F.size("_rates") > 0).select(
         key, F.size("_rates").cast("long").alias("n_models"), costs.alias("_c"))
     lo, hi = F.array_min("_c"), F.array_max("_c")
     return c.select(key, "n_models",
@@ -261,7 +264,8 @@ def cheapest_k_per_request(conversations: DataFrame, catalog: DataFrame, k: int
 def named_tier_costs(conversations: DataFrame, catalog: DataFrame, tiers: DataFrame,
                      price: float = DEFAULT_CREDIT_PRICE, key: str = "conv_id") -> DataFrame:
     """Request-log cost on the models of each named tier ∩ catalog."""
-    members = dimension(tiers.join(dimension(catalog.select("model")), "model", "left_semi"))
+    members = dimension(tiers.join(dimension(catalog.select("model"), of=catalog), "model", "left_semi"),
+                        of=[tiers, catalog])
     per = estimate_request_cost(conversations, catalog, price, key)
     return per.join(members, "model", "inner").select("tier", *per.columns)
 
@@ -272,7 +276,7 @@ def function_cost(usage: DataFrame, rates: DataFrame, name_col: str = "function_
                   tokens_col: str = "tokens") -> DataFrame:
     """Per function: calls, tokens and the cost at the function's list rate
     (E25). Functions without a list rate keep NULL rate and cost."""
-    r = dimension(rates.select(F.col("name").alias(name_col), "credits_per_unit", "rate_centi"))
+    r = dimension(rates.select(F.col("name").alias(name_col), "credits_per_unit", "rate_centi"), of=rates)
     j = usage.select(name_col, tokens_col).join(r, name_col, "left")
     g = j.groupBy(name_col).agg(
         F.count(F.lit(1)).alias("calls"), F.sum(tokens_col).alias("tokens"),

@@ -43,9 +43,9 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
     broadcast rates of its own and of the cheap model, and emits 0, 1 or 2
     rule rows through ``explode`` (no second scan, no union of two plans)."""
     rates = dimension(catalog.select(F.col("model").alias("model_name"),
-                                       F.col("input_credits").alias("current_rate")))
+                                       F.col("input_credits").alias("current_rate")), of=catalog)
     cheap_rate = dimension(catalog.where(F.col("model") == cheap)
-                             .select(F.col("input_credits").alias("cheap_rate")))
+                             .select(F.col("input_credits").alias("cheap_rate")), of=catalog)
     j = g.join(rates, "model_name", "left").join(cheap_rate, F.lit(True), "left")
     is_premium = F.exists(F.array(*[F.lit(p) for p in premium]),
                           lambda p: F.col("model_name").contains(p))

@@ -53,7 +53,7 @@ def summarize_runs(results: DataFrame, catalog: DataFrame, price: float = 3.0,
         F.sum("output_tokens").alias("output_tokens"),
         t.alias("time_seconds"),
         F.left(F.min(response_col), F.lit(500)).alias("sample_output"))
-    c = dimension(catalog.select("model", "in_centi", "out_centi"))
+    c = dimension(catalog.select("model", "in_centi", "out_centi"), of=catalog)
     e8 = (F.col("input_tokens").cast(money.SUM_TYPE) * F.col("in_centi")
           + F.col("output_tokens").cast(money.SUM_TYPE) * F.col("out_centi"))
     e10 = e8 * F.lit(money.price_centi(price))

@@ -114,6 +114,21 @@ NAMED_TIERS = [
 DEFAULT_CREDIT_PRICE = 3.0
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small fixed table as a local relation (built from pandas through
+    Arrow), so its size is known without running a job and filters or
+    projections on it fold on the driver. Falls back to a plain
+    ``createDataFrame`` when Arrow conversion is disabled."""
+    import pandas as pd
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    pdf = pd.DataFrame.from_records(rows, columns=st.fieldNames()) if rows else \
+        pd.DataFrame({n: [] for n in st.fieldNames()})
+    try:
+        return spark.createDataFrame(pdf, st)
+    except Exception:  # noqa: BLE001 - arrow disabled or unavailable
+        return spark.createDataFrame(rows, st)
+
+
 def _centi(s: str) -> int:
     """Exact integer hundredths of a decimal string ('0.29' -> 29)."""
     whole, _, frac = s.partition(".")
@@ -149,7 +164,7 @@ def catalog_rows() -> list[tuple]:
 def load_catalog(spark: SparkSession, allowed: list[str] | None = None) -> DataFrame:
     """The model price catalog as a dimension (S9), optionally restricted to an
     allow-list (P14). Always small: callers may ``F.broadcast`` it."""
-    df = spark.createDataFrame(catalog_rows(), CATALOG_SCHEMA)
+    df = local_frame(spark, catalog_rows(), CATALOG_SCHEMA)
     if allowed is not None:
         df = df.where(F.col("model").isin(list(allowed)))
     return df
@@ -173,18 +188,18 @@ def rate_rows(kind: str | None = None) -> list[tuple]:
 
 def load_rates(spark: SparkSession, kind: str | None = None) -> DataFrame:
     """Function / embedding / service rate lists as one dimension."""
-    return spark.createDataFrame(rate_rows(kind), RATES_SCHEMA)
+    return local_frame(spark, rate_rows(kind), RATES_SCHEMA)
 
 
 def load_named_tiers(spark: SparkSession) -> DataFrame:
     """Named model tiers (P15) as (tier, model) rows."""
     rows = [(t, m) for t, ms in NAMED_TIERS for m in ms]
-    return spark.createDataFrame(rows, "tier string, model string")
+    return local_frame(spark, rows, "tier string, model string")
 
 
 def load_task_keywords(spark: SparkSession) -> DataFrame:
     rows = [(c, k) for c, ks in TASK_KEYWORDS for k in ks]
-    return spark.createDataFrame(rows, "task_category string, keyword string")
+    return local_frame(spark, rows, "task_category string, keyword string")
 
 
 # --- SQL text of the same fixed values (for oracle queries and SQL users) ---

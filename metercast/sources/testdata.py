@@ -231,7 +231,8 @@ class TestData:
             in_tok.alias("input_tokens"), out_tok.alias("output_tokens"),
             lat.alias("latency_centi"),
             F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"))
-        c = dimension(cat.load_catalog(self.spark).select("model", "in_centi", "out_centi"))
+        full = cat.load_catalog(self.spark)
+        c = dimension(full.select("model", "in_centi", "out_centi"), of=full)
         e8 = F.col("input_tokens") * F.col("in_centi") + F.col("output_tokens") * F.col("out_centi")
         e10 = F.when(F.col("status") == "success", e8 * F.lit(money.price_centi(price))).otherwise(F.lit(0).cast("long"))
         return (base.join(c, "model", "inner")
@@ -254,4 +255,5 @@ class TestData:
                 ("scaled", "monthly", 300000.0, True),
                 ("disabled", "daily", 1.0, False), ("disabled", "weekly", 5.0, False),
                 ("disabled", "monthly", 20.0, False)]
-        return self.spark.createDataFrame(rows, "profile string, period string, `limit` double, enabled boolean")
+        return cat.local_frame(self.spark, rows,
+                               "profile string, period string, `limit` double, enabled boolean")
