@@ -883,3 +883,13 @@ SELECT CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) AS DECIMAL(38,10)),
 FROM o""")
 def q_opportunity_savings_total(spark, sf_dir):
     return O.total_savings(q_opportunities(spark, sf_dir))
+
+
+# --- C1 cost record per logged result row ----------------------------------------------
+
+@register("result_cost_records", _RES + f"""
+SELECT test, function, model, input_tokens, output_tokens, {_cost9('input_tokens', 'output_tokens')}
+FROM results JOIN cat USING (model)""")
+def q_result_cost_records(spark, sf_dir):
+    r = td(spark, sf_dir).results().select("test", "function", "model", "input_tokens", "output_tokens")
+    return C.with_cost(r, CAT.load_catalog(spark), strict=True)
