@@ -57,17 +57,41 @@ def get_session(master: str | None = None, app: str = "metercast",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is. Only when the
-    setting is absent (local tests) a private scratch folder is created.
+    A cluster names a shared folder there; it is used as is. Only a local
+    session (tests, local runs) without the setting gets a private scratch
+    folder; on a cluster a missing setting is an error, because a
+    machine-local folder would not survive the loss of that machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if fallback is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder "
+                               "(HDFS / object store) for checkpoints")
         d = fallback or tempfile.mkdtemp(prefix="metercast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def tune_for_input(spark: SparkSession, input_bytes: int, split_bytes: int = 256 << 20,
+                   shuffle_bytes: int = 128 << 20, min_partitions: int = 200,
+                   max_partitions: int = 200_000) -> int:
+    """Size scan splits and the initial shuffle partition count for an input
+    of ``input_bytes`` (e.g. 100 TB on a 1000-executor cluster).
+
+    Scans read ``split_bytes`` per task (``spark.sql.files.maxPartitionBytes``);
+    shuffles start with about one partition per ``shuffle_bytes`` of input
+    (aggregations shrink data, so this over-provisions) and adaptive
+    execution coalesces small partitions to its advisory size and splits
+    skewed ones. Returns the shuffle partition count set.
+    """
+    n = max(min_partitions, min(max_partitions, -(-int(input_bytes) // int(shuffle_bytes))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(split_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(shuffle_bytes)))
+    return n
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

@@ -106,3 +106,17 @@ def test_summary_json_and_csv_sinks(spark):
     SK.write_csv(res, csv)
     back = spark.read.option("header", True).csv(csv)
     assert back.count() == 4 and back.columns == res.columns
+
+
+def test_tune_for_input_bounds(spark):
+    from metercast.session import tune_for_input
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+                                          "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        assert tune_for_input(spark, 100 * 10**12) == 200_000      # 100 TB / 128 MiB is capped
+        assert tune_for_input(spark, 10**12) == 7451               # 1 TB / 128 MiB, rounded up
+        assert tune_for_input(spark, 10**6) == 200
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
