@@ -26,11 +26,8 @@ DEFAULT_WATERMARK = "3 hours"
 PERIOD_WINDOWS = {"daily": ("1 day", None), "weekly": ("7 days", "1 day")}
 
 
-def windowed_spend(metering: DataFrame, period: str = "daily",
-                   service_type: str | None = "AI_SERVICES",
-                   watermark: str | None = DEFAULT_WATERMARK, time_col: str = "start_time") -> DataFrame:
-    """Credits per event-time window of ``period`` (exact sum, then double).
-    ``watermark=None`` leaves the frame without one (batch use)."""
+def _spend_e8(metering: DataFrame, period: str, service_type: str | None,
+              watermark: str | None, time_col: str) -> DataFrame:
     duration, slide = PERIOD_WINDOWS[period]
     src_type = metering.schema[time_col].dataType
     # event time must be TIMESTAMP for a watermark; an NTZ log is read as
@@ -44,8 +41,45 @@ def windowed_spend(metering: DataFrame, period: str = "daily",
     g = m.groupBy(win.alias("w")).agg(money.exact_sum(credit_e8(m, "credits_used")).alias("_e8"))
     return g.select(F.lit(period).alias("period"),
                     F.col("w.start").cast(src_type).alias("window_start"),
-                    F.col("w.end").cast(src_type).alias("window_end"),
-                    money.e8_to_credits("_e8").alias("used"))
+                    F.col("w.end").cast(src_type).alias("window_end"), "_e8")
+
+
+def _used(spend_e8: DataFrame) -> DataFrame:
+    return spend_e8.select("period", "window_start", "window_end",
+                           money.e8_to_credits("_e8").alias("used"))
+
+
+def windowed_spend(metering: DataFrame, period: str = "daily",
+                   service_type: str | None = "AI_SERVICES",
+                   watermark: str | None = DEFAULT_WATERMARK, time_col: str = "start_time") -> DataFrame:
+    """Credits per event-time window of ``period`` (exact sum, then double).
+    ``watermark=None`` leaves the frame without one (batch use)."""
+    return _used(_spend_e8(metering, period, service_type, watermark, time_col))
+
+
+def _batch_spend(metering: DataFrame, periods, service_type: str | None,
+                 time_col: str) -> DataFrame:
+    """All periods from one scan (batch only): the daily windows are summed
+    once; a 7-day window sliding by a day is the exact integer sum of its
+    seven day-aligned daily windows, taken over the small daily table."""
+    daily = _spend_e8(metering, "daily", service_type, None, time_col)
+    out = []
+    if "daily" in periods:
+        out.append(daily)
+    if "weekly" in periods:
+        k = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("_k")
+        d = daily.select("window_start", "_e8", k)
+        start = F.col("window_start") - F.make_dt_interval(F.col("_k"))
+        weekly = (d.groupBy(start.alias("window_start"))
+                   .agg(F.sum("_e8").alias("_e8"))
+                   .select(F.lit("weekly").alias("period"), "window_start",
+                           (F.col("window_start") + F.make_dt_interval(F.lit(7))).alias("window_end"),
+                           "_e8"))
+        out.append(weekly)
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return _used(res)
 
 
 def check_limits(spend: DataFrame, limits: DataFrame, price: float = 3.0) -> DataFrame:
@@ -64,14 +98,23 @@ def check_limits(spend: DataFrame, limits: DataFrame, price: float = 3.0) -> Dat
 
 def budget_windows(metering: DataFrame, limits: DataFrame, periods=("daily", "weekly"),
                    service_type: str | None = "AI_SERVICES", price: float = 3.0,
-                   watermark: str | None = DEFAULT_WATERMARK) -> DataFrame:
-    """All windowed periods checked against their limits (batch or stream)."""
+                   watermark: str | None = DEFAULT_WATERMARK,
+                   time_col: str = "start_time") -> DataFrame:
+    """All windowed periods checked against their limits. A stream gets one
+    watermarked window aggregation per period; a batch frame is scanned once
+    (the weekly windows are derived from the daily ones)."""
+    unknown = [p for p in periods if p not in PERIOD_WINDOWS]
+    if unknown:
+        raise KeyError(f"no window for periods {unknown}")
     limits = dimension(limits)
-    out = None
-    for p in periods:
-        part = check_limits(windowed_spend(metering, p, service_type, watermark), limits, price)
-        out = part if out is None else out.unionByName(part)
-    return out
+    if metering.isStreaming:
+        spend = None
+        for p in periods:
+            part = windowed_spend(metering, p, service_type, watermark, time_col)
+            spend = part if spend is None else spend.unionByName(part)
+    else:
+        spend = _batch_spend(metering, list(periods), service_type, time_col)
+    return check_limits(spend, limits, price)
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
