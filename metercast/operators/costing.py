@@ -190,6 +190,37 @@ def estimate_text_cost(df: DataFrame, text_col: str, catalog: DataFrame, out_tok
                     "total_credits_raw", "total_cost_usd_raw", "total_cost_usd")
 
 
+# The test types of the test wizard.
+TEST_TYPES = [
+    "COMPLETE - Custom Prompt",
+    "COMPLETE - Summarize",
+    "COMPLETE - Classify",
+    "COMPLETE - Extract",
+    "SENTIMENT - Built-in",
+    "SUMMARIZE - Built-in",
+    "Compare: COMPLETE vs SENTIMENT",
+    "Compare: COMPLETE vs SUMMARIZE",
+]
+
+
+def estimate_by_test_type(df: DataFrame, text_col: str, catalog: DataFrame,
+                          test_types=TEST_TYPES, price: float = DEFAULT_CREDIT_PRICE) -> DataFrame:
+    """Cost of running each test type over the whole text column on every
+    model (C19 with E4): input tokens of the text only (Q3), expected output
+    tokens per row by the test type's label (case-sensitive, E4). The column
+    is aggregated once; the test types fan out that one row."""
+    g = df.where(F.col(text_col).isNotNull()).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(tokens.est_input_tokens(F.col(text_col))).alias("input_tokens"))
+    t = g.where(F.col("rows") > 0).select(
+        "rows", "input_tokens", F.explode(F.array(*[F.lit(x) for x in test_types])).alias("test_type"))
+    t = t.select("test_type", "rows", "input_tokens",
+                 (F.col("rows") * tokens.expected_output_tokens(F.col("test_type"))).alias("output_tokens"))
+    c = compare_models(t, catalog, price=price)
+    return c.select("test_type", "model", "pos", "rows", "input_tokens", "output_tokens",
+                    "total_credits_raw", "total_cost_usd_raw", "total_cost_usd")
+
+
 def request_tokens(conversations: DataFrame, key: str = "conv_id", role_col: str = "role",
                    text_col: str = "text", output_roles=("assistant",)) -> DataFrame:
     """Per request (conversation): input tokens of the prompt turns (E1 per

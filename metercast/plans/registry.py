@@ -893,3 +893,22 @@ FROM results JOIN cat USING (model)""")
 def q_result_cost_records(spark, sf_dir):
     r = td(spark, sf_dir).results().select("test", "function", "model", "input_tokens", "output_tokens")
     return C.with_cost(r, CAT.load_catalog(spark), strict=True)
+
+
+# --- C19 with E4: corpus cost per test type ---------------------------------------------
+
+_TT = ", ".join("('" + t + "')" for t in C.TEST_TYPES)
+
+
+@register("corpus_cost_by_test_type", X.with_(X.CAT, f"""g AS (
+  SELECT COUNT(*) AS rows, CAST(SUM({_IN_TOK}) AS BIGINT) AS input_tokens
+  FROM documents WHERE text IS NOT NULL)""", f"""t AS (
+  SELECT test_type, rows, input_tokens,
+         rows * CASE WHEN contains(test_type, 'Sentiment') OR contains(test_type, 'Classify') THEN 10
+                     WHEN contains(test_type, 'Summarize') THEN 100 ELSE 150 END AS output_tokens
+  FROM g CROSS JOIN (VALUES {_TT}) v(test_type) WHERE rows > 0)""") + f"""
+SELECT test_type, model, pos, rows, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens,
+       {_cost_sql(_E8)}, {_ROUND2} AS total_cost_usd
+FROM t CROSS JOIN cat""")
+def q_corpus_cost_by_test_type(spark, sf_dir):
+    return C.estimate_by_test_type(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark))

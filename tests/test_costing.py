@@ -105,3 +105,16 @@ def test_cost_linear_in_tokens(spark, catalog):
                                "model string, input_tokens long, output_tokens long")
     a, b = [r.total_credits_raw for r in C.with_cost(df, catalog).orderBy("input_tokens").collect()]
     assert b == pytest.approx(2 * a)
+
+
+def test_estimate_by_test_type_output_tokens(spark, catalog):
+    from metercast.operators import costing as C
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "abcd"), (3, None)], "doc_id long, text string")
+    out = C.estimate_by_test_type(docs, "text", catalog).where("model = 'llama3.1-8b'").collect()
+    per = {r.test_type: (r.rows, r.input_tokens, r.output_tokens) for r in out}
+    # labels match case-sensitively: only the COMPLETE variants name Summarize / Classify
+    assert per == {
+        "COMPLETE - Custom Prompt": (2, 3, 300), "COMPLETE - Summarize": (2, 3, 200),
+        "COMPLETE - Classify": (2, 3, 20), "COMPLETE - Extract": (2, 3, 300),
+        "SENTIMENT - Built-in": (2, 3, 300), "SUMMARIZE - Built-in": (2, 3, 300),
+        "Compare: COMPLETE vs SENTIMENT": (2, 3, 300), "Compare: COMPLETE vs SUMMARIZE": (2, 3, 300)}
