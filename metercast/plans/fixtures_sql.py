@@ -118,3 +118,48 @@ RUNS = """runs AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# -- look-backs and the usage / history join of the oracle queries -------------
+
+def lookback(days) -> str:
+    return f"TIMESTAMP '{td.AS_OF_ORDERS}' - INTERVAL {days} DAY"
+
+
+def ev_lookback(days) -> str:
+    return f"TIMESTAMP '{td.AS_OF_EVENTS}' - INTERVAL {days} DAY"
+
+
+def joined(days: int, cols: str = "") -> str:
+    """``FROM usage JOIN`` the query history of the look-back window."""
+    return (f"FROM usage u JOIN (SELECT query_id{cols} FROM qh WHERE start_time >= "
+            f"{lookback(days)}) q USING (query_id)")
+
+
+# -- token estimates and cost expressions -------------------------------------
+
+TOK_SQL = "greatest(1, length(text) // 4)"
+IN_TOK_SQL = "CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END"
+E8_SQL = "(input_tokens * in_centi + output_tokens * out_centi)"
+ROUND2_SQL = f"CAST(round(CAST(CAST({E8_SQL} * 300 AS DOUBLE) / 1e10 AS DECIMAL(38,10)), 2) AS DOUBLE)"
+
+
+def cost_sql(e8: str) -> str:
+    """Raw credits and USD (at $3) of an exact 1e-8 credit expression."""
+    return (f"CAST({e8} AS DOUBLE) / 1e8 AS total_credits_raw, "
+            f"CAST(({e8}) * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw")
+
+
+def cost9(in_: str, out_: str) -> str:
+    """The 9-field cost record (rounded credits / USD plus raw twins)."""
+    e = f"({in_} * in_centi + {out_} * out_centi)"
+    r = "CAST(round(CAST({x} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
+    return ", ".join([
+        r.format(x=f"CAST({in_} * in_centi AS DOUBLE) / 1e8", d=4) + " AS input_credits",
+        r.format(x=f"CAST({out_} * out_centi AS DOUBLE) / 1e8", d=4) + " AS output_credits",
+        r.format(x=f"CAST({e} AS DOUBLE) / 1e8", d=4) + " AS total_credits",
+        r.format(x=f"CAST({in_} * in_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS input_cost_usd",
+        r.format(x=f"CAST({out_} * out_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS output_cost_usd",
+        r.format(x=f"CAST({e} * 300 AS DOUBLE) / 1e10", d=2) + " AS total_cost_usd",
+        f"CAST({e} AS DOUBLE) / 1e8 AS total_credits_raw",
+        f"CAST({e} * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw"])

@@ -11,9 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import usage as U
-from ..sources.testdata import AS_OF_EVENTS, AS_OF_ORDERS, TestData
-from . import fixtures_sql as X
+from ..sources.testdata import TestData
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,883 +30,5 @@ def td(spark: SparkSession, sf_dir: str) -> TestData:
     return TestData(spark, sf_dir)
 
 
-LOOKBACK = f"TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL {{d}} DAY"
-EV_LOOKBACK = f"TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL {{d}} DAY"
-
-
-def _joined(days: int, cols: str = "") -> str:
-    return (f"FROM usage u JOIN (SELECT query_id{cols} FROM qh WHERE start_time >= "
-            f"{LOOKBACK.format(d=days)}) q USING (query_id)")
-
-
-# --- C9 and its roll-ups (A3-A6) ------------------------------------------------
-
-MA_DAYS = 90
-
-
-@register("model_analysis", X.with_(X.USAGE, X.QH) + f"""
-SELECT COALESCE(NULLIF(model_name, ''), 'Specialized Function') AS model_name, function_name,
-       COUNT(*) AS invocations, SUM(tokens) AS total_tokens,
-       {X.SUM_CREDITS} AS total_credits,
-       CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS avg_tokens_per_call,
-       ({X.SUM_CREDITS}) / COUNT(*) AS avg_credits_per_call
-{_joined(MA_DAYS)}
-GROUP BY 1, 2""")
-def q_model_analysis(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.model_analysis(t.usage(), t.query_history(users=False), AS_OF_ORDERS, MA_DAYS)
-
-
-_GROUPS = X.with_(X.USAGE, X.QH, f"""g AS (
-SELECT COALESCE(NULLIF(model_name, ''), 'Specialized Function') AS model_name, function_name,
-       COUNT(*) AS invocations, SUM(tokens) AS total_tokens, SUM(tokens * rate_centi) AS e8
-{_joined(MA_DAYS)} GROUP BY 1, 2)""")
-
-
-def _groups(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.model_function_groups(t.usage(), t.query_history(users=False), AS_OF_ORDERS, MA_DAYS)
-
-
-@register("model_rollup", _GROUPS + """
-SELECT model_name, CAST(SUM(invocations) AS BIGINT) AS invocations,
-       CAST(SUM(total_tokens) AS BIGINT) AS total_tokens,
-       CAST(SUM(e8) AS DOUBLE) / 1e8 AS total_credits
-FROM g GROUP BY model_name""")
-def q_model_rollup(spark, sf_dir):
-    return U.rollup(_groups(spark, sf_dir), ["model_name"])
-
-
-@register("function_rollup", _GROUPS + """
-SELECT function_name, CAST(SUM(invocations) AS BIGINT) AS invocations,
-       CAST(SUM(total_tokens) AS BIGINT) AS total_tokens,
-       CAST(SUM(e8) AS DOUBLE) / 1e8 AS total_credits
-FROM g GROUP BY function_name""")
-def q_function_rollup(spark, sf_dir):
-    return U.rollup(_groups(spark, sf_dir), ["function_name"])
-
-
-@register("usage_totals", _GROUPS + """
-SELECT CAST(COALESCE(SUM(invocations), 0) AS BIGINT) AS total_invocations,
-       CAST(COALESCE(SUM(total_tokens), 0) AS BIGINT) AS total_tokens,
-       COALESCE(CAST(SUM(e8) AS DOUBLE) / 1e8, 0.0) AS total_credits,
-       CASE WHEN SUM(invocations) > 0
-            THEN CAST(SUM(total_tokens) AS DOUBLE) / SUM(invocations) ELSE 0.0 END AS avg_tokens_per_call
-FROM g""")
-def q_usage_totals(spark, sf_dir):
-    return U.rollup(_groups(spark, sf_dir), [])
-
-
-# --- C15 / C16 / C17 / S4 -----------------------------------------------------
-
-USER_DAYS = 90
-
-
-@register("top_expensive_queries", X.with_(X.USAGE, X.QH) + f"""
-SELECT query_id, left(query_text, 200) AS query_text, start_time,
-       execution_time / 1000 AS execution_seconds, function_name, model_name, tokens,
-       {X.TOKEN_CREDITS} AS token_credits, user_name, warehouse_name, role_name
-{_joined(7, ', query_text, start_time, execution_time, user_name, warehouse_name, role_name')}
-ORDER BY token_credits DESC NULLS LAST, query_id, query_text, start_time, execution_seconds,
-         function_name, model_name, tokens, user_name, warehouse_name, role_name
-LIMIT 50""")
-def q_top_expensive_queries(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.top_expensive_queries(t.usage(), t.query_history(), AS_OF_ORDERS, 7, 50)
-
-
-@register("usage_by_user", X.with_(X.USAGE, X.QH) + f"""
-SELECT user_name, model_name, COUNT(*) AS query_count, SUM(tokens) AS total_tokens,
-       {X.SUM_CREDITS} AS total_credits
-{_joined(USER_DAYS, ', user_name')}
-GROUP BY user_name, model_name""")
-def q_usage_by_user(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.usage_by_user(t.usage(), t.query_history(), AS_OF_ORDERS, USER_DAYS)
-
-
-@register("usage_by_function", X.with_(X.USAGE, X.QH) + f"""
-SELECT function_name, model_name, COUNT(*) AS invocation_count, SUM(tokens) AS total_tokens,
-       {X.SUM_CREDITS} AS total_credits,
-       CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS avg_tokens_per_call
-{_joined(USER_DAYS)}
-GROUP BY function_name, model_name""")
-def q_usage_by_function(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.usage_by_function(t.usage(), t.query_history(users=False), AS_OF_ORDERS, USER_DAYS)
-
-
-@register("top_query_usage", X.with_(X.USAGE) + f"""
-SELECT query_id, function_name, model_name, tokens, {X.TOKEN_CREDITS} AS token_credits
-FROM usage
-ORDER BY token_credits DESC NULLS LAST, query_id, function_name, model_name, tokens
-LIMIT 1000""")
-def q_top_query_usage(spark, sf_dir):
-    return U.top_query_usage(td(spark, sf_dir).usage(), 1000)
-
-
-@register("efficiency_top10", X.with_(X.USAGE, X.QH) + f"""
-SELECT model_name, function_name, call_count, total_tokens, total_credits,
-       total_tokens / CASE WHEN total_credits = 0 THEN 1.0 ELSE total_credits END AS efficiency
-FROM (SELECT COALESCE(NULLIF(model_name, ''), 'Specialized') AS model_name, function_name,
-             COUNT(*) AS call_count, SUM(tokens) AS total_tokens, {X.SUM_CREDITS} AS total_credits
-      {_joined(MA_DAYS)} GROUP BY 1, 2) g
-WHERE total_credits > 0.001
-ORDER BY total_credits DESC, model_name, function_name
-LIMIT 10""")
-def q_efficiency_top10(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return U.efficiency(t.usage(), t.query_history(users=False), AS_OF_ORDERS, MA_DAYS, 10)
-
-
-# --- C7 / C32 over metering ---------------------------------------------------------
-
-@register("daily_usage", X.with_(X.METERING) + f"""
-SELECT CAST(start_time AS DATE) AS usage_date, service_type, CAST(SUM(e8) AS DOUBLE) / 1e8 AS credits
-FROM metering
-WHERE start_time >= {EV_LOOKBACK.format(d=30)} AND service_type = 'AI_SERVICES'
-GROUP BY 1, 2""")
-def q_daily_usage(spark, sf_dir):
-    return U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30)
-
-
-@register("usage_overview", X.with_(X.METERING) + f"""
-SELECT CAST(e8 AS DOUBLE) / 1e8 AS total_credits,
-       CAST(e8 * 300 AS DOUBLE) / 1e10 AS total_cost,
-       CAST(e8 AS DOUBLE) / 1e8 / 30.0 AS avg_daily_credits,
-       CAST(e8 AS DOUBLE) / 1e8 / 30.0 * 30.0 AS projected_monthly_credits
-FROM (SELECT COALESCE(SUM(e8), 0) AS e8 FROM metering
-      WHERE start_time >= {EV_LOOKBACK.format(d=30)} AND service_type = 'AI_SERVICES') t""")
-def q_usage_overview(spark, sf_dir):
-    return U.usage_overview(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, 3.0)
-
-
-@register("daily_service_usage", X.with_(X.METERING, X.METERING_DAILY) + f"""
-SELECT usage_date, service_type, credits_used, credits_used_compute, credits_used_cloud_services
-FROM metering_daily
-WHERE service_type = 'AI_SERVICES' AND usage_date >= DATE '{AS_OF_EVENTS[:10]}' - INTERVAL 14 DAY""")
-def q_daily_service_usage(spark, sf_dir):
-    return U.daily_service_usage(td(spark, sf_dir).metering_daily(), AS_OF_EVENTS, 14)
-
-
-@register("hourly_function_usage", X.with_(X.USAGE_HOURLY) + f"""
-SELECT start_time, end_time, function_name, model_name, warehouse_id, token_credits, tokens
-FROM usage_hourly WHERE start_time >= {EV_LOOKBACK.format(d=7)}""")
-def q_hourly_function_usage(spark, sf_dir):
-    return U.hourly_function_usage(td(spark, sf_dir).usage_hourly(), AS_OF_EVENTS, 7)
-
-
-@register("analyst_usage", X.with_(X.service_sql("analyst")) + f"""
-SELECT start_time, CAST(e8 AS DOUBLE) / 1e8 AS credits
-FROM analyst WHERE start_time >= {EV_LOOKBACK.format(d=30)}""")
-def q_analyst_usage(spark, sf_dir):
-    a = td(spark, sf_dir).service("analyst")
-    return U.analyst_usage(a, AS_OF_EVENTS, 30).drop("credits_e8")
-
-
-@register("search_usage", X.with_(X.SEARCH_DAILY) + f"""
-SELECT * FROM search_daily WHERE usage_date >= DATE '{AS_OF_EVENTS[:10]}' - INTERVAL 30 DAY""")
-def q_search_usage(spark, sf_dir):
-    return U.search_usage(td(spark, sf_dir).search_daily(), AS_OF_EVENTS, 30)
-
-
-# --- C8 forecast ------------------------------------------------------------------
-
-from ..operators import budget as B  # noqa: E402
-from ..operators import forecast as FC  # noqa: E402
-from ..operators import optimize as O  # noqa: E402
-from ..operators import reconcile as R  # noqa: E402
-from ..sources import catalog as CAT  # noqa: E402
-
-
-def _forecast_sql(daily_cte: str, keys: str) -> str:
-    k = f"{keys}, " if keys else ""
-    grp = f"GROUP BY {keys}" if keys else ""
-    join = f"JOIN s USING ({keys})" if keys else "CROSS JOIN s"
-    return X.with_(X.METERING, daily_cte, f"""s AS (
-  SELECT {k}COUNT(*) AS n, arg_min(credits, usage_date) AS first_v,
-         arg_max(credits, usage_date) AS last_v, max(usage_date) AS last_date
-  FROM d {grp} HAVING COUNT(*) > 1)""") + f"""
-SELECT {k}usage_date, CAST(credits AS DOUBLE) AS credits, 'Actual' AS type FROM d {join.replace('JOIN s', 'SEMI JOIN s') if keys else 'WHERE EXISTS (SELECT 1 FROM s)'}
-UNION ALL
-SELECT {k}CAST(last_date + CAST(i + 1 AS INTEGER) AS DATE) AS usage_date,
-       greatest(last_v + ((last_v - first_v) / CAST(n - 1 AS DOUBLE)) * CAST(i AS DOUBLE), 0.0) AS credits,
-       'Forecast' AS type
-FROM s CROSS JOIN range(0, 30) t(i)"""
-
-
-@register("forecast_30d", _forecast_sql(f"""d AS (
-  SELECT CAST(start_time AS DATE) AS usage_date, CAST(SUM(e8) AS DOUBLE) / 1e8 AS credits
-  FROM metering WHERE start_time >= {EV_LOOKBACK.format(d=30)} AND service_type = 'AI_SERVICES'
-  GROUP BY 1)""", ""))
-def q_forecast_30d(spark, sf_dir):
-    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, ordered=False)
-    return FC.forecast(FC.daily_totals(daily), horizon=30)
-
-
-@register("forecast_by_service", _forecast_sql(f"""d AS (
-  SELECT service_type, CAST(start_time AS DATE) AS usage_date, CAST(SUM(e8) AS DOUBLE) / 1e8 AS credits
-  FROM metering WHERE start_time >= {EV_LOOKBACK.format(d=30)}
-  GROUP BY 1, 2)""", "service_type"))
-def q_forecast_by_service(spark, sf_dir):
-    daily = U.daily_usage(td(spark, sf_dir).metering(), AS_OF_EVENTS, 30, service_type=None,
-                          ordered=False)
-    return FC.forecast(daily, keys=["service_type"], horizon=30)
-
-
-# --- C13 / C14 budget ----------------------------------------------------------------
-
-_LIMITS_SQL = """limits AS (SELECT * FROM (VALUES
-  ('default', 'daily', 10.0::DOUBLE, TRUE), ('default', 'weekly', 50.0::DOUBLE, TRUE),
-  ('default', 'monthly', 200.0::DOUBLE, TRUE),
-  ('scaled', 'daily', 20000.0::DOUBLE, TRUE), ('scaled', 'weekly', 100000.0::DOUBLE, TRUE),
-  ('scaled', 'monthly', 300000.0::DOUBLE, TRUE),
-  ('disabled', 'daily', 1.0::DOUBLE, FALSE), ('disabled', 'weekly', 5.0::DOUBLE, FALSE),
-  ('disabled', 'monthly', 20.0::DOUBLE, FALSE)) v(profile, period, "limit", enabled))"""
-
-_NOW = f"TIMESTAMP '{AS_OF_EVENTS}'"
-_BUDGET = X.with_(X.METERING, _LIMITS_SQL, f"""u AS (
-  SELECT SUM(CASE WHEN CAST(start_time AS DATE) = DATE '{AS_OF_EVENTS[:10]}' THEN e8 ELSE 0 END) AS d,
-         SUM(CASE WHEN start_time >= {_NOW} - INTERVAL 7 DAY THEN e8 ELSE 0 END) AS w,
-         SUM(CASE WHEN start_time >= date_trunc('month', {_NOW}) THEN e8 ELSE 0 END) AS m
-  FROM metering WHERE service_type = 'AI_SERVICES'),
-p AS (SELECT 'daily' AS period, COALESCE(CAST(d AS DOUBLE) / 1e8, 0.0) AS used FROM u
-      UNION ALL SELECT 'weekly', COALESCE(CAST(w AS DOUBLE) / 1e8, 0.0) FROM u
-      UNION ALL SELECT 'monthly', COALESCE(CAST(m AS DOUBLE) / 1e8, 0.0) FROM u),
-st AS (
-  SELECT profile, period, "limit", enabled, COALESCE(used, 0.0) AS used,
-         COALESCE(used, 0.0) * 3.0 AS used_usd,
-         CASE WHEN enabled AND "limit" > 0 THEN COALESCE(used, 0.0) / "limit" * 100.0 ELSE 0.0 END AS pct
-  FROM limits LEFT JOIN p USING (period))""")
-
-
-@register("budget_status", _BUDGET + """
-SELECT *, CASE WHEN pct < 80.0 THEN 'green' WHEN pct < 100.0 THEN 'yellow' ELSE 'red' END AS light
-FROM st""")
-def q_budget_status(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return B.budget_status(t.metering(), t.limits(), AS_OF_EVENTS)
-
-
-@register("active_alerts", _BUDGET + """
-SELECT *, CASE WHEN pct < 80.0 THEN 'green' WHEN pct < 100.0 THEN 'yellow' ELSE 'red' END AS light
-FROM st WHERE enabled AND used > "limit" """)
-def q_active_alerts(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return B.active_alerts(B.budget_status(t.metering(), t.limits(), AS_OF_EVENTS))
-
-
-# --- C10 reconciliation ------------------------------------------------------------------
-
-def _sources(t: TestData) -> list:
-    def functions():
-        return t.fn_usage().join(t.fn_history(), "query_id", "inner")
-    return [
-        R.SourceSpec("Cortex Functions", functions, "token_credits",
-                     where=lambda df: df.function_name != "AI_EXTRACT"),
-        R.SourceSpec("Cortex Analyst", lambda: t.service("analyst"), "credits"),
-        R.SourceSpec("Document Processing", lambda: t.service("docproc"), "credits_used"),
-        R.SourceSpec("Cortex Search", lambda: t.service("search"), "credits"),
-        R.SourceSpec("Fine Tuning", lambda: t.service("finetune"), "token_credits"),
-    ]
-
-
-_EV30 = EV_LOOKBACK.format(d=30)
-_RECON = X.with_(X.METERING, X.FN_USAGE, X.service_sql("analyst"), X.service_sql("docproc"),
-                 X.service_sql("search"), X.service_sql("finetune"), f"""s AS (
-  SELECT 'Cortex Functions' AS service, COALESCE(SUM(e8), 0) AS e8 FROM fn_usage
-    WHERE start_time >= {_EV30} AND function_name <> 'AI_EXTRACT'
-  UNION ALL SELECT 'Cortex Analyst', COALESCE(SUM(e8), 0) FROM analyst WHERE start_time >= {_EV30}
-  UNION ALL SELECT 'Document Processing', COALESCE(SUM(e8), 0) FROM docproc WHERE start_time >= {_EV30}
-  UNION ALL SELECT 'Cortex Search', COALESCE(SUM(e8), 0) FROM search WHERE start_time >= {_EV30}
-  UNION ALL SELECT 'Fine Tuning', COALESCE(SUM(e8), 0) FROM finetune WHERE start_time >= {_EV30}),
-b AS (SELECT COALESCE(SUM(e8), 0) AS b FROM metering
-      WHERE start_time >= {_EV30} AND service_type = 'AI_SERVICES'),
-g AS (SELECT SUM(e8) AS g FROM s)""")
-
-
-@register("reconcile_services", _RECON + """
-SELECT service, CAST(e8 AS DOUBLE) / 1e8 AS credits, 'OK' AS status FROM s""")
-def q_reconcile_services(spark, sf_dir):
-    return R.reconcile_services(_sources(td(spark, sf_dir)), AS_OF_EVENTS, 30)
-
-
-@register("reconcile_summary", _RECON + """
-SELECT baseline_credits, granular_total, variance, variance_pct, coverage_pct,
-       CASE WHEN abs(variance_pct) <= 1.0 THEN 'EXCELLENT' WHEN abs(variance_pct) <= 5.0 THEN 'GOOD'
-            WHEN abs(variance_pct) <= 15.0 THEN 'WARNING' ELSE 'CRITICAL' END AS status,
-       baseline_credits <= 0 AS baseline_missing, CAST(0 AS BIGINT) AS sources_missing
-FROM (SELECT CAST(b AS DOUBLE) / 1e8 AS baseline_credits, CAST(g AS DOUBLE) / 1e8 AS granular_total,
-             CAST(g - b AS DOUBLE) / 1e8 AS variance,
-             CASE WHEN CAST(b AS DOUBLE) / 1e8 > 0
-                  THEN CAST(g - b AS DOUBLE) / 1e8 / (CAST(b AS DOUBLE) / 1e8) * 100.0 ELSE 0.0 END AS variance_pct,
-             CASE WHEN CAST(b AS DOUBLE) / 1e8 > 0
-                  THEN CAST(g AS DOUBLE) / 1e8 / (CAST(b AS DOUBLE) / 1e8) * 100.0 ELSE 0.0 END AS coverage_pct
-      FROM b CROSS JOIN g) x""")
-def q_reconcile_summary(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return R.reconcile(t.metering(), _sources(t), AS_OF_EVENTS, 30)
-
-
-# --- C11 opportunities -----------------------------------------------------------------
-
-OPP_DAYS = 3650
-_PREMIUM_SQL = " OR ".join(f"contains(g.model_name, '{p}')" for p in O.PREMIUM_MODELS)
-_SIMPLE_SQL = ", ".join(f"'{f}'" for f in O.SIMPLE_FUNCTIONS)
-
-
-@register("opportunities", X.with_(X.USAGE, X.QH, X.CAT, f"""g AS (
-  SELECT * FROM (
-    SELECT COALESCE(NULLIF(model_name, ''), 'Specialized') AS model_name, function_name,
-           COUNT(*) AS call_count, {X.SUM_CREDITS} AS total_credits
-    {_joined(OPP_DAYS)} GROUP BY 1, 2) t WHERE total_credits > 0.001)""") + f"""
-SELECT 1 AS rule, g.model_name AS current, 'llama3.1-8b' AS recommended, function_name AS function,
-       call_count AS calls, total_credits AS current_credits,
-       total_credits * (((1.0 - ch.input_credits / c.input_credits) * 100.0) / 100.0) AS potential_savings,
-       (1.0 - ch.input_credits / c.input_credits) * 100.0 AS savings_pct, 'model_switch' AS type
-FROM g JOIN cat c ON c.model = g.model_name
-CROSS JOIN (SELECT input_credits FROM cat WHERE model = 'llama3.1-8b') ch
-WHERE ({_PREMIUM_SQL}) AND function_name IN ({_SIMPLE_SQL})
-UNION ALL
-SELECT 2, g.model_name, 'llama3.1-8b', function_name, call_count, total_credits,
-       total_credits * 0.8, 80.0, 'model_switch'
-FROM g WHERE function_name = 'COMPLETE' AND call_count > 1000 AND contains(g.model_name, 'llama3.1-70b')""")
-def q_opportunities(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return O.opportunities(t.usage(), t.query_history(users=False), CAT.load_catalog(spark),
-                           AS_OF_ORDERS, OPP_DAYS)
-
-
-# --- C18 token statistics, E16 prompt fill ---------------------------------------------
-
-from ..operators import catalog_ops as CO  # noqa: E402
-from ..operators import costing as C  # noqa: E402
-from ..operators import text_stats as TS  # noqa: E402
-
-_TOK = "greatest(1, length(text) // 4)"
-_IN_TOK = "CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END"
-_STATS = f"""COUNT(*) AS sample_size, AVG(t) AS avg_tokens, MIN(t) AS min_tokens, MAX(t) AS max_tokens,
-       round(stddev_samp(t), 6) AS stddev_tokens"""
-
-
-@register("text_token_stats", f"""
-SELECT {_STATS} FROM (SELECT {_TOK} AS t FROM documents WHERE text IS NOT NULL) s""")
-def q_text_token_stats(spark, sf_dir):
-    return TS.token_stats(td(spark, sf_dir).texts(), "text")
-
-
-@register("sampled_token_stats", f"""
-SELECT {_STATS} FROM (SELECT {_TOK} AS t FROM documents WHERE text IS NOT NULL
-                      ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000) s""")
-def q_sampled_token_stats(spark, sf_dir):
-    return TS.sampled_token_stats(td(spark, sf_dir).texts(), "text", "doc_id", 1000)
-
-
-PROMPT = "Summarize the following text in one sentence:\n\n{text}"
-_PROMPT_SQL = "replace('" + PROMPT.replace("'", "''") + "', '{text}', text)"
-
-
-@register("prompt_fill", f"""
-SELECT doc_id, md5({_PROMPT_SQL}) AS prompt_md5, CAST(length({_PROMPT_SQL}) AS INTEGER) AS prompt_chars,
-       CASE WHEN length({_PROMPT_SQL}) > 0 THEN greatest(1, length({_PROMPT_SQL}) // 4) ELSE 0 END AS prompt_tokens,
-       {_IN_TOK} AS text_tokens
-FROM documents WHERE text IS NOT NULL""")
-def q_prompt_fill(spark, sf_dir):
-    return TS.fill_prompts(td(spark, sf_dir).texts(), "text", PROMPT, "doc_id")
-
-
-# --- C19 corpus cost, C5 price spread ---------------------------------------------------
-
-def _cost_sql(e8: str) -> str:
-    return (f"CAST({e8} AS DOUBLE) / 1e8 AS total_credits_raw, "
-            f"CAST(({e8}) * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw")
-
-
-_E8 = "(input_tokens * in_centi + output_tokens * out_centi)"
-_ROUND2 = f"CAST(round(CAST(CAST({_E8} * 300 AS DOUBLE) / 1e10 AS DECIMAL(38,10)), 2) AS DOUBLE)"
-
-
-def _corpus_sql(keys: str) -> str:
-    k = f"{keys}, " if keys else ""
-    grp = f"GROUP BY {keys}" if keys else ""
-    return X.with_(X.CAT, f"""g AS (
-  SELECT {k}COUNT(*) AS rows, CAST(SUM({_IN_TOK}) AS BIGINT) AS input_tokens,
-         CAST(SUM(150) AS BIGINT) AS output_tokens
-  FROM documents WHERE text IS NOT NULL {grp})""") + f"""
-SELECT {k}model, pos, rows, input_tokens, output_tokens, {_cost_sql(_E8)}, {_ROUND2} AS total_cost_usd
-FROM g CROSS JOIN cat WHERE rows > 0"""
-
-
-@register("corpus_cost_by_model", _corpus_sql(""))
-def q_corpus_cost_by_model(spark, sf_dir):
-    return C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150)
-
-
-@register("corpus_cost_by_lang_model", _corpus_sql("lang"))
-def q_corpus_cost_by_lang_model(spark, sf_dir):
-    return C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150,
-                                keys=["lang"])
-
-
-@register("price_spread_by_lang", "WITH c AS (" + _corpus_sql("lang") + """)
-SELECT lang, MIN(total_cost_usd_raw) AS min_cost, MAX(total_cost_usd_raw) AS max_cost,
-       COUNT(*) AS n_models,
-       CASE WHEN MIN(total_cost_usd_raw) > 0 THEN MAX(total_cost_usd_raw) / MIN(total_cost_usd_raw)
-            ELSE 0.0 END AS price_ratio
-FROM c GROUP BY lang""")
-def q_price_spread_by_lang(spark, sf_dir):
-    costs = C.estimate_text_cost(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark), 150,
-                                 keys=["lang"])
-    return C.price_spread(costs, ["lang"])
-
-
-# --- C20 request-log cost, C2, C3, T4, P15 ----------------------------------------------
-
-_CONV = X.with_(X.CAT, """conv AS (
-  SELECT conv_id, COUNT(*) AS turns,
-         CAST(SUM(CASE WHEN role <> 'assistant' THEN greatest(1, length(coalesce(text, '')) // 4) ELSE 0 END) AS BIGINT) AS input_tokens,
-         CAST(SUM(CASE WHEN role = 'assistant' THEN coalesce(length(text) // 4, 0) ELSE 0 END) AS BIGINT) AS output_tokens
-  FROM conversations GROUP BY conv_id)""")
-_CONV_COST = _CONV.rstrip("\n") + f""",
-cc AS (SELECT conv_id, turns, model, pos, input_tokens, output_tokens,
-              CAST({_E8} * 300 AS DOUBLE) / 1e10 AS cost, {_ROUND2} AS usd
-       FROM conv CROSS JOIN cat)
-"""
-
-
-@register("request_cost_by_model", _CONV + f"""
-SELECT model, requests, input_tokens, output_tokens, {_cost_sql(_E8)}
-FROM (SELECT COUNT(*) AS requests, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
-             CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM conv) g CROSS JOIN cat""")
-def q_request_cost_by_model(spark, sf_dir):
-    return C.estimate_request_cost(td(spark, sf_dir).conversations(), CAT.load_catalog(spark))
-
-
-@register("cheapest_model_per_conversation", _CONV_COST + """
-SELECT lo.conv_id, lo.input_tokens, lo.output_tokens, lo.model AS cheapest_model, lo.cost AS cheapest_cost_usd,
-       hi.model AS dearest_model, hi.cost AS dearest_cost_usd,
-       CASE WHEN hi.cost > 0 THEN (hi.cost - lo.cost) / hi.cost * 100.0 ELSE 0.0 END AS savings_pct
-FROM (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, pos) = 1) lo
-JOIN (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost DESC, pos) = 1) hi
-USING (conv_id)""")
-def q_cheapest_model_per_conversation(spark, sf_dir):
-    return C.cheapest_model_per_request(td(spark, sf_dir).conversations(), CAT.load_catalog(spark))
-
-
-@register("cheapest_k_models_per_conversation", _CONV_COST + """
-SELECT conv_id, rank, model, cost AS total_cost_usd_raw FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, pos) AS rank FROM cc) r
-WHERE rank <= 5""")
-def q_cheapest_k_models_per_conversation(spark, sf_dir):
-    return C.cheapest_k_per_request(td(spark, sf_dir).conversations(), CAT.load_catalog(spark), 5)
-
-
-def _cost9(in_: str, out_: str) -> str:
-    e = f"({in_} * in_centi + {out_} * out_centi)"
-    r = "CAST(round(CAST({x} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
-    return ", ".join([
-        r.format(x=f"CAST({in_} * in_centi AS DOUBLE) / 1e8", d=4) + " AS input_credits",
-        r.format(x=f"CAST({out_} * out_centi AS DOUBLE) / 1e8", d=4) + " AS output_credits",
-        r.format(x=f"CAST({e} AS DOUBLE) / 1e8", d=4) + " AS total_credits",
-        r.format(x=f"CAST({in_} * in_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS input_cost_usd",
-        r.format(x=f"CAST({out_} * out_centi * 300 AS DOUBLE) / 1e10", d=2) + " AS output_cost_usd",
-        r.format(x=f"CAST({e} * 300 AS DOUBLE) / 1e10", d=2) + " AS total_cost_usd",
-        f"CAST({e} AS DOUBLE) / 1e8 AS total_credits_raw",
-        f"CAST({e} * 300 AS DOUBLE) / 1e10 AS total_cost_usd_raw"])
-
-
-@register("compare_models", _CONV + f"""
-SELECT conv_id, turns, model, pos, input_tokens, output_tokens, {_cost9('input_tokens', 'output_tokens')}
-FROM conv CROSS JOIN cat""")
-def q_compare_models(spark, sf_dir):
-    per = C.request_tokens(td(spark, sf_dir).conversations())
-    return C.compare_models(per, CAT.load_catalog(spark))
-
-
-@register("cost_calculator", _CONV + f"""
-, w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv),
-c AS (SELECT conv_id, model, pos, {_cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN cat),
-lo AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd, total_cost_usd_raw, pos) = 1),
-hi AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)
-SELECT conv_id AS work_id, CAST(22 AS BIGINT) AS n_models, lo.model AS cheapest_model, lo.total_cost_usd AS cheapest_cost_usd,
-       hi.model AS most_expensive_model, hi.total_cost_usd AS most_expensive_cost_usd,
-       hi.total_cost_usd - lo.total_cost_usd AS savings_usd,
-       CASE WHEN hi.total_cost_usd > 0 THEN (hi.total_cost_usd - lo.total_cost_usd) / hi.total_cost_usd * 100.0 ELSE 0.0 END AS savings_pct
-FROM lo JOIN hi USING (conv_id)""".replace("\n, w AS", ", w AS"))
-def q_cost_calculator(spark, sf_dir):
-    from pyspark.sql import functions as F
-    per = C.request_tokens(td(spark, sf_dir).conversations())
-    work = per.select(F.col("conv_id").alias("work_id"),
-                      F.col("input_tokens").alias("input_tokens_per_request"),
-                      F.col("output_tokens").alias("output_tokens_per_request"),
-                      F.lit(10000).cast("long").alias("requests"))
-    return C.cost_calculator(work, CAT.load_catalog(spark))
-
-
-@register("request_cost_by_named_tier", _CONV + f"""
-, tiers AS (SELECT * FROM {CAT.tiers_values_sql('t')})
-SELECT tier, model, requests, input_tokens, output_tokens, {_cost_sql(_E8)}
-FROM (SELECT COUNT(*) AS requests, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
-             CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM conv) g
-CROSS JOIN cat JOIN tiers USING (model)""".replace("\n, tiers AS", ", tiers AS"))
-def q_request_cost_by_named_tier(spark, sf_dir):
-    return C.named_tier_costs(td(spark, sf_dir).conversations(), CAT.load_catalog(spark),
-                              CAT.load_named_tiers(spark))
-
-
-# --- C4 / C6 / C33 over the usage log ---------------------------------------------------
-
-@register("spend_by_provider_tier", X.with_(X.USAGE, X.QH, X.CAT) + f"""
-SELECT provider, category AS tier, supports_vision, available, COUNT(*) AS calls,
-       SUM(tokens) AS total_tokens, {X.SUM_CREDITS} AS total_credits,
-       COUNT(DISTINCT model_name) AS models
-{_joined(MA_DAYS)} LEFT JOIN cat ON cat.model = u.model_name
-GROUP BY provider, category, supports_vision, available""")
-def q_spend_by_provider_tier(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return CO.spend_by_catalog_attr(t.usage(), t.query_history(users=False), CAT.load_catalog(spark),
-                                    AS_OF_ORDERS, MA_DAYS)
-
-
-def _mft_sql(literal: bool) -> str:
-    if literal:
-        m = "m AS (SELECT DISTINCT task, model FROM (SELECT DISTINCT task FROM tc) x CROSS JOIN cat)"
-    else:
-        m = ("mc AS (SELECT DISTINCT model, task_category FROM bf JOIN kw ON contains(lower(use_case), keyword)),\n"
-             "m AS (SELECT DISTINCT task, model FROM tc JOIN mc USING (task_category))")
-    return X.with_(X.USAGE, X.CAT, f"bf AS (SELECT * FROM {CAT.best_for_values_sql('b')})",
-                   f"kw AS (SELECT * FROM {CAT.keywords_values_sql('k')})",
-                   "t AS (SELECT DISTINCT function_name AS task FROM usage WHERE function_name IS NOT NULL)",
-                   "tc AS (SELECT DISTINCT task, task_category FROM t JOIN kw ON contains(lower(task), keyword))",
-                   m,
-                   """fb AS (SELECT task, model FROM t
-           CROSS JOIN (SELECT model FROM cat ORDER BY input_credits, pos LIMIT 5) ch
-           WHERE task NOT IN (SELECT task FROM m))""",
-                   """a AS (SELECT task, model, FALSE AS fallback FROM m
-          UNION ALL SELECT task, model, TRUE FROM fb)""") + """
-SELECT task, model, input_credits, fallback,
-       row_number() OVER (PARTITION BY task ORDER BY input_credits, pos) AS rank
-FROM a JOIN cat USING (model)"""
-
-
-@register("models_for_task", _mft_sql(False))
-def q_models_for_task(spark, sf_dir):
-    from pyspark.sql import functions as F
-    tasks = td(spark, sf_dir).usage().select(F.col("function_name").alias("task"))
-    return CO.models_for_task(tasks, CAT.load_catalog(spark), CAT.load_task_keywords(spark))
-
-
-@register("models_for_task_literal", _mft_sql(True))
-def q_models_for_task_literal(spark, sf_dir):
-    from pyspark.sql import functions as F
-    tasks = td(spark, sf_dir).usage().select(F.col("function_name").alias("task"))
-    return CO.models_for_task(tasks, CAT.load_catalog(spark), CAT.load_task_keywords(spark),
-                              literal=True)
-
-
-@register("function_rate_cost", X.with_(X.USAGE, f"rates AS (SELECT * FROM {CAT.rates_values_sql('function', 'r')})") + """
-SELECT function_name, COUNT(*) AS calls, SUM(tokens) AS tokens,
-       MAX(credits_per_unit) AS rate_credits_per_1m,
-       CAST(SUM(tokens * rates.rate_centi) AS DOUBLE) / 1e8 AS rate_credits
-FROM usage LEFT JOIN rates ON rates.name = usage.function_name
-GROUP BY function_name""")
-def q_function_rate_cost(spark, sf_dir):
-    return C.function_cost(td(spark, sf_dir).usage(), CAT.load_rates(spark, "function"))
-
-
-# --- C21-C31 logged runs, F1 batch scoring ------------------------------------------------
-
-from ..operators import runs as RU  # noqa: E402
-from ..operators import scoring as SC  # noqa: E402
-from ..sources.testdata import MOD8_MODELS  # noqa: E402
-
-RUN_MODELS = [m for _k, m in MOD8_MODELS if m]
-_RUNS = X.with_(X.CAT, X.RESULTS, X.RUNS)
-_PTS = ", ".join(f"(CAST({p} AS BIGINT))" for p in RU.SCALE_POINTS)
-_PROJ = _RUNS.rstrip("\n") + f""",
-proj AS (
-  SELECT model, p.rows,
-         CAST(floor(CAST(input_tokens + output_tokens AS DOUBLE) / r.rows * p.rows) AS BIGINT) AS est_tokens,
-         total_cost / r.rows * p.rows AS est_cost,
-         time_seconds / r.rows * p.rows / 60.0 AS est_time_min
-  FROM runs r CROSS JOIN (VALUES {_PTS}) p(rows) WHERE r.rows > 0)
-"""
-
-
-def _runs(spark, sf_dir):
-    return td(spark, sf_dir).runs()
-
-
-@register("run_comparison", _RUNS + """
-SELECT model, rows, input_tokens, output_tokens, total_credits AS credits, total_cost AS cost, time_seconds,
-       CASE WHEN time_seconds > 0 THEN CAST(input_tokens + output_tokens AS DOUBLE) / time_seconds
-            ELSE 0.0 END AS tokens_per_sec
-FROM runs""")
-def q_run_comparison(spark, sf_dir):
-    return RU.compare_runs(_runs(spark, sf_dir))
-
-
-@register("run_totals", _RUNS + """
-SELECT COUNT(*) AS models_tested, CAST(SUM(rows) AS BIGINT) AS total_rows,
-       CAST(SUM(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-       CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost,
-       (SELECT model FROM runs ORDER BY total_cost, model LIMIT 1) AS cheapest_model,
-       (SELECT total_cost FROM runs ORDER BY total_cost, model LIMIT 1) AS cheapest_cost,
-       (SELECT model FROM runs ORDER BY time_seconds, model LIMIT 1) AS fastest_model,
-       (SELECT time_seconds FROM runs ORDER BY time_seconds, model LIMIT 1) AS fastest_seconds
-FROM runs""")
-def q_run_totals(spark, sf_dir):
-    return RU.run_totals(_runs(spark, sf_dir))
-
-
-@register("project_scale", _PROJ + "SELECT * FROM proj")
-def q_project_scale(spark, sf_dir):
-    return RU.project_scale(_runs(spark, sf_dir))
-
-
-@register("projection_pivot", _PROJ + "SELECT rows, " + ", ".join(
-    f"MAX(CASE WHEN model = '{m}' THEN est_cost END) AS \"{m}\"" for m in RUN_MODELS)
-    + " FROM proj GROUP BY rows")
-def q_projection_pivot(spark, sf_dir):
-    return RU.projection_pivot(RU.project_scale(_runs(spark, sf_dir)), RUN_MODELS)
-
-
-@register("best_per_scale", _PROJ + """
-SELECT rows, n_models, model AS cheapest_model, est_cost AS cheapest_cost, dearest_cost,
-       dearest_cost - est_cost AS savings
-FROM (SELECT *, COUNT(*) OVER (PARTITION BY rows) AS n_models,
-             MAX(est_cost) OVER (PARTITION BY rows) AS dearest_cost,
-             row_number() OVER (PARTITION BY rows ORDER BY est_cost, model) AS rn
-      FROM proj WHERE rows IN (1000, 10000, 100000)) x
-WHERE rn = 1""")
-def q_best_per_scale(spark, sf_dir):
-    return RU.best_per_scale(RU.project_scale(_runs(spark, sf_dir)))
-
-
-@register("project_to_table", _RUNS + """
-, t AS (SELECT model, n.table_rows, total_cost / rows * n.table_rows AS est_cost,
-              time_seconds / rows * n.table_rows / 60.0 AS est_time_min
-       FROM runs CROSS JOIN (SELECT COUNT(*) AS table_rows FROM documents WHERE text IS NOT NULL) n
-       WHERE rows > 0)
-SELECT model, table_rows, est_cost, est_time_min, mx - est_cost AS savings_vs_dearest,
-       CASE WHEN mx > 0 THEN (mx - est_cost) / mx * 100.0 ELSE 0.0 END AS savings_pct
-FROM t CROSS JOIN (SELECT MAX(est_cost) AS mx FROM t) m""".replace("\n, t AS", ", t AS"))
-def q_project_to_table(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return RU.project_to_table(t.runs(), t.texts(), "text")
-
-
-_BATCHES = ", ".join(f"(CAST({b} AS BIGINT))" for b in RU.DEFAULT_BATCHES)
-_SCALED = X.with_(X.CAT, X.RESULTS).rstrip("\n") + f""",
-scaled AS (
-  SELECT left(test, 20) AS test, model, function, b.rows, cost * b.rows AS total_cost,
-         cost AS cost_per_row, e10 * b.rows AS e10
-  FROM results CROSS JOIN (VALUES {_BATCHES}) b(rows) WHERE status = 'success')
-"""
-
-
-def _scaled(spark, sf_dir):
-    return RU.scale_runs(td(spark, sf_dir).results())
-
-
-@register("scale_runs", _SCALED + """
-SELECT test, model, function, rows, total_cost, cost_per_row FROM scaled""")
-def q_scale_runs(spark, sf_dir):
-    return _scaled(spark, sf_dir).drop("total_cost_e10")
-
-
-@register("scale_matrix", _SCALED + "SELECT model, " + ", ".join(
-    f"MAX(CASE WHEN rows = {b} THEN mean_cost END) AS \"{b}\"" for b in RU.DEFAULT_BATCHES)
-    + """ FROM (SELECT model, rows, CAST(SUM(e10) AS DOUBLE) / 1e10 / COUNT(*) AS mean_cost
-          FROM scaled GROUP BY model, rows) g GROUP BY model""")
-def q_scale_matrix(spark, sf_dir):
-    return RU.scale_matrix(_scaled(spark, sf_dir))
-
-
-@register("savings_at_scale", _SCALED + """
-
-, sel AS (SELECT * FROM scaled WHERE rows = (SELECT COALESCE(MAX(CASE WHEN rows = 100000 THEN rows END), MAX(rows)) FROM scaled)),
-lo AS (SELECT * FROM sel ORDER BY e10, model, function, test LIMIT 1),
-hi AS (SELECT * FROM sel ORDER BY e10 DESC, model DESC, function DESC, test DESC LIMIT 1)
-SELECT lo.rows, lo.model AS cheapest_model, CAST(lo.e10 AS DOUBLE) / 1e10 AS cheapest_cost,
-       hi.model AS dearest_model, CAST(hi.e10 AS DOUBLE) / 1e10 AS dearest_cost,
-       CAST(hi.e10 - lo.e10 AS DOUBLE) / 1e10 AS savings
-FROM lo CROSS JOIN hi""".replace("\n, sel AS", ", sel AS"))
-def q_savings_at_scale(spark, sf_dir):
-    return RU.savings_at_scale(_scaled(spark, sf_dir))
-
-
-_RES = X.with_(X.CAT, X.RESULTS)
-
-
-@register("compare_all", _RES + """
-SELECT COUNT(DISTINCT test) AS total_tests,
-       COUNT(*) FILTER (WHERE status = 'success') AS total_runs,
-       COUNT(DISTINCT model) FILTER (WHERE status = 'success') AS models_tested,
-       COUNT(DISTINCT function) FILTER (WHERE status = 'success') AS functions_used
-FROM results""")
-def q_compare_all(spark, sf_dir):
-    return RU.compare_all(td(spark, sf_dir).results())
-
-
-@register("all_results", _RES + """
-SELECT test, model, function, latency, cost, output_tokens FROM results WHERE status = 'success'""")
-def q_all_results(spark, sf_dir):
-    return RU.results_table(td(spark, sf_dir).results())
-
-
-@register("winners", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success'),
-c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
-l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
-SELECT c.model AS cheapest_model, c.function AS cheapest_function, c.cost AS cheapest_cost,
-       l.model AS fastest_model, l.function AS fastest_function, l.latency AS fastest_latency,
-       (SELECT CAST(SUM(latency_centi) AS DOUBLE) / 100.0 / COUNT(*) FROM s) AS avg_latency,
-       (SELECT COUNT(*) FROM s) AS runs
-FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
-def q_winners(spark, sf_dir):
-    return RU.winners(td(spark, sf_dir).results())
-
-
-@register("prompt_vs_builtin", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success' AND function IN ('SENTIMENT', 'SUMMARIZE')),
-u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10 FROM s
-      UNION ALL
-      SELECT function, 'builtin', model || ' (via ' || function || ')',
-             greatest(1, length(response) // 4), 1000000 FROM s)
-SELECT function, variant, COUNT(*) AS runs, COUNT(DISTINCT model) AS models,
-       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost
-FROM u GROUP BY function, variant""".replace("\n, s AS", ", s AS"))
-def q_prompt_vs_builtin(spark, sf_dir):
-    return RU.prompt_vs_builtin(td(spark, sf_dir).results())
-
-
-SCORE_MODELS = ["llama3.1-8b", "mistral-large2", "claude-3-5-sonnet"]
-SCORE_TEMPLATE = "Summarize the following text in one sentence:\n\n{text}"
-
-
-@register("score_texts")
-def q_score_texts(spark, sf_dir):
-    """F1 with the deterministic stand-in scorer (rows-only check)."""
-    return SC.score_texts(td(spark, sf_dir).texts(), "text", "doc_id", SCORE_MODELS,
-                          SC.echo_scorer_factory(fail_every=97), CAT.load_catalog(spark),
-                          template=SCORE_TEMPLATE)
-
-
-# --- E7 built-in function runs, compared with the model runs (C21) ---------------------
-
-_BUILTIN_FNS = ", ".join(f"('{f}')" for f in RU.REALTIME_BUILTINS)
-_BUILTIN = f"""builtin AS (
-  SELECT f.model, g.rows, g.input_tokens, CAST(0 AS BIGINT) AS output_tokens,
-         CAST(g.input_tokens * 100 AS DOUBLE) / 1e8 AS total_credits,
-         CAST(g.input_tokens * 100 * 300 AS DOUBLE) / 1e10 AS total_cost,
-         CAST(0.0 AS DOUBLE) AS time_seconds, CAST(NULL AS VARCHAR) AS sample_output
-  FROM (SELECT COUNT(*) AS rows, CAST(COALESCE(SUM(coalesce(length(text) // 4, 0)), 0) AS BIGINT) AS input_tokens
-        FROM documents WHERE text IS NOT NULL) g
-  CROSS JOIN (VALUES {_BUILTIN_FNS}) f(model) WHERE g.rows > 0)"""
-
-
-@register("builtin_run_cost", X.with_(_BUILTIN) + "SELECT * FROM builtin")
-def q_builtin_run_cost(spark, sf_dir):
-    return RU.builtin_runs(td(spark, sf_dir).texts(), "text").drop("cost_e10")
-
-
-@register("run_comparison_with_builtin", _RUNS.rstrip("\n") + ",\n" + _BUILTIN + """
-SELECT model, rows, input_tokens, output_tokens, total_credits AS credits, total_cost AS cost, time_seconds,
-       CASE WHEN time_seconds > 0 THEN CAST(input_tokens + output_tokens AS DOUBLE) / time_seconds
-            ELSE 0.0 END AS tokens_per_sec
-FROM (SELECT model, rows, input_tokens, output_tokens, total_credits, total_cost, time_seconds FROM runs
-      UNION ALL
-      SELECT model, rows, input_tokens, output_tokens, total_credits, total_cost, time_seconds FROM builtin) u""")
-def q_run_comparison_with_builtin(spark, sf_dir):
-    t = td(spark, sf_dir)
-    both = t.runs().unionByName(RU.builtin_runs(t.texts(), "text"))
-    return RU.compare_runs(both)
-
-
-# --- S17 export summary (flattened) --------------------------------------------------
-
-from ..sources import sinks as SK  # noqa: E402
-
-
-@register("export_summary", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success'),
-c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
-l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
-SELECT (SELECT COUNT(DISTINCT test) FROM results) AS tests, (SELECT COUNT(*) FROM s) AS results,
-       c.model AS cheapest_model, c.cost AS cheapest_cost,
-       l.model AS fastest_model, l.latency AS fastest_latency
-FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
-def q_export_summary(spark, sf_dir):
-    s = SK.results_summary(td(spark, sf_dir).results())
-    return s.select("tests", "results", s.cheapest.model.alias("cheapest_model"),
-                    s.cheapest.cost.alias("cheapest_cost"), s.fastest.model.alias("fastest_model"),
-                    s.fastest.latency.alias("fastest_latency"))
-
-
-# --- windowed budget check (batch form of the streaming monitor) ---------------------
-
-from ..streaming import budget_monitor as BM  # noqa: E402
-
-
-@register("budget_windows", X.with_(X.METERING, _LIMITS_SQL, """ai AS (
-  SELECT start_time, e8 FROM metering WHERE service_type = 'AI_SERVICES'),
-spend AS (
-  SELECT 'daily' AS period, date_trunc('day', start_time) AS window_start,
-         date_trunc('day', start_time) + INTERVAL 1 DAY AS window_end, SUM(e8) AS e8
-  FROM ai GROUP BY 2, 3
-  UNION ALL
-  SELECT 'weekly', date_trunc('day', start_time) - k * INTERVAL 1 DAY,
-         date_trunc('day', start_time) - k * INTERVAL 1 DAY + INTERVAL 7 DAY, SUM(e8)
-  FROM ai CROSS JOIN range(0, 7) r(k) GROUP BY 2, 3)""") + """
-SELECT profile, "limit", enabled, period, CAST(window_start AS TIMESTAMP) AS window_start,
-       CAST(window_end AS TIMESTAMP) AS window_end, used, used * 3.0 AS used_usd, pct,
-       CASE WHEN pct < 80.0 THEN 'green' WHEN pct < 100.0 THEN 'yellow' ELSE 'red' END AS light,
-       enabled AND used > "limit" AS alert
-FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
-             CASE WHEN enabled AND "limit" > 0 THEN CAST(e8 AS DOUBLE) / 1e8 / "limit" * 100.0
-                  ELSE 0.0 END AS pct
-      FROM spend JOIN limits USING (period)) x""")
-def q_budget_windows(spark, sf_dir):
-    t = td(spark, sf_dir)
-    return BM.budget_windows(t.metering(), t.limits(), watermark=None)
-
-
-# --- A21 total potential savings ---------------------------------------------------------
-
-@register("opportunity_savings_total", "WITH o AS (" + ORACLE["opportunities"] + """)
-SELECT CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) AS DECIMAL(38,10)), 6) AS DOUBLE) AS total_savings,
-       CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) * 3.0 AS DECIMAL(38,10)), 4) AS DOUBLE) AS total_savings_usd,
-       COUNT(*) AS opportunities
-FROM o""")
-def q_opportunity_savings_total(spark, sf_dir):
-    return O.total_savings(q_opportunities(spark, sf_dir))
-
-
-# --- C1 cost record per logged result row ----------------------------------------------
-
-@register("result_cost_records", _RES + f"""
-SELECT test, function, model, input_tokens, output_tokens, {_cost9('input_tokens', 'output_tokens')}
-FROM results JOIN cat USING (model)""")
-def q_result_cost_records(spark, sf_dir):
-    r = td(spark, sf_dir).results().select("test", "function", "model", "input_tokens", "output_tokens")
-    return C.with_cost(r, CAT.load_catalog(spark), strict=True)
-
-
-# --- C19 with E4: corpus cost per test type ---------------------------------------------
-
-_TT = ", ".join("('" + t + "')" for t in C.TEST_TYPES)
-
-
-@register("corpus_cost_by_test_type", X.with_(X.CAT, f"""g AS (
-  SELECT COUNT(*) AS rows, CAST(SUM({_IN_TOK}) AS BIGINT) AS input_tokens
-  FROM documents WHERE text IS NOT NULL)""", f"""t AS (
-  SELECT test_type, rows, input_tokens,
-         rows * CASE WHEN contains(test_type, 'Sentiment') OR contains(test_type, 'Classify') THEN 10
-                     WHEN contains(test_type, 'Summarize') THEN 100 ELSE 150 END AS output_tokens
-  FROM g CROSS JOIN (VALUES {_TT}) v(test_type) WHERE rows > 0)""") + f"""
-SELECT test_type, model, pos, rows, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens,
-       {_cost_sql(_E8)}, {_ROUND2} AS total_cost_usd
-FROM t CROSS JOIN cat""")
-def q_corpus_cost_by_test_type(spark, sf_dir):
-    return C.estimate_by_test_type(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark))
+# The query families register themselves on import (order = bench order).
+from . import usage_queries, metering_queries, costing_queries, runs_queries  # noqa: E402,F401

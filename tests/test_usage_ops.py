@@ -82,8 +82,8 @@ def test_reconcile_missing_source_and_zero_baseline(spark):
 
 def test_reconcile_sum_of_services_equals_granular(spark):
     td = TestData(spark, SF_SMALL)
-    from metercast.plans.registry import _sources
-    src = _sources(td)
+    from metercast.plans.metering_queries import service_sources
+    src = service_sources(td)
     svc = R.reconcile_services(src, "2024-01-30 23:59:59", 30).agg(F.sum("credits")).collect()[0][0]
     s = R.reconcile(td.metering(), src, "2024-01-30 23:59:59", 30).collect()[0]
     assert svc == pytest.approx(s.granular_total)
