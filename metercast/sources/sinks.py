@@ -44,7 +44,7 @@ def write_summary(results: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def write_usage_log(df: DataFrame, path: str, time_col: str = "start_time",
-                    mode: str = "append", max_records_per_file: int = 5_000_000) -> None:
+                    mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write a usage / metering log partitioned by ``log_date`` (the day of
     ``time_col``) so that the look-back filters prune whole days at read
     time (:func:`metercast.operators.common.since` adds the implied
@@ -53,9 +53,13 @@ def write_usage_log(df: DataFrame, path: str, time_col: str = "start_time",
     No shuffle: each task sorts its own rows by day and writes one file per
     day it holds, so a day that carries a third of all rows is still spread
     over every task (no hot writer); ``maxRecordsPerFile`` bounds file size.
+
+    The default overwrite is dynamic: only the days present in ``df`` are
+    replaced, so re-running a failed or repeated load of some days is
+    idempotent instead of appending duplicates.
     """
     out = df.withColumn(LOG_DATE, F.to_date(time_col))
     (out.sortWithinPartitions(LOG_DATE)
-        .write.mode(mode).partitionBy(LOG_DATE)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(LOG_DATE)
         .option("maxRecordsPerFile", max_records_per_file)
         .parquet(path))

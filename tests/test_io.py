@@ -120,3 +120,14 @@ def test_tune_for_input_bounds(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_usage_log_reload_replaces_only_its_days(spark):
+    path = _tmp("reload")
+    met = _metering(spark)
+    SK.write_usage_log(met, path)
+    jan2 = met.where(F.to_date("start_time") == F.lit("2024-01-02").cast("date"))
+    SK.write_usage_log(jan2, path)          # the same day loaded again
+    SK.write_usage_log(jan2, path)
+    back = RD.read_usage(spark, path, "metering")
+    assert back.count() == met.count()
