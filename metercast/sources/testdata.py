@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators.common import dimension
+from ..operators.common import LOG_DATE, dimension
 from . import catalog as cat
 
 # Fixed values of the fixture mapping (FIXTURES.md §3).
@@ -169,6 +169,9 @@ class TestData:
             money.e8_to_credits(e8).alias("token_credits"),
             tokens.alias("tokens"),
             e8.alias("token_credits_e8"),
+            # the day of the raw event: look-backs on the truncated start_time
+            # imply a bound on it, which reaches the parquet scan
+            F.to_date("ts").alias(LOG_DATE),
         )
 
     def _ai_events(self, event_type: str) -> DataFrame:
