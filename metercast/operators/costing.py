@@ -303,6 +303,48 @@ def named_tier_costs(conversations: DataFrame, catalog: DataFrame, tiers: DataFr
 
 # -- C33 rate-list costing --------------------------------------------------------
 
+def _rate_e8(units: Column, rate_centi: Column, per_units: Column) -> Column:
+    """Exact credits x 1e8 of ``units`` at a rate in centi-credits per
+    ``per_units`` units (units may carry up to 6 decimals: GB-months, hours)."""
+    scaled = (units.cast("decimal(38,6)") * rate_centi.cast("decimal(20,0)")
+              * (F.lit(1_000_000) / per_units).cast("decimal(20,0)"))
+    return F.round(scaled, 0).cast(money.SUM_TYPE)
+
+
+def rate_list_cost(units: DataFrame, rates: DataFrame, name_col: str = "name",
+                   units_col: str = "units") -> DataFrame:
+    """Credits of metered units at their list rate (C33, E25): tokens per 1M,
+    messages or pages per 1,000, GB-months or compute hours per unit. Rows
+    whose name has no rate keep NULL rate and credits."""
+    r = dimension(rates.select(F.col("name").alias(name_col), "kind", "credits_per_unit",
+                               "rate_centi", "per_units", "unit"), of=rates)
+    j = units.join(r, name_col, "left")
+    e8 = _rate_e8(F.col(units_col), F.col("rate_centi"), F.col("per_units"))
+    return j.select(*units.columns, "kind", "unit", "credits_per_unit",
+                    money.e8_to_credits(e8).alias("credits"))
+
+
+def embedding_cost(texts: DataFrame, text_col: str, rates: DataFrame,
+                   keys: list[str] | None = None) -> DataFrame:
+    """Cost of embedding the whole text column with every embedding model of
+    the rate list (C33): E1 tokens summed per group once, then priced on each
+    model through a one-row array of the (size-checked) rates."""
+    keys = list(keys or [])
+    t = texts.where(F.col(text_col).isNotNull()).select(
+        *keys, tokens.est_tokens(F.col(text_col)).alias("_t"))
+    agg = [F.count(F.lit(1)).alias("rows"), F.sum("_t").alias("tokens")]
+    g = t.groupBy(*keys).agg(*agg) if keys else t.agg(*agg).where(F.col("rows") > 0)
+    emb = rates.where(F.col("kind") == "embedding")
+    if not rates.isLocal() and emb.limit(DIM_MAX_ROWS + 1).count() > DIM_MAX_ROWS:
+        raise ValueError(f"more than {DIM_MAX_ROWS} embedding rates")
+    arr = emb.agg(F.sort_array(F.collect_list(F.struct("name", "rate_centi", "per_units"))).alias("_m"))
+    # ``arr`` is one row by construction (a global aggregate)
+    e = g.crossJoin(F.broadcast(arr)).select(*keys, "rows", "tokens", F.explode("_m").alias("_r"))
+    e8 = _rate_e8(F.col("tokens"), F.col("_r.rate_centi"), F.col("_r.per_units"))
+    return e.select(*keys, F.col("_r.name").alias("embedding_model"), "rows", "tokens",
+                    money.e8_to_credits(e8).alias("credits"))
+
+
 def function_cost(usage: DataFrame, rates: DataFrame, name_col: str = "function_name",
                   tokens_col: str = "tokens") -> DataFrame:
     """Per function: calls, tokens and the cost at the function's list rate

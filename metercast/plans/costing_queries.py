@@ -177,3 +177,15 @@ SELECT test_type, model, pos, rows, input_tokens, CAST(output_tokens AS BIGINT)
 FROM t CROSS JOIN cat""")
 def q_corpus_cost_by_test_type(spark, sf_dir):
     return C.estimate_by_test_type(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark))
+
+
+# --- C33 embedding cost of the corpus ------------------------------------------------------
+
+@register("corpus_embedding_cost_by_lang", X.with_(
+    f"rates AS (SELECT * FROM {CAT.rates_values_sql('embedding', 'r')})", f"""g AS (
+  SELECT lang, COUNT(*) AS rows, CAST(SUM({X.TOK_SQL}) AS BIGINT) AS tokens
+  FROM documents WHERE text IS NOT NULL GROUP BY lang)""") + """
+SELECT lang, name AS embedding_model, rows, tokens, CAST(tokens * rate_centi AS DOUBLE) / 1e8 AS credits
+FROM g CROSS JOIN rates""")
+def q_corpus_embedding_cost_by_lang(spark, sf_dir):
+    return C.embedding_cost(td(spark, sf_dir).texts(), "text", CAT.load_rates(spark), keys=["lang"])

@@ -176,14 +176,26 @@ RATES_SCHEMA = T.StructType([
     T.StructField("credits_per_unit", T.DoubleType(), False),
     T.StructField("rate_centi", T.LongType(), False),
     T.StructField("unit", T.StringType(), False),
+    T.StructField("per_units", T.LongType(), False),
 ])
 
 
+def _per_units(unit: str) -> int:
+    """How many units one rate is quoted for, from its unit text: per 1M
+    tokens, per 1,000 messages / pages, else per single unit (GB-month,
+    compute hour)."""
+    if "1M" in unit:
+        return 1_000_000
+    if "1,000" in unit:
+        return 1_000
+    return 1
+
+
 def rate_rows(kind: str | None = None) -> list[tuple]:
     rows = [("function", n, float(r), _centi(r), "1M tokens") for n, r in FUNCTION_RATES]
     rows += [("embedding", n, float(r), _centi(r), "1M tokens") for n, r in EMBEDDING_RATES]
     rows += [("service", n, float(r), _centi(r), u) for n, r, u in SERVICE_RATES]
-    return [r for r in rows if kind is None or r[0] == kind]
+    return [(*r, _per_units(r[4])) for r in rows if kind is None or r[0] == kind]
 
 
 def load_rates(spark: SparkSession, kind: str | None = None) -> DataFrame:
@@ -229,7 +241,7 @@ def best_for_values_sql(alias: str = "bf") -> str:
 
 def rates_values_sql(kind: str, alias: str = "rates") -> str:
     vals = ", ".join(f"({_q(n)}, CAST({r!r} AS DOUBLE), CAST({rc} AS BIGINT))"
-                     for (_k, n, r, rc, _u) in rate_rows(kind))
+                     for (_k, n, r, rc, _u, _p) in rate_rows(kind))
     return f"(VALUES {vals}) AS {alias}(name, credits_per_unit, rate_centi)"
 
 

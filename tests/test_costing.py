@@ -118,3 +118,27 @@ def test_estimate_by_test_type_output_tokens(spark, catalog):
         "COMPLETE - Classify": (2, 3, 20), "COMPLETE - Extract": (2, 3, 300),
         "SENTIMENT - Built-in": (2, 3, 300), "SUMMARIZE - Built-in": (2, 3, 300),
         "Compare: COMPLETE vs SENTIMENT": (2, 3, 300), "Compare: COMPLETE vs SUMMARIZE": (2, 3, 300)}
+
+
+def test_rate_list_cost_units(spark):
+    from metercast.operators import costing as C
+    from metercast.sources.catalog import load_rates
+    units = spark.createDataFrame(
+        [("cortex_analyst", 2500.0), ("ai_parse_document_layout", 1000.0), ("cortex_search_serving", 2.5),
+         ("document_ai", 1.25), ("SENTIMENT", 2_000_000.0), ("no_such_rate", 5.0)],
+        "name string, units double")
+    got = {r.name: r.credits for r in C.rate_list_cost(units, load_rates(spark)).collect()}
+    assert got == {"cortex_analyst": 167.5, "ai_parse_document_layout": 3.33,
+                   "cortex_search_serving": 15.75, "document_ai": 10.0, "SENTIMENT": 0.16,
+                   "no_such_rate": None}
+
+
+def test_embedding_cost_per_model(spark):
+    from metercast.operators import costing as C
+    from metercast.sources.catalog import load_rates
+    docs = spark.createDataFrame([(1, "x" * 4_000_000), (2, "")], "doc_id long, text string")
+    got = {r.embedding_model: (r.rows, r.tokens, r.credits)
+           for r in C.embedding_cost(docs, "text", load_rates(spark)).collect()}
+    # 1,000,000 + 1 (empty text counts 1) tokens
+    assert got["voyage-multilingual-2"] == (2, 1_000_001, pytest.approx(0.1000001))
+    assert len(got) == 4
