@@ -61,7 +61,9 @@ def _batch_spend(metering: DataFrame, periods, service_type: str | None,
                  time_col: str) -> DataFrame:
     """All periods from one scan (batch only): the daily windows are summed
     once; a 7-day window sliding by a day is the exact integer sum of its
-    seven day-aligned daily windows, taken over the small daily table."""
+    seven day-aligned daily windows, taken over the small daily table. Both
+    branches share the daily shuffle (adaptive execution reuses the identical
+    exchange), so the log is read once."""
     daily = _spend_e8(metering, "daily", service_type, None, time_col)
     out = []
     if "daily" in periods:

@@ -57,3 +57,12 @@ def test_calculator_savings_never_negative(spark, catalog, work):
     for r in out:
         assert r.savings_usd >= 0 and 0 <= r.savings_pct <= 100
         assert r.cheapest_cost_usd <= r.most_expensive_cost_usd and r.n_models == 22
+
+
+def test_display_formats(spark):
+    from metercast.functions import display as D
+    r = spark.createDataFrame([(1234.5678, 12.345, 1234567, "medium")],
+                              "v double, p double, n long, t string").select(
+        D.usd("v").alias("u"), D.credits("v").alias("c"), D.pct("p").alias("p"),
+        D.count("n").alias("n"), D.title("t").alias("t")).first()
+    assert (r.u, r.c, r.p, r.n, r.t) == ("$1,234.57", "1,234.5678", "12.3%", "1,234,567", "Medium")
