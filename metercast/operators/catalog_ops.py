@@ -43,6 +43,22 @@ def cheapest_models(catalog: DataFrame, n: int = 5) -> DataFrame:
     return catalog.orderBy("input_credits", "pos").limit(n)
 
 
+# Sort options of the catalog view (key, descending).
+CATALOG_SORTS = {
+    "Input Price (Low→High)": ("input_credits", False),
+    "Input Price (High→Low)": ("input_credits", True),
+    "Provider": ("provider", False),
+    "Model Name": ("model", False),
+}
+
+
+def sort_catalog(catalog: DataFrame, by: str = "Input Price (Low→High)") -> DataFrame:
+    """The catalog in one of the view's sort orders (T8); ties keep catalog
+    order."""
+    key, desc = CATALOG_SORTS[by]
+    return catalog.orderBy(F.col(key).desc() if desc else F.col(key).asc(), "pos")
+
+
 def providers(catalog: DataFrame) -> DataFrame:
     """Distinct providers, sorted."""
     return catalog.select("provider").distinct().orderBy("provider")

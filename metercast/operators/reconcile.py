@@ -68,9 +68,13 @@ def baseline(metering: DataFrame, as_of, days: int = 30,
                             F.lit(0).cast(money.SUM_TYPE)).alias("baseline_e8"))
 
 
-def reconcile_services(sources: list[SourceSpec], as_of, days: int = 30) -> DataFrame:
+def reconcile_services(sources: list[SourceSpec], as_of, days: int = 30,
+                       positive_only: bool = False) -> DataFrame:
+    """Per-service credits and source status; ``positive_only`` keeps the
+    services with credits > 0 (P10, the breakdown chart's rows)."""
     t = service_totals(sources, as_of, days)
-    return t.select("service", money.e8_to_credits("credits_e8").alias("credits"), "status")
+    out = t.select("service", money.e8_to_credits("credits_e8").alias("credits"), "status")
+    return out.where(F.col("credits") > 0) if positive_only else out
 
 
 def reconcile(metering: DataFrame, sources: list[SourceSpec], as_of, days: int = 30,
