@@ -137,3 +137,18 @@ def test_score_texts_checkpointed(spark, catalog):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].input_tokens == 2 and rows[2].input_tokens == 1
     assert all(r.status == "success" for r in rows.values())
+
+
+def test_score_texts_chunks_calls(spark, catalog):
+    def factory():
+        def score(model, prompts):
+            # each reply carries the size of the call it came from
+            return [f"{len(prompts)}:{len(p)}" for p in prompts]
+        return score
+    docs = spark.createDataFrame([(i, "t" * (i + 1)) for i in range(50)], "doc_id long, text string") \
+        .coalesce(1)
+    rows = SC.score_texts(docs, "text", "doc_id", ["mistral-7b"], factory, catalog, batch_size=7).collect()
+    assert len(rows) == 50 and all(r.status == "success" for r in rows)
+    sizes = [int(r.response.split(":")[0]) for r in rows]
+    assert max(sizes) == 7 and sorted(set(sizes)) == [1, 7]      # 50 = 7 x 7 + 1
+    assert {r.doc_id: r.response for r in rows}[9] == "7:10"
