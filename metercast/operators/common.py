@@ -95,6 +95,20 @@ def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS,
     return df
 
 
+def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
+    """Exact top-``k`` by ``order`` with a bounded final merge.
+
+    ``orderBy().limit(k)`` keeps ``k`` rows per input partition and merges
+    them in one task; on a 100 TB scan that is hundreds of thousands of
+    partitions times ``k`` rows. Coalescing first (no shuffle) to the
+    cluster's parallelism keeps every slot busy scanning, and at most
+    ``slots x k`` rows reach the merge.
+    """
+    sc = df.sparkSession.sparkContext
+    n = max(1, int(df.sparkSession.conf.get("spark.default.parallelism", None) or sc.defaultParallelism))
+    return df.coalesce(n).orderBy(*order).limit(int(k))
+
+
 def with_history(usage: DataFrame, qh: DataFrame, as_of, days: int,
                  cols: tuple[str, ...] = ()) -> DataFrame:
     """Usage joined to the query history of the look-back window.

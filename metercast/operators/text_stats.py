@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from .common import top_k
 
 
 def _stats(df: DataFrame, tok: str) -> DataFrame:
@@ -28,9 +29,9 @@ def token_stats(df: DataFrame, text_col: str, counter=None) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int = 1000) -> DataFrame:
     """A deterministic fixed-size sample (T7): the ``n`` rows with the
-    smallest md5 of the key. Plans as a per-partition top-k and a merge of at
-    most ``n`` rows per partition, so it stays bounded at any table size."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(n)
+    smallest md5 of the key. A per-partition top-k whose final merge is
+    bounded by the cluster's parallelism (:func:`common.top_k`)."""
+    return top_k(df, [F.md5(F.col(key).cast("string")), F.col(key)], n)
 
 
 def sampled_token_stats(df: DataFrame, text_col: str, key: str, n: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
-from .common import credit_e8, model_label, since, since_date, with_history
+from .common import credit_e8, model_label, since, since_date, top_k, with_history
 
 
 # -- C9 model & function analysis ---------------------------------------------
@@ -61,7 +61,7 @@ def rollup(groups: DataFrame, by: list[str]) -> DataFrame:
 def top_expensive_queries(usage: DataFrame, qh: DataFrame, as_of, days: int = 7,
                           limit: int = 50) -> DataFrame:
     """The ``limit`` most expensive calls with query details.
-    ``orderBy().limit()`` plans as a per-partition top-k + merge."""
+    A per-partition top-k with a bounded merge (:func:`common.top_k`)."""
     j = with_history(usage, qh, as_of, days,
                      cols=("query_text", "start_time", "execution_time", "user_name",
                            "warehouse_name", "role_name"))
@@ -73,7 +73,7 @@ def top_expensive_queries(usage: DataFrame, qh: DataFrame, as_of, days: int = 7,
                    "user_name", "warehouse_name", "role_name")
     order = [F.desc_nulls_last("token_credits")] + [F.asc_nulls_last(c) for c in out.columns
                                                     if c != "token_credits"]
-    return out.orderBy(*order).limit(limit)
+    return top_k(out, order, limit)
 
 
 def usage_by_user(usage: DataFrame, qh: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -175,9 +175,8 @@ def hourly_function_usage(usage_hourly: DataFrame, as_of, days: int = 7) -> Data
 def top_query_usage(usage: DataFrame, limit: int = 1000) -> DataFrame:
     """The ``limit`` largest calls by credits (S4; no time filter)."""
     out = usage.select("query_id", "function_name", "model_name", "tokens", "token_credits")
-    return (out.orderBy(F.desc_nulls_last("token_credits"),
-                        *[F.asc_nulls_last(c) for c in out.columns if c != "token_credits"])
-               .limit(limit))
+    return top_k(out, [F.desc_nulls_last("token_credits"),
+                       *[F.asc_nulls_last(c) for c in out.columns if c != "token_credits"]], limit)
 
 
 def search_usage(search_daily: DataFrame, as_of, days: int = 30) -> DataFrame:
