@@ -150,11 +150,11 @@ def service_sources(t: TestData) -> list:
     def functions():
         return t.fn_usage().join(t.fn_history(), "query_id", "inner")
     return [
-        R.SourceSpec("Cortex Functions", functions, "token_credits",
+        R.SourceSpec("AI Functions", functions, "token_credits",
                      where=lambda df: df.function_name != "AI_EXTRACT"),
-        R.SourceSpec("Cortex Analyst", lambda: t.service("analyst"), "credits"),
+        R.SourceSpec("Analyst", lambda: t.service("analyst"), "credits"),
         R.SourceSpec("Document Processing", lambda: t.service("docproc"), "credits_used"),
-        R.SourceSpec("Cortex Search", lambda: t.service("search"), "credits"),
+        R.SourceSpec("Search", lambda: t.service("search"), "credits"),
         R.SourceSpec("Fine Tuning", lambda: t.service("finetune"), "token_credits"),
     ]
 
@@ -162,11 +162,11 @@ def service_sources(t: TestData) -> list:
 _EV30 = X.ev_lookback(30)
 _RECON = X.with_(X.METERING, X.FN_USAGE, X.service_sql("analyst"), X.service_sql("docproc"),
                  X.service_sql("search"), X.service_sql("finetune"), f"""s AS (
-  SELECT 'Cortex Functions' AS service, COALESCE(SUM(e8), 0) AS e8 FROM fn_usage
+  SELECT 'AI Functions' AS service, COALESCE(SUM(e8), 0) AS e8 FROM fn_usage
     WHERE start_time >= {_EV30} AND function_name <> 'AI_EXTRACT'
-  UNION ALL SELECT 'Cortex Analyst', COALESCE(SUM(e8), 0) FROM analyst WHERE start_time >= {_EV30}
+  UNION ALL SELECT 'Analyst', COALESCE(SUM(e8), 0) FROM analyst WHERE start_time >= {_EV30}
   UNION ALL SELECT 'Document Processing', COALESCE(SUM(e8), 0) FROM docproc WHERE start_time >= {_EV30}
-  UNION ALL SELECT 'Cortex Search', COALESCE(SUM(e8), 0) FROM search WHERE start_time >= {_EV30}
+  UNION ALL SELECT 'Search', COALESCE(SUM(e8), 0) FROM search WHERE start_time >= {_EV30}
   UNION ALL SELECT 'Fine Tuning', COALESCE(SUM(e8), 0) FROM finetune WHERE start_time >= {_EV30}),
 b AS (SELECT COALESCE(SUM(e8), 0) AS b FROM metering
       WHERE start_time >= {_EV30} AND service_type = 'AI_SERVICES'),
