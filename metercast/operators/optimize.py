@@ -41,7 +41,8 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
                               rule2_pct: float = RULE2_SAVINGS_PCT) -> DataFrame:
     """Both rules in one pass over the grouped rows: each group meets the
     broadcast rates of its own and of the cheap model, and emits 0, 1 or 2
-    rule rows through ``explode`` (no second scan, no union of two plans)."""
+    rule rows through ``explode`` (no second scan, no union of two plans).
+    Order: the groups by credits (descending), rule 1 before rule 2."""
     rates = dimension(catalog.select(F.col("model").alias("model_name"),
                                        F.col("input_credits").alias("current_rate")), of=catalog)
     cheap_rate = dimension(catalog.where(F.col("model") == cheap)
@@ -69,7 +70,7 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
                         F.col("_r.potential_savings").alias("potential_savings"),
                         F.col("_r.savings_pct").alias("savings_pct"),
                         F.lit("model_switch").alias("type"))
-              .orderBy(F.desc("potential_savings"), "rule", "current", "function"))
+              .orderBy(F.desc("current_credits"), "current", "function", "rule"))
 
 
 def total_savings(opps: DataFrame, price: float = 3.0) -> DataFrame:
