@@ -152,3 +152,19 @@ def test_score_texts_chunks_calls(spark, catalog):
     sizes = [int(r.response.split(":")[0]) for r in rows]
     assert max(sizes) == 7 and sorted(set(sizes)) == [1, 7]      # 50 = 7 x 7 + 1
     assert {r.doc_id: r.response for r in rows}[9] == "7:10"
+
+
+def test_scored_runs_feed_comparison_and_projection(spark, catalog):
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    def factory():                      # replies independent of the model
+        return lambda model, prompts: [p[:12] for p in prompts]
+    scored = SC.score_texts(docs, "text", "doc_id", ["mistral-7b", "llama3.1-70b"], factory, catalog)
+    runs = RU.summarize_runs(scored, catalog, latency_col="latency_s")
+    cmp = {r.model: r for r in RU.compare_runs(runs).collect()}
+    assert set(cmp) == {"mistral-7b", "llama3.1-70b"} and all(r.rows == 30 for r in cmp.values())
+    # same tokens on both models, so the cost ratio is the rate ratio (0.29 / 0.05)
+    assert cmp["llama3.1-70b"].cost / cmp["mistral-7b"].cost == pytest.approx(5.8)
+    proj = RU.project_scale(runs).collect()
+    assert len(proj) == 2 * len(RU.SCALE_POINTS)
+    best = {r.rows: r.cheapest_model for r in RU.best_per_scale(RU.project_scale(runs)).collect()}
+    assert set(best.values()) == {"mistral-7b"}
