@@ -20,7 +20,7 @@ MA_DAYS = 90
 
 @register("model_analysis", X.with_(X.USAGE, X.QH) + f"""
 SELECT COALESCE(NULLIF(model_name, ''), 'Specialized Function') AS model_name, function_name,
-       COUNT(*) AS invocations, SUM(tokens) AS total_tokens,
+       COUNT(*) AS invocations, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
        {X.SUM_CREDITS} AS total_credits,
        CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS avg_tokens_per_call,
        ({X.SUM_CREDITS}) / COUNT(*) AS avg_credits_per_call
@@ -33,7 +33,7 @@ def q_model_analysis(spark, sf_dir):
 
 _GROUPS = X.with_(X.USAGE, X.QH, f"""g AS (
 SELECT COALESCE(NULLIF(model_name, ''), 'Specialized Function') AS model_name, function_name,
-       COUNT(*) AS invocations, SUM(tokens) AS total_tokens, SUM(tokens * rate_centi) AS e8
+       COUNT(*) AS invocations, CAST(SUM(tokens) AS BIGINT) AS total_tokens, SUM(tokens * rate_centi) AS e8
 {X.joined(MA_DAYS)} GROUP BY 1, 2)""")
 
 
@@ -90,7 +90,7 @@ def q_top_expensive_queries(spark, sf_dir):
 
 
 @register("usage_by_user", X.with_(X.USAGE, X.QH) + f"""
-SELECT user_name, model_name, COUNT(*) AS query_count, SUM(tokens) AS total_tokens,
+SELECT user_name, model_name, COUNT(*) AS query_count, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
        {X.SUM_CREDITS} AS total_credits
 {X.joined(USER_DAYS, ', user_name')}
 GROUP BY user_name, model_name""")
@@ -100,7 +100,7 @@ def q_usage_by_user(spark, sf_dir):
 
 
 @register("usage_by_function", X.with_(X.USAGE, X.QH) + f"""
-SELECT function_name, model_name, COUNT(*) AS invocation_count, SUM(tokens) AS total_tokens,
+SELECT function_name, model_name, COUNT(*) AS invocation_count, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
        {X.SUM_CREDITS} AS total_credits,
        CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS avg_tokens_per_call
 {X.joined(USER_DAYS)}
@@ -123,7 +123,7 @@ def q_top_query_usage(spark, sf_dir):
 SELECT model_name, function_name, call_count, total_tokens, total_credits,
        total_tokens / CASE WHEN total_credits = 0 THEN 1.0 ELSE total_credits END AS efficiency
 FROM (SELECT COALESCE(NULLIF(model_name, ''), 'Specialized') AS model_name, function_name,
-             COUNT(*) AS call_count, SUM(tokens) AS total_tokens, {X.SUM_CREDITS} AS total_credits
+             COUNT(*) AS call_count, CAST(SUM(tokens) AS BIGINT) AS total_tokens, {X.SUM_CREDITS} AS total_credits
       {X.joined(MA_DAYS)} GROUP BY 1, 2) g
 WHERE total_credits > 0.001
 ORDER BY total_credits DESC, model_name, function_name
@@ -166,7 +166,7 @@ def q_opportunities(spark, sf_dir):
 
 @register("spend_by_provider_tier", X.with_(X.USAGE, X.QH, X.CAT) + f"""
 SELECT provider, category AS tier, supports_vision, available, COUNT(*) AS calls,
-       SUM(tokens) AS total_tokens, {X.SUM_CREDITS} AS total_credits,
+       CAST(SUM(tokens) AS BIGINT) AS total_tokens, {X.SUM_CREDITS} AS total_credits,
        COUNT(DISTINCT model_name) AS models
 {X.joined(MA_DAYS)} LEFT JOIN cat ON cat.model = u.model_name
 GROUP BY provider, category, supports_vision, available""")
@@ -213,7 +213,7 @@ def q_models_for_task_literal(spark, sf_dir):
 
 
 @register("function_rate_cost", X.with_(X.USAGE, f"rates AS (SELECT * FROM {CAT.rates_values_sql('function', 'r')})") + """
-SELECT function_name, COUNT(*) AS calls, SUM(tokens) AS tokens,
+SELECT function_name, COUNT(*) AS calls, CAST(SUM(tokens) AS BIGINT) AS tokens,
        MAX(credits_per_unit) AS rate_credits_per_1m,
        CAST(SUM(tokens * rates.rate_centi) AS DOUBLE) / 1e8 AS rate_credits
 FROM usage LEFT JOIN rates ON rates.name = usage.function_name
