@@ -65,3 +65,29 @@ def test_batch_window_rule_edges(spark):
     assert rows[2].alert and rows[2].used == pytest.approx(10.5)
     with pytest.raises(KeyError):
         BM.windowed_spend(met, "monthly")
+
+
+def test_late_event_beyond_watermark_is_dropped(spark):
+    from datetime import datetime
+    root = tempfile.mkdtemp(prefix="metercast-late-")
+    src = os.path.join(root, "feed")
+    schema = "start_time timestamp_ntz, service_type string, credits_used double"
+    on_time = [(datetime(2024, 1, 10, h), "AI_SERVICES", 1.0) for h in range(0, 24, 6)]
+    spark.createDataFrame(on_time, schema).coalesce(1).write.mode("append").parquet(src)
+    # a day later the feed has moved on; then an event from 9 days before arrives
+    spark.createDataFrame([(datetime(2024, 1, 11, 12), "AI_SERVICES", 2.0)], schema) \
+        .coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(datetime(2024, 1, 2, 12), "AI_SERVICES", 50.0)], schema) \
+        .coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    limits = spark.createDataFrame([("daily", 3.0, True)], "period string, `limit` double, enabled boolean")
+    out = os.path.join(root, "alerts")
+    q = BM.start_budget_monitor(stream, limits, out, checkpoint_location=os.path.join(root, "ckpt"),
+                                trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = {r.window_start.day: r.used for r in spark.read.parquet(out).collect()}
+    assert got == {10: 4.0, 11: 2.0}          # the 2 Jan event is behind the watermark
+    batch = {r.window_start.day for r in BM.budget_windows(
+        spark.read.parquet(src), limits, periods=("daily",), watermark=None).collect()}
+    assert batch == {2, 10, 11}
