@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import money
-from .common import credit_e8, dimension, with_history
+from .common import DIM_MAX_ROWS, credit_e8, dimension, with_history
 
 
 # -- P11-P15 filters, T4, A22 ----------------------------------------------------
@@ -122,27 +122,32 @@ def models_for_task(tasks: DataFrame, catalog: DataFrame, keywords: DataFrame,
     t = tasks.select(F.col(task_col).alias("task")).where(F.col("task").isNotNull()).distinct()
     kw = dimension(keywords.select("task_category", "keyword"), of=keywords)
     cat_small = catalog.select("model", "pos", "input_credits", "best_for")
+    if not catalog.isLocal() and catalog.limit(DIM_MAX_ROWS + 1).count() > DIM_MAX_ROWS:
+        raise ValueError(f"price catalog has more than {DIM_MAX_ROWS} models")
+    # the catalog as one bounded array in (input price, catalog order): its
+    # first k entries are the fallback list (T4), all of it the literal match
+    ranked = catalog.agg(F.sort_array(F.collect_list(F.struct("input_credits", "pos", "model")))
+                         .alias("_all"))
+    ranked = ranked.select(F.transform("_all", lambda c: c["model"]).alias("_all"))
     # (task, category) with unmatched tasks kept (category NULL)
     tc = t.join(kw, F.lower(F.col("task")).contains(F.col("keyword")), "left") \
           .select("task", "task_category")
     if literal:
-        mc = cat_small.select("model").crossJoin(
-            keywords.select("task_category").distinct())
+        # any keyword in the task matches every model
+        per_task = tc.groupBy("task").agg(F.max(F.col("task_category").isNotNull()).alias("_hit"))
+        matched = F.when(F.col("_hit"), F.col("_all")).otherwise(F.array().cast("array<string>"))
     else:
         uc = cat_small.select("model", F.explode("best_for").alias("use_case"))
         mc = (uc.join(kw, F.lower(F.col("use_case")).contains(F.col("keyword")))
                 .select("model", "task_category").distinct())
-    tm = tc.join(dimension(mc, of=[catalog, keywords]), "task_category", "left")
-    per_task = tm.groupBy("task").agg(F.collect_set("model").alias("_matched"))
-    # the k cheapest models as one bounded array (fallback list, T4)
-    cheap = cheapest_models(catalog, k).agg(
-        F.sort_array(F.collect_list(F.struct("input_credits", "pos", "model"))).alias("_cheap"))
-    fb = F.size("_matched") == 0
-    # one row by construction (a global aggregate)
-    picked = per_task.crossJoin(F.broadcast(cheap)).select(
-        "task", fb.alias("fallback"),
-        F.when(fb, F.transform("_cheap", lambda c: c["model"])).otherwise(F.col("_matched"))
-         .alias("_models"))
+        tm = tc.join(dimension(mc, of=[catalog, keywords]), "task_category", "left")
+        per_task = tm.groupBy("task").agg(F.collect_set("model").alias("_matched"))
+        matched = F.col("_matched")
+    # ``ranked`` is one row by construction (a global aggregate)
+    j = per_task.crossJoin(F.broadcast(ranked))
+    fb = F.size(matched) == 0
+    picked = j.select("task", fb.alias("fallback"),
+                      F.when(fb, F.slice("_all", 1, k)).otherwise(matched).alias("_models"))
     r = (picked.select("task", "fallback", F.explode("_models").alias("model"))
                .join(dimension(cat_small.select("model", "pos", "input_credits"), of=catalog), "model"))
     w = Window.partitionBy("task").orderBy("input_credits", "pos")
