@@ -99,7 +99,7 @@ RESULTS = f"""results AS (
              CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_linenumber AS BIGINT) * 50 ELSE CAST(0 AS BIGINT) END AS output_tokens,
              CAST(CASE WHEN l_partkey % 50 <> 0 THEN l_suppkey % 100 + 1 ELSE 0 END AS BIGINT) AS latency_centi,
              CASE WHEN l_partkey % 50 <> 0 THEN 'success' ELSE 'error' END AS status
-      FROM lineitem WHERE l_partkey % 8 <> 0) b
+      FROM lineitem) b
     JOIN cat USING (model)) y)"""
 
 RUNS = """runs AS (
