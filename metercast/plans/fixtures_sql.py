@@ -39,6 +39,10 @@ QH = """qh AS (
          c_name AS user_name, o_orderpriority AS warehouse_name, c_mktsegment AS role_name
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 
+# events with the service type of their metering row
+EVENTS_CLASSIFIED = ("(SELECT *, CASE WHEN event_id % 5 = 4 THEN 'WAREHOUSE_METERING' "
+                     "ELSE 'AI_SERVICES' END AS service_type FROM events) ev")
+
 METERING = """metering AS (
   SELECT ts AS start_time,
          CASE WHEN event_id % 5 = 4 THEN 'WAREHOUSE_METERING' ELSE 'AI_SERVICES' END AS service_type,
@@ -67,19 +71,20 @@ USAGE_HOURLY = f"""usage_hourly AS (
 def service_sql(name: str) -> str:
     ev = dict((s, e) for e, s in td.SERVICE_OF_EVENT)[name]
     return (f"{name} AS (SELECT ts AS start_time, CAST(round(value * 100) AS BIGINT) * 1000000 AS e8 "
-            f"FROM events WHERE event_type = '{ev}' AND event_id % 5 <> 4)")
+            f"FROM {EVENTS_CLASSIFIED} WHERE event_type = '{ev}' AND service_type = 'AI_SERVICES')")
 
 
 FN_USAGE = """fn_usage AS (
   SELECT event_id AS query_id,
          CASE WHEN event_id % 7 = 5 THEN 'AI_EXTRACT' ELSE 'COMPLETE' END AS function_name,
          CAST(round(value * 100) AS BIGINT) * 1000000 AS e8, ts AS start_time
-  FROM events WHERE event_type = 'click' AND event_id % 5 <> 4)"""
+  FROM """ + EVENTS_CLASSIFIED + """ WHERE event_type = 'click' AND service_type = 'AI_SERVICES')"""
 
 SEARCH_DAILY = """search_daily AS (
   SELECT CAST(ts AS DATE) AS usage_date, COUNT(*) AS requests,
          CAST(SUM(CAST(round(value * 100) AS BIGINT) * 1000000) AS DOUBLE) / 1e8 AS credits
-  FROM events WHERE event_type = 'purchase' AND event_id % 5 <> 4 GROUP BY 1)"""
+  FROM """ + EVENTS_CLASSIFIED + """ WHERE event_type = 'purchase' AND service_type = 'AI_SERVICES'
+  GROUP BY 1)"""
 
 CAT = f"cat AS (SELECT * FROM {cat.catalog_values_sql('c')})"
 

@@ -121,7 +121,11 @@ class TestData:
 
     # -- metering and per-service facts (from events) -----------------------
     def _events(self) -> DataFrame:
-        return self.raw("events")
+        """Events with the service type of their metering row (FIXTURES.md §3)."""
+        return self.raw("events").withColumn(
+            "service_type",
+            F.when(F.pmod(F.col("event_id"), F.lit(5)) == 4, F.lit("WAREHOUSE_METERING"))
+             .otherwise(F.lit("AI_SERVICES")))
 
     def metering(self) -> DataFrame:
         """Hourly metering: start_time, service_type, credits_used (+ _e8)."""
@@ -130,8 +134,7 @@ class TestData:
         e8 = c * F.lit(money.E8 // 100)
         return e.select(
             F.col("ts").alias("start_time"),
-            F.when(F.pmod(F.col("event_id"), F.lit(5)) == 4, F.lit("WAREHOUSE_METERING"))
-             .otherwise(F.lit("AI_SERVICES")).alias("service_type"),
+            F.col("service_type"),
             money.e8_to_credits(e8).alias("credits_used"),
             e8.alias("credits_used_e8"),
             F.col("event_type"),
@@ -176,7 +179,8 @@ class TestData:
 
     def _ai_events(self, event_type: str) -> DataFrame:
         e = self._events()
-        return e.where((F.col("event_type") == event_type) & (F.pmod(F.col("event_id"), F.lit(5)) != 4))
+        # the per-service facts are the AI_SERVICES metering rows, by event type
+        return e.where((F.col("event_type") == event_type) & (F.col("service_type") == "AI_SERVICES"))
 
     def fn_usage(self) -> DataFrame:
         """Per-call function usage of the service facts (click events)."""
