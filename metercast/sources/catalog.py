@@ -115,18 +115,16 @@ DEFAULT_CREDIT_PRICE = 3.0
 
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
-    """A small fixed table as a local relation (built from pandas through
-    Arrow), so its size is known without running a job and filters or
-    projections on it fold on the driver. Falls back to a plain
-    ``createDataFrame`` when Arrow conversion is disabled."""
-    import pandas as pd
+    """A small fixed table as a local relation (built from an Arrow table,
+    whatever the session's Arrow setting), so its size is known without
+    running a job and filters or projections on it fold on the driver."""
+    import pyarrow as pa
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    pdf = pd.DataFrame.from_records(rows, columns=st.fieldNames()) if rows else \
-        pd.DataFrame({n: [] for n in st.fieldNames()})
-    try:
-        return spark.createDataFrame(pdf, st)
-    except Exception:  # noqa: BLE001 - arrow disabled or unavailable
-        return spark.createDataFrame(rows, st)
+    names = st.fieldNames()
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}) if rows else None
+    if table is None:
+        return spark.createDataFrame([], st)
+    return spark.createDataFrame(table, st)
 
 
 def _centi(s: str) -> int:
