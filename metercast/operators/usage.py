@@ -56,6 +56,30 @@ def rollup(groups: DataFrame, by: list[str]) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("total_credits"), *by)
 
 
+def usage_rollups(usage: DataFrame, qh: DataFrame, as_of, days: int = 30,
+                  label: str = "Specialized Function") -> DataFrame:
+    """All four levels of the model & function analysis in one pass (A3-A6):
+    (model, function), model, function and the grand total, as grouping
+    sets over one scan and one shuffle. ``level`` names the grouping;
+    rolled-up columns are NULL."""
+    j = with_history(usage, qh, as_of, days)
+    j = j.select(model_label("model_name", label).alias("model_name"), "function_name", "tokens",
+                 credit_e8(j, "token_credits").alias("_e8"))
+    m, f = F.col("model_name"), F.col("function_name")
+    g = j.groupingSets([[m, f], [m], [f], []], m, f).agg(
+        F.grouping_id(m, f).alias("_gid"),
+        F.count(F.lit(1)).alias("invocations"),
+        F.sum("tokens").alias("total_tokens"),
+        money.credits_sum("_e8").alias("total_credits"))
+    level = (F.when(F.col("_gid") == 0, F.lit("model_function"))
+              .when(F.col("_gid") == 1, F.lit("model"))
+              .when(F.col("_gid") == 2, F.lit("function"))
+              .otherwise(F.lit("total")))
+    return g.select(level.alias("level"), "model_name", "function_name", "invocations",
+                    "total_tokens", "total_credits",
+                    (F.col("total_tokens").cast("double") / F.col("invocations")).alias("avg_tokens_per_call"))
+
+
 # -- C15 / C16 / C17 ----------------------------------------------------------
 
 def top_expensive_queries(usage: DataFrame, qh: DataFrame, as_of, days: int = 7,

@@ -231,3 +231,19 @@ SELECT CAST(round(CAST(COALESCE(SUM(potential_savings), 0.0) AS DECIMAL(38,10)),
 FROM o""")
 def q_opportunity_savings_total(spark, sf_dir):
     return O.total_savings(q_opportunities(spark, sf_dir))
+
+
+# --- A3-A6 in one pass: grouping sets ---------------------------------------------------
+
+@register("usage_rollups", X.with_(X.USAGE, X.QH) + f"""
+SELECT CASE grouping(model_name, function_name) WHEN 0 THEN 'model_function' WHEN 1 THEN 'model'
+            WHEN 2 THEN 'function' ELSE 'total' END AS level,
+       model_name, function_name, COUNT(*) AS invocations, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
+       {X.SUM_CREDITS} AS total_credits, CAST(SUM(tokens) AS DOUBLE) / COUNT(*) AS avg_tokens_per_call
+FROM (SELECT COALESCE(NULLIF(model_name, ''), 'Specialized Function') AS model_name, function_name,
+             tokens, rate_centi
+      {X.joined(MA_DAYS)}) j
+GROUP BY GROUPING SETS ((model_name, function_name), (model_name), (function_name), ())""")
+def q_usage_rollups(spark, sf_dir):
+    t = td(spark, sf_dir)
+    return U.usage_rollups(t.usage(), t.query_history(users=False), AS_OF_ORDERS, MA_DAYS)

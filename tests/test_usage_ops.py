@@ -131,3 +131,19 @@ def test_null_function_dropped_by_not_equal(spark):
                                   "start_time timestamp_ntz, function_name string, token_credits double")
     src = [R.SourceSpec("F", lambda: facts, "token_credits", where=lambda d: d.function_name != "AI_EXTRACT")]
     assert R.reconcile_services(src, "2024-01-30 00:00:00", 30).collect()[0].credits == 2.0
+
+
+def test_grouping_set_levels_add_up(spark):
+    from metercast.operators import usage as U
+    from metercast.sources.testdata import AS_OF_ORDERS, TestData
+    t = TestData(spark, SF_SMALL)
+    rows = U.usage_rollups(t.usage(), t.query_history(users=False), AS_OF_ORDERS, 90).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.level, []).append(r)
+    total = by["total"][0]
+    for level in ("model_function", "model", "function"):
+        assert sum(r.invocations for r in by[level]) == total.invocations
+        assert sum(r.total_tokens for r in by[level]) == total.total_tokens
+        assert abs(sum(r.total_credits for r in by[level]) - total.total_credits) < 1e-6
+    assert all(r.function_name is None for r in by["model"])
