@@ -63,3 +63,18 @@ def write_usage_log(df: DataFrame, path: str, time_col: str = "start_time",
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(LOG_DATE)
         .option("maxRecordsPerFile", max_records_per_file)
         .parquet(path))
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None,
+                   mode: str = "overwrite") -> None:
+    """Save ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Two tables bucketed the same way on the join key (the usage log and the
+    query history on ``query_id``) join bucket by bucket: the sort-merge join
+    reads co-located files and neither side is shuffled. ``path`` places the
+    files (a shared folder on a cluster); the catalog keeps the bucketing.
+    """
+    w = df.write.mode(mode).format("parquet").bucketBy(int(buckets), key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

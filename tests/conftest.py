@@ -14,7 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from metercast.session import get_session
     s = get_session("local[4]", app="metercast-tests", shuffle_partitions=4,
-                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="metercast-test-ckpt-")})
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="metercast-test-ckpt-"),
+                           "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="metercast-test-wh-")})
     yield s
     s.stop()
 

@@ -131,3 +131,27 @@ def test_usage_log_reload_replaces_only_its_days(spark):
     SK.write_usage_log(jan2, path)
     back = RD.read_usage(spark, path, "metering")
     assert back.count() == met.count()
+
+
+def test_bucketed_usage_and_history_join_without_shuffle(spark):
+    from metercast.sources.testdata import AS_OF_ORDERS, TestData
+    from .conftest import SF_SMALL
+    t = TestData(spark, SF_SMALL)
+    usage = t.usage().select("query_id", "function_name", "model_name", "tokens", "token_credits",
+                             "token_credits_e8")
+    qh = t.query_history(users=False)
+    SK.write_bucketed(usage, "mc_usage_b", "query_id", 8, path=_tmp("usage_b"))
+    SK.write_bucketed(qh, "mc_qh_b", "query_id", 8, path=_tmp("qh_b"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = U.model_analysis(spark.table("mc_usage_b"), spark.table("mc_qh_b"), AS_OF_ORDERS, 90)
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert "Exchange hashpartitioning(query_id" not in plan     # co-located buckets
+        want = U.model_analysis(usage, qh, AS_OF_ORDERS, 90).collect()
+        assert sorted(map(tuple, b.collect())) == sorted(map(tuple, want))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS mc_usage_b")
+        spark.sql("DROP TABLE IF EXISTS mc_qh_b")
