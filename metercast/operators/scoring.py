@@ -22,15 +22,19 @@ from .costing import with_cost
 # scorer_factory() -> scorer(model, prompts: list[str]) -> list[str]
 Scorer = Callable[[str, list], list]
 
-_OUT = T.StructType([
-    T.StructField("key", T.LongType()),
+_OUT_FIELDS = [
     T.StructField("text_tokens", T.LongType()),
     T.StructField("model", T.StringType()),
     T.StructField("prompt_chars", T.LongType()),
     T.StructField("response", T.StringType()),
     T.StructField("latency_s", T.DoubleType()),
     T.StructField("status", T.StringType()),
-])
+]
+
+
+def _out_schema(key_type: T.DataType) -> T.StructType:
+    """Scored rows: the source key (its own type) plus the scorer's output."""
+    return T.StructType([T.StructField("key", key_type)] + _OUT_FIELDS)
 
 
 def _score_chunk(scorer: Scorer, model: str, prompts: list) -> tuple[list, list, list]:
@@ -71,7 +75,7 @@ def _score_partition(models: list[str], template: str | None, scorer_factory: Ca
                 for model in models:
                     resp, lat, st = _score_chunk(scorer, model, prompts)
                     yield pd.DataFrame({
-                        "key": part["key"].astype("int64").values,
+                        "key": part["key"].values,
                         "text_tokens": part["text_tokens"].astype("int64").values, "model": model,
                         "prompt_chars": [len(p) for p in prompts],
                         "response": resp, "latency_s": lat, "status": st})
@@ -98,10 +102,11 @@ def score_texts(df: DataFrame, text_col: str, key_col: str, models: list[str],
     are cut into such chunks); it is created once per task.
     """
     src = df.where(F.col(text_col).isNotNull()).select(
-        F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"),
+        F.col(key_col).alias("key"), F.col(text_col).alias("text"),
         tokens.est_input_tokens(F.col(text_col)).alias("text_tokens"))
     scored = src.mapInPandas(
-        _score_partition(list(models), template, scorer_factory, int(batch_size)), _OUT)
+        _score_partition(list(models), template, scorer_factory, int(batch_size)),
+        _out_schema(df.schema[key_col].dataType))
     if checkpoint:
         from ..session import materialize
         scored = materialize(scored)

@@ -168,3 +168,10 @@ def test_scored_runs_feed_comparison_and_projection(spark, catalog):
     assert len(proj) == 2 * len(RU.SCALE_POINTS)
     best = {r.rows: r.cheapest_model for r in RU.best_per_scale(RU.project_scale(runs)).collect()}
     assert set(best.values()) == {"mistral-7b"}
+
+
+def test_score_texts_keeps_string_keys(spark, catalog):
+    docs = spark.createDataFrame([("q-1", "First. Second."), ("q-2", "Other")], "query_id string, text string")
+    out = SC.score_texts(docs, "text", "query_id", ["mistral-7b"], SC.echo_scorer_factory(), catalog)
+    assert dict(out.dtypes)["query_id"] == "string"
+    assert sorted(r.query_id for r in out.collect()) == ["q-1", "q-2"]
