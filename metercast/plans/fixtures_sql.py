@@ -91,12 +91,12 @@ CAT = f"cat AS (SELECT * FROM {cat.catalog_values_sql('c')})"
 RESULTS = f"""results AS (
   SELECT test, model, function, response, input_tokens, output_tokens,
          latency_centi / 100.0 AS latency,
-         CAST(e10 AS DOUBLE) / 1e10 AS cost, status, latency_centi, e10
+         CAST(e10 AS DOUBLE) / 1e10 AS cost, status, latency_centi, e10, session_id
   FROM (
     SELECT b.*, CASE WHEN status = 'success'
              THEN (input_tokens * in_centi + output_tokens * out_centi) * 300 ELSE 0 END AS e10
     FROM (
-      SELECT l_returnflag || l_linestatus AS test,
+      SELECT l_orderkey AS session_id, l_returnflag || l_linestatus AS test,
              {_case('l_partkey % 8', td.MOD8_MODELS)} AS model,
              {_case('l_linenumber', td.LINE_FUNCTIONS)} AS function,
              l_linestatus AS response,

@@ -246,3 +246,14 @@ FROM results JOIN cat USING (model)""")
 def q_result_cost_records(spark, sf_dir):
     r = td(spark, sf_dir).results().select("test", "function", "model", "input_tokens", "output_tokens")
     return C.with_cost(r, CAT.load_catalog(spark), strict=True)
+
+
+# --- U4 nested sessions flattened ----------------------------------------------------------
+
+@register("session_results", _RES + """
+SELECT 'session ' || CAST(session_id AS VARCHAR) AS test,
+       min(function) OVER (PARTITION BY session_id) AS test_type,
+       model, function, response, output_tokens, latency, cost, status
+FROM results""")
+def q_session_results(spark, sf_dir):
+    return RU.flatten_sessions(td(spark, sf_dir).sessions())

@@ -233,6 +233,7 @@ class TestData:
         out_tok = F.when(ok, F.col("l_linenumber").cast("long") * 50).otherwise(F.lit(0).cast("long"))
         lat = F.when(ok, F.pmod(F.col("l_suppkey"), F.lit(100)) + 1).otherwise(F.lit(0)).cast("long")
         base = li.select(
+            F.col("l_orderkey").alias("session_id"),
             F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("test"),
             model_of(F.col("l_partkey")).alias("model"),
             _case(F.col("l_linenumber"), LINE_FUNCTIONS).alias("function"),
@@ -248,7 +249,21 @@ class TestData:
                 .select("test", "model", "function", "response", "input_tokens", "output_tokens",
                         (F.col("latency_centi") / F.lit(100.0)).alias("latency"),
                         money.e10_to_usd(e10).alias("cost"),
-                        "status", "latency_centi", e10.alias("cost_e10")))
+                        "status", "latency_centi", e10.alias("cost_e10"), "session_id"))
+
+    def sessions(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
+        """Nested test sessions (FIXTURES.md ``sessions``): one per order,
+        holding that order's results (at most 7), with its name, test type,
+        models and input tokens."""
+        r = self.results(price)
+        g = r.groupBy("session_id").agg(
+            F.min("function").alias("test_type"),
+            F.array_sort(F.collect_set("model")).alias("models"),
+            F.sum("input_tokens").alias("input_tokens"),
+            F.collect_list(F.struct("model", "function", "response", "output_tokens", "latency",
+                                    "cost", "status")).alias("results"))
+        return g.select(F.concat(F.lit("session "), F.col("session_id").cast("string")).alias("name"),
+                        "test_type", "models", "input_tokens", "results")
 
     def runs(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """One run per model over the successful results."""
