@@ -82,16 +82,16 @@ def q_price_spread_by_lang(spark, sf_dir):
 
 # --- C20 request-log cost, C2, C3, T4, P15 ----------------------------------------------
 
-_CONV = X.with_(X.CAT, """conv AS (
+_CONV_CTE = """conv AS (
   SELECT conv_id, COUNT(*) AS turns,
          CAST(SUM(CASE WHEN role <> 'assistant' THEN greatest(1, length(coalesce(text, '')) // 4) ELSE 0 END) AS BIGINT) AS input_tokens,
          CAST(SUM(CASE WHEN role = 'assistant' THEN coalesce(length(text) // 4, 0) ELSE 0 END) AS BIGINT) AS output_tokens
-  FROM conversations GROUP BY conv_id)""")
-_CONV_COST = _CONV.rstrip("\n") + f""",
-cc AS (SELECT conv_id, turns, model, pos, input_tokens, output_tokens,
-              CAST({X.E8_SQL} * 300 AS DOUBLE) / 1e10 AS cost, {X.ROUND2_SQL} AS usd
-       FROM conv CROSS JOIN cat)
-"""
+  FROM conversations GROUP BY conv_id)"""
+_CONV = X.with_(X.CAT, _CONV_CTE)
+_CONV_COST = X.with_(X.CAT, _CONV_CTE, f"""cc AS (
+  SELECT conv_id, turns, model, pos, input_tokens, output_tokens,
+         CAST({X.E8_SQL} * 300 AS DOUBLE) / 1e10 AS cost, {X.ROUND2_SQL} AS usd
+  FROM conv CROSS JOIN cat)""")
 
 
 @register("request_cost_by_model", _CONV + f"""
@@ -129,16 +129,19 @@ def q_compare_models(spark, sf_dir):
     return C.compare_models(per, CAT.load_catalog(spark))
 
 
-@register("cost_calculator", _CONV + f"""
-, w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv),
-c AS (SELECT conv_id, model, pos, {X.cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN cat),
-lo AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd, total_cost_usd_raw, pos) = 1),
-hi AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)
+@register("cost_calculator", X.with_(
+    X.CAT, _CONV_CTE,
+    "w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv)",
+    f"c AS (SELECT conv_id, model, pos, {X.cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN cat)",
+    """lo AS (SELECT * FROM c QUALIFY row_number() OVER (
+      PARTITION BY conv_id ORDER BY total_cost_usd, total_cost_usd_raw, pos) = 1)""",
+    """hi AS (SELECT * FROM c QUALIFY row_number() OVER (
+      PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)""") + """
 SELECT conv_id AS work_id, CAST(22 AS BIGINT) AS n_models, lo.model AS cheapest_model, lo.total_cost_usd AS cheapest_cost_usd,
        hi.model AS most_expensive_model, hi.total_cost_usd AS most_expensive_cost_usd,
        hi.total_cost_usd - lo.total_cost_usd AS savings_usd,
        CASE WHEN hi.total_cost_usd > 0 THEN (hi.total_cost_usd - lo.total_cost_usd) / hi.total_cost_usd * 100.0 ELSE 0.0 END AS savings_pct
-FROM lo JOIN hi USING (conv_id)""".replace("\n, w AS", ", w AS"))
+FROM lo JOIN hi USING (conv_id)""")
 def q_cost_calculator(spark, sf_dir):
     from pyspark.sql import functions as F
     per = C.request_tokens(td(spark, sf_dir).conversations())
@@ -149,12 +152,12 @@ def q_cost_calculator(spark, sf_dir):
     return C.cost_calculator(work, CAT.load_catalog(spark))
 
 
-@register("request_cost_by_named_tier", _CONV + f"""
-, tiers AS (SELECT * FROM {CAT.tiers_values_sql('t')})
+@register("request_cost_by_named_tier", X.with_(
+    X.CAT, _CONV_CTE, f"tiers AS (SELECT * FROM {CAT.tiers_values_sql('t')})") + f"""
 SELECT tier, model, requests, input_tokens, output_tokens, {X.cost_sql(X.E8_SQL)}
 FROM (SELECT COUNT(*) AS requests, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
              CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM conv) g
-CROSS JOIN cat JOIN tiers USING (model)""".replace("\n, tiers AS", ", tiers AS"))
+CROSS JOIN cat JOIN tiers USING (model)""")
 def q_request_cost_by_named_tier(spark, sf_dir):
     return C.named_tier_costs(td(spark, sf_dir).conversations(), CAT.load_catalog(spark),
                               CAT.load_named_tiers(spark))

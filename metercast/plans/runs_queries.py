@@ -17,16 +17,15 @@ from .registry import register, td
 
 
 RUN_MODELS = [m for _k, m in MOD8_MODELS if m]
-_RUNS = X.with_(X.CAT, X.RESULTS, X.RUNS)
+_RUN_CTES = [X.CAT, X.RESULTS, X.RUNS]
+_RUNS = X.with_(*_RUN_CTES)
 _PTS = ", ".join(f"(CAST({p} AS BIGINT))" for p in RU.SCALE_POINTS)
-_PROJ = _RUNS.rstrip("\n") + f""",
-proj AS (
+_PROJ = X.with_(*_RUN_CTES, f"""proj AS (
   SELECT model, p.rows,
          CAST(floor(CAST(input_tokens + output_tokens AS DOUBLE) / r.rows * p.rows) AS BIGINT) AS est_tokens,
          total_cost / r.rows * p.rows AS est_cost,
          time_seconds / r.rows * p.rows / 60.0 AS est_time_min
-  FROM runs r CROSS JOIN (VALUES {_PTS}) p(rows) WHERE r.rows > 0)
-"""
+  FROM runs r CROSS JOIN (VALUES {_PTS}) p(rows) WHERE r.rows > 0)""")
 
 
 def _runs(spark, sf_dir):
@@ -79,26 +78,25 @@ def q_best_per_scale(spark, sf_dir):
     return RU.best_per_scale(RU.project_scale(_runs(spark, sf_dir)))
 
 
-@register("project_to_table", _RUNS + """
-, t AS (SELECT model, n.table_rows, total_cost / rows * n.table_rows AS est_cost,
-              time_seconds / rows * n.table_rows / 60.0 AS est_time_min
-       FROM runs CROSS JOIN (SELECT COUNT(*) AS table_rows FROM documents WHERE text IS NOT NULL) n
-       WHERE rows > 0)
+@register("project_to_table", X.with_(*_RUN_CTES, """t AS (
+  SELECT model, n.table_rows, total_cost / rows * n.table_rows AS est_cost,
+         time_seconds / rows * n.table_rows / 60.0 AS est_time_min
+  FROM runs CROSS JOIN (SELECT COUNT(*) AS table_rows FROM documents WHERE text IS NOT NULL) n
+  WHERE rows > 0)""") + """
 SELECT model, table_rows, est_cost, est_time_min, mx - est_cost AS savings_vs_dearest,
        CASE WHEN mx > 0 THEN (mx - est_cost) / mx * 100.0 ELSE 0.0 END AS savings_pct
-FROM t CROSS JOIN (SELECT MAX(est_cost) AS mx FROM t) m""".replace("\n, t AS", ", t AS"))
+FROM t CROSS JOIN (SELECT MAX(est_cost) AS mx FROM t) m""")
 def q_project_to_table(spark, sf_dir):
     t = td(spark, sf_dir)
     return RU.project_to_table(t.runs(), t.texts(), "text")
 
 
 _BATCHES = ", ".join(f"(CAST({b} AS BIGINT))" for b in RU.DEFAULT_BATCHES)
-_SCALED = X.with_(X.CAT, X.RESULTS).rstrip("\n") + f""",
-scaled AS (
+_SCALED_CTE = f"""scaled AS (
   SELECT left(test, 20) AS test, model, function, b.rows, cost * b.rows AS total_cost,
          cost AS cost_per_row, e10 * b.rows AS e10
-  FROM results CROSS JOIN (VALUES {_BATCHES}) b(rows) WHERE status = 'success')
-"""
+  FROM results CROSS JOIN (VALUES {_BATCHES}) b(rows) WHERE status = 'success')"""
+_SCALED = X.with_(X.CAT, X.RESULTS, _SCALED_CTE)
 
 
 def _scaled(spark, sf_dir):
@@ -119,20 +117,25 @@ def q_scale_matrix(spark, sf_dir):
     return RU.scale_matrix(_scaled(spark, sf_dir))
 
 
-@register("savings_at_scale", _SCALED + """
-
-, sel AS (SELECT * FROM scaled WHERE rows = (SELECT COALESCE(MAX(CASE WHEN rows = 100000 THEN rows END), MAX(rows)) FROM scaled)),
-lo AS (SELECT * FROM sel ORDER BY e10, model, function, test LIMIT 1),
-hi AS (SELECT * FROM sel ORDER BY e10 DESC, model DESC, function DESC, test DESC LIMIT 1)
+@register("savings_at_scale", X.with_(
+    X.CAT, X.RESULTS, _SCALED_CTE,
+    """sel AS (SELECT * FROM scaled WHERE rows = (
+    SELECT COALESCE(MAX(CASE WHEN rows = 100000 THEN rows END), MAX(rows)) FROM scaled))""",
+    "lo AS (SELECT * FROM sel ORDER BY e10, model, function, test LIMIT 1)",
+    "hi AS (SELECT * FROM sel ORDER BY e10 DESC, model DESC, function DESC, test DESC LIMIT 1)") + """
 SELECT lo.rows, lo.model AS cheapest_model, CAST(lo.e10 AS DOUBLE) / 1e10 AS cheapest_cost,
        hi.model AS dearest_model, CAST(hi.e10 AS DOUBLE) / 1e10 AS dearest_cost,
        CAST(hi.e10 - lo.e10 AS DOUBLE) / 1e10 AS savings
-FROM lo CROSS JOIN hi""".replace("\n, sel AS", ", sel AS"))
+FROM lo CROSS JOIN hi""")
 def q_savings_at_scale(spark, sf_dir):
     return RU.savings_at_scale(_scaled(spark, sf_dir))
 
 
-_RES = X.with_(X.CAT, X.RESULTS)
+_RES_CTES = [X.CAT, X.RESULTS]
+_RES = X.with_(*_RES_CTES)
+_OK = "s AS (SELECT * FROM results WHERE status = 'success')"
+_FIRST_CHEAP = "c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1)"
+_FIRST_FAST = "l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)"
 
 
 @register("compare_all", _RES + """
@@ -151,28 +154,26 @@ def q_all_results(spark, sf_dir):
     return RU.results_table(td(spark, sf_dir).results())
 
 
-@register("winners", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success'),
-c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
-l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
+@register("winners", X.with_(*_RES_CTES, _OK, _FIRST_CHEAP, _FIRST_FAST) + """
 SELECT c.model AS cheapest_model, c.function AS cheapest_function, c.cost AS cheapest_cost,
        l.model AS fastest_model, l.function AS fastest_function, l.latency AS fastest_latency,
        (SELECT CAST(SUM(latency_centi) AS DOUBLE) / 100.0 / COUNT(*) FROM s) AS avg_latency,
        (SELECT COUNT(*) FROM s) AS runs
-FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
+FROM c CROSS JOIN l""")
 def q_winners(spark, sf_dir):
     return RU.winners(td(spark, sf_dir).results())
 
 
-@register("prompt_vs_builtin", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success' AND function IN ('SENTIMENT', 'SUMMARIZE')),
-u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10 FROM s
+@register("prompt_vs_builtin", X.with_(
+    *_RES_CTES,
+    "s AS (SELECT * FROM results WHERE status = 'success' AND function IN ('SENTIMENT', 'SUMMARIZE'))",
+    """u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10 FROM s
       UNION ALL
       SELECT function, 'builtin', model || ' (via ' || function || ')',
-             greatest(1, length(response) // 4), 1000000 FROM s)
+             greatest(1, length(response) // 4), 1000000 FROM s)""") + """
 SELECT function, variant, COUNT(*) AS runs, COUNT(DISTINCT model) AS models,
        CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost
-FROM u GROUP BY function, variant""".replace("\n, s AS", ", s AS"))
+FROM u GROUP BY function, variant""")
 def q_prompt_vs_builtin(spark, sf_dir):
     return RU.prompt_vs_builtin(td(spark, sf_dir).results())
 
@@ -207,7 +208,7 @@ def q_builtin_run_cost(spark, sf_dir):
     return RU.builtin_runs(td(spark, sf_dir).texts(), "text").drop("cost_e10")
 
 
-@register("run_comparison_with_builtin", _RUNS.rstrip("\n") + ",\n" + _BUILTIN + """
+@register("run_comparison_with_builtin", X.with_(*_RUN_CTES, _BUILTIN) + """
 SELECT model, rows, input_tokens, output_tokens, total_credits AS credits, total_cost AS cost, time_seconds,
        CASE WHEN time_seconds > 0 THEN CAST(input_tokens + output_tokens AS DOUBLE) / time_seconds
             ELSE 0.0 END AS tokens_per_sec
@@ -223,14 +224,11 @@ def q_run_comparison_with_builtin(spark, sf_dir):
 # --- S17 export summary (flattened) --------------------------------------------------
 
 
-@register("export_summary", _RES + """
-, s AS (SELECT * FROM results WHERE status = 'success'),
-c AS (SELECT * FROM s ORDER BY cost, model, function, test LIMIT 1),
-l AS (SELECT * FROM s ORDER BY latency, model, function, test LIMIT 1)
+@register("export_summary", X.with_(*_RES_CTES, _OK, _FIRST_CHEAP, _FIRST_FAST) + """
 SELECT (SELECT COUNT(DISTINCT test) FROM results) AS tests, (SELECT COUNT(*) FROM s) AS results,
        c.model AS cheapest_model, c.cost AS cheapest_cost,
        l.model AS fastest_model, l.latency AS fastest_latency
-FROM c CROSS JOIN l""".replace("\n, s AS", ", s AS"))
+FROM c CROSS JOIN l""")
 def q_export_summary(spark, sf_dir):
     s = SK.results_summary(td(spark, sf_dir).results())
     return s.select("tests", "results", s.cheapest.model.alias("cheapest_model"),
