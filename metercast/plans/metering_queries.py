@@ -70,12 +70,13 @@ def q_search_usage(spark, sf_dir):
 def _forecast_sql(daily_cte: str, keys: str) -> str:
     k = f"{keys}, " if keys else ""
     grp = f"GROUP BY {keys}" if keys else ""
-    join = f"JOIN s USING ({keys})" if keys else "CROSS JOIN s"
+    # actual rows of the keys that have a forecast
+    has_forecast = f"SEMI JOIN s USING ({keys})" if keys else "WHERE EXISTS (SELECT 1 FROM s)"
     return X.with_(X.METERING, daily_cte, f"""s AS (
   SELECT {k}COUNT(*) AS n, arg_min(credits, usage_date) AS first_v,
          arg_max(credits, usage_date) AS last_v, max(usage_date) AS last_date
   FROM d {grp} HAVING COUNT(*) > 1)""") + f"""
-SELECT {k}usage_date, CAST(credits AS DOUBLE) AS credits, 'Actual' AS type FROM d {join.replace('JOIN s', 'SEMI JOIN s') if keys else 'WHERE EXISTS (SELECT 1 FROM s)'}
+SELECT {k}usage_date, CAST(credits AS DOUBLE) AS credits, 'Actual' AS type FROM d {has_forecast}
 UNION ALL
 SELECT {k}CAST(last_date + CAST(i + 1 AS INTEGER) AS DATE) AS usage_date,
        greatest(last_v + ((last_v - first_v) / CAST(n - 1 AS DOUBLE)) * CAST(i AS DOUBLE), 0.0) AS credits,
