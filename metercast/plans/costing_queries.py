@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import catalog_ops as CO
 from ..operators import costing as C
 from ..operators import text_stats as TS
 from ..sources import catalog as CAT
@@ -129,27 +132,43 @@ def q_compare_models(spark, sf_dir):
     return C.compare_models(per, CAT.load_catalog(spark))
 
 
-@register("cost_calculator", X.with_(
-    X.CAT, _CONV_CTE,
-    "w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv)",
-    f"c AS (SELECT conv_id, model, pos, {X.cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN cat)",
-    """lo AS (SELECT * FROM c QUALIFY row_number() OVER (
+def _calculator_sql(cat_filter: str, n_models: int) -> str:
+    return X.with_(
+        X.CAT, _CONV_CTE,
+        f"allowed AS (SELECT * FROM cat {cat_filter})",
+        "w AS (SELECT conv_id, input_tokens * 10000 AS input_tokens, output_tokens * 10000 AS output_tokens FROM conv)",
+        f"c AS (SELECT conv_id, model, pos, {X.cost9('input_tokens', 'output_tokens')} FROM w CROSS JOIN allowed)",
+        """lo AS (SELECT * FROM c QUALIFY row_number() OVER (
       PARTITION BY conv_id ORDER BY total_cost_usd, total_cost_usd_raw, pos) = 1)""",
-    """hi AS (SELECT * FROM c QUALIFY row_number() OVER (
-      PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)""") + """
-SELECT conv_id AS work_id, CAST(22 AS BIGINT) AS n_models, lo.model AS cheapest_model, lo.total_cost_usd AS cheapest_cost_usd,
+        """hi AS (SELECT * FROM c QUALIFY row_number() OVER (
+      PARTITION BY conv_id ORDER BY total_cost_usd DESC, total_cost_usd_raw DESC, pos DESC) = 1)""") + f"""
+SELECT conv_id AS work_id, CAST({n_models} AS BIGINT) AS n_models, lo.model AS cheapest_model,
+       lo.total_cost_usd AS cheapest_cost_usd,
        hi.model AS most_expensive_model, hi.total_cost_usd AS most_expensive_cost_usd,
        hi.total_cost_usd - lo.total_cost_usd AS savings_usd,
-       CASE WHEN hi.total_cost_usd > 0 THEN (hi.total_cost_usd - lo.total_cost_usd) / hi.total_cost_usd * 100.0 ELSE 0.0 END AS savings_pct
-FROM lo JOIN hi USING (conv_id)""")
+       CASE WHEN hi.total_cost_usd > 0 THEN (hi.total_cost_usd - lo.total_cost_usd) / hi.total_cost_usd * 100.0
+            ELSE 0.0 END AS savings_pct
+FROM lo JOIN hi USING (conv_id)"""
+
+
+@register("cost_calculator", _calculator_sql("", 22))
 def q_cost_calculator(spark, sf_dir):
-    from pyspark.sql import functions as F
+    return C.cost_calculator(_workloads(spark, sf_dir), CAT.load_catalog(spark))
+
+
+def _workloads(spark, sf_dir):
+    """Each conversation as a workload: its tokens per request, 10,000 requests."""
     per = C.request_tokens(td(spark, sf_dir).conversations())
-    work = per.select(F.col("conv_id").alias("work_id"),
+    return per.select(F.col("conv_id").alias("work_id"),
                       F.col("input_tokens").alias("input_tokens_per_request"),
                       F.col("output_tokens").alias("output_tokens_per_request"),
                       F.lit(10000).cast("long").alias("requests"))
-    return C.cost_calculator(work, CAT.load_catalog(spark))
+
+
+@register("cost_calculator_available", _calculator_sql("WHERE available", 11))
+def q_cost_calculator_available(spark, sf_dir):
+    """C3 on the models the account can use (P12): the catalog's available ones."""
+    return C.cost_calculator(_workloads(spark, sf_dir), CO.available_models(CAT.load_catalog(spark)))
 
 
 @register("request_cost_by_named_tier", X.with_(
