@@ -66,3 +66,14 @@ def test_display_formats(spark):
         D.usd("v").alias("u"), D.credits("v").alias("c"), D.pct("p").alias("p"),
         D.count("n").alias("n"), D.title("t").alias("t")).first()
     assert (r.u, r.c, r.p, r.n, r.t) == ("$1,234.57", "1,234.5678", "12.3%", "1,234,567", "Medium")
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2_000_000), st.sampled_from([3, 5, 29, 150, 750, 3750])),
+                min_size=1, max_size=200),
+       st.integers(1, 16))
+def test_exact_credit_sums_ignore_partitioning(spark, rows, parts):
+    from metercast.functions import money
+    df = spark.createDataFrame(rows, "tokens long, rate_centi long").repartition(parts)
+    got = df.agg(money.credits_sum(money.token_credits_e8("tokens", "rate_centi")).alias("c")).first().c
+    assert got == float(sum(t * r for t, r in rows)) / 1e8
