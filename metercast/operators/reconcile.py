@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, money
+from ..sources.catalog import local_frame
 from ..sources.readers import check_access  # noqa: F401  (S13, re-exported)
 from .common import credit_e8, since
 
@@ -31,33 +32,43 @@ class SourceSpec:
     notes: dict = field(default_factory=dict)
 
 
-def _service_total(spec: SourceSpec, as_of, days: int) -> DataFrame:
-    """One-row ``(service, credits_e8, status)``; a source that cannot be
-    resolved contributes 0 with status 'No Access' (S14). Only analysis
-    errors (missing table/column/path) are tolerated."""
-    schema = "service string, credits_e8 decimal(38,0), status string"
+def _source_facts(spec: SourceSpec, as_of, days: int) -> DataFrame | None:
+    """``(service, e8)`` rows of one source in the look-back window, or None
+    when the source cannot be resolved (S14). Only analysis errors (missing
+    table / column / path) are tolerated."""
     try:
         df = spec.load()
         df = df.where(since(df, spec.time_col, as_of, days))
         if spec.where is not None:
             df = df.where(spec.where(df))
-        agg = df.agg(F.coalesce(money.exact_sum(credit_e8(df, spec.credits_col)),
-                                F.lit(0).cast(money.SUM_TYPE)).alias("credits_e8"))
-        return agg.select(F.lit(spec.service).alias("service"), "credits_e8",
-                          F.lit(STATUS_OK).alias("status"))
+        return df.select(F.lit(spec.service).alias("service"),
+                         credit_e8(df, spec.credits_col).cast("long").alias("e8"))
     except AnalysisException:
-        spark = SparkSession.getActiveSession()
-        from decimal import Decimal
-        return spark.createDataFrame([(spec.service, Decimal(0), STATUS_NO_ACCESS)], schema)
+        return None
+
+
+def _facts(sources: list[SourceSpec], as_of, days: int) -> DataFrame:
+    """The rows of every resolvable source in one union, plus one zero-credit
+    marker per source that carries its status, so empty and missing sources
+    still get a row. All sources then share one aggregation stage."""
+    markers, facts = [], []
+    for spec in sources:
+        f = _source_facts(spec, as_of, days)
+        markers.append((spec.service, 0, STATUS_NO_ACCESS if f is None else STATUS_OK))
+        if f is not None:
+            facts.append(f.withColumn("status", F.lit(None).cast("string")))
+    spark = SparkSession.getActiveSession()
+    out = local_frame(spark, markers, "service string, e8 long, status string")
+    for f in facts:
+        out = out.unionByName(f)
+    return out
 
 
 def service_totals(sources: list[SourceSpec], as_of, days: int = 30) -> DataFrame:
-    """Per-service credits (U1): a union of one-row aggregates."""
-    parts = [_service_total(s, as_of, days) for s in sources]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per-service credits and status (U1): one grouped aggregate over the
+    union of the sources' rows (partial sums per task, one shuffle)."""
+    return _facts(sources, as_of, days).groupBy("service").agg(
+        money.exact_sum("e8").alias("credits_e8"), F.max("status").alias("status"))
 
 
 def baseline(metering: DataFrame, as_of, days: int = 30,
@@ -81,19 +92,21 @@ def reconcile(metering: DataFrame, sources: list[SourceSpec], as_of, days: int =
               service_type: str = "AI_SERVICES") -> DataFrame:
     """One-row summary: baseline, granular total, variance, variance %,
     coverage % and status band. A zero baseline gives 0 % (EXCELLENT) and
-    sets ``baseline_missing``."""
-    # baseline and service totals are small rows of one union; a single
-    # aggregate splits them again (no join between the two sides)
-    b = baseline(metering, as_of, days, service_type).select(
-        F.lit(True).alias("_base"), F.col("baseline_e8").alias("e8"),
-        F.lit(STATUS_OK).alias("status"))
-    s = service_totals(sources, as_of, days).select(
-        F.lit(False).alias("_base"), F.col("credits_e8").alias("e8"), "status")
-    j = b.unionByName(s).agg(
-        F.sum(F.when(F.col("_base"), F.col("e8"))).alias("baseline_e8"),
-        F.sum(F.when(~F.col("_base"), F.col("e8"))).alias("granular_e8"),
-        F.sum(F.when(~F.col("_base") & (F.col("status") != STATUS_OK), 1).otherwise(0))
-         .alias("sources_missing"))
+    sets ``baseline_missing``.
+
+    The baseline rows and every source's rows form one union, tagged, and a
+    single aggregate splits them again: one scan per source, one stage, no
+    join."""
+    m = metering.where(since(metering, "start_time", as_of, days)
+                       & (F.col("service_type") == service_type))
+    base_rows = m.select(F.lit(True).alias("_base"), credit_e8(m, "credits_used").cast("long").alias("e8"),
+                         F.lit(None).cast("string").alias("status"))
+    src_rows = _facts(sources, as_of, days).select(F.lit(False).alias("_base"), "e8", "status")
+    zero = F.lit(0).cast(money.SUM_TYPE)
+    j = base_rows.unionByName(src_rows).agg(
+        F.coalesce(money.exact_sum(F.when(F.col("_base"), F.col("e8"))), zero).alias("baseline_e8"),
+        F.coalesce(money.exact_sum(F.when(~F.col("_base"), F.col("e8"))), zero).alias("granular_e8"),
+        F.count(F.when(F.col("status") == STATUS_NO_ACCESS, F.lit(1))).alias("sources_missing"))
     base = money.e8_to_credits("baseline_e8")
     gran = money.e8_to_credits("granular_e8")
     var = money.e8_to_credits(F.col("granular_e8") - F.col("baseline_e8"))

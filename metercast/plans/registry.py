@@ -26,8 +26,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_TEST_DATA: dict[tuple, TestData] = {}
+
+
 def td(spark: SparkSession, sf_dir: str) -> TestData:
-    return TestData(spark, sf_dir)
+    """The test tables of one folder for one session, shared by the queries
+    (lazy DataFrames: only table resolution is reused, never results)."""
+    key = (id(spark), sf_dir)
+    t = _TEST_DATA.get(key)
+    if t is None or t.spark is not spark:
+        t = _TEST_DATA[key] = TestData(spark, sf_dir)
+    return t
 
 
 # The query families register themselves on import (order = bench order).

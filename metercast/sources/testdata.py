@@ -78,9 +78,15 @@ class TestData:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read(self.spark, self.sf_dir, name)
+        """One lazy DataFrame per table: the file listing and footer schema
+        are resolved once and shared by every use (each action still reads
+        the files)."""
+        if name not in self._raw:
+            self._raw[name] = read(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     # -- function usage and query history (from lineitem / orders) ----------
     def usage(self) -> DataFrame:
