@@ -8,6 +8,7 @@ Money columns carry an exact integer twin (``*_e8`` credits, ``*_e10`` USD,
 
 from __future__ import annotations
 
+import functools
 import os
 from functools import lru_cache
 
@@ -70,6 +71,18 @@ def _ts(s: str) -> Column:
     return F.lit(s).cast("timestamp_ntz")
 
 
+def _shared(method):
+    """Build a derived table once per TestData and arguments; later calls get
+    the same lazy DataFrame (its plan, not its rows)."""
+    @functools.wraps(method)
+    def wrapper(self, *args, **kwargs):
+        key = (method.__name__, args, tuple(sorted(kwargs.items())))
+        if key not in self._tables:
+            self._tables[key] = method(self, *args, **kwargs)
+        return self._tables[key]
+    return wrapper
+
+
 class TestData:
     """Logical tables over one scale-factor folder."""
 
@@ -79,6 +92,7 @@ class TestData:
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw: dict[str, DataFrame] = {}
+        self._tables: dict[tuple, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         """One lazy DataFrame per table: the file listing and footer schema
@@ -89,6 +103,7 @@ class TestData:
         return self._raw[name]
 
     # -- function usage and query history (from lineitem / orders) ----------
+    @_shared
     def usage(self) -> DataFrame:
         """``function_query_usage``: query_id, function_name, model_name,
         tokens, token_credits (+ rate_centi, token_credits_e8)."""
@@ -106,6 +121,7 @@ class TestData:
             e8.alias("token_credits_e8"),
         )
 
+    @_shared
     def query_history(self, users: bool = True) -> DataFrame:
         """``query_history``: one row per order with its customer. With
         ``users=False`` the customer join is left out (user/role NULL) for
@@ -126,6 +142,7 @@ class TestData:
                         F.col("c_mktsegment").alias("role_name")))
 
     # -- metering and per-service facts (from events) -----------------------
+    @_shared
     def _events(self) -> DataFrame:
         """Events with the service type of their metering row (FIXTURES.md §3)."""
         return self.raw("events").withColumn(
@@ -133,6 +150,7 @@ class TestData:
             F.when(F.pmod(F.col("event_id"), F.lit(5)) == 4, F.lit("WAREHOUSE_METERING"))
              .otherwise(F.lit("AI_SERVICES")))
 
+    @_shared
     def metering(self) -> DataFrame:
         """Hourly metering: start_time, service_type, credits_used (+ _e8)."""
         e = self._events()
@@ -146,6 +164,7 @@ class TestData:
             F.col("event_type"),
         )
 
+    @_shared
     def metering_daily(self) -> DataFrame:
         """Daily metering: usage_date, service_type, credits_used, compute,
         cloud services (compute = all but 'error' events)."""
@@ -162,6 +181,7 @@ class TestData:
                         money.e8_to_credits("s_e8").alias("credits_used_cloud_services"),
                         F.col("e8").alias("credits_used_e8"))
 
+    @_shared
     def usage_hourly(self) -> DataFrame:
         """``function_usage_hourly`` from click events."""
         e = self._events().where(F.col("event_type") == "click")
@@ -183,11 +203,13 @@ class TestData:
             F.to_date("ts").alias(LOG_DATE),
         )
 
+    @_shared
     def _ai_events(self, event_type: str) -> DataFrame:
         e = self._events()
         # the per-service facts are the AI_SERVICES metering rows, by event type
         return e.where((F.col("event_type") == event_type) & (F.col("service_type") == "AI_SERVICES"))
 
+    @_shared
     def fn_usage(self) -> DataFrame:
         """Per-call function usage of the service facts (click events)."""
         e = self._ai_events("click")
@@ -199,10 +221,12 @@ class TestData:
             money.e8_to_credits(e8).alias("token_credits"),
             e8.alias("token_credits_e8"))
 
+    @_shared
     def fn_history(self) -> DataFrame:
         e = self._ai_events("click")
         return e.select(F.col("event_id").alias("query_id"), F.col("ts").alias("start_time"))
 
+    @_shared
     def service(self, name: str) -> DataFrame:
         """analyst (credits), docproc (credits_used), search (credits),
         finetune (token_credits): start_time + credit column + its ``_e8``."""
@@ -214,6 +238,7 @@ class TestData:
         return e.select(F.col("ts").alias("start_time"),
                         money.e8_to_credits(e8).alias(col), e8.alias(col + "_e8"))
 
+    @_shared
     def search_daily(self) -> DataFrame:
         s = self.service("search")
         g = s.groupBy(F.to_date("start_time").alias("usage_date")).agg(
@@ -221,13 +246,16 @@ class TestData:
         return g.select("usage_date", "requests", money.e8_to_credits("e8").alias("credits"))
 
     # -- text sources ------------------------------------------------------
+    @_shared
     def texts(self) -> DataFrame:
         return self.raw("documents").select("doc_id", "text", "lang", "source")
 
+    @_shared
     def conversations(self) -> DataFrame:
         return self.raw("conversations").select("conv_id", "turn", "role", "text")
 
     # -- logged model runs (from lineitem) ---------------------------------
+    @_shared
     def results(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """Flattened test results: test, model, function, response,
         input/output tokens, latency, cost, status (+ exact twins)."""
@@ -257,6 +285,7 @@ class TestData:
                         money.e10_to_usd(e10).alias("cost"),
                         "status", "latency_centi", e10.alias("cost_e10"), "session_id"))
 
+    @_shared
     def sessions(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """Nested test sessions (FIXTURES.md ``sessions``): one per order,
         holding that order's results (at most 7), with its name, test type,
@@ -271,12 +300,14 @@ class TestData:
         return g.select(F.concat(F.lit("session "), F.col("session_id").cast("string")).alias("name"),
                         "test_type", "models", "input_tokens", "results")
 
+    @_shared
     def runs(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """One run per model over the successful results."""
         from ..operators.runs import summarize_runs
         return summarize_runs(self.results(price), cat.load_catalog(self.spark), price)
 
     # -- budget limits -------------------------------------------------------
+    @_shared
     def limits(self) -> DataFrame:
         """Alert limits: the dashboard defaults plus scaled variants."""
         rows = [("default", "daily", 10.0, True), ("default", "weekly", 50.0, True),
