@@ -114,6 +114,19 @@ NAMED_TIERS = [
 DEFAULT_CREDIT_PRICE = 3.0
 
 
+_FIXED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _fixed(spark: SparkSession, key: str, rows_fn, schema) -> DataFrame:
+    """A fixed table of this module, built once per session (it never
+    changes, so one local relation serves every query)."""
+    k = (id(spark), key)
+    hit = _FIXED.get(k)
+    if hit is None or hit[0] is not spark:
+        hit = _FIXED[k] = (spark, local_frame(spark, rows_fn(), schema))
+    return hit[1]
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """A small fixed table as a local relation (built from an Arrow table,
     whatever the session's Arrow setting), so its size is known without
@@ -162,7 +175,7 @@ def catalog_rows() -> list[tuple]:
 def load_catalog(spark: SparkSession, allowed: list[str] | None = None) -> DataFrame:
     """The model price catalog as a dimension (S9), optionally restricted to an
     allow-list (P14). Always small: callers may ``F.broadcast`` it."""
-    df = local_frame(spark, catalog_rows(), CATALOG_SCHEMA)
+    df = _fixed(spark, "catalog", catalog_rows, CATALOG_SCHEMA)
     if allowed is not None:
         df = df.where(F.col("model").isin(list(allowed)))
     return df
@@ -198,18 +211,18 @@ def rate_rows(kind: str | None = None) -> list[tuple]:
 
 def load_rates(spark: SparkSession, kind: str | None = None) -> DataFrame:
     """Function / embedding / service rate lists as one dimension."""
-    return local_frame(spark, rate_rows(kind), RATES_SCHEMA)
+    return _fixed(spark, f"rates:{kind}", lambda: rate_rows(kind), RATES_SCHEMA)
 
 
 def load_named_tiers(spark: SparkSession) -> DataFrame:
     """Named model tiers (P15) as (tier, model) rows."""
-    rows = [(t, m) for t, ms in NAMED_TIERS for m in ms]
-    return local_frame(spark, rows, "tier string, model string")
+    return _fixed(spark, "tiers", lambda: [(t, m) for t, ms in NAMED_TIERS for m in ms],
+                  "tier string, model string")
 
 
 def load_task_keywords(spark: SparkSession) -> DataFrame:
-    rows = [(c, k) for c, ks in TASK_KEYWORDS for k in ks]
-    return local_frame(spark, rows, "task_category string, keyword string")
+    return _fixed(spark, "keywords", lambda: [(c, k) for c, ks in TASK_KEYWORDS for k in ks],
+                  "task_category string, keyword string")
 
 
 # --- SQL text of the same fixed values (for oracle queries and SQL users) ---
