@@ -47,6 +47,18 @@ def fill_prompt(template: str, text) -> Column:
     return F.replace(F.lit(template), F.lit("{text}"), _c(text))
 
 
+# The classification prompt of the test wizard; ``{categories}``
+# is the comma list as typed, ``{text}`` the text placeholder.
+CLASSIFY_PROMPT = ("Classify the following text into one of these categories: [{categories}]. "
+                   "Respond with only the category name.\n\nText: {text}")
+
+
+def classification_prompt(categories) -> Column:
+    """The classification prompt template for a comma list of categories
+    (still holding ``{text}`` for :func:`fill_prompt`-style filling)."""
+    return F.replace(F.lit(CLASSIFY_PROMPT), F.lit("{categories}"), _c(categories))
+
+
 def category_list(csv) -> Column:
     """Comma list -> trimmed array."""
     return F.transform(F.split(_c(csv), ","), lambda x: F.trim(x))

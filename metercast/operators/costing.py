@@ -203,6 +203,21 @@ TEST_TYPES = [
 ]
 
 
+# The default prompt of each test type (None: a built-in
+# function, no prompt) and the default classification categories.
+DEFAULT_CATEGORIES = "Positive, Negative, Neutral, Mixed"
+TEST_PROMPTS = {
+    "COMPLETE - Custom Prompt": "Analyze the following and provide insights:\n\n{text}",
+    "COMPLETE - Summarize": "Summarize the following text in 2-3 concise sentences:\n\n{text}",
+    "COMPLETE - Classify": tokens.CLASSIFY_PROMPT.replace("{categories}", DEFAULT_CATEGORIES),
+    "COMPLETE - Extract": "Extract key entities (names, dates, locations, amounts) from this text as JSON:\n\n{text}",
+    "SENTIMENT - Built-in": None,
+    "SUMMARIZE - Built-in": None,
+    "Compare: COMPLETE vs SENTIMENT": "Analyze sentiment (POSITIVE/NEGATIVE/NEUTRAL): {text}",
+    "Compare: COMPLETE vs SUMMARIZE": "Summarize: {text}",
+}
+
+
 def estimate_by_test_type(df: DataFrame, text_col: str, catalog: DataFrame,
                           test_types=TEST_TYPES, price: float = DEFAULT_CREDIT_PRICE) -> DataFrame:
     """Cost of running each test type over the whole text column on every

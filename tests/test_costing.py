@@ -142,3 +142,10 @@ def test_embedding_cost_per_model(spark):
     # 1,000,000 + 1 (empty text counts 1) tokens
     assert got["voyage-multilingual-2"] == (2, 1_000_001, pytest.approx(0.1000001))
     assert len(got) == 4
+
+
+def test_test_prompts_cover_every_test_type():
+    from metercast.operators import costing as C
+    assert list(C.TEST_PROMPTS) == C.TEST_TYPES
+    assert all(p is None or "{text}" in p for p in C.TEST_PROMPTS.values())
+    assert "[Positive, Negative, Neutral, Mixed]" in C.TEST_PROMPTS["COMPLETE - Classify"]

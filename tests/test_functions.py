@@ -77,3 +77,10 @@ def test_exact_credit_sums_ignore_partitioning(spark, rows, parts):
     df = spark.createDataFrame(rows, "tokens long, rate_centi long").repartition(parts)
     got = df.agg(money.credits_sum(money.token_credits_e8("tokens", "rate_centi")).alias("c")).first().c
     assert got == float(sum(t * r for t, r in rows)) / 1e8
+
+
+def test_classification_prompt_then_fill(spark):
+    r = spark.createDataFrame([("Positive, Negative", "great product")], "cats string, body string").select(
+        F.replace(TK.classification_prompt("cats"), F.lit("{text}"), F.col("body")).alias("p")).first()
+    assert r.p == ("Classify the following text into one of these categories: [Positive, Negative]. "
+                   "Respond with only the category name.\n\nText: great product")
