@@ -218,19 +218,46 @@ TEST_PROMPTS = {
 }
 
 
+def _prompt_extra_chars(template: str | None) -> int | None:
+    """Characters a template adds around its one ``{text}`` (None: no prompt)."""
+    if template is None:
+        return None
+    if template.count("{text}") != 1:
+        raise ValueError("a test prompt must hold exactly one {text}")
+    return len(template) - len("{text}")
+
+
 def estimate_by_test_type(df: DataFrame, text_col: str, catalog: DataFrame,
-                          test_types=TEST_TYPES, price: float = DEFAULT_CREDIT_PRICE) -> DataFrame:
+                          test_types=TEST_TYPES, price: float = DEFAULT_CREDIT_PRICE,
+                          count_template: bool = False, prompts: dict | None = None) -> DataFrame:
     """Cost of running each test type over the whole text column on every
-    model (C19 with E4): input tokens of the text only (Q3), expected output
-    tokens per row by the test type's label (case-sensitive, E4). The column
-    is aggregated once; the test types fan out that one row."""
-    g = df.where(F.col(text_col).isNotNull()).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(tokens.est_input_tokens(F.col(text_col))).alias("input_tokens"))
-    t = g.where(F.col("rows") > 0).select(
-        "rows", "input_tokens", F.explode(F.array(*[F.lit(x) for x in test_types])).alias("test_type"))
-    t = t.select("test_type", "rows", "input_tokens",
-                 (F.col("rows") * tokens.expected_output_tokens(F.col("test_type"))).alias("output_tokens"))
+    model (C19 with E4): expected output tokens per row by the test type's
+    label (case-sensitive, E4); input tokens of the text only (Q3), or of
+    the filled prompt with ``count_template`` (built-in types have none).
+
+    One pass: the filled prompt's length is the template's extra length plus
+    the text's, so every test type is one more conditional sum of the same
+    aggregate (no per-type copy of the rows); the test types then fan out the
+    one aggregated row."""
+    prompts = TEST_PROMPTS if prompts is None else prompts
+    n = F.length(F.col(text_col))
+
+    def in_tokens(extra: int | None):
+        if not count_template or extra is None:
+            return tokens.est_input_tokens(F.col(text_col))
+        m = n + F.lit(extra)
+        return F.when(m > 0, F.greatest(F.lit(1).cast("long"), F.floor(m / 4).cast("long"))) \
+                .otherwise(F.lit(0).cast("long"))
+
+    extras = {t: _prompt_extra_chars(prompts.get(t)) for t in test_types}
+    src = df.where(F.col(text_col).isNotNull())
+    g = src.agg(F.count(F.lit(1)).alias("rows"),
+                *[F.sum(in_tokens(extras[t])).alias(f"_in{i}") for i, t in enumerate(test_types)])
+    per_type = F.array(*[F.struct(F.lit(t).alias("test_type"), F.col(f"_in{i}").alias("input_tokens"))
+                         for i, t in enumerate(test_types)])
+    t = g.where(F.col("rows") > 0).select("rows", F.explode(per_type).alias("_t"))
+    t = t.select(F.col("_t.test_type").alias("test_type"), "rows", F.col("_t.input_tokens").alias("input_tokens"),
+                 (F.col("rows") * tokens.expected_output_tokens(F.col("_t.test_type"))).alias("output_tokens"))
     c = compare_models(t, catalog, price=price)
     return c.select("test_type", "model", "pos", "rows", "input_tokens", "output_tokens",
                     "total_credits_raw", "total_cost_usd_raw", "total_cost_usd")

@@ -211,3 +211,36 @@ SELECT lang, name AS embedding_model, rows, tokens, CAST(tokens * rate_centi AS
 FROM g CROSS JOIN rates""")
 def q_corpus_embedding_cost_by_lang(spark, sf_dir):
     return C.embedding_cost(td(spark, sf_dir).texts(), "text", CAT.load_rates(spark), keys=["lang"])
+
+
+# --- Q3 with count_template: the filled prompts' tokens per test type --------------------
+
+def _prompt_tokens_sql(template) -> str:
+    if template is None:
+        return X.IN_TOK_SQL
+    extra = len(template) - len("{text}")
+    m = f"(length(text) + {extra})"
+    return f"CASE WHEN {m} > 0 THEN greatest(1, {m} // 4) ELSE 0 END"
+
+
+_PER_TYPE = "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS test_type, COUNT(*) AS rows, "
+    f"CAST(SUM({_prompt_tokens_sql(C.TEST_PROMPTS[t])}) AS BIGINT) AS input_tokens FROM d"
+    for t in C.TEST_TYPES)
+
+
+@register("corpus_cost_by_test_prompt", X.with_(
+    X.CAT,
+    "d AS (SELECT text FROM documents WHERE text IS NOT NULL)",
+    f"p AS ({_PER_TYPE})",
+    """t AS (
+  SELECT test_type, rows, input_tokens,
+         rows * CASE WHEN contains(test_type, 'Sentiment') OR contains(test_type, 'Classify') THEN 10
+                     WHEN contains(test_type, 'Summarize') THEN 100 ELSE 150 END AS output_tokens
+  FROM p WHERE rows > 0)""") + f"""
+SELECT test_type, model, pos, rows, input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens,
+       {X.cost_sql(X.E8_SQL)}, {X.ROUND2_SQL} AS total_cost_usd
+FROM t CROSS JOIN cat""")
+def q_corpus_cost_by_test_prompt(spark, sf_dir):
+    return C.estimate_by_test_type(td(spark, sf_dir).texts(), "text", CAT.load_catalog(spark),
+                                   count_template=True)

@@ -149,3 +149,14 @@ def test_test_prompts_cover_every_test_type():
     assert list(C.TEST_PROMPTS) == C.TEST_TYPES
     assert all(p is None or "{text}" in p for p in C.TEST_PROMPTS.values())
     assert "[Positive, Negative, Neutral, Mixed]" in C.TEST_PROMPTS["COMPLETE - Classify"]
+
+
+def test_estimate_by_test_type_counts_filled_prompts(spark, catalog):
+    from metercast.operators import costing as C
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "")], "doc_id long, text string")
+    got = {r.test_type: r.input_tokens for r in C.estimate_by_test_type(
+        docs, "text", catalog, count_template=True).where("model = 'mistral-7b'").collect()}
+    t = C.TEST_PROMPTS["COMPLETE - Extract"]
+    extra = len(t) - len("{text}")
+    assert got["COMPLETE - Extract"] == max(1, (extra + 8) // 4) + max(1, extra // 4)
+    assert got["SENTIMENT - Built-in"] == 2          # built-in: the text alone, '' gives 0
