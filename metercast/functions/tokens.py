@@ -29,6 +29,14 @@ def est_input_tokens(text) -> Column:
     return F.when(n > 0, F.greatest(F.lit(1).cast("long"), _quarter(text))).otherwise(F.lit(0).cast("long"))
 
 
+def est_tokens_of_length(n) -> Column:
+    """E2 from a length: ``max(1, n // 4)`` when ``n > 0``, else 0 (used when
+    the length of a filled prompt is known without building it)."""
+    n = _c(n)
+    return F.when(n > 0, F.greatest(F.lit(1).cast("long"), F.floor(n / F.lit(4)).cast("long"))) \
+            .otherwise(F.lit(0).cast("long"))
+
+
 def est_output_tokens(text) -> Column:
     """Output / built-in input: ``len // 4`` when non-empty, else 0; may be 0."""
     return F.coalesce(_quarter(_c(text).cast("string")), F.lit(0).cast("long"))

@@ -178,9 +178,17 @@ def estimate_text_cost(df: DataFrame, text_col: str, catalog: DataFrame, out_tok
     """
     keys = list(keys or [])
     src = df.where(F.col(text_col).isNotNull())
-    text = tokens.fill_prompt(template, F.col(text_col)) if (template and count_template) else F.col(text_col)
+    if template and count_template:
+        if template.count("{text}") == 1:
+            # the filled prompt's length without building the string
+            in_tok = tokens.est_tokens_of_length(F.length(F.col(text_col))
+                                                 + F.lit(len(template) - len("{text}")))
+        else:
+            in_tok = tokens.est_input_tokens(tokens.fill_prompt(template, F.col(text_col)))
+    else:
+        in_tok = tokens.est_input_tokens(F.col(text_col))
     out = out_tokens if isinstance(out_tokens, Column) else F.lit(int(out_tokens)).cast("long")
-    per_row = src.select(*keys, tokens.est_input_tokens(text).alias("_in"), out.alias("_out"))
+    per_row = src.select(*keys, in_tok.alias("_in"), out.alias("_out"))
     agg = [F.count(F.lit(1)).alias("rows"), F.sum("_in").alias("input_tokens"),
            F.sum("_out").alias("output_tokens")]
     g = per_row.groupBy(*keys).agg(*agg) if keys else per_row.agg(*agg)
@@ -245,9 +253,7 @@ def estimate_by_test_type(df: DataFrame, text_col: str, catalog: DataFrame,
     def in_tokens(extra: int | None):
         if not count_template or extra is None:
             return tokens.est_input_tokens(F.col(text_col))
-        m = n + F.lit(extra)
-        return F.when(m > 0, F.greatest(F.lit(1).cast("long"), F.floor(m / 4).cast("long"))) \
-                .otherwise(F.lit(0).cast("long"))
+        return tokens.est_tokens_of_length(n + F.lit(extra))
 
     extras = {t: _prompt_extra_chars(prompts.get(t)) for t in test_types}
     src = df.where(F.col(text_col).isNotNull())

@@ -160,3 +160,14 @@ def test_estimate_by_test_type_counts_filled_prompts(spark, catalog):
     extra = len(t) - len("{text}")
     assert got["COMPLETE - Extract"] == max(1, (extra + 8) // 4) + max(1, extra // 4)
     assert got["SENTIMENT - Built-in"] == 2          # built-in: the text alone, '' gives 0
+
+
+def test_template_tokens_without_building_prompts(spark, catalog):
+    from metercast.operators import costing as C
+    docs = spark.createDataFrame([(1, "x" * 37), (2, ""), (3, "ü" * 5)], "doc_id long, text string")
+    tpl = "Summarize: {text}"
+    fast = C.estimate_text_cost(docs, "text", catalog, 10, template=tpl, count_template=True).first()
+    slow = C.estimate_text_cost(docs, "text", catalog, 10, template=tpl + " {text}", count_template=True)
+    want = sum(max(1, (len(tpl) - 6 + n) // 4) for n in (37, 0, 5))
+    assert fast.input_tokens == want
+    assert slow.first().input_tokens == sum(max(1, (len(tpl) - 6 + 1 + 2 * n) // 4) for n in (37, 0, 5))
