@@ -56,10 +56,6 @@ def price_centi(price: float) -> int:
     return int(cents)
 
 
-def credits_e8_to_usd_e10(c_e8, price: float) -> Column:
-    return _c(c_e8) * F.lit(price_centi(price))
-
-
 def from_decimal_credits(c, scale: int = 8) -> Column:
     """Turn a warehouse credits column (double / decimal) into exact ``_e8``
     units; used by loaders of real usage tables."""

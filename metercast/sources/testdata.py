@@ -67,10 +67,6 @@ def cents(x: Column) -> Column:
     return F.round(x * F.lit(100)).cast("long")
 
 
-def _ts(s: str) -> Column:
-    return F.lit(s).cast("timestamp_ntz")
-
-
 def _shared(method):
     """Build a derived table once per TestData and arguments; later calls get
     the same lazy DataFrame (its plan, not its rows)."""

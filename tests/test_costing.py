@@ -171,3 +171,14 @@ def test_template_tokens_without_building_prompts(spark, catalog):
     want = sum(max(1, (len(tpl) - 6 + n) // 4) for n in (37, 0, 5))
     assert fast.input_tokens == want
     assert slow.first().input_tokens == sum(max(1, (len(tpl) - 6 + 1 + 2 * n) // 4) for n in (37, 0, 5))
+
+
+def test_request_costs_one_row_per_request_and_model(spark, catalog):
+    from metercast.operators import costing as C
+    conv = spark.createDataFrame([(1, 1, "user", "x" * 400), (1, 2, "assistant", "y" * 40),
+                                  (2, 1, "system", "z" * 8)], "conv_id long, turn long, role string, text string")
+    rows = C.request_costs(conv, catalog).collect()
+    assert len(rows) == 2 * 22
+    r = {(x.conv_id, x.model): x for x in rows}[(1, "llama3.1-8b")]
+    assert (r.input_tokens, r.output_tokens) == (100, 10)
+    assert r.total_credits_raw == pytest.approx(110 * 0.03 / 1e6)

@@ -155,3 +155,8 @@ def test_bucketed_usage_and_history_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS mc_usage_b")
         spark.sql("DROP TABLE IF EXISTS mc_qh_b")
+
+
+def test_normalize_numeric_only_touches_decimals(spark):
+    df = spark.createDataFrame([(Decimal("1.50"), 2, "x")], "a decimal(10,2), b int, c string")
+    assert RD.normalize_numeric(df).dtypes == [("a", "double"), ("b", "int"), ("c", "string")]
