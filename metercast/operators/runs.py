@@ -178,20 +178,29 @@ def flatten_sessions(sessions: DataFrame) -> DataFrame:
                            F.explode("results").alias("r")).select("test", "test_type", "r.*")
 
 
-def scale_runs(results: DataFrame, batches=DEFAULT_BATCHES, round_per_call: bool = False) -> DataFrame:
-    """Each successful result x each batch size (C26, J4): total cost =
-    per-call cost x batch. ``round_per_call`` first rounds the call to cents
-    as the shipped wizard does (sub-cent calls then project to 0)."""
+def _check_batches(batches) -> list[int]:
     bad = [b for b in batches if int(b) not in ALLOWED_BATCHES]
     if bad:
         raise ValueError(f"batch sizes {bad} not in {ALLOWED_BATCHES}")
-    s = successful(results)
+    return [int(b) for b in batches]
+
+
+def _per_call(round_per_call: bool) -> tuple[Column, Column]:
+    """Per-call cost (double) and its exact 1e-10 USD units; rounded to
+    cents first when ``round_per_call`` (Q4)."""
     if round_per_call:
         per_call = money.round_half_up(F.col("cost"), 2)
-        e10 = F.round(per_call * F.lit(float(money.E10))).cast(money.SUM_TYPE)
-    else:
-        per_call = F.col("cost")
-        e10 = F.col("cost_e10").cast(money.SUM_TYPE)
+        return per_call, F.round(per_call * F.lit(float(money.E10))).cast(money.SUM_TYPE)
+    return F.col("cost"), F.col("cost_e10").cast(money.SUM_TYPE)
+
+
+def scale_runs(results: DataFrame, batches=DEFAULT_BATCHES, round_per_call: bool = False) -> DataFrame:
+    """Each successful result x each batch size (C26, J4): total cost =
+    per-call cost x batch. ``round_per_call`` first rounds the call to cents
+    as the shipped wizard does (sub-cent calls then project to 0)."""
+    _check_batches(batches)
+    s = successful(results)
+    per_call, e10 = _per_call(round_per_call)
     p = s.select(F.left(F.col("test"), F.lit(20)).alias("test"), "model", "function",
                  per_call.alias("cost_per_row"), e10.alias("_e10"), _points(batches).alias("rows"))
     return p.select("test", "model", "function", "rows",
@@ -206,6 +215,21 @@ def scale_matrix(scaled: DataFrame, batches=DEFAULT_BATCHES) -> DataFrame:
     return g.groupBy("model").pivot("rows", [int(b) for b in batches]).agg(F.first("mean_cost"))
 
 
+def scale_matrix_from_results(results: DataFrame, batches=DEFAULT_BATCHES,
+                              round_per_call: bool = False) -> DataFrame:
+    """``scale_matrix(scale_runs(results))`` without multiplying the rows by
+    the batch sizes: the cost at ``n`` calls is n x the per-call cost, so the
+    per-model mean is summed once and only the per-model rows fan out."""
+    sizes = _check_batches(batches)
+    _, e10 = _per_call(round_per_call)
+    g = successful(results).groupBy("model").agg(money.exact_sum(e10).alias("_s"),
+                                                 F.count(F.lit(1)).alias("_n"))
+    p = g.select("model", "_s", "_n", _points(sizes).alias("rows"))
+    p = p.select("model", "rows",
+                 (money.e10_to_usd(F.col("_s") * F.col("rows")) / F.col("_n")).alias("mean_cost"))
+    return p.groupBy("model").pivot("rows", sizes).agg(F.first("mean_cost"))
+
+
 def savings_at_scale(scaled: DataFrame, target: int = 100000) -> DataFrame:
     """At ``target`` rows if simulated, else the largest size (P17): the
     cheapest and dearest result and the difference (C30).
@@ -231,6 +255,30 @@ def savings_at_scale(scaled: DataFrame, target: int = 100000) -> DataFrame:
                     money.e10_to_usd(F.col("hi.c") - F.col("lo.c")).alias("savings"))
 
 
+def savings_at_scale_from_results(results: DataFrame, batches=DEFAULT_BATCHES,
+                                  target: int = 100000, round_per_call: bool = False) -> DataFrame:
+    """``savings_at_scale(scale_runs(results))`` without the fan-out: at any
+    batch size the cheapest and dearest result are those of the per-call
+    cost, so the extremes are found once (hash pre-aggregate, then a struct
+    extreme over the small groups) and scaled by the picked size (P17: the
+    target if simulated, else the largest)."""
+    sizes = _check_batches(batches)
+    pick = target if target in sizes else max(sizes)
+    _, e10 = _per_call(round_per_call)
+    s = successful(results).select(F.left(F.col("test"), F.lit(20)).alias("test"), "model",
+                                   "function", e10.alias("_e10"))
+    pre = s.groupBy("model", "function", "test").agg(F.min("_e10").alias("_lo"),
+                                                     F.max("_e10").alias("_hi"))
+    key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
+    g = pre.agg(F.min(F.struct(F.col("_lo").alias("c"), *key)).alias("lo"),
+                F.max(F.struct(F.col("_hi").alias("c"), *key)).alias("hi")).where(F.col("lo").isNotNull())
+    n = F.lit(pick).cast("long")
+    return g.select(n.alias("rows"), F.col("lo.m").alias("cheapest_model"),
+                    money.e10_to_usd(F.col("lo.c") * n).alias("cheapest_cost"),
+                    F.col("hi.m").alias("dearest_model"), money.e10_to_usd(F.col("hi.c") * n).alias("dearest_cost"),
+                    money.e10_to_usd((F.col("hi.c") - F.col("lo.c")) * n).alias("savings"))
+
+
 def result_groups(results: DataFrame) -> DataFrame:
     """Results reduced to one row per (test, model, function): successful
     runs, their cheapest cost and fastest latency and the latency sum. A hash

@@ -114,7 +114,7 @@ def q_scale_runs(spark, sf_dir):
     + """ FROM (SELECT model, rows, CAST(SUM(e10) AS DOUBLE) / 1e10 / COUNT(*) AS mean_cost
           FROM scaled GROUP BY model, rows) g GROUP BY model""")
 def q_scale_matrix(spark, sf_dir):
-    return RU.scale_matrix(_scaled(spark, sf_dir))
+    return RU.scale_matrix_from_results(td(spark, sf_dir).results())
 
 
 @register("savings_at_scale", X.with_(
@@ -128,7 +128,7 @@ SELECT lo.rows, lo.model AS cheapest_model, CAST(lo.e10 AS DOUBLE) / 1e10 AS che
        CAST(hi.e10 - lo.e10 AS DOUBLE) / 1e10 AS savings
 FROM lo CROSS JOIN hi""")
 def q_savings_at_scale(spark, sf_dir):
-    return RU.savings_at_scale(_scaled(spark, sf_dir))
+    return RU.savings_at_scale_from_results(td(spark, sf_dir).results())
 
 
 _RES_CTES = [X.CAT, X.RESULTS]

@@ -175,3 +175,19 @@ def test_score_texts_keeps_string_keys(spark, catalog):
     out = SC.score_texts(docs, "text", "query_id", ["mistral-7b"], SC.echo_scorer_factory(), catalog)
     assert dict(out.dtypes)["query_id"] == "string"
     assert sorted(r.query_id for r in out.collect()) == ["q-1", "q-2"]
+
+
+@pytest.mark.parametrize("round_per_call", [False, True])
+def test_from_results_variants_equal_the_fan_out(spark, round_per_call):
+    res = TestData(spark, SF_SMALL).results()
+    scaled = RU.scale_runs(res, round_per_call=round_per_call)
+    m1 = sorted(map(tuple, RU.scale_matrix(scaled).collect()))
+    m2 = sorted(map(tuple, RU.scale_matrix_from_results(res, round_per_call=round_per_call).collect()))
+    assert m1 == m2
+    s1 = [tuple(r) for r in RU.savings_at_scale(scaled).collect()]
+    s2 = [tuple(r) for r in RU.savings_at_scale_from_results(res, round_per_call=round_per_call).collect()]
+    assert s1 == s2
+    batches = [10, 1000]
+    s3 = [tuple(r) for r in RU.savings_at_scale(RU.scale_runs(res, batches)).collect()]
+    s4 = [tuple(r) for r in RU.savings_at_scale_from_results(res, batches).collect()]
+    assert s3 == s4 and s4[0][0] == 1000       # no 100,000 simulated: the largest size
