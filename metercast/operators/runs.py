@@ -336,15 +336,18 @@ def prompt_vs_builtin(results: DataFrame, functions=BUILTIN_FUNCTIONS,
     and cost a flat ``call_usd`` per call (E8)."""
     s = successful(results).where(F.col("function").isin(list(functions)))
     call_e10 = int(round(call_usd * money.E10))
-    prompt = F.struct(F.lit("prompt").alias("variant"), F.col("model").alias("model"),
-                      F.col("output_tokens").alias("output_tokens"),
-                      F.col("cost_e10").cast(money.SUM_TYPE).alias("e10"))
-    builtin = F.struct(F.lit("builtin").alias("variant"),
-                       F.concat(F.col("model"), F.lit(" (via "), F.col("function"), F.lit(")")).alias("model"),
-                       tokens.est_tokens(F.col("response")).alias("output_tokens"),
-                       F.lit(call_e10).cast(money.SUM_TYPE).alias("e10"))
-    # both variants of a result from one scan
-    u = s.select("function", F.explode(F.array(prompt, builtin)).alias("_v")).select("function", "_v.*")
-    return u.groupBy("function", "variant").agg(
-        F.count(F.lit(1)).alias("runs"), F.countDistinct("model").alias("models"),
-        F.sum("output_tokens").alias("output_tokens"), money.usd_sum("e10").alias("total_cost"))
+    # one aggregate per function serves both variants (a built-in label is
+    # "<model> (via <FUNC>)", so its distinct count is the model count);
+    # the two variant rows are emitted from the aggregated row
+    g = s.groupBy("function").agg(
+        F.count(F.lit(1)).alias("_n"), F.countDistinct("model").alias("_models"),
+        F.sum("output_tokens").alias("_out_prompt"),
+        F.sum(tokens.est_tokens(F.col("response"))).alias("_out_builtin"),
+        money.exact_sum("cost_e10").alias("_e10"))
+    prompt = F.struct(F.lit("prompt").alias("variant"), F.col("_n").alias("runs"),
+                      F.col("_models").alias("models"), F.col("_out_prompt").alias("output_tokens"),
+                      money.e10_to_usd("_e10").alias("total_cost"))
+    builtin = F.struct(F.lit("builtin").alias("variant"), F.col("_n").alias("runs"),
+                       F.col("_models").alias("models"), F.col("_out_builtin").alias("output_tokens"),
+                       money.e10_to_usd(F.col("_n").cast(money.SUM_TYPE) * F.lit(call_e10)).alias("total_cost"))
+    return g.select("function", F.explode(F.array(prompt, builtin)).alias("_v")).select("function", "_v.*")
