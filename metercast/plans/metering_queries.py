@@ -221,3 +221,20 @@ FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
 def q_budget_windows(spark, sf_dir):
     t = td(spark, sf_dir)
     return BM.budget_windows(t.metering(), t.limits(), watermark=None)
+
+
+@register("budget_windows_monthly", X.with_(X.METERING, _LIMITS_SQL, """spend AS (
+  SELECT 'monthly' AS period, date_trunc('month', start_time) AS window_start,
+         date_trunc('month', start_time) + INTERVAL 1 MONTH AS window_end, SUM(e8) AS e8
+  FROM metering WHERE service_type = 'AI_SERVICES' GROUP BY 2, 3)""") + """
+SELECT profile, "limit", enabled, period, CAST(window_start AS TIMESTAMP) AS window_start,
+       CAST(window_end AS TIMESTAMP) AS window_end, used, used * 3.0 AS used_usd, pct,
+       CASE WHEN pct < 80.0 THEN 'green' WHEN pct < 100.0 THEN 'yellow' ELSE 'red' END AS light,
+       enabled AND used > "limit" AS alert
+FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
+             CASE WHEN enabled AND "limit" > 0 THEN CAST(e8 AS DOUBLE) / 1e8 / "limit" * 100.0
+                  ELSE 0.0 END AS pct
+      FROM spend JOIN limits USING (period)) x""")
+def q_budget_windows_monthly(spark, sf_dir):
+    t = td(spark, sf_dir)
+    return BM.budget_windows(t.metering(), t.limits(), periods=("monthly",), watermark=None)

@@ -8,8 +8,10 @@ static dimension joined by broadcast, and the alert rule is the batch one
 window state: a day's state is dropped once the feed is ``watermark`` past the
 day's end, chosen from the stated 2-3 hour lag of the usage views.
 
-Monthly (calendar month to date) limits are not windowed here: calendar
-months have no fixed duration; the batch ``budget_status`` covers them.
+Calendar months have no fixed duration, so the monthly period groups by the
+month's first instant instead of a ``window``; on a stream the watermark is
+set on that month start, so a month's state is dropped once the feed is
+``watermark`` into the next month.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ..operators.common import credit_e8, dimension
 
 DEFAULT_WATERMARK = "3 hours"
 # Window per period (duration, slide).
-PERIOD_WINDOWS = {"daily": ("1 day", None), "weekly": ("7 days", "1 day")}
+PERIOD_WINDOWS = {"daily": ("1 day", None), "weekly": ("7 days", "1 day"), "monthly": ("1 month", None)}
 
 
 def _spend_e8(metering: DataFrame, period: str, service_type: str | None,
@@ -33,11 +35,19 @@ def _spend_e8(metering: DataFrame, period: str, service_type: str | None,
     # event time must be TIMESTAMP for a watermark; an NTZ log is read as
     # wall-clock time in the session time zone (UTC) and cast back at the end
     m = metering.withColumn("_event_time", F.col(time_col).cast("timestamp"))
-    if watermark:
-        m = m.withWatermark("_event_time", watermark)
+    if period == "monthly":
+        start = F.date_trunc("month", F.col("_event_time"))
+        m = m.withColumn("_month", start)
+        if watermark:
+            m = m.withWatermark("_month", watermark)
+        win = F.struct(F.col("_month").alias("start"),
+                       F.add_months(F.col("_month"), 1).cast("timestamp").alias("end"))
+    else:
+        if watermark:
+            m = m.withWatermark("_event_time", watermark)
+        win = F.window("_event_time", duration, slide) if slide else F.window("_event_time", duration)
     if service_type is not None:
         m = m.where(F.col("service_type") == service_type)
-    win = F.window("_event_time", duration, slide) if slide else F.window("_event_time", duration)
     g = m.groupBy(win.alias("w")).agg(money.exact_sum(credit_e8(m, "credits_used")).alias("_e8"))
     return g.select(F.lit(period).alias("period"),
                     F.col("w.start").cast(src_type).alias("window_start"),
@@ -61,7 +71,8 @@ def _batch_spend(metering: DataFrame, periods, service_type: str | None,
                  time_col: str) -> DataFrame:
     """All periods from one scan (batch only): the daily windows are summed
     once; a 7-day window sliding by a day is the exact integer sum of its
-    seven day-aligned daily windows, taken over the small daily table. Both
+    seven day-aligned daily windows, and a calendar month the sum of its
+    days, both taken over the small daily table. Both
     branches share the daily shuffle (adaptive execution reuses the identical
     exchange), so the log is read once."""
     daily = _spend_e8(metering, "daily", service_type, None, time_col)
@@ -78,6 +89,14 @@ def _batch_spend(metering: DataFrame, periods, service_type: str | None,
                            (F.col("window_start") + F.make_dt_interval(F.lit(7))).alias("window_end"),
                            "_e8"))
         out.append(weekly)
+    if "monthly" in periods:
+        month = F.date_trunc("month", F.col("window_start")).cast(daily.schema["window_start"].dataType)
+        monthly = (daily.groupBy(month.alias("window_start")).agg(F.sum("_e8").alias("_e8"))
+                        .select(F.lit("monthly").alias("period"), "window_start",
+                                F.add_months(F.col("window_start"), 1)
+                                 .cast(daily.schema["window_start"].dataType).alias("window_end"),
+                                "_e8"))
+        out.append(monthly)
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

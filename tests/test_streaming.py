@@ -32,17 +32,18 @@ def test_stream_matches_batch_and_alerts(spark):
     stream = spark.readStream.schema(met.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = os.path.join(root, "alerts")
     limits = t.limits()
-    for period in ("daily", "weekly"):
+    for period in ("daily", "weekly", "monthly"):
         q = BM.start_budget_monitor(stream, limits, out + "_" + period, period=period,
                                     checkpoint_location=os.path.join(root, "ckpt_" + period),
                                     trigger={"availableNow": True})
         q.awaitTermination(300)
         assert q.exception() is None
     got = {}
-    for period in ("daily", "weekly"):
+    for period in ("daily", "weekly", "monthly"):
         got.update(_latest(spark.read.parquet(out + "_" + period)))
     want = {tuple(r[:6]): (round(r.used, 8), r.alert)
-            for r in BM.budget_windows(met, limits, watermark=None)
+            for r in BM.budget_windows(met, limits, periods=("daily", "weekly", "monthly"),
+                                       watermark=None)
                       .select("profile", "period", "limit", "enabled", "window_start", "window_end",
                               "used", "alert").collect()}
     assert got == want
@@ -64,7 +65,10 @@ def test_batch_window_rule_edges(spark):
     assert rows[1].light == "red" and not rows[1].alert
     assert rows[2].alert and rows[2].used == pytest.approx(10.5)
     with pytest.raises(KeyError):
-        BM.windowed_spend(met, "monthly")
+        BM.windowed_spend(met, "yearly")
+    month = BM.budget_windows(met, limits.selectExpr("'monthly' AS period", "`limit`", "enabled"),
+                              periods=("monthly",), watermark=None).collect()
+    assert [(r.window_start.month, r.window_end.month, r.used) for r in month] == [(1, 2, 20.5)]
 
 
 def test_late_event_beyond_watermark_is_dropped(spark):
