@@ -59,3 +59,37 @@ def test_hot_query_id_is_split_and_exact(spark, skew_conf):
         e = w[(r.model_name, r.function_name)]
         assert (r.invocations, r.total_tokens) == (e.invocations, e.total_tokens)
         assert r.total_credits == e.e8 / 1e8
+
+
+_BLOOM_CONF = {
+    # stand-in for 100 TB: the usage scan counts as large and the joins shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+def test_history_window_reaches_the_usage_scan_as_a_bloom_filter(spark):
+    """At scale the look-back window on the history side must cut the usage
+    rows before they are shuffled: the optimizer injects a runtime bloom
+    filter of the windowed query ids into the usage scan. Results do not
+    change."""
+    from metercast.sources.testdata import AS_OF_ORDERS, TestData
+
+    from .conftest import SF_SMALL
+    t = TestData(spark, SF_SMALL)
+    q = lambda: U.usage_by_function(t.usage(), t.query_history(users=False), AS_OF_ORDERS, 30)
+    want = sorted(q().collect())
+    old = {k: spark.conf.get(k, None) for k in _BLOOM_CONF}
+    try:
+        for k, v in _BLOOM_CONF.items():
+            spark.conf.set(k, v)
+        out = q()
+        got = sorted(out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want
+    usage_scan = [ln for ln in plan.splitlines() if "might_contain" in ln]
+    assert usage_scan and "l_orderkey" in usage_scan[0]
