@@ -95,17 +95,20 @@ def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS,
     return df
 
 
-def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
+def top_k(df: DataFrame, order: list, k: int, merge_rows: int = 20_000_000) -> DataFrame:
     """Exact top-``k`` by ``order`` with a bounded final merge.
 
     ``orderBy().limit(k)`` keeps ``k`` rows per input partition and merges
     them in one task; on a 100 TB scan that is hundreds of thousands of
-    partitions times ``k`` rows. Coalescing first (no shuffle) to the
-    cluster's parallelism keeps every slot busy scanning, and at most
-    ``slots x k`` rows reach the merge.
+    partitions times ``k`` rows. Coalescing first (no shuffle) to at most
+    ``merge_rows // k`` partitions bounds that merge. The bound never goes
+    below the cluster's parallelism, so every slot stays busy, and a small
+    ``k`` leaves the input's own partitions (small tasks are cheap to retry
+    when an executor is lost).
     """
     sc = df.sparkSession.sparkContext
-    n = max(1, int(df.sparkSession.conf.get("spark.default.parallelism", None) or sc.defaultParallelism))
+    slots = max(1, int(df.sparkSession.conf.get("spark.default.parallelism", None) or sc.defaultParallelism))
+    n = max(slots, int(merge_rows) // max(int(k), 1))
     return df.coalesce(n).orderBy(*order).limit(int(k))
 
 

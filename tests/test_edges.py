@@ -3,6 +3,8 @@ filtered out, k above the catalog size."""
 
 from datetime import datetime
 
+import pytest
+
 from metercast.operators import budget as B
 from metercast.operators import catalog_ops as CO
 from metercast.operators import costing as C
@@ -62,3 +64,18 @@ def test_k_above_catalog_and_empty_allow_list(spark, catalog):
     assert C.cost_calculator(work, catalog, allowed=[]).count() == 0
     one = C.cost_calculator(work, catalog, allowed=["mistral-7b"]).first()
     assert one.cheapest_model == one.most_expensive_model == "mistral-7b" and one.savings_pct == 0.0
+
+
+@pytest.mark.parametrize("merge_rows", [1, 10**9])
+def test_top_k_is_exact_whatever_the_merge_bound(spark, merge_rows):
+    """``top_k`` coalesces to at most ``merge_rows // k`` partitions (never
+    below the slots): same rows as a full sort, ties broken by the key."""
+    from pyspark.sql import functions as F
+
+    from metercast.operators.common import top_k
+    df = spark.range(0, 5000, numPartitions=40).select(
+        F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
+    out = top_k(df, [F.desc_nulls_last("v"), F.col("id")], 37, merge_rows=merge_rows)
+    got = [(r.id, r.v) for r in out.collect()]
+    want = sorted(((i, i * 7919 % 101) for i in range(5000)), key=lambda t: (-t[1], t[0]))[:37]
+    assert got == want
