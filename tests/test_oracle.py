@@ -5,7 +5,7 @@ on any scale factor."""
 
 import pytest
 
-import __spark_entry__ as E
+from metercast.plans import registry
 from metercast.plans.oracle import compare, duckdb_views
 
 from .conftest import SF_SMALL
@@ -19,7 +19,7 @@ def con():
 
 
 def test_all_oracles_match(spark, con):
-    qs, sqls = E.queries(), E.oracle_sql()
+    qs, sqls = registry.QUERIES, registry.ORACLE
     bad = []
     for name, sql in sqls.items():
         out = compare(qs[name](spark, SF_SMALL), con, sql, name)

@@ -2,10 +2,14 @@
 with a stable, duplicate-free schema; every query but the Python-scored one
 has an oracle."""
 
-import __spark_entry__ as E
+from types import SimpleNamespace
+
+from metercast.plans import registry
 
 from .conftest import SF_SMALL
 
+E = SimpleNamespace(queries=lambda: registry.QUERIES, oracle_sql=lambda: registry.ORACLE)
+
 ROWS_ONLY = {"score_texts"}
 
 
