@@ -8,7 +8,10 @@ session and only filled in when they are unset (local tests).
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +75,33 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application.
+
+    Functions that run in workers are pickled by reference to their module,
+    so the workers have to import the package wherever the driver was
+    started from. Nothing happens if it is installed with the interpreter.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_metercast_shipped", False) or "site-packages" in root:
+        return
+    folder = tempfile.mkdtemp(prefix="metercast-ship-")  # read by the driver only, which serves it
+    try:
+        path = os.path.join(folder, "metercast_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        f = os.path.join(d, n)
+                        z.write(f, os.path.join("metercast", os.path.relpath(f, root)))
+        sc.addPyFile(path)
+    except BaseException:
+        shutil.rmtree(folder, ignore_errors=True)
+        raise
+    sc._metercast_shipped = True
+
+
 def tune_for_input(spark: SparkSession, input_bytes: int, split_bytes: int = 256 << 20,
                    shuffle_bytes: int = 128 << 20, min_partitions: int = 200,
                    max_partitions: int = 200_000) -> int:
