@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality_rules, sentence_pieces, url_filter
+from . import exact_dedup, line_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratios = toxicity.train_toxicity(docs, labels, toxicity.fold(F.col("doc_id")) != 1)
+    scored = toxicity.score_toxicity(docs, ratios)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted",
+                         "log_ratio_per_word", "top_word_ratio")
