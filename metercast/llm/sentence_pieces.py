@@ -37,19 +37,28 @@ def _codes(text: str) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` ordered by their first ``depth`` codes, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order, width = np.argsort(rank, kind="stable"), 1
-    while width < depth:
-        key = rank * (int(rank.max()) + 1)
-        key[:-width] += rank[width:]
-        order = np.argsort(key, kind="stable")
+    """Suffixes of ``text`` ordered by their first ``depth`` codes, by prefix doubling.
+
+    The first sort takes as many codes at once as fit in one integer.
+    """
+    letters, rank = np.unique(text, return_inverse=True)
+    rank = rank.astype(np.int64) + 1          # 0: beyond the end
+    bits = int(len(letters)).bit_length()
+    width = max(1, min(depth, 62 // bits))
+    key = np.zeros(len(text), np.int64)
+    for j in range(width):
+        key <<= bits
+        key[:len(text) - j] |= rank[j:]
+    while True:
+        order = np.argsort(key)
         new = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))
+        if width >= depth or new[-1] == len(text):
+            return order
+        rank = np.empty(len(text), np.int64)
         rank[order] = new
+        key = rank * (int(new[-1]) + 1)
+        key[:-width] += rank[width:]
         width *= 2
-        if new[-1] == len(text):
-            break
-    return order
 
 
 class PieceCodec:
@@ -96,7 +105,10 @@ class PieceCodec:
         self.len_of[self.piece_ids] = self.piece_len
         self.pairs_inside = {p[k:k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.follows: dict[int, bool] = {}
+        if any("\n" in p for p in self.pieces):
+            raise ValueError("line feeds inside pieces are not supported")
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     # -- one pair of pieces -------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -176,7 +188,7 @@ class PieceCodec:
         length[known] = self.len_of[piece[known]]
         # sorted by the place in its word where an edge ends; all words advance together
         end = at + length - starts[word[at]]
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end)
         at, piece, length, end = at[order], piece[order], length[order], end[order]
         cuts = np.searchsorted(end, np.arange(1, int(sizes.max(initial=0)) + 2))
         last = np.full(len(text) + 1, -2, np.int64)  # -2: not reached; -1: a word's start
@@ -204,30 +216,39 @@ class PieceCodec:
         return out
 
     def _chunk_parts(self, chunk: str) -> list[str]:
-        """A long chunk, cut where no piece holds both neighbours."""
-        if len(chunk) <= 64:
-            return [chunk]
-        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1:k + 1] not in self.pairs_inside]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+        """A chunk, cut before a last mark and, if long, everywhere, where no piece holds both neighbours."""
+        if len(chunk) > 64:
+            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1:k + 1] not in self.pairs_inside]
+            return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+        if len(chunk) > 2 and chunk[-1] in ".,!" and chunk[-2:] not in self.pairs_inside:
+            return [chunk[:-1], chunk[-1]]
+        return [chunk]
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [self._chunk_parts(c if c[0] in (SPACE, "\n") else SPACE + c) for c in chunks]
+        distinct = list({p for ps in parts for p in ps}.difference(self.parts))
+        if distinct:
+            self.parts.update(zip(distinct, self._encode_words(distinct)))
+        self.cache.update((c, b"".join([self.parts[p] for p in ps])) for c, ps in zip(chunks, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) + len(self.parts) > CACHE_WORDS:
             self.cache.clear()
-        # chunks without their leading space; no piece crosses from a word into the next space
-        plain = [t.split(" ") if SPACE not in t and "  " not in t and t[:1] != " " and t[-1:] != " " else
-                 [c[1:] for c in _CHUNK.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t in texts]
-        plain = [w if t else [] for w, t in zip(plain, texts)]
-        new = set()
-        for w in plain:
-            new.update(w)
-        new = list(new - self.cache.keys())
+            self.parts.clear()
+        # no piece crosses from a word into the next space, nor a line feed: texts are cut before them
+        rows, new = [], set()
+        for t in texts:
+            if not t:
+                rows.append([])
+            elif SPACE in t or t[0] in " \n" or t[-1] == " " or "  " in (cut := t.replace("\n", " \n")):
+                rows.append(_CHUNK.findall(SPACE + t.replace(" ", SPACE)))  # chunks with their leading space
+            else:
+                rows.append(cut.split(" "))                                 # chunks without it, or a line feed's
+            new |= set(rows[-1]).difference(self.cache)
         if new:
-            parts = [self._chunk_parts(SPACE + w) for w in new]
-            distinct = list({p for ps in parts for p in ps})
-            ids = dict(zip(distinct, self._encode_words(distinct)))
-            self.cache.update((w, b"".join(ids[p] for p in ps)) for w, ps in zip(new, parts))
-        return [b"".join(map(self.cache.__getitem__, w)) for w in plain]
+            self._learn(list(new))
+        return [b"".join(map(self.cache.__getitem__, r)) for r in rows]
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian unsigned 32-bit ids; bytes that are no UTF-8 become U+FFFD."""

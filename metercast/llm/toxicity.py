@@ -157,8 +157,8 @@ class WordScorer:
         words = [plain_words(t) for t in texts]
         new = set()
         for w in words:
-            new.update(w)
-        new = list(new - self.cache.keys())
+            new |= set(w).difference(self.cache)
+        new = list(new)
         for k in range(0, len(new), 100_000):
             part = new[k:k + 100_000]
             self.cache.update(zip(part, self.ratios.of_words(part).tolist()))
