@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
+from . import exact_dedup, line_dedup, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity, url_filter
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(docs, ratios)
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted",
                          "log_ratio_per_word", "top_word_ratio")
+
+
+@register("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.removed_spans(documents(spark, sf_dir))
+    return spans.select("doc_id", "n_bytes",
+                        F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (s, x) -> s + x)").alias("n_removed"),
+                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
