@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from .common import map_texts, text_bytes, work_dir, written
 CAPACITY = 1024
 END_ID = 2
 #: Encoded words that a worker keeps; it starts afresh beyond that (memory only, results don't depend on it).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def tokenizer_path() -> str:
@@ -39,10 +40,11 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """Byte-level BPE ids of whole texts, from remembered words.
 
-    The tokenizer first cuts a text into words that carry one leading space
-    at most; a cut at a single space between two non-space characters is one
-    of its own cuts. So texts are encoded word by word, each distinct word by
-    the library once. A text with white space beside a space is encoded whole.
+    The tokenizer first cuts a text into words (letters, digits or symbols)
+    with one leading space at most, and single line feeds. So a text is cut
+    before each space and line feed that has no other white space beside it,
+    and each distinct chunk is encoded by the library once. A text with white
+    space beside a space or line feed is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -50,37 +52,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes | bool] = {}
+        self.cache: dict[str, bytes | bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.feed = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each with its leading space: a thousand in one text, cut at the library's words."""
+        out = []
+        joined = ["".join(words[k:k + 1000]) for k in range(0, len(words), 1000)]
+        for e in self.tok.encode_batch(joined, add_special_tokens=False):
+            data = array("I", e.ids).tobytes()
+            cuts = np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
+            ends = [*(4 * cuts).tolist(), len(data)]
+            out += [data[p:q] for p, q in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember new chunks: ``"\\n..."`` as it stands, others with a leading space."""
+        split, whole = [], []
+        for c in chunks:
+            feed = c[:1] == "\n"
+            rest = c[1:] if feed else c
+            if not rest or rest[0].isspace() or rest[-1].isspace():
+                self.cache[c] = False  # beside white space: the text is encoded whole
+                continue
+            core = rest.rstrip(".,!")
+            if core.isalpha():  # letters, then a run of marks: the tokenizer cuts between them
+                split.append((c, core if feed else " " + core, rest[len(core):]))
+            else:
+                whole.append(c)
+        self.cache.update(zip(whole, self._encode([c if c[0] == "\n" else " " + c for c in whole])))
+        new = {w for _, w, _ in split}.difference(self.words)
+        spaced, bare = [w for w in new if w[0] == " "], [w for w in new if w[0] != " "]
+        self.words.update(zip(spaced, self._encode_letters(spaced)))
+        self.words.update(zip(bare, self._encode(bare)))
+        for m in {m for _, _, m in split}.difference(self.marks):
+            self.marks[m] = self._encode([m])[0]
+        self.cache.update((c, self.words[w] + self.marks[m] if w[0] == " " else self.feed + self.words[w] + self.marks[m])
+                          for c, w, m in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.spaced) + len(self.first) > CACHE_WORDS:
-            self.first.clear()
-            self.spaced.clear()
-        words = [t.split(" ") for t in texts]
-        new = {w[0] for w in words} - self.first.keys()
-        new_spaced = set()
-        for w in words:
-            new_spaced.update(w[1:])
-        new_spaced -= self.spaced.keys()
+        if len(self.cache) + len(self.words) > CACHE_WORDS:
+            self.cache.clear()
+            self.words.clear()
+            self.marks = {"": b""}
+        # a line feed before the text, whose id is dropped again, makes its first chunk one like the others
+        rows = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        new = set()
+        for r in rows:
+            new |= set(r).difference(self.cache)
         if new:
-            new = list(new)
-            self.first.update(zip(new, self._encode(new)))
-        if new_spaced:
-            plain = [w for w in new_spaced if w and not w[0].isspace() and not w[-1].isspace()]
-            self.spaced.update(dict.fromkeys(new_spaced, False))  # beside white space: the text is encoded whole
-            self.spaced.update(zip(plain, self._encode([" " + w for w in plain])))
-        out = []
-        for t, w in zip(texts, words):
-            ids = list(map(self.spaced.__getitem__, w[1:]))
-            if len(w) > 1 and (w[0][-1:].isspace() or False in ids):
-                out.append(self._encode([t])[0])
-            else:
-                out.append(self.first[w[0]] + b"".join(ids))
+            self._learn(new)
+        get, out = self.cache.__getitem__, []
+        for t, r in zip(texts, rows):
+            ids = list(map(get, r))
+            out.append(b"".join(ids)[4:] if False not in ids else self._encode([t])[0])
         return out
 
 
