@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +89,55 @@ def local_path(url: str) -> str:
     if "://" in url:
         raise ValueError(f"{url}: memory-mapped files need a shared folder that is mounted (file:)")
     return os.path.normpath(url)
+
+
+# -- blocks of texts: rows that ask shards of a key space and get their answers back by block id --------------------
+
+#: Texts are written in blocks of about this many bytes (a longer text is a block of its own).
+BLOCK_BYTES = 2 << 20
+
+_BLOCKS = pa.schema([("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("n_bytes", pa.int64())])
+
+
+def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, texts, size = [], [], 0
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()],
+             "data": [zstandard.compress(b"".join(texts), 3)], "n_bytes": [size]}, schema=_BLOCKS)
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1)):
+            t = t.as_py()
+            if size and size + len(t) > BLOCK_BYTES:
+                yield block()
+                ids, texts, size = [], [], 0
+            ids.append(i.as_py())
+            texts.append(t)
+            size += len(t)
+    if ids:
+        yield block()
+
+
+def text_blocks(rows: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, data) rows, none of them null, written as (block, ids, sizes, data, n_bytes): compressed texts end to end."""
+    return written(rows.mapInArrow(_to_blocks, "ids binary, sizes binary, data binary, n_bytes long")
+                   .withColumn("block", F.monotonically_increasing_id()), "blocks", folder)
+
+
+def join_answers(blocks: DataFrame, answers: DataFrame, *cols: str) -> DataFrame:
+    """Blocks with the list of their shards' answers: at most one for each shard."""
+    lists = answers.groupBy("block").agg(F.collect_list(F.struct("shard", *cols)).alias("answers"))
+    return blocks.join(lists, "block", "left")
+
+
+def pack_numbers(a: np.ndarray) -> bytes:
+    """A number column, byte planes apart, compressed."""
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.zeros(0, np.uint8)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack_numbers(data: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)

@@ -27,12 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, work_dir, written
+from .common import join_answers, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written
 from .suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 24
-BLOCK_BYTES = 2 << 20
 #: Bytes of text for each shard of gram hashes.
 SHARD_BYTES = 16 << 20
 #: Segment bytes that are indexed by one suffix array; a gram's segments stay together.
@@ -44,19 +43,6 @@ _HASH_BITS = 48
 _PLACE_BITS = 23
 
 
-# -- coding of number columns -------------------------------------------------
-def _pack(a: np.ndarray) -> bytes:
-    """Numbers, byte planes apart, compressed."""
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.zeros(0, np.uint8)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
-
-
 def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of the runs of equal numbers."""
     cuts = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.zeros(0, np.int64)
@@ -162,7 +148,7 @@ class Block:
 # -- the shards' answers ------------------------------------------------------
 def shared_hashes(blocks: list[tuple[int, bytes, bytes]]) -> list[tuple[int, bytes]]:
     """For each block of a shard, a bitmap over its hashes: held by several documents."""
-    hashes = [np.cumsum(_unpack(h, np.uint64)) for _, h, _ in blocks]
+    hashes = [np.cumsum(unpack_numbers(h, np.uint64)) for _, h, _ in blocks]
     here = [np.unpackbits(np.frombuffer(f, np.uint8))[:len(h)] for (_, _, f), h in zip(blocks, hashes)]
     sizes = [len(h) for h in hashes]
     key = np.concatenate(hashes)
@@ -205,8 +191,8 @@ def answer_segments(blocks: list[tuple], length: int) -> list[tuple[int, bytes,
     low: list[int] = []
     which = []
     for _, hashes, sizes, data, docs in blocks:
-        h, d = np.cumsum(_unpack(hashes, np.uint64)).tolist(), _unpack(docs, np.int64).tolist()
-        ends = np.cumsum(_unpack(sizes, np.int32)).tolist()
+        h, d = np.cumsum(unpack_numbers(hashes, np.uint64)).tolist(), unpack_numbers(docs, np.int64).tolist()
+        ends = np.cumsum(unpack_numbers(sizes, np.int32)).tolist()
         data = zstandard.decompress(data)
         own = []
         for key, doc, a, b in zip(h, d, [0, *ends], ends):
@@ -252,40 +238,11 @@ def answer_segments(blocks: list[tuple], length: int) -> list[tuple[int, bytes,
         n = windows[own]
         place = np.repeat(at[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         values, lengths = _runs(owners[place])
-        out.append((block, _pack(values), _pack(lengths)))
+        out.append((block, pack_numbers(values), pack_numbers(lengths)))
     return out
 
 
 # -- the job ------------------------------------------------------------------
-_BLOCKS = pa.schema([("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("n_bytes", pa.int64())])
-
-
-def _to_blocks(batches):
-    ids, texts, size = [], [], 0
-
-    def block():
-        return pa.RecordBatch.from_pydict(
-            {"ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()],
-             "data": [zstandard.compress(b"".join(texts), 3)], "n_bytes": [size]}, schema=_BLOCKS)
-    for b in batches:
-        for i, t in zip(b.column(0), b.column(1)):
-            t = t.as_py()
-            if size and size + len(t) > BLOCK_BYTES:
-                yield block()
-                ids, texts, size = [], [], 0
-            ids.append(i.as_py())
-            texts.append(t)
-            size += len(t)
-    if ids:
-        yield block()
-
-
-def _join_answers(blocks: DataFrame, answers: DataFrame, *cols: str) -> DataFrame:
-    """Blocks with the list of their shards' answers: at most one for each shard."""
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("shard", *cols)).alias("answers"))
-    return blocks.join(lists, "block", "left")
-
-
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                   gram: int = GRAM, folder: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): the removed byte runs of each document and the bytes that remain.
@@ -301,9 +258,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     rows = text_bytes(docs, id_col, text_col)
-    blocks = written(rows.where("doc_id IS NOT NULL")
-                     .mapInArrow(_to_blocks, "ids binary, sizes binary, data binary, n_bytes long")
-                     .withColumn("block", F.monotonically_increasing_id()), "blocks", folder)
+    blocks = text_blocks(rows.where("doc_id IS NOT NULL"), folder)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
 
@@ -326,7 +281,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if q > p:
                         out["shard"].append(s)
                         out["block"].append(b.column("block")[k].as_py())
-                        out["hashes"].append(_pack(np.diff(x.hashes[p:q], prepend=np.uint64(0))))
+                        out["hashes"].append(pack_numbers(np.diff(x.hashes[p:q], prepend=np.uint64(0))))
                         out["flags"].append(np.packbits(flags[p:q]).tobytes())
                 yield pa.RecordBatch.from_pydict(out, schema=ask)
 
@@ -358,10 +313,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if q > p:
                         out["shard"].append(s)
                         out["block"].append(b.column("block")[k].as_py())
-                        out["hashes"].append(_pack(np.diff(hashes[p:q], prepend=np.uint64(0))))
-                        out["sizes"].append(_pack(np.array([len(g) for g in segments[p:q]], np.int32)))
+                        out["hashes"].append(pack_numbers(np.diff(hashes[p:q], prepend=np.uint64(0))))
+                        out["sizes"].append(pack_numbers(np.array([len(g) for g in segments[p:q]], np.int32)))
                         out["data"].append(zstandard.compress(b"".join(segments[p:q]), 1))
-                        out["docs"].append(_pack(low[p:q]))
+                        out["docs"].append(pack_numbers(low[p:q]))
                 yield pa.RecordBatch.from_pydict(out, schema=send)
 
     def tell_owners(table):
@@ -372,7 +327,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("owners", pa.binary()),
                                           ("lengths", pa.binary())]))
 
-    sent = _join_answers(blocks, shared, "bits").mapInArrow(
+    sent = join_answers(blocks, shared, "bits").mapInArrow(
         send_segments, "shard int, block long, hashes binary, sizes binary, data binary, docs binary")
     owners = written(sent.groupBy("shard").applyInArrow(tell_owners, "shard int, block long, owners binary, lengths binary"),
                      "owners", folder)
@@ -389,7 +344,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_pydict(_cut_block(x, answers), schema=result)
 
     both = shared.join(owners, ["block", "shard"])
-    kept = _join_answers(blocks, both, "bits", "owners", "lengths").mapInArrow(
+    kept = join_answers(blocks, both, "bits", "owners", "lengths").mapInArrow(
         cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     nothing = F.array().cast("array<long>")
     return kept.unionByName(rows.where("doc_id IS NULL").select(
@@ -403,7 +358,7 @@ def _cut_block(x: Block, answers: list) -> dict:
     if answers:
         runs, segment, _, _, _ = x.segments([a[:2] for a in answers])
         # the shards' answers follow the order of hashes, as the segments do
-        owner = np.concatenate([np.repeat(_unpack(o, np.int64), _unpack(n, np.int32)) for _, _, o, n in sorted(answers)])
+        owner = np.concatenate([np.repeat(unpack_numbers(o, np.int64), unpack_numbers(n, np.int32)) for _, _, o, n in sorted(answers)])
         n = x.windows[runs]
         width = np.zeros(int(segment.max()) + 1, np.int64)
         width[segment] = n
