@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity, url_filter
+from . import (exact_dedup, jaccard_join, line_dedup, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity,
+               url_filter)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_bytes",
                         F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (s, x) -> s + x)").alias("n_removed"),
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
