@@ -28,7 +28,7 @@ from .common import map_texts, text_bytes, work_dir, written
 CAPACITY = 1024
 END_ID = 2
 #: Encoded words that a worker keeps; it starts afresh beyond that (memory only, results don't depend on it).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer_path() -> str:
@@ -77,12 +77,11 @@ class WordEncoder:
         for c in chunks:
             feed = c[:1] == "\n"
             rest = c[1:] if feed else c
-            if not rest or rest[0].isspace() or rest[-1].isspace():
-                self.cache[c] = False  # beside white space: the text is encoded whole
-                continue
             core = rest.rstrip(".,!")
             if core.isalpha():  # letters, then a run of marks: the tokenizer cuts between them
                 split.append((c, core if feed else " " + core, rest[len(core):]))
+            elif not rest or rest[0].isspace() or rest[-1].isspace():
+                self.cache[c] = False  # beside white space: the text is encoded whole
             else:
                 whole.append(c)
         self.cache.update(zip(whole, self._encode([c if c[0] == "\n" else " " + c for c in whole])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, jaccard_join, line_dedup, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity,
+from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity,
                url_filter)
 from .common import documents
 
@@ -76,3 +76,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = ngram_lm.fold(F.col("doc_id")) == 1
+    model = ngram_lm.train_model(docs.where(~held_out))
+    scored = ngram_lm.score_texts(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
