@@ -73,7 +73,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register("op8_jaccard_join")
+@register("op8_jaccard_join", jaccard_join.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
