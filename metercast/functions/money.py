@@ -9,6 +9,8 @@ doubles once, at the end.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,16 @@ def token_credits_e8(tokens, rate_centi) -> Column:
     return _c(tokens).cast("long") * _c(rate_centi).cast("long")
 
 
-def price_centi(price: float) -> int:
-    """USD per credit as integer cents (3.0 -> 300)."""
-    cents = round(price * 100)
-    if abs(cents - price * 100) > 1e-6:
-        raise ValueError(f"credit price {price} has more than 2 decimals")
-    return int(cents)
+def price_centi(price: float) -> int | Decimal:
+    """USD per credit in cents, exactly: an integer (3.0 -> 300), or a decimal
+    for prices with parts of a cent (2.555 -> 255.5). At most 6 decimals of a
+    cent, which decimal products keep."""
+    cents = Decimal(str(price)) * 100
+    if cents == cents.to_integral_value():
+        return int(cents)
+    if -cents.as_tuple().exponent > 6:
+        raise ValueError(f"credit price {price} has more than 8 decimals")
+    return cents.normalize()
 
 
 def from_decimal_credits(c, scale: int = 8) -> Column:

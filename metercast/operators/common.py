@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import money
 
@@ -73,9 +74,15 @@ def model_label(col: str = "model_name", label: str = "Specialized Function") ->
     return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(label))
 
 
-# Largest dimension broadcast to every task (rows). The price catalog,
-# rate lists, keyword lists and budget limits are far below it.
+# Largest dimension broadcast to every task. The price catalog, rate lists,
+# keyword lists and budget limits are far below it.
 DIM_MAX_ROWS = 100_000
+DIM_MAX_BYTES = 8 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a frame; exact for local relations."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS,
@@ -85,31 +92,38 @@ def dimension(df: DataFrame, max_rows: int = DIM_MAX_ROWS,
     Proof is either that the frame is derived only from local relations
     (tables built on the driver, such as the fixed catalog; ``of`` names the
     frames ``df`` filters, projects or combines, whose product bounds its
-    size) or a bounded probe that reads at most ``max_rows + 1`` rows of
-    ``df``. Beyond the bound no hint is given and Spark plans a shuffled
-    join (adaptive execution may still broadcast it at runtime).
+    size) of at most ``DIM_MAX_BYTES`` each, or a bounded probe that reads at
+    most ``max_rows + 1`` rows of ``df`` and sums their size. Beyond the bound no hint is given
+    and Spark plans a shuffled join (adaptive execution may still broadcast
+    it at runtime); the result is the same.
     """
     srcs = [df] if of is None else (of if isinstance(of, list) else [of])
-    if all(s.isLocal() for s in srcs) or df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    if all(s.isLocal() for s in srcs):
+        return F.broadcast(df) if all(plan_bytes(s) <= DIM_MAX_BYTES for s in srcs) else df
+    probe = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("size")).first()
+    return F.broadcast(df) if probe["n"] <= max_rows and (probe["size"] or 0) <= DIM_MAX_BYTES else df
 
 
-def top_k(df: DataFrame, order: list, k: int, merge_rows: int = 20_000_000) -> DataFrame:
-    """Exact top-``k`` by ``order`` with a bounded final merge.
+def top_k(df: DataFrame, order: list, k: int, fan_in: int = 200) -> DataFrame:
+    """Exact top-``k`` by ``order`` in two levels.
 
     ``orderBy().limit(k)`` keeps ``k`` rows per input partition and merges
-    them in one task; on a 100 TB scan that is hundreds of thousands of
-    partitions times ``k`` rows. Coalescing first (no shuffle) to at most
-    ``merge_rows // k`` partitions bounds that merge. The bound never goes
-    below the cluster's parallelism, so every slot stays busy, and a small
-    ``k`` leaves the input's own partitions (small tasks are cheap to retry
-    when an executor is lost).
+    them all in one task; on a 100 TB scan that is hundreds of thousands of
+    partitions. Here the partitions' ``k`` first rows (a limit inside the
+    window is pushed below its shuffle) are merged in ``fan_in`` groups of
+    partitions, and only ``fan_in * k`` rows meet in the last task. Spark
+    pushes such limits up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    rows; a larger ``k`` is the result size the caller asked for, and takes
+    the plain form.
     """
-    sc = df.sparkSession.sparkContext
-    slots = max(1, int(df.sparkSession.conf.get("spark.default.parallelism", None) or sc.defaultParallelism))
-    n = max(slots, int(merge_rows) // max(int(k), 1))
-    return df.coalesce(n).orderBy(*order).limit(int(k))
+    k = int(k)
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return df.orderBy(*order).limit(k)
+    cols = df.columns
+    grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(int(fan_in))))
+    w = Window.partitionBy("_group").orderBy(*order)
+    return grouped.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select(*cols).orderBy(*order).limit(k)
 
 
 def with_history(usage: DataFrame, qh: DataFrame, as_of, days: int,

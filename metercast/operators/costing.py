@@ -83,13 +83,16 @@ def cost_columns(in_tok: Column, out_tok: Column, price: float = DEFAULT_CREDIT_
 
 def with_cost(df: DataFrame, catalog: DataFrame, in_col: str = "input_tokens",
               out_col: str = "output_tokens", model_col: str = "model",
-              price: float = DEFAULT_CREDIT_PRICE, strict: bool = True) -> DataFrame:
+              price: float = DEFAULT_CREDIT_PRICE, strict: bool = True,
+              keep_unknown: bool = False) -> DataFrame:
     """Cost of token counts per row (C1). Unknown models raise when
-    ``strict`` (the error is in a selected column, so it fires on use) and
-    are dropped otherwise."""
+    ``strict`` (the error is in a selected column, so it fires on use);
+    otherwise they are skipped, or stay at zero cost with ``keep_unknown``."""
     r = _rates(catalog).withColumnRenamed("model", "_cat_model")
     cond = F.col(model_col) == F.col("_cat_model")
-    j = df.join(r, cond, "left" if strict else "inner")
+    j = df.join(r, cond, "left" if strict or keep_unknown else "inner")
+    if keep_unknown:
+        j = j.fillna(0, ["in_centi", "out_centi"])
     model = F.col(model_col)
     if strict:
         # the check rides on the selected model column, so it cannot be pruned
@@ -353,10 +356,9 @@ def named_tier_costs(conversations: DataFrame, catalog: DataFrame, tiers: DataFr
 
 def _rate_e8(units: Column, rate_centi: Column, per_units: Column) -> Column:
     """Exact credits x 1e8 of ``units`` at a rate in centi-credits per
-    ``per_units`` units (units may carry up to 6 decimals: GB-months, hours)."""
-    scaled = (units.cast("decimal(38,6)") * rate_centi.cast("decimal(20,0)")
-              * (F.lit(1_000_000) / per_units).cast("decimal(20,0)"))
-    return F.round(scaled, 0).cast(money.SUM_TYPE)
+    ``per_units`` units (units may carry up to 12 decimals: GB-months, hours)."""
+    scaled = (units.cast("decimal(28,12)") * rate_centi.cast("decimal(9,0)")).cast("decimal(38,12)")
+    return F.round(scaled * (F.lit(1_000_000) / per_units).cast("decimal(7,0)"), 0).cast(money.SUM_TYPE)
 
 
 def rate_list_cost(units: DataFrame, rates: DataFrame, name_col: str = "name",
@@ -397,11 +399,10 @@ def function_cost(usage: DataFrame, rates: DataFrame, name_col: str = "function_
                   tokens_col: str = "tokens") -> DataFrame:
     """Per function: calls, tokens and the cost at the function's list rate
     (E25). Functions without a list rate keep NULL rate and cost."""
-    r = dimension(rates.select(F.col("name").alias(name_col), "credits_per_unit", "rate_centi"), of=rates)
-    j = usage.select(name_col, tokens_col).join(r, name_col, "left")
-    g = j.groupBy(name_col).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum(tokens_col).alias("tokens"),
-        F.first("credits_per_unit", ignorenulls=True).alias("rate_credits_per_1m"),
-        money.exact_sum(F.col(tokens_col) * F.col("rate_centi")).alias("_e8"))
-    return g.select(name_col, "calls", "tokens", "rate_credits_per_1m",
-                    money.e8_to_credits("_e8").alias("rate_credits"))
+    r = dimension(rates.select(F.col("name").alias(name_col), F.col("credits_per_unit").alias("rate_credits_per_1m"),
+                               "rate_centi"), of=rates)
+    # tokens are summed per function first: only the few sums meet the rates
+    g = usage.groupBy(name_col).agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens_col).alias("tokens"))
+    e8 = F.col("tokens").cast(money.SUM_TYPE) * F.col("rate_centi")
+    return g.join(r, name_col, "left").select(name_col, "calls", "tokens", "rate_credits_per_1m",
+                                              money.e8_to_credits(e8).alias("rate_credits"))

@@ -51,10 +51,11 @@ def opportunities_from_groups(g: DataFrame, catalog: DataFrame,
     is_premium = F.exists(F.array(*[F.lit(p) for p in premium]),
                           lambda p: F.col("model_name").contains(p))
     fires1 = (is_premium & F.col("function_name").isin(list(simple))
-              & F.col("current_rate").isNotNull() & F.col("cheap_rate").isNotNull())
+              & (F.col("current_rate") > 0) & F.col("cheap_rate").isNotNull())
     fires2 = ((F.col("function_name") == RULE2_FUNCTION) & (F.col("call_count") > min_calls)
               & F.col("model_name").contains(RULE2_PATTERN))
-    pct1 = (F.lit(1.0) - F.col("cheap_rate") / F.col("current_rate")) * F.lit(100.0)
+    # a model at no cost can't get cheaper
+    pct1 = (F.lit(1.0) - F.try_divide("cheap_rate", "current_rate")) * F.lit(100.0)
 
     def rule(n: int, fires, savings, pct):
         return F.when(fires, F.struct(F.lit(n).alias("rule"), savings.alias("potential_savings"),

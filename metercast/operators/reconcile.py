@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, money
 from ..sources.catalog import local_frame
-from ..sources.readers import check_access  # noqa: F401  (S13, re-exported)
+from ..sources.readers import check_access, is_missing  # noqa: F401  (S13, re-exported)
 from .common import credit_e8, since
 
 STATUS_OK = "OK"
@@ -34,8 +34,8 @@ class SourceSpec:
 
 def _source_facts(spec: SourceSpec, as_of, days: int) -> DataFrame | None:
     """``(service, e8)`` rows of one source in the look-back window, or None
-    when the source cannot be resolved (S14). Only analysis errors (missing
-    table / column / path) are tolerated."""
+    when the source's table or path is missing (S14). Nothing else is
+    tolerated: a misspelt column is an error, not 0 credits."""
     try:
         df = spec.load()
         df = df.where(since(df, spec.time_col, as_of, days))
@@ -43,7 +43,9 @@ def _source_facts(spec: SourceSpec, as_of, days: int) -> DataFrame | None:
             df = df.where(spec.where(df))
         return df.select(F.lit(spec.service).alias("service"),
                          credit_e8(df, spec.credits_col).cast("long").alias("e8"))
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return None
 
 

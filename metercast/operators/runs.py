@@ -35,9 +35,12 @@ REALTIME_BUILTINS = ["SENTIMENT", "SUMMARIZE", "TRANSLATE", "CLASSIFY_TEXT"]
 
 
 def summarize_runs(results: DataFrame, catalog: DataFrame, price: float = 3.0,
-                   latency_col: str = "latency", response_col: str = "response") -> DataFrame:
+                   latency_col: str = "latency", response_col: str = "response",
+                   strict: bool = True) -> DataFrame:
     """One run row per model over the successful per-row results (A19):
-    rows, token sums, credits and cost, summed latency and a sample output.
+    rows, token sums, credits and cost, summed latency and a sample output
+    (the first 500 characters of a response). A model that the catalog lacks
+    raises when ``strict``; otherwise its run stays, without credits and cost.
 
     Cost is linear in tokens, so it is priced once per model from the exact
     token sums (identical to summing per-row costs, without carrying money
@@ -52,13 +55,17 @@ def summarize_runs(results: DataFrame, catalog: DataFrame, price: float = 3.0,
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         t.alias("time_seconds"),
-        F.left(F.min(response_col), F.lit(500)).alias("sample_output"))
-    c = dimension(catalog.select("model", "in_centi", "out_centi"), of=catalog)
+        F.min(F.left(F.col(response_col), F.lit(500))).alias("sample_output"))
+    c = dimension(catalog.select(F.col("model").alias("_cat_model"), "in_centi", "out_centi"), of=catalog)
     e8 = (F.col("input_tokens").cast(money.SUM_TYPE) * F.col("in_centi")
           + F.col("output_tokens").cast(money.SUM_TYPE) * F.col("out_centi"))
     e10 = e8 * F.lit(money.price_centi(price))
-    return g.join(c, "model").select(
-        "model", "rows", "input_tokens", "output_tokens",
+    model = F.col("model")
+    if strict:  # the check rides on a selected column, so it cannot be pruned
+        model = F.when(F.col("_cat_model").isNull(),
+                       F.raise_error(F.concat(F.lit("Unknown model: "), F.coalesce(model, F.lit("NULL"))))).otherwise(model)
+    return g.join(c, F.col("model") == F.col("_cat_model"), "left").select(
+        model.alias("model"), "rows", "input_tokens", "output_tokens",
         money.e8_to_credits(e8).alias("total_credits"), money.e10_to_usd(e10).alias("total_cost"),
         "time_seconds", "sample_output", e10.alias("cost_e10"))
 
@@ -154,7 +161,8 @@ def project_to_table(runs: DataFrame, table: DataFrame, text_col: str) -> DataFr
     """Cost and time of running each model on the whole table (C25): the
     non-null row count (one global aggregate) times the per-row figures,
     ranked, with the saving against the dearest model."""
-    n = table.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("table_rows"))
+    # a count of the column: the scan can take it from the file footers
+    n = table.agg(F.count(text_col).alias("table_rows"))
     # ``n`` is one row by construction (a global count)
     r = runs.where(F.col("rows") > 0).crossJoin(F.broadcast(n))
     r = r.select("model", "table_rows",
@@ -201,7 +209,7 @@ def scale_runs(results: DataFrame, batches=DEFAULT_BATCHES, round_per_call: bool
     _check_batches(batches)
     s = successful(results)
     per_call, e10 = _per_call(round_per_call)
-    p = s.select(F.left(F.col("test"), F.lit(20)).alias("test"), "model", "function",
+    p = s.select("test", "model", "function",
                  per_call.alias("cost_per_row"), e10.alias("_e10"), _points(batches).alias("rows"))
     return p.select("test", "model", "function", "rows",
                     (F.col("cost_per_row") * F.col("rows")).alias("total_cost"), "cost_per_row",
@@ -265,8 +273,7 @@ def savings_at_scale_from_results(results: DataFrame, batches=DEFAULT_BATCHES,
     sizes = _check_batches(batches)
     pick = target if target in sizes else max(sizes)
     _, e10 = _per_call(round_per_call)
-    s = successful(results).select(F.left(F.col("test"), F.lit(20)).alias("test"), "model",
-                                   "function", e10.alias("_e10"))
+    s = successful(results).select("test", "model", "function", e10.alias("_e10"))
     pre = s.groupBy("model", "function", "test").agg(F.min("_e10").alias("_lo"),
                                                      F.max("_e10").alias("_hi"))
     key = [F.col("model").alias("m"), F.col("function").alias("f"), F.col("test").alias("t")]
@@ -308,8 +315,10 @@ def compare_all(results: DataFrame) -> DataFrame:
 
 
 def results_table(results: DataFrame) -> DataFrame:
-    """Successful runs without the response text."""
-    return successful(results).select("test", "model", "function", "latency", "cost", "output_tokens")
+    """Successful runs without the response text (C28, P18), with the type of
+    their test where the results carry one."""
+    kind = ["test_type"] if "test_type" in results.columns else []
+    return successful(results).select("test", *kind, "model", "function", "latency", "cost", "output_tokens")
 
 
 def winners(results: DataFrame) -> DataFrame:
@@ -329,25 +338,28 @@ def winners(results: DataFrame) -> DataFrame:
                     F.col("_n").cast("long").alias("runs"))
 
 
-def prompt_vs_builtin(results: DataFrame, functions=BUILTIN_FUNCTIONS,
+def prompt_vs_builtin(results: DataFrame, builtin: DataFrame, functions=BUILTIN_FUNCTIONS,
                       call_usd: float = BUILTIN_CALL_USD) -> DataFrame:
-    """Prompt-based runs next to the built-in function runs of the same
-    tasks (C31, U3): built-in rows are labelled ``"<model> (via <FUNC>)"``
-    and cost a flat ``call_usd`` per call (E8)."""
-    s = successful(results).where(F.col("function").isin(list(functions)))
-    call_e10 = int(round(call_usd * money.E10))
-    # one aggregate per function serves both variants (a built-in label is
-    # "<model> (via <FUNC>)", so its distinct count is the model count);
-    # the two variant rows are emitted from the aggregated row
-    g = s.groupBy("function").agg(
-        F.count(F.lit(1)).alias("_n"), F.countDistinct("model").alias("_models"),
-        F.sum("output_tokens").alias("_out_prompt"),
-        F.sum(tokens.est_tokens(F.col("response"))).alias("_out_builtin"),
-        money.exact_sum("cost_e10").alias("_e10"))
-    prompt = F.struct(F.lit("prompt").alias("variant"), F.col("_n").alias("runs"),
-                      F.col("_models").alias("models"), F.col("_out_prompt").alias("output_tokens"),
-                      money.e10_to_usd("_e10").alias("total_cost"))
-    builtin = F.struct(F.lit("builtin").alias("variant"), F.col("_n").alias("runs"),
-                       F.col("_models").alias("models"), F.col("_out_builtin").alias("output_tokens"),
-                       money.e10_to_usd(F.col("_n").cast(money.SUM_TYPE) * F.lit(call_e10)).alias("total_cost"))
-    return g.select("function", F.explode(F.array(prompt, builtin)).alias("_v")).select("function", "_v.*")
+    """Prompt-based runs next to the logged runs of the built-in functions
+    (C31, U3): model ``"<model> (via <FUNC>)"``, their own response and
+    latency, a flat ``call_usd`` per call (E8). The union is aggregated per
+    function and variant; distinct models come from its partial aggregates."""
+    names = list(functions)
+    latency = (lambda d: F.col("latency_centi") if "latency_centi" in d.columns
+               else F.round(F.col("latency") * 100).cast("long"))
+    prompt, other = successful(results), successful(builtin)
+    prompt = prompt.where(F.col("function").isin(names)).select(
+        "function", F.lit("prompt").alias("variant"), "model", "output_tokens",
+        F.col("cost_e10").cast(money.SUM_TYPE).alias("_e10"), latency(prompt).alias("_lat"))
+    other = other.where(F.col("function").isin(names)).select(
+        "function", F.lit("builtin").alias("variant"), "model", tokens.est_tokens(F.col("response")).alias("output_tokens"),
+        F.lit(int(round(call_usd * money.E10))).cast(money.SUM_TYPE).alias("_e10"), latency(other).alias("_lat"))
+    # one row for each model first, so that counting models needs no second shuffle of the runs
+    g = prompt.unionByName(other).groupBy("function", "variant", "model").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("output_tokens").alias("_out"), money.exact_sum("_e10").alias("_e10"),
+        money.exact_sum("_lat").alias("_lat"))
+    g = g.groupBy("function", "variant").agg(
+        F.sum("_n").alias("runs"), F.count("model").alias("models"), F.sum("_out").alias("output_tokens"),
+        money.exact_sum("_e10").alias("_e10"), money.exact_sum("_lat").alias("_lat"))
+    return g.select("function", "variant", "runs", "models", "output_tokens", money.e10_to_usd("_e10").alias("total_cost"),
+                    (F.col("_lat").cast("double") / F.lit(100.0) / F.col("runs")).alias("avg_latency"))

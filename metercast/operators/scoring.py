@@ -1,13 +1,15 @@
 """Batch text scoring with a user-supplied model client (F1, F2).
 
 The hosted per-row model calls of the dashboard become one distributed job:
-``mapInPandas`` hands Arrow batches of (key, text) to the scorer, once per
-model; the scorer is created once per partition. Token estimates and the
-catalog cost are computed back on the JVM side.
+prompts, their lengths and the fan-out to models are column expressions;
+``mapInPandas`` hands Arrow batches of prompts to the scorer, which is created
+once per task. Token estimates and the catalog cost are column expressions
+again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import tokens
+from ..functions import money, tokens
+from .common import dimension
 from .costing import with_cost
 
-# scorer_factory() -> scorer(model, prompts: list[str]) -> list[str]
+# scorer_factory() -> scorer(model, prompts: list[str]) -> list[str | Exception]
 Scorer = Callable[[str, list], list]
 
 _OUT_FIELDS = [
-    T.StructField("text_tokens", T.LongType()),
     T.StructField("model", T.StringType()),
+    T.StructField("text_tokens", T.LongType()),
     T.StructField("prompt_chars", T.LongType()),
     T.StructField("response", T.StringType()),
     T.StructField("latency_s", T.DoubleType()),
@@ -38,46 +41,36 @@ def _out_schema(key_type: T.DataType) -> T.StructType:
 
 
 def _score_chunk(scorer: Scorer, model: str, prompts: list) -> tuple[list, list, list]:
-    """One scorer call for a chunk; if it fails, each prompt alone, so one
-    bad row becomes an error row instead of failing its neighbours (F2)."""
+    """One scorer call for a chunk. The scorer reports a bad row by an
+    exception in that row's place (F2); a call that raises makes all its rows
+    error rows. No call is repeated: calls are paid for."""
     t0 = time.perf_counter()
     try:
         out = list(scorer(model, prompts))
         if len(out) != len(prompts):
             raise ValueError("scorer returned a different number of rows")
-        per = (time.perf_counter() - t0) / max(len(prompts), 1)
-        return out, [per] * len(out), ["success"] * len(out)
-    except Exception:  # noqa: BLE001 - isolate the failing rows
-        resp, lat, st = [], [], []
-        for p in prompts:
-            t1 = time.perf_counter()
-            try:
-                resp.append(scorer(model, [p])[0])
-                lat.append(time.perf_counter() - t1)
-                st.append("success")
-            except Exception as e:  # noqa: BLE001
-                resp.append(str(e)[:500])
-                lat.append(0.0)
-                st.append("error")
-        return resp, lat, st
-
-
-def _score_partition(models: list[str], template: str | None, scorer_factory: Callable[[], Scorer],
-                     batch_size: int):
+    except Exception as e:  # noqa: BLE001 - an error row holds the message
+        out = [e] * len(prompts)
+    per = (time.perf_counter() - t0) / max(len(prompts), 1)
+    bad = [isinstance(r, Exception) for r in out]
+    return ([str(r) if b else r for r, b in zip(out, bad)], [0.0 if b else per for b in bad],
+            ["error" if b else "success" for b in bad])
+
+
+def _score_partition(scorer_factory: Callable[[], Scorer], batch_size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()  # once per task
         for pdf in batches:
-            for lo in range(0, len(pdf), batch_size):
-                part = pdf.iloc[lo:lo + batch_size]
-                texts = part["text"].astype(str)
-                prompts = (texts if template is None
-                           else texts.map(lambda t: template.replace("{text}", t))).tolist()
-                for model in models:
-                    resp, lat, st = _score_chunk(scorer, model, prompts)
+            for (model, known), rows in pdf.groupby(["model", "known"], sort=False, dropna=False):
+                for lo in range(0, len(rows), batch_size):
+                    part = rows.iloc[lo:lo + batch_size]
+                    if known:
+                        resp, lat, st = _score_chunk(scorer, model, part["prompt"].tolist())
+                    else:
+                        resp, lat, st = f"Unknown model: {model}", 0.0, "error"
                     yield pd.DataFrame({
-                        "key": part["key"].values,
-                        "text_tokens": part["text_tokens"].astype("int64").values, "model": model,
-                        "prompt_chars": [len(p) for p in prompts],
+                        "key": part["key"].values, "model": model,
+                        "text_tokens": part["text_tokens"].values, "prompt_chars": part["prompt_chars"].values,
                         "response": resp, "latency_s": lat, "status": st})
     return run
 
@@ -86,54 +79,67 @@ def score_texts(df: DataFrame, text_col: str, key_col: str, models: list[str],
                 scorer_factory: Callable[[], Scorer], catalog: DataFrame,
                 template: str | None = None, price: float = 3.0,
                 count_template: bool = False, checkpoint: bool = False,
-                batch_size: int = 256) -> DataFrame:
+                batch_size: int = 256, parallelism: int | None = None) -> DataFrame:
     """Run every non-null text through every model with the user's scorer.
 
-    Per (key, model): response, status ('error' rows carry the message and
-    zero tokens, latency and cost), latency, estimated input tokens (E2 on
-    the text, or on the prompt with ``count_template``), output tokens (E3)
-    and the catalog cost (C1; models outside the catalog are dropped).
-
-    The text's token estimate is computed on the JVM side before the Python
-    stage and carried through it, so the scored rows need no join back to the
-    source. With ``checkpoint`` the scored rows are written to the shared
-    checkpoint folder, so a lost executor never repeats the model calls.
-    The scorer gets at most ``batch_size`` prompts per call (Arrow batches
-    are cut into such chunks); it is created once per task.
+    Per (key, model): response, status ('error' rows carry the whole message
+    and zero tokens, latency and cost), latency, estimated input tokens (E2
+    on the text, or on the prompt with ``count_template``), output tokens
+    (E3) and the catalog cost (C1). A model that the catalog lacks is not
+    called; its rows are error rows.
+
+    Prompts and lengths are made by column expressions and (text, model)
+    pairs are rows, so ``parallelism`` spreads the calls over that many tasks
+    whatever the table's size. With ``checkpoint`` the scored rows are written
+    to the shared checkpoint folder, so a lost executor never repeats the
+    model calls. The scorer gets at most ``batch_size`` prompts per call; it
+    is created once per task.
     """
-    src = df.where(F.col(text_col).isNotNull()).select(
-        F.col(key_col).alias("key"), F.col(text_col).alias("text"),
-        tokens.est_input_tokens(F.col(text_col)).alias("text_tokens"))
-    scored = src.mapInPandas(
-        _score_partition(list(models), template, scorer_factory, int(batch_size)),
-        _out_schema(df.schema[key_col].dataType))
+    text = F.col(text_col)
+    prompt = text if template is None else tokens.fill_prompt(template, text)
+    src = df.where(text.isNotNull()).select(
+        F.col(key_col).alias("key"), prompt.alias("prompt"), F.length(prompt).cast("long").alias("prompt_chars"),
+        tokens.est_input_tokens(text).alias("text_tokens"),
+        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    known = dimension(catalog.select(F.col("model").alias("_cat_model")), of=catalog)
+    src = (src.join(known, F.col("model") == F.col("_cat_model"), "left")
+           .select("key", "model", "prompt", "prompt_chars", "text_tokens", F.col("_cat_model").isNotNull().alias("known")))
+    if parallelism:
+        src = src.repartition(int(parallelism))
+    scored = src.mapInPandas(_score_partition(scorer_factory, int(batch_size)), _out_schema(df.schema[key_col].dataType))
     if checkpoint:
         from ..session import materialize
         scored = materialize(scored)
     ok = F.col("status") == "success"
-    in_tok = (F.when(F.col("prompt_chars") > 0, F.greatest(F.lit(1).cast("long"),
-                     F.floor(F.col("prompt_chars") / 4).cast("long"))).otherwise(F.lit(0).cast("long"))
-              if count_template else F.col("text_tokens"))
+    zero = F.lit(0).cast("long")
+    in_tok = tokens.est_tokens_of_length("prompt_chars") if count_template else F.col("text_tokens")
     j = scored.select(F.col("key").alias(key_col), "model", "response", "status",
                       F.when(ok, F.col("latency_s")).otherwise(F.lit(0.0)).alias("latency_s"),
-                      F.when(ok, in_tok).otherwise(F.lit(0).cast("long")).alias("input_tokens"),
-                      F.when(ok, tokens.est_output_tokens(F.col("response")))
-                       .otherwise(F.lit(0).cast("long")).alias("output_tokens"))
-    return with_cost(j, catalog, price=price, strict=False)
+                      F.when(ok, in_tok).otherwise(zero).alias("input_tokens"),
+                      F.when(ok, tokens.est_output_tokens(F.col("response"))).otherwise(zero).alias("output_tokens"))
+    return with_cost(j, catalog, price=price, strict=False, keep_unknown=True)
+
+
+def result_rows(scored: DataFrame, test: str, test_type: str) -> DataFrame:
+    """Scored rows as test results, the input of the comparison and scale
+    operators (C26-C30): test, its type, model, function (``COMPLETE``, or
+    what the type names before ' - '), response, tokens, latency, cost."""
+    # whole 1e-10 USD at rates and prices of two decimals
+    e10 = F.round(F.col("total_cost_usd_raw").cast("decimal(38,16)") * F.lit(money.E10), 0)
+    function = test_type.split(" - ")[0] if " - " in test_type else "COMPLETE"
+    return scored.select(
+        F.lit(test).alias("test"), F.lit(test_type).alias("test_type"), "model", F.lit(function).alias("function"), "response",
+        "input_tokens", "output_tokens", F.col("latency_s").alias("latency"), F.col("total_cost_usd_raw").alias("cost"),
+        "status", e10.cast(money.SUM_TYPE).alias("cost_e10"))
 
 
 def echo_scorer_factory(fail_every: int = 0) -> Callable[[], Scorer]:
-    """A deterministic stand-in scorer for tests and smoke runs: replies with
-    the first sentence of the prompt; with ``fail_every`` it raises on
-    prompts whose length is divisible by it (to exercise error rows)."""
+    """A deterministic stand-in scorer for tests and smoke runs: it replies
+    with the length and the md5 of the whole prompt; with ``fail_every`` it
+    reports an error for prompts whose length is divisible by it."""
     def factory() -> Scorer:
         def score(model: str, prompts: list) -> list:
-            out = []
-            for p in prompts:
-                if fail_every and len(p) % fail_every == 0:
-                    raise RuntimeError(f"model {model} failed")
-                head = p.split(".")[0]
-                out.append(f"[{model}] {head[:200]}")
-            return out
+            return [RuntimeError(f"model {model} failed") if fail_every and len(p) % fail_every == 0 else
+                    f"[{model}] {len(p)} characters, md5 {hashlib.md5(p.encode()).hexdigest()}" for p in prompts]
         return score
     return factory

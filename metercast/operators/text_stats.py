@@ -36,8 +36,9 @@ def sample_rows(df: DataFrame, key: str, n: int = 1000) -> DataFrame:
 
 def sampled_token_stats(df: DataFrame, text_col: str, key: str, n: int = 1000) -> DataFrame:
     """Token statistics of a ``n``-row sample (C18, the sampling operator)."""
-    s = sample_rows(df.where(F.col(text_col).isNotNull()), key, n)
-    return _stats(s.select(tokens.est_tokens(F.col(text_col)).alias("t")), "t")
+    # the estimate is made before the top-k: texts don't travel
+    t = df.where(F.col(text_col).isNotNull()).select(key, tokens.est_tokens(F.col(text_col)).alias("t"))
+    return _stats(sample_rows(t, key, n), "t")
 
 
 def fill_prompts(df: DataFrame, text_col: str, template: str, key: str) -> DataFrame:

@@ -193,7 +193,8 @@ def hourly_function_usage(usage_hourly: DataFrame, as_of, days: int = 7) -> Data
     return (usage_hourly.where(since(usage_hourly, "start_time", as_of, days))
             .select("start_time", "end_time", "function_name", "model_name", "warehouse_id",
                     "token_credits", "tokens")
-            .orderBy(F.desc("start_time")))
+            # an hour may hold a third of all rows: ties are broken, so that the range can be cut inside it
+            .orderBy(F.desc("start_time"), "function_name", "model_name", "warehouse_id", "tokens", "token_credits"))
 
 
 def top_query_usage(usage: DataFrame, limit: int = 1000) -> DataFrame:

@@ -28,9 +28,9 @@ def q_text_token_stats(spark, sf_dir):
 
 @register("sampled_token_stats", f"""
 SELECT {_STATS} FROM (SELECT {X.TOK_SQL} AS t FROM documents WHERE text IS NOT NULL
-                      ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000) s""")
+                      ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100) s""")
 def q_sampled_token_stats(spark, sf_dir):
-    return TS.sampled_token_stats(td(spark, sf_dir).texts(), "text", "doc_id", 1000)
+    return TS.sampled_token_stats(td(spark, sf_dir).texts(), "text", "doc_id", 100)
 
 
 PROMPT = "Summarize the following text in one sentence:\n\n{text}"

@@ -89,7 +89,7 @@ SEARCH_DAILY = """search_daily AS (
 CAT = f"cat AS (SELECT * FROM {cat.catalog_values_sql('c')})"
 
 RESULTS = f"""results AS (
-  SELECT test, model, function, response, input_tokens, output_tokens,
+  SELECT test, function || ' - logged run' AS test_type, model, function, response, input_tokens, output_tokens,
          latency_centi / 100.0 AS latency,
          CAST(e10 AS DOUBLE) / 1e10 AS cost, status, latency_centi, e10, session_id
   FROM (
@@ -99,7 +99,7 @@ RESULTS = f"""results AS (
       SELECT l_orderkey AS session_id, l_returnflag || l_linestatus AS test,
              {_case('l_partkey % 8', td.MOD8_MODELS)} AS model,
              {_case('l_linenumber', td.LINE_FUNCTIONS)} AS function,
-             l_linestatus AS response,
+             repeat(l_linestatus, l_linenumber * 7) AS response,
              CAST(round(l_quantity * 100) AS BIGINT) AS input_tokens,
              CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_linenumber AS BIGINT) * 50 ELSE CAST(0 AS BIGINT) END AS output_tokens,
              CAST(CASE WHEN l_partkey % 50 <> 0 THEN l_suppkey % 100 + 1 ELSE 0 END AS BIGINT) AS latency_centi,
@@ -107,6 +107,18 @@ RESULTS = f"""results AS (
       FROM lineitem) b
     JOIN cat USING (model)) y)"""
 
+# logged runs of the built-in functions beside the prompts (successful rows)
+BUILTIN_RESULTS = f"""(
+  SELECT {_case('l_partkey % 8', td.MOD8_MODELS)} AS model, {_case('l_linenumber', td.LINE_FUNCTIONS)} AS function,
+         repeat('B', l_linenumber * 4) AS response, CAST(l_suppkey % 50 + 1 AS BIGINT) AS latency_centi
+  FROM lineitem WHERE l_partkey % 50 <> 0 AND l_partkey % 8 <> 0) bi"""
+
+
+def text_literal(s: str) -> str:
+    """A string constant that may hold line feeds."""
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 RUNS = """runs AS (
   SELECT r.model, r.rows, CAST(r.input_tokens AS BIGINT) AS input_tokens,
          CAST(r.output_tokens AS BIGINT) AS output_tokens,
@@ -116,7 +128,7 @@ RUNS = """runs AS (
                SUM(input_tokens) AS input_tokens, SUM(output_tokens) AS output_tokens,
                CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost,
                CAST(SUM(latency_centi) AS DOUBLE) / 100.0 AS time_seconds,
-               MIN(response) AS sample_output, SUM(e10) AS e10
+               MIN(left(response, 500)) AS sample_output, SUM(e10) AS e10
         FROM results WHERE status = 'success' GROUP BY model) r
   JOIN cat c USING (model))"""
 

@@ -93,7 +93,7 @@ def q_project_to_table(spark, sf_dir):
 
 _BATCHES = ", ".join(f"(CAST({b} AS BIGINT))" for b in RU.DEFAULT_BATCHES)
 _SCALED_CTE = f"""scaled AS (
-  SELECT left(test, 20) AS test, model, function, b.rows, cost * b.rows AS total_cost,
+  SELECT test, model, function, b.rows, cost * b.rows AS total_cost,
          cost AS cost_per_row, e10 * b.rows AS e10
   FROM results CROSS JOIN (VALUES {_BATCHES}) b(rows) WHERE status = 'success')"""
 _SCALED = X.with_(X.CAT, X.RESULTS, _SCALED_CTE)
@@ -149,7 +149,7 @@ def q_compare_all(spark, sf_dir):
 
 
 @register("all_results", _RES + """
-SELECT test, model, function, latency, cost, output_tokens FROM results WHERE status = 'success'""")
+SELECT test, test_type, model, function, latency, cost, output_tokens FROM results WHERE status = 'success'""")
 def q_all_results(spark, sf_dir):
     return RU.results_table(td(spark, sf_dir).results())
 
@@ -167,24 +167,69 @@ def q_winners(spark, sf_dir):
 @register("prompt_vs_builtin", X.with_(
     *_RES_CTES,
     "s AS (SELECT * FROM results WHERE status = 'success' AND function IN ('SENTIMENT', 'SUMMARIZE'))",
-    """u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10 FROM s
+    f"""u AS (SELECT function, 'prompt' AS variant, model, output_tokens, e10, latency_centi FROM s
       UNION ALL
       SELECT function, 'builtin', model || ' (via ' || function || ')',
-             greatest(1, length(response) // 4), 1000000 FROM s)""") + """
+             greatest(1, length(response) // 4), 1000000, latency_centi FROM {X.BUILTIN_RESULTS}
+      WHERE function IN ('SENTIMENT', 'SUMMARIZE'))""") + """
 SELECT function, variant, COUNT(*) AS runs, COUNT(DISTINCT model) AS models,
-       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost
+       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(e10) AS DOUBLE) / 1e10 AS total_cost,
+       CAST(SUM(latency_centi) AS DOUBLE) / 100.0 / COUNT(*) AS avg_latency
 FROM u GROUP BY function, variant""")
 def q_prompt_vs_builtin(spark, sf_dir):
-    return RU.prompt_vs_builtin(td(spark, sf_dir).results())
+    t = td(spark, sf_dir)
+    return RU.prompt_vs_builtin(t.results(), t.builtin_results())
+
 
+@register("result_cost_skip_unknown", X.with_(X.CAT) + f"""
+SELECT test, model, input_tokens, output_tokens, {X.cost9('input_tokens', 'output_tokens')}
+FROM (SELECT l_returnflag || l_linestatus AS test, {X._case('l_partkey % 8', MOD8_MODELS)} AS model,
+             CAST(round(l_quantity * 100) AS BIGINT) AS input_tokens, CAST(l_linenumber AS BIGINT) * 50 AS output_tokens
+      FROM lineitem) b JOIN cat USING (model)""")
+def q_result_cost_skip_unknown(spark, sf_dir):
+    """C1 over rows of which an eighth name no model of the catalog: these are skipped."""
+    return C.with_cost(td(spark, sf_dir).calls(), CAT.load_catalog(spark), strict=False)
 
-SCORE_MODELS = ["llama3.1-8b", "mistral-large2", "claude-3-5-sonnet"]
+
+SCORE_MODELS = ["llama3.1-8b", "mistral-large2", "claude-3-5-sonnet", "my-fine-tuned-model"]
 SCORE_TEMPLATE = "Summarize the following text in one sentence:\n\n{text}"
 
 
-@register("score_texts")
+_SCORE_MODELS = ", ".join(f"('{m}')" for m in SCORE_MODELS)
+_SCORED = X.with_(X.CAT, f"""p AS (
+  SELECT doc_id, text, replace({X.text_literal(SCORE_TEMPLATE)}, '{{text}}', text) AS prompt
+  FROM documents WHERE text IS NOT NULL)""", f"""s AS (
+  SELECT doc_id, v.model, text, prompt, coalesce(in_centi, 0) AS in_centi, coalesce(out_centi, 0) AS out_centi,
+         CASE WHEN cat.model IS NULL OR length(prompt) % 97 = 0 THEN 'error' ELSE 'success' END AS status,
+         CASE WHEN cat.model IS NULL THEN 'Unknown model: ' || v.model
+              WHEN length(prompt) % 97 = 0 THEN 'model ' || v.model || ' failed'
+              ELSE '[' || v.model || '] ' || length(prompt) || ' characters, md5 ' || md5(prompt) END AS response
+  FROM p CROSS JOIN (VALUES {_SCORE_MODELS}) v(model) LEFT JOIN cat ON cat.model = v.model)""", f"""t AS (
+  SELECT doc_id, model, response, status, in_centi, out_centi,
+         CASE WHEN status = 'success' THEN {X.IN_TOK_SQL} ELSE 0 END AS input_tokens,
+         CASE WHEN status = 'success' THEN length(response) // 4 ELSE 0 END AS output_tokens FROM s)""")
+
+
+@register("score_texts", _SCORED + f"""
+SELECT doc_id, model, response, status, CAST(input_tokens AS BIGINT) AS input_tokens,
+       CAST(output_tokens AS BIGINT) AS output_tokens, {X.cost9('input_tokens', 'output_tokens')} FROM t""")
 def q_score_texts(spark, sf_dir):
-    """F1 with the deterministic stand-in scorer (rows-only check)."""
+    """F1 with the deterministic stand-in scorer, without the measured latency."""
+    return _scored_texts(spark, sf_dir).drop("latency_s")
+
+
+@register("scored_results", _SCORED + """
+SELECT 'documents' AS test, 'SUMMARIZE - One sentence' AS test_type, model, 'SUMMARIZE' AS function,
+       CAST((input_tokens * in_centi + output_tokens * out_centi) * 300 AS DOUBLE) / 1e10 AS cost,
+       CAST(output_tokens AS BIGINT) AS output_tokens
+FROM t WHERE status = 'success'""")
+def q_scored_results(spark, sf_dir):
+    """F1 rows as test results in the comparison table."""
+    rows = SC.result_rows(_scored_texts(spark, sf_dir), "documents", "SUMMARIZE - One sentence")
+    return RU.results_table(rows).drop("latency")
+
+
+def _scored_texts(spark, sf_dir):
     return SC.score_texts(td(spark, sf_dir).texts(), "text", "doc_id", SCORE_MODELS,
                           SC.echo_scorer_factory(fail_every=97), CAT.load_catalog(spark),
                           template=SCORE_TEMPLATE)

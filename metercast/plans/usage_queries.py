@@ -212,6 +212,21 @@ def q_models_for_task_literal(spark, sf_dir):
                               literal=True)
 
 
+_SERVICES = list(enumerate([n for n, _r, _u in CAT.SERVICE_RATES], start=1))
+
+
+@register("service_rate_cost", f"""
+SELECT name, units, 'service' AS kind, unit, r AS credits_per_unit,
+       CAST(round(CAST(units AS DECIMAL(28,12)) * CAST(round(r * 100) AS BIGINT) * (1000000 // per_units), 0) AS DOUBLE) / 1e8 AS credits
+FROM (SELECT {X._case('l_linenumber', _SERVICES)} AS name, CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 8 AS units
+      FROM lineitem WHERE l_linenumber <= {len(_SERVICES)} GROUP BY 1) u
+JOIN (VALUES """ + ", ".join(f"('{n}', CAST({r} AS DOUBLE), '{u}', {CAT._per_units(u)})" for n, r, u in CAT.SERVICE_RATES)
+          + """) v(name, r, unit, per_units) USING (name)""")
+def q_service_rate_cost(spark, sf_dir):
+    """Messages, GB-months, pages and hours at their list rates."""
+    return C.rate_list_cost(td(spark, sf_dir).service_units(), CAT.load_rates(spark))
+
+
 @register("function_rate_cost", X.with_(X.USAGE, f"rates AS (SELECT * FROM {CAT.rates_values_sql('function', 'r')})") + """
 SELECT function_name, COUNT(*) AS calls, CAST(SUM(tokens) AS BIGINT) AS tokens,
        MAX(credits_per_unit) AS rate_credits_per_1m,

@@ -52,24 +52,25 @@ def get_session(master: str | None = None, app: str = "metercast",
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in _DEFAULTS.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is. Only a local
-    session (tests, local runs) without the setting gets a private scratch
-    folder; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of that machine.
+    A cluster names a shared folder there; it is used as is. Only a session
+    whose tasks run in the driver's own process (tests) may leave it unset and
+    then checkpoints beside its warehouse; elsewhere a missing setting is an
+    error, because a machine-local folder would not survive the loss of that
+    machine. Called where something is checkpointed, not for every session.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if fallback is None and not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder "
                                "(HDFS / object store) for checkpoints")
-        d = fallback or tempfile.mkdtemp(prefix="metercast-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
@@ -103,8 +104,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def tune_for_input(spark: SparkSession, input_bytes: int, split_bytes: int = 256 << 20,
-                   shuffle_bytes: int = 128 << 20, min_partitions: int = 200,
-                   max_partitions: int = 200_000) -> int:
+                   shuffle_bytes: int = 128 << 20, min_partitions: int = 200) -> int:
     """Size scan splits and the initial shuffle partition count for an input
     of ``input_bytes`` (e.g. 100 TB on a 1000-executor cluster).
 
@@ -114,7 +114,7 @@ def tune_for_input(spark: SparkSession, input_bytes: int, split_bytes: int = 256
     execution coalesces small partitions to its advisory size and splits
     skewed ones. Returns the shuffle partition count set.
     """
-    n = max(min_partitions, min(max_partitions, -(-int(input_bytes) // int(shuffle_bytes))))
+    n = max(min_partitions, -(-int(input_bytes) // int(shuffle_bytes)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(split_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(int(shuffle_bytes)))

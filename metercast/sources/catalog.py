@@ -141,8 +141,11 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
 
 
 def _centi(s: str) -> int:
-    """Exact integer hundredths of a decimal string ('0.29' -> 29)."""
+    """Exact integer hundredths of a decimal string ('0.29' -> 29). A rate
+    with more decimals is refused rather than cut."""
     whole, _, frac = s.partition(".")
+    if frac[2:].strip("0"):
+        raise ValueError(f"rate {s} has more than 2 decimals")
     frac = (frac + "00")[:2]
     return int(whole) * 100 + int(frac)
 

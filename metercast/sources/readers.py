@@ -129,16 +129,26 @@ def read_usage(spark: SparkSession, source: str, kind: str, fmt: str = "parquet"
                      *exact, *extra)
 
 
+#: Error conditions of a table, schema or path that isn't there.
+MISSING = {"TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "SCHEMA_NOT_FOUND", "CATALOG_NOT_FOUND"}
+
+
+def is_missing(e: AnalysisException) -> bool:
+    return (e.getCondition() or "").split(".")[0] in MISSING
+
+
 def read_usage_tolerant(spark: SparkSession, source: str, kind: str,
                         fmt: str = "parquet") -> tuple[DataFrame, bool]:
     """Like :func:`read_usage`, but a missing table / path yields an empty
-    frame of the declared schema and ``False`` (S14). Only analysis errors
-    (not found, no access) are tolerated; anything else propagates."""
+    frame of the declared schema and ``False`` (S14). Only these are
+    tolerated; a misspelt column, say, propagates."""
     try:
         df = read_usage(spark, source, kind, fmt)
         df.schema  # resolve now: a missing path fails here, not at run time  # noqa: B018
         return df, True
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         empty = spark.createDataFrame([], SCHEMAS[kind])
         return with_exact_credits(empty, CREDIT_COLUMNS[kind]), False
 

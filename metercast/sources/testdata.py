@@ -262,12 +262,14 @@ class TestData:
         in_tok = F.round(F.col("l_quantity") * F.lit(100)).cast("long")
         out_tok = F.when(ok, F.col("l_linenumber").cast("long") * 50).otherwise(F.lit(0).cast("long"))
         lat = F.when(ok, F.pmod(F.col("l_suppkey"), F.lit(100)) + 1).otherwise(F.lit(0)).cast("long")
-        base = li.select(
+        base = li.withColumn("function", _case(F.col("l_linenumber"), LINE_FUNCTIONS)).select(
             F.col("l_orderkey").alias("session_id"),
             F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("test"),
             model_of(F.col("l_partkey")).alias("model"),
-            _case(F.col("l_linenumber"), LINE_FUNCTIONS).alias("function"),
-            F.col("l_linestatus").alias("response"),
+            F.col("function"),
+            F.concat(F.col("function"), F.lit(" - logged run")).alias("test_type"),
+            # responses of 7 to 49 characters
+            F.expr("repeat(l_linestatus, l_linenumber * 7)").alias("response"),
             in_tok.alias("input_tokens"), out_tok.alias("output_tokens"),
             lat.alias("latency_centi"),
             F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"))
@@ -276,15 +278,43 @@ class TestData:
         e8 = F.col("input_tokens") * F.col("in_centi") + F.col("output_tokens") * F.col("out_centi")
         e10 = F.when(F.col("status") == "success", e8 * F.lit(money.price_centi(price))).otherwise(F.lit(0).cast("long"))
         return (base.join(c, "model", "inner")
-                .select("test", "model", "function", "response", "input_tokens", "output_tokens",
+                .select("test", "test_type", "model", "function", "response", "input_tokens", "output_tokens",
                         (F.col("latency_centi") / F.lit(100.0)).alias("latency"),
                         money.e10_to_usd(e10).alias("cost"),
                         "status", "latency_centi", e10.alias("cost_e10"), "session_id"))
 
+    @_shared
+    def service_units(self) -> DataFrame:
+        """Metered units of the listed services: line items by number, quantities in eighths."""
+        names = [n for n, _r, _u in cat.SERVICE_RATES]
+        li = self.raw("lineitem").where(F.col("l_linenumber") <= len(names))
+        units = F.sum(F.round(F.col("l_quantity") * F.lit(100)).cast("long")).cast("double") / F.lit(8.0)
+        return li.groupBy(_case(F.col("l_linenumber"), list(enumerate(names, start=1))).alias("name")).agg(units.alias("units"))
+
+    @_shared
+    def calls(self) -> DataFrame:
+        """Logged calls before any catalog: test, model (an eighth of them blank), tokens."""
+        return self.raw("lineitem").select(
+            F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("test"), model_of(F.col("l_partkey")).alias("model"),
+            F.round(F.col("l_quantity") * F.lit(100)).cast("long").alias("input_tokens"),
+            (F.col("l_linenumber").cast("long") * 50).alias("output_tokens"))
+
+    @_shared
+    def builtin_results(self) -> DataFrame:
+        """Logged runs of the built-in function beside each successful prompt,
+        with responses and latencies of their own."""
+        li = self.raw("lineitem").where((F.pmod(F.col("l_partkey"), F.lit(50)) != 0) & (F.pmod(F.col("l_partkey"), F.lit(8)) != 0))
+        function = _case(F.col("l_linenumber"), LINE_FUNCTIONS)
+        return li.select(
+            F.concat(model_of(F.col("l_partkey")), F.lit(" (via "), function, F.lit(")")).alias("model"),
+            function.alias("function"), F.expr("repeat('B', l_linenumber * 4)").alias("response"),
+            (F.pmod(F.col("l_suppkey"), F.lit(50)) + 1).cast("long").alias("latency_centi"),
+            F.lit("success").alias("status"))
+
     @_shared
     def sessions(self, price: float = cat.DEFAULT_CREDIT_PRICE) -> DataFrame:
         """Nested test sessions (FIXTURES.md ``sessions``): one per order,
-        holding that order's results (at most 7), with its name, test type,
+        holding that order's results (a handful, up to 17 at sf0.1), with its name, test type,
         models and input tokens."""
         r = self.results(price)
         g = r.groupBy("session_id").agg(

@@ -10,8 +10,9 @@ day's end, chosen from the stated 2-3 hour lag of the usage views.
 
 Calendar months have no fixed duration, so the monthly period groups by the
 month's first instant instead of a ``window``; on a stream the watermark is
-set on that month start, so a month's state is dropped once the feed is
-``watermark`` into the next month.
+set on that month start, which moves by whole months. It is 31 days longer
+than the given one: a month counts late rows until the month after the next
+begins, then it leaves the state.
 """
 
 from __future__ import annotations
@@ -39,16 +40,23 @@ def _spend_e8(metering: DataFrame, period: str, service_type: str | None,
         start = F.date_trunc("month", F.col("_event_time"))
         m = m.withColumn("_month", start)
         if watermark:
-            m = m.withWatermark("_month", watermark)
-        win = F.struct(F.col("_month").alias("start"),
-                       F.add_months(F.col("_month"), 1).cast("timestamp").alias("end"))
+            # the watermark moves in steps of months: with 31 days more a
+            # month stays open for late rows until the month after the next
+            # begins, and two or three months are held in state
+            m = m.withWatermark("_month", f"31 days {watermark}")
+        win = None
     else:
         if watermark:
             m = m.withWatermark("_event_time", watermark)
         win = F.window("_event_time", duration, slide) if slide else F.window("_event_time", duration)
     if service_type is not None:
         m = m.where(F.col("service_type") == service_type)
-    g = m.groupBy(win.alias("w")).agg(money.exact_sum(credit_e8(m, "credits_used")).alias("_e8"))
+    spent = money.exact_sum(credit_e8(m, "credits_used")).alias("_e8")
+    if win is None:  # grouped by the watermarked column itself, so that closed months leave the state
+        g = m.groupBy("_month").agg(spent)
+        return g.select(F.lit(period).alias("period"), F.col("_month").cast(src_type).alias("window_start"),
+                        F.add_months(F.col("_month"), 1).cast("timestamp").cast(src_type).alias("window_end"), "_e8")
+    g = m.groupBy(win.alias("w")).agg(spent)
     return g.select(F.lit(period).alias("period"),
                     F.col("w.start").cast(src_type).alias("window_start"),
                     F.col("w.end").cast(src_type).alias("window_end"), "_e8")

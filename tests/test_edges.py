@@ -66,16 +66,17 @@ def test_k_above_catalog_and_empty_allow_list(spark, catalog):
     assert one.cheapest_model == one.most_expensive_model == "mistral-7b" and one.savings_pct == 0.0
 
 
-@pytest.mark.parametrize("merge_rows", [1, 10**9])
-def test_top_k_is_exact_whatever_the_merge_bound(spark, merge_rows):
-    """``top_k`` coalesces to at most ``merge_rows // k`` partitions (never
-    below the slots): same rows as a full sort, ties broken by the key."""
+@pytest.mark.parametrize("fan_in", [1, 7, 1000])
+def test_top_k_is_exact_whatever_the_fan_in(spark, fan_in):
+    """``top_k`` merges in two levels: same rows as a full sort, ties broken by the key."""
     from pyspark.sql import functions as F
 
     from metercast.operators.common import top_k
     df = spark.range(0, 5000, numPartitions=40).select(
         F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
-    out = top_k(df, [F.desc_nulls_last("v"), F.col("id")], 37, merge_rows=merge_rows)
+    out = top_k(df, [F.desc_nulls_last("v"), F.col("id")], 37, fan_in=fan_in)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # the first one below the shuffle
     got = [(r.id, r.v) for r in out.collect()]
     want = sorted(((i, i * 7919 % 101) for i in range(5000)), key=lambda t: (-t[1], t[0]))[:37]
     assert got == want

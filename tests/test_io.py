@@ -113,7 +113,7 @@ def test_tune_for_input_bounds(spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
                                           "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     try:
-        assert tune_for_input(spark, 100 * 10**12) == 200_000      # 100 TB / 128 MiB is capped
+        assert tune_for_input(spark, 100 * 10**12) == 745_059      # 100 TB / 128 MiB, no cap
         assert tune_for_input(spark, 10**12) == 7451               # 1 TB / 128 MiB, rounded up
         assert tune_for_input(spark, 10**6) == 200
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)

@@ -79,10 +79,12 @@ def test_score_texts_isolates_failures(spark, catalog):
     docs = spark.createDataFrame([(1, "Hello world. Bye."), (2, "x" * 7), (3, None)], "doc_id long, text string")
     out = SC.score_texts(docs, "text", "doc_id", ["llama3.1-8b", "not-in-catalog"],
                          SC.echo_scorer_factory(fail_every=7), catalog).collect()
-    assert {r.model for r in out} == {"llama3.1-8b"}
-    by = {r.doc_id: r for r in out}
-    assert by[1].status == "success" and by[1].response.startswith("[llama3.1-8b] Hello world")
-    assert by[2].status == "error" and by[2].total_cost_usd_raw == 0.0 and by[2].latency_s == 0.0
+    unknown = [r for r in out if r.model == "not-in-catalog"]
+    assert len(unknown) == 2 and all(r.status == "error" and r.total_cost_usd_raw == 0.0 and r.output_tokens == 0
+                                     and r.response == "Unknown model: not-in-catalog" for r in unknown)
+    by = {r.doc_id: r for r in out if r.model == "llama3.1-8b"}
+    assert by[1].status == "success" and by[1].response.startswith("[llama3.1-8b] 17 characters")
+    assert by[2].response == "model llama3.1-8b failed" and by[2].status == "error" and by[2].total_cost_usd_raw == 0.0 and by[2].latency_s == 0.0
     assert 3 not in by
 
 
@@ -91,7 +93,7 @@ def test_entry_contract(spark):
     assert df.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert "model_analysis" in sql and "score_texts" not in sql
+    assert "model_analysis" in sql and "score_texts" in sql
 
 
 def test_summarize_runs_prices_token_sums(spark, catalog):
@@ -101,9 +103,11 @@ def test_summarize_runs_prices_token_sums(spark, catalog):
          ("llama3.1-8b", 9999, 9999, 9.0, "z", "error"),
          ("not-in-catalog", 10, 10, 1.0, "x", "success")],
         "model string, input_tokens long, output_tokens long, latency double, response string, status string")
-    out = RU.summarize_runs(res, catalog, price=3.0).collect()
-    assert [r.model for r in out] == ["llama3.1-8b"]
-    r = out[0]
+    with pytest.raises(Exception, match="Unknown model: not-in-catalog"):
+        RU.summarize_runs(res, catalog).collect()
+    out = {r.model: r for r in RU.summarize_runs(res, catalog, price=3.0, strict=False).collect()}
+    assert set(out) == {"llama3.1-8b", "not-in-catalog"} and out["not-in-catalog"].total_cost is None
+    r = out["llama3.1-8b"]
     # 3000 in + 100 out at 0.03 credits / 1M each = 9.3e-5 credits, x $3
     assert (r.rows, r.input_tokens, r.output_tokens) == (2, 3000, 100)
     assert r.total_credits == pytest.approx(9.3e-5, abs=1e-15)
