@@ -48,7 +48,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(len(text), np.int64)
     for j in range(width):
         key <<= bits
-        key[:len(text) - j] |= rank[j:]
+        key[:max(0, len(text) - j)] |= rank[j:]
     while True:
         order = np.argsort(key)
         new = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))
