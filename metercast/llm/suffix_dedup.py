@@ -33,9 +33,9 @@ from .suffix_arrays import permuted_prefixes, suffix_array
 LENGTH = 50
 GRAM = 24
 #: Bytes of text for each shard of gram hashes.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Segment bytes that are indexed by one suffix array; a gram's segments stay together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 512 << 10
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -51,21 +51,21 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- designated grams ---------------------------------------------------------
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """64-bit hash of the ``gram`` bytes at each place, by doubling."""
-    by = {1: data.astype(np.uint64) * _ODD[0] + _ODD[5]}
-    n = 1
-    while 2 * n <= gram:
-        x = by[n]
-        by[2 * n] = x[:-n] * _ODD[n.bit_length() % 5] + (x[n:] ^ (x[n:] >> np.uint64(29)))
-        n *= 2
-    out, have = by[n], n
-    while have < gram:
-        m = 1 << ((gram - have).bit_length() - 1)
-        y = by[m][have:]
-        out = out[:len(y)] * _ODD[3] + y[:len(out)]
-        have += m
-    out = (out ^ (out >> np.uint64(32))) * _ODD[4]
-    return out ^ (out >> np.uint64(29))
+    """64-bit hash of the ``gram`` bytes at each place, from the eight bytes at each place (the last eight may overlap)."""
+    words = np.empty(len(data) - 7, np.uint64)
+    raw = data.tobytes()
+    for k in range(min(8, len(words))):
+        words[k::8] = np.frombuffer(raw, "<u8", len(words[k::8]), k)
+    n = len(data) - gram + 1
+    out = words[:n] * _ODD[0]
+    for j, at in enumerate([*range(8, gram - 8, 8), gram - 8]):
+        out ^= out >> np.uint64(31)
+        out += words[at:at + n]
+        out *= _ODD[1 + j % 5]
+    out ^= out >> np.uint64(29)
+    out *= _ODD[2]
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -82,21 +82,23 @@ def designated(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram:
     ``data`` holds the texts end to end; windows never cross them.
     """
     ends = np.cumsum(sizes)
+    whole = np.ones(max(0, len(data) - length + 1), bool)  # windows inside one text
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        whole[max(a, b - length + 1):b] = False
     out = []
-    step = 2 << 20
-    for a in range(0, max(0, len(data) - length + 1), step):
+    step = 1 << 19
+    for a in range(0, len(whole), step):
         part = data[a:a + step + length - 1]
-        if len(part) < length:
-            break
         h = gram_hashes(part, gram)
         v = ((h >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
         best = _window_min(v, length - gram + 1)
-        text = np.searchsorted(ends, np.arange(a, a + len(best)), side="right") if len(ends) > 1 else np.zeros(len(best), np.int64)
-        start = np.flatnonzero(np.arange(a, a + len(best)) + length <= ends[text])
-        best, text = best[start], text[start]
-        new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])))) if len(best) else start
+        start = np.flatnonzero(whole[a:a + step])
+        best = best[start]
+        new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)))) if len(best) else start
         place = (best[new] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        out.append((h[place] >> np.uint64(64 - _HASH_BITS), start[new] + a, np.diff(new, append=len(best)), text[new]))
+        first = start[new] + a
+        out.append((h[place] >> np.uint64(64 - _HASH_BITS), first, np.diff(new, append=len(best)),
+                    np.searchsorted(ends, first, side="right")))
     if not out:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -127,7 +129,7 @@ class Block:
         """(run numbers, their segment numbers; distinct segments as bytes, hashes and smallest documents).
 
         Only runs whose gram several documents hold; distinct segments in the
-        order of hash and bytes.
+        order of hash, then of the block.
         """
         held = np.zeros(len(self.hashes), bool)
         for shard, bits in answers:
@@ -136,13 +138,17 @@ class Block:
         runs = np.flatnonzero(held[self.which])
         first, stop = self.first[runs], self.first[runs] + self.windows[runs] + self.length - 1
         data = self.data
-        keys = [(h, data[a:b]) for h, a, b in zip(self.hash[runs].tolist(), first.tolist(), stop.tolist())]
-        distinct = sorted(set(keys))
-        number = {k: n for n, k in enumerate(distinct)}
-        segment = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
-        low = np.full(len(distinct), np.iinfo(np.int64).max)
+        number: dict[bytes, int] = {}  # equal segments have equal grams
+        segment = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(first.tolist(), stop.tolist())),
+                              np.int64, len(runs))
+        hashes, low = np.zeros(len(number), np.uint64), np.full(len(number), np.iinfo(np.int64).max)
+        hashes[segment] = self.hash[runs]
         np.minimum.at(low, segment, self.ids[self.text[runs]])
-        return runs, segment, [s for _, s in distinct], np.array([h for h, _ in distinct], np.uint64), low
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        distinct = list(number)
+        return runs, place[segment], [distinct[k] for k in order.tolist()], hashes[order], low[order]
 
 
 # -- the shards' answers ------------------------------------------------------
@@ -187,51 +193,43 @@ def window_owners(segments: list[bytes], low: np.ndarray, length: int) -> np.nda
 
 def answer_segments(blocks: list[tuple], length: int) -> list[tuple[int, bytes, bytes]]:
     """For each block of a shard, the smallest document of each window of its segments (runs: values, lengths)."""
-    number: dict[tuple[int, bytes], int] = {}
-    low: list[int] = []
-    which = []
+    number: dict[bytes, int] = {}
+    which, lows, grams = [], [], []
     for _, hashes, sizes, data, docs in blocks:
-        h, d = np.cumsum(unpack_numbers(hashes, np.uint64)).tolist(), unpack_numbers(docs, np.int64).tolist()
         ends = np.cumsum(unpack_numbers(sizes, np.int32)).tolist()
         data = zstandard.decompress(data)
-        own = []
-        for key, doc, a, b in zip(h, d, [0, *ends], ends):
-            k = number.setdefault((key, data[a:b]), len(low))
-            if k == len(low):
-                low.append(doc)
-            elif doc < low[k]:
-                low[k] = doc
-            own.append(k)
-        which.append(np.array(own, np.int64))
-    lows = np.array(low, np.int64)
+        which.append(np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip([0, *ends], ends)), np.int64, len(ends)))
+        lows.append(unpack_numbers(docs, np.int64))
+        grams.append(np.cumsum(unpack_numbers(hashes, np.uint64)))
     keys = list(number)
-    order = sorted(range(len(keys)), key=lambda k: keys[k][0])
-    windows = np.array([len(s) - length + 1 for _, s in keys], np.int64)
+    del number
+    low, gram = np.full(len(keys), np.iinfo(np.int64).max), np.zeros(len(keys), np.uint64)
+    every = np.concatenate(which)
+    np.minimum.at(low, every, np.concatenate(lows))
+    gram[every] = np.concatenate(grams)
+    order = np.argsort(gram, kind="stable")
+    windows = np.array([len(s) - length + 1 for s in keys], np.int64)
     at = np.cumsum(windows) - windows
-    owners = np.repeat(lows, windows)                # right for a gram with one segment: there is nothing to sort
+    owners = np.repeat(low, windows)                # right for a gram with one segment: there is nothing to sort
     pending: list[int] = []
     pending_bytes = 0
 
     def index() -> None:
         nonlocal pending, pending_bytes
         if pending:
-            found = window_owners([keys[k][1] for k in pending], lows[pending], length)
+            found = window_owners([keys[k] for k in pending], low[pending], length)
             n = windows[pending]
             place = np.repeat(at[pending], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             owners[place] = found
         pending, pending_bytes = [], 0
 
-    k = 0
-    while k < len(order):
-        stop = k + 1
-        while stop < len(order) and keys[order[stop]][0] == keys[order[k]][0]:
-            stop += 1
-        if stop - k > 1:
-            pending += order[k:stop]
-            pending_bytes += sum(len(keys[n][1]) for n in order[k:stop])
+    cuts = np.flatnonzero(np.diff(gram[order])) + 1
+    for own in np.split(order, cuts):
+        if len(own) > 1:
+            pending += own.tolist()
+            pending_bytes += int(windows[own].sum()) + len(own) * (length - 1)
             if pending_bytes >= INDEX_BYTES:
                 index()
-        k = stop
     index()
     out = []
     for (block, *_), own in zip(blocks, which):
@@ -253,8 +251,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     take from each other. Rows without an id keep everything and take from
     none. An empty table gives an empty result; other columns are ignored.
     """
-    if length < gram or length < 8:
-        raise ValueError("length has to be at least the gram's, and 8")
+    if not 8 <= gram <= length:
+        raise ValueError("a gram has eight bytes at least, and fits into the length")
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     rows = text_bytes(docs, id_col, text_col)
