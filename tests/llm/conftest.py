@@ -3,8 +3,6 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from metercast.session import ship_package
 
-from ..conftest import spark  # noqa: F401
-
 #: Names that the operators use inside.
 CLASHING = ["data", "h", "pos", "block", "part", "kept", "keep_id", "n_words", "length", "_id", "score", "ids"]
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
@@ -13,7 +11,7 @@ SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", Stri
 
 
 @pytest.fixture(scope="session")
-def make_docs(spark):  # noqa: F811
+def make_docs(spark):
     ship_package(spark)
 
     def make(rows, parts=3):
