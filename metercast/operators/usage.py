@@ -85,8 +85,18 @@ def usage_rollups(usage: DataFrame, qh: DataFrame, as_of, days: int = 30,
 def top_expensive_queries(usage: DataFrame, qh: DataFrame, as_of, days: int = 7,
                           limit: int = 50) -> DataFrame:
     """The ``limit`` most expensive calls with query details.
-    A per-partition top-k with a bounded merge (:func:`common.top_k`)."""
-    j = with_history(usage, qh, as_of, days,
+
+    Details are wide (query text), so they are fetched late: the narrow calls
+    of the window give the credits of the ``limit``-th one (a two-level top-k,
+    one row); only calls of at least that many credits, ties included, meet
+    the history's details."""
+    calls = usage.select("query_id", "function_name", "model_name", "tokens", "token_credits")
+    credits = with_history(calls.select("query_id", "token_credits"), qh, as_of, days).select("token_credits")
+    # one row by construction (a global aggregate)
+    bound = top_k(credits, [F.desc_nulls_last("token_credits")], limit).agg(
+        F.when(F.count("token_credits") == limit, F.min("token_credits")).alias("_least"))
+    few = calls.join(F.broadcast(bound), F.col("_least").isNull() | (F.col("token_credits") >= F.col("_least"))).drop("_least")
+    j = with_history(few, qh, as_of, days,
                      cols=("query_text", "start_time", "execution_time", "user_name",
                            "warehouse_name", "role_name"))
     out = j.select("query_id",
