@@ -5,11 +5,11 @@ Jaccard similarity of 0.9 or more. A set of n shingles then shares at least
 T = ceil(0.9 n) with any partner, so one of its n - T + 1 rarest shingles is
 shared as well, whatever fixed order says what is rare.
 
-1. Equal sets make one class; its smallest document stands for it.
-2. Blocks of texts ask shards of the shingle hashes how many documents hold
-   each shingle (exact counts; a block sends a shingle once).
-3. Each representative posts its rarest shingles, if others hold them too.
-   These short inverted lists, cut by set size, tie documents to families
+1. Blocks of texts ask shards of the shingle hashes how many documents hold
+   each shingle (exact counts), and for each set which is the smallest document
+   that has it; that one stands for all. A block sends a shingle or set once.
+2. Each representative posts its rarest shingles, if others hold them too.
+3. These short inverted lists, cut by set size, tie documents to families
    outside which they can have no partner.
 4. Inside a family every document searches the inverted lists: DivideSkip
    sets the longest lists aside, merges the short ones with a heap and probes
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (join_answers, map_texts, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written)
+from .common import (drop_tables, join_answers, map_texts, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written)
 from .components import connected_components
 
 SHINGLE = 3
@@ -49,11 +49,6 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6
 _WORDS: dict[bytes, int] = {}
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _ODD[0]
-    return h ^ (h >> np.uint64(32))
-
-
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: of ``size`` words, or of all if there are fewer; none without words."""
     if len(_WORDS) > CACHE_WORDS:
@@ -63,15 +58,27 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     for r in rows:
         new |= set(r).difference(_WORDS)
     _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    get = _WORDS.__getitem__
-    out = []
-    for r in rows:
-        w = np.array(array("Q", map(get, r)))
-        n = min(size, len(w))
-        h = np.full(max(0, len(w) - n + 1) if n else 0, n, np.uint64)
-        for j in range(n):
-            h = _mix(h * _ODD[1] + w[j:len(h) + j])
-        out.append(np.unique(h))
+    n_words = [len(r) for r in rows]
+    total = sum(n_words)
+    word = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(rows)), np.uint64, total)
+    # the hash of the ``size`` words at each place, of all texts at once
+    every = _shingle_hashes(word, size)
+    out, at = [], 0
+    for n in n_words:
+        own = every[at:at + n - size + 1] if n >= size else _shingle_hashes(word[at:at + n], n) if n else word[:0]
+        out.append(np.unique(own))
+        at += n
+    return out
+
+
+def _shingle_hashes(word: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(max(0, len(word) - size + 1), size, np.uint64)
+    for j in range(size):
+        out *= _ODD[1]
+        out += word[j:j + len(out)]
+        out ^= out >> np.uint64(29)
+        out *= _ODD[0]
+        out ^= out >> np.uint64(32)
     return out
 
 
@@ -85,6 +92,20 @@ def links_at(overlap, n, m, percent: int = PERCENT):
 
 
 # -- search inside a family -----------------------------------------------------
+def _merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists, each with the number of lists that hold it: by a heap, or all at once if they are long."""
+    if sum(map(len, lists)) > 1000:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    members, counts = [], []
+    for y in heapq.merge(*(x.tolist() for x in lists)):
+        if members and members[-1] == y:
+            counts[-1] += 1
+        else:
+            members.append(y)
+            counts.append(1)
+    return np.array(members, np.int64), np.array(counts, np.int64)
+
+
 def family_links(docs: list[int], sets: list[np.ndarray], part: list[int] | None = None,
                  percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (a spanning forest) between the given documents; with ``part``, only pairs of different parts are compared."""
@@ -139,23 +160,19 @@ def family_links(docs: list[int], sets: list[np.ndarray], part: list[int] | None
                 misses += 1
                 if misses == 3:
                     break
-        merged = heapq.merge(*(fresh(x, row).tolist() for row in short))
-        counts: list[tuple[int, int]] = []
-        for y in merged:
-            if counts and counts[-1][0] == y:
-                counts[-1] = (y, counts[-1][1] + 1)
-            else:
-                counts.append((y, 1))
-        for y, n in counts:
-            if n < t - n_long or component[y] == component[x]:
-                continue
-            for k, row in enumerate(long_):            # probe the long lists, the shortest first
-                if n + len(long_) - k < t:
-                    break
-                at = int(np.searchsorted(row, y))
-                n += at < len(row) and int(row[at]) == y
-            if n >= t:
-                try_link(x, y)
+        found, n = _merge_counts([fresh(x, row) for row in short])
+        keep = n >= t - n_long
+        found, n = found[keep], n[keep]
+        for k, row in enumerate(long_):                # probe the long lists for all candidates, the shortest first
+            if not len(found):
+                break
+            at = np.minimum(np.searchsorted(row, found), len(row) - 1)
+            n = n + (row[at] == found)
+            keep = n + len(long_) - k - 1 >= t
+            found, n = found[keep], n[keep]
+        for y, shared in zip(found.tolist(), n.tolist()):
+            if component[y] != component[x]:
+                try_link(x, y, shared)
     return links
 
 
@@ -189,83 +206,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, -(-int(total) // SHARD_BYTES))
     limits = [(k << _HASH_BITS) // shards for k in range(shards + 1)]
 
-    # 1. classes of equal sets
-    keys = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
+    # 1. each block asks how many documents hold its shingles, and which is the smallest document of each of its sets
+    ask = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()),
+                     ("keys", pa.binary()), ("docs", pa.binary())])
 
-    def set_keys(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                ids, sets = _block_sets(b, k, size)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [b.column("block")[k].as_py()] * len(ids), "doc_id": ids, "n_shingles": [len(s) for s in sets],
-                     "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}, schema=keys)
-    all_sets = written(blocks.mapInArrow(set_keys, "block long, doc_id long, n_shingles long, key binary"), "sets", folder)
-    classes = written(all_sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes", folder)
-    reps = written(all_sets.join(classes, "key").where("doc_id = rep").select("block", "doc_id"), "reps", folder)
-
-    # 2. how many documents hold each shingle
-    ask = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-
-    def block_hashes(b, k):
+    def open_block(b, k):
         ids, sets = _block_sets(b, k, size)
         short = [s >> np.uint64(64 - _HASH_BITS) for s in sets]
-        found, n = np.unique(np.concatenate(short), return_counts=True) if short else (np.zeros(0, np.uint64), np.zeros(0, int))
-        return ids, sets, short, found, n, np.searchsorted(found, limits).tolist()
-
-    def ask_counts(batches):
+        found, n = np.unique(np.concatenate(short), return_counts=True)
+        own = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        keys = sorted({x for x in own if x})
+        # a shard is a range of shingle hashes, and of the keys' first bits
+        key_at = np.searchsorted([int.from_bytes(x[:_HASH_BITS // 8], "big") for x in keys], limits).tolist()
+        return ids, sets, short, found, n, np.searchsorted(found, limits).tolist(), own, keys, key_at
+
+    def ask_shards(batches):
         for b in batches:
             for k in range(b.num_rows):
-                *_, found, n, at = block_hashes(b, k)
+                ids, _, _, found, n, at, own, keys, key_at = open_block(b, k)
+                low: dict[bytes, int] = {}
+                for i, x in zip(ids.tolist(), own):
+                    if x:
+                        low[x] = min(i, low.get(x, i))
                 out = {c: [] for c in ask.names}
-                for s, (p, q) in enumerate(zip(at[:-1], at[1:])):
-                    if q > p:
+                for s in range(shards):
+                    p, q, u, v = at[s], at[s + 1], key_at[s], key_at[s + 1]
+                    if q > p or v > u:
                         out["shard"].append(s)
                         out["block"].append(b.column("block")[k].as_py())
                         out["hashes"].append(pack_numbers(np.diff(found[p:q], prepend=np.uint64(0))))
                         out["counts"].append(pack_numbers(n[p:q].astype(np.int32)))
+                        out["keys"].append(b"".join(keys[u:v]))
+                        out["docs"].append(np.array([low[x] for x in keys[u:v]], np.int64).tobytes())
                 yield pa.RecordBatch.from_pydict(out, schema=ask)
 
-    def tell_counts(table):
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "hashes", "counts"))))
-        hashes = [np.cumsum(unpack_numbers(h, np.uint64)) for _, h, _ in rows]
+    tell = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("reps", pa.binary())])
+
+    def answer(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ask.names[1:])))
+        hashes = [np.cumsum(unpack_numbers(h, np.uint64)) for _, h, *_ in rows]
         found, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(where, np.concatenate([unpack_numbers(c, np.int32) for *_, c in rows]))
-        codes = np.split(_code_of_counts(n)[where], np.cumsum([len(h) for h in hashes])[:-1])
+        n = np.bincount(where, np.concatenate([unpack_numbers(r[2], np.int32) for r in rows]))
+        codes = np.split(_code_of_counts(n)[where] if len(found) else np.zeros(0, np.uint8),
+                         np.cumsum([len(h) for h in hashes])[:-1])
+        low: dict[bytes, int] = {}  # a block sends a set once
+        own = [[(r[3][k:k + 16], int(d)) for k, d in zip(range(0, len(r[3]), 16), np.frombuffer(r[4], np.int64))] for r in rows]
+        for x, d in chain.from_iterable(own):
+            low[x] = min(d, low.get(x, d))
         return pa.table({"shard": [table.column("shard")[0].as_py()] * len(rows), "block": [r[0] for r in rows],
-                         "codes": [pack_numbers(c) for c in codes]},
-                        schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("codes", pa.binary())]))
+                         "codes": [pack_numbers(c) for c in codes],
+                         "reps": [np.array([low[x] for x, _ in o], np.int64).tobytes() for o in own]}, schema=tell)
 
-    asked = blocks.mapInArrow(ask_counts, "shard int, block long, hashes binary, counts binary")
-    counts = asked.groupBy("shard").applyInArrow(tell_counts, "shard int, block long, codes binary")
+    asked = blocks.mapInArrow(ask_shards, "shard int, block long, hashes binary, counts binary, keys binary, docs binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "shard int, block long, codes binary, reps binary")
 
-    # 3. short inverted lists: the rarest shingles of each representative
-    post = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("band", pa.int32())])
+    # 2. short inverted lists: the rarest shingles of each representative (rows with h); and a row for each document
+    post = pa.schema([("h", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("band", pa.int32()),
+                      ("n_shingles", pa.int64()), ("rep", pa.int64())])
     unit = -math.log(percent / 100 - 0.001)  # partners are in the same band of sizes or in neighbouring ones
 
     def post_rare(batches):
         for b in batches:
             for k in range(b.num_rows):
-                wanted = set(b.column("reps")[k].as_py() or ())
-                ids, sets, short, found, _, at = block_hashes(b, k)
-                codes = np.ones(len(found), np.uint8)
+                ids, sets, short, found, _, at, own, keys, key_at = open_block(b, k)
+                codes, reps = np.ones(len(found), np.uint8), np.zeros(len(keys), np.int64)
                 for x in b.column("answers")[k].as_py() or ():
-                    codes[at[x["shard"]]:at[x["shard"] + 1]] = unpack_numbers(x["codes"], np.uint8)
-                out = {c: [] for c in post.names}
-                for i, s, h in zip(ids.tolist(), sets, short):
-                    if i not in wanted or not len(s):
+                    s = x["shard"]
+                    codes[at[s]:at[s + 1]] = unpack_numbers(x["codes"], np.uint8)
+                    reps[key_at[s]:key_at[s + 1]] = np.frombuffer(x["reps"], np.int64)
+                rep_of = dict(zip(keys, reps.tolist()))
+                lists, posted = [], set()
+                for i, s, h, x in zip(ids.tolist(), sets, short, own):
+                    if x is None or rep_of[x] != i or i in posted:
                         continue
-                    wanted.discard(i)
+                    posted.add(i)
                     code = codes[np.searchsorted(found, h)]
                     rare = np.lexsort((s, code))[:len(s) - int(min_overlap(len(s), percent)) + 1]
                     rare = rare[code[rare] > 1]
-                    out["h"].append(s[rare].view(np.int64))
-                    out["doc_id"].append(np.full(len(rare), i))
-                    out["band"].append(np.full(len(rare), int(math.log(len(s)) / unit), np.int32))
-                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) if v else [] for c, v in out.items()}, schema=post)
-
-    rep_lists = reps.groupBy("block").agg(F.collect_set("doc_id").alias("reps"))  # at most the block's documents
-    posted = written(join_answers(blocks, counts, "codes").join(rep_lists, "block")
-                     .mapInArrow(post_rare, "h long, doc_id long, band int"), "posted", folder)
+                    lists.append((s[rare].view(np.int64), i, int(math.log(len(s)) / unit)))
+                n = [len(h) for h, *_ in lists]
+                each = lambda c: np.repeat(np.array([x[c] for x in lists], np.int64), n).tolist()
+                size_ = len(ids) + sum(n)
+                yield pa.RecordBatch.from_pydict(
+                    {"h": [None] * len(ids) + list(chain.from_iterable(h.tolist() for h, *_ in lists)),
+                     "block": [b.column("block")[k].as_py()] * size_, "doc_id": ids.tolist() + each(1),
+                     "band": [None] * len(ids) + each(2), "n_shingles": [len(s) for s in sets] + [None] * sum(n),
+                     "rep": [x and rep_of[x] for x in own] + [None] * sum(n)}, schema=post)
+
+    posted = written(join_answers(blocks, answers, "codes", "reps")
+                     .mapInArrow(post_rare, "h long, block long, doc_id long, band int, n_shingles long, rep long"), "posted", folder)
+    all_docs = posted.where("h IS NULL").select("block", "doc_id", "n_shingles", "rep")
+    posted = posted.where("h IS NOT NULL").select("h", "doc_id", "band")
     heads = posted.groupBy("h", "band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = written(heads, "heads", folder)
     below = heads.select("h", (F.col("band") + 1).alias("band"), F.col("head").alias("b"))
@@ -274,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = connected_components(ties, f"{folder}/families")
 
     # 4. search inside the families
-    members = reps.join(family.withColumnRenamed("node", "doc_id"), "doc_id")
+    members = all_docs.where("doc_id = rep").dropDuplicates(["doc_id"]).join(family.withColumnRenamed("node", "doc_id"), "doc_id")
     members = written(members.select("block", F.struct("doc_id", F.col("component").alias("family")).alias("member")), "members", folder)
     send = pa.schema([("family", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
@@ -309,18 +340,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = dealt.groupBy("family", "i", "j").applyInArrow(search, "a long, b long")
 
-    # 5. components of the classes, then of all documents
-    comp = connected_components(links, f"{folder}/components").select(F.col("node").alias("rep"), F.col("component"))
-    named = classes.join(comp, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    # joined from a written table, so that a hot class can be split
-    named = written(named, "named", folder)
-    some = all_sets.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
-    none = all_sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # 5. components of the representatives, then of all documents
+    found = connected_components(links, f"{folder}/components").select(F.col("node").alias("rep"), F.col("component"))
+    found = written(found, "found", folder)
+    drop_tables(spark, folder, "blocks", "heads", "families", "members", "sent", "components")
+    some = (all_docs.join(found, "rep", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())])
     without_id = map_texts(rows.where("doc_id IS NULL"),
                            lambda ids, texts: {"doc_id": ids, "n_shingles": [len(s) for s in shingle_sets(texts, size)]},
                            "doc_id long, n_shingles long", schema)
-    return some.unionByName(none).unionByName(without_id.withColumn("component_id", F.lit(None).cast("long")))
+    return some.unionByName(without_id.withColumn("component_id", F.lit(None).cast("long")))
 
 
 
