@@ -9,30 +9,12 @@ empty tables pass through.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metercast.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
 from metercast.llm.common import documents, work_dir, written
-
-
-def _new_texts(joined: DataFrame, like: DataFrame, extra: list[str], change) -> DataFrame:
-    """Rows with the columns of ``like`` and changed texts: ``change(text bytes, *extra values)``; n_chars follows."""
-    names = like.columns
-    at = names.index("text")
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            more = [b.column(len(names) + k).to_pylist() for k in range(len(extra))]
-            new = [t if t is None or x[0] is None else change(t.encode(), *x).decode("utf-8", "ignore")
-                   for t, *x in zip(texts, *more)]
-            cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    out = joined.select(*names, *extra).mapInArrow(run, like.schema)
-    return out.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)) if "n_chars" in names else out
+from metercast.llm.texts import new_texts, without_lines, without_runs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds as well."""
     bitmaps = line_dedup.line_dedup(docs).select("doc_id", F.col("keep_bitmap").alias("_stage_bitmap"))
-    return _new_texts(docs.join(bitmaps, "doc_id", "left"), docs, ["_stage_bitmap"],
-                      lambda text, bitmap: line_dedup.apply_bitmap(text, bitmap)[0])
+    return new_texts(docs.join(bitmaps, "doc_id", "left"), docs, ["_stage_bitmap"], without_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,17 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
-def _cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
-    """The bytes outside the removed runs. Characters of which a part is removed go as a whole when decoded."""
-    return b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)]))
-
-
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that a document with a smaller id holds as well."""
+    """Documents without the byte strings that a document with a smaller id holds as well (whole characters stay)."""
     spans = (suffix_dedup.removed_spans(docs).where(F.size("starts") > 0)
              .select("doc_id", F.col("starts").alias("_stage_starts"), F.col("ends").alias("_stage_ends"))
              .dropDuplicates(["doc_id"]))
-    return _new_texts(docs.join(spans, "doc_id", "left"), docs, ["_stage_starts", "_stage_ends"], _cut)
+    return new_texts(docs.join(spans, "doc_id", "left"), docs, ["_stage_starts", "_stage_ends"], without_runs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,14 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables that ``written`` made in an operator's own folder, once nothing reads them any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def local_path(url: str) -> str:
     """The mounted path of a ``file:`` folder, where tasks can open and memory-map files."""
     if url.startswith("file:"):
