@@ -3,11 +3,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from ..operators import catalog_ops as CO
 from ..operators import costing as C
 from ..operators import optimize as O
 from ..operators import usage as U
+from ..session import ensure_checkpoint_dir
 from ..sources import catalog as CAT
+from ..sources import readers as RD
 from ..sources.testdata import AS_OF_ORDERS
 from . import fixtures_sql as X
 from .registry import ORACLE, register, td
@@ -110,6 +114,18 @@ def q_usage_by_function(spark, sf_dir):
     return U.usage_by_function(t.usage(), t.query_history(users=False), AS_OF_ORDERS, USER_DAYS)
 
 
+@register("usage_by_function_from_log", ORACLE["usage_by_function"])
+def q_usage_by_function_from_log(spark, sf_dir):
+    """The same report over a written usage table and query history, both
+    read back by the usage-table readers (S1-S7, S15)."""
+    t = td(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/usage-log-{uuid.uuid4().hex}"
+    t.usage().select("query_id", "function_name", "model_name", "tokens", "token_credits").write.parquet(f"{folder}/usage")
+    t.query_history().write.parquet(f"{folder}/history")
+    return U.usage_by_function(RD.read_usage(spark, f"{folder}/usage", "usage"),
+                               RD.read_usage(spark, f"{folder}/history", "query_history"), AS_OF_ORDERS, USER_DAYS)
+
+
 @register("top_query_usage", X.with_(X.USAGE) + f"""
 SELECT query_id, function_name, model_name, tokens, {X.TOKEN_CREDITS} AS token_credits
 FROM usage

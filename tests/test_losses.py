@@ -155,3 +155,19 @@ def test_distinct_models_of_variants(spark):
     got = {r.variant: r for r in RU.prompt_vs_builtin(res, bi).collect()}
     assert (got["prompt"].runs, got["prompt"].models, got["prompt"].avg_latency) == (2, 1, 0.6)
     assert (got["builtin"].output_tokens, got["builtin"].total_cost, got["builtin"].avg_latency) == (10, 0.0001, 0.1)
+
+
+def test_sorted_reports_come_in_order(spark):
+    """The order itself, not only the values."""
+    from metercast.plans import registry
+
+    def rows(name):
+        return registry.QUERIES[name](spark, SF_SMALL).collect()
+    hours = [r.start_time for r in rows("hourly_function_usage")]
+    days = [r.usage_date for r in rows("daily_service_usage")]
+    costs = [(r.est_cost, r.model) for r in rows("project_to_table")]
+    top = [-r.token_credits for r in rows("top_query_usage")]
+    dear = [-r.token_credits for r in rows("top_expensive_queries")]
+    assert hours == sorted(hours, reverse=True) and len(set(hours)) > 1
+    assert days == sorted(days, reverse=True) and len(set(days)) > 1
+    assert costs == sorted(costs) and top == sorted(top) and dear == sorted(dear)
