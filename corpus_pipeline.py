@@ -13,30 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metercast.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
-from metercast.llm.common import documents, work_dir, written
+from metercast.llm.common import documents, small_batches, work_dir, written
 from metercast.llm.texts import new_texts, without_lines, without_runs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned rules reject."""
+    small_batches(spark)
     judged = quality_rules.judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds as well."""
+    small_batches(spark)
     bitmaps = line_dedup.line_dedup(docs).select("doc_id", F.col("keep_bitmap").alias("_stage_bitmap"))
     return new_texts(docs.join(bitmaps, "doc_id", "left"), docs, ["_stage_bitmap"], without_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     groups = jaccard_join.near_duplicates(docs, percent=80, size=5)
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that a document with a smaller id holds as well (whole characters stay)."""
+    small_batches(spark)
     spans = (suffix_dedup.removed_spans(docs).where(F.size("starts") > 0)
              .select("doc_id", F.col("starts").alias("_stage_starts"), F.col("ends").alias("_stage_ends"))
              .dropDuplicates(["doc_id"]))
@@ -45,7 +49,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, packed into sequences."""
-    return packing.pack_documents(docs)
+    small_batches(spark)
+    # workers hold what the stages before have left as well: fewer words are remembered here
+    return packing.pack_documents(docs, cache_words=300_000)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates),

@@ -41,6 +41,11 @@ def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"), *more)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of some MB: both sides hold whole batches outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def map_texts(docs: DataFrame, fn: Callable, schema: str, arrow_schema: pa.Schema,
               setup: Callable | None = None) -> DataFrame:
     """Run ``fn(ids, texts[, state])`` over groups of texts in Arrow batches.
@@ -64,6 +69,33 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, arrow_schema: pa.Schem
     return docs.mapInArrow(run, schema)
 
 
+def bounded_sample(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """The ``limit`` rows of smallest key hash.
+
+    A share of the hash range that holds about twice as many is cut out
+    first, so that the final sort meets few rows from however many tasks.
+    """
+    h = F.xxhash64(key)
+    n = rows.count()
+    if n > 4 * limit:
+        rows = rows.where(h < F.lit(int(-2**63 + 2**64 * (2 * limit / n))))
+    return rows.orderBy(h, *rows.columns).limit(limit)
+
+
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def claim_memory(name: str = "", forget: Callable[[], None] = lambda: None) -> None:
+    """Make ``name`` (or none) the only operator that remembers values in this worker process.
+
+    Workers are used again by other operators; what those had remembered is
+    forgotten first.
+    """
+    for other in [k for k in _REMEMBERED if k != name]:
+        _REMEMBERED.pop(other)()
+    _REMEMBERED[name] = forget
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder ``spark.checkpoint.dir``.
 

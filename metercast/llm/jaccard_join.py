@@ -32,7 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (drop_tables, join_answers, map_texts, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written)
+from .common import (claim_memory, drop_tables, join_answers, map_texts, pack_numbers, text_blocks, text_bytes, unpack_numbers,
+                     work_dir, written)
 from .components import connected_components
 
 SHINGLE = 3
@@ -42,7 +43,7 @@ SHARD_BYTES = 16 << 20
 #: Shingles of a family that one task holds; larger families are dealt out in pairs of parts.
 PART_SHINGLES = 2 << 20
 #: Hashed words that a worker keeps; it starts afresh beyond that (memory only, results don't depend on it).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 _HASH_BITS = 48
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
@@ -51,6 +52,7 @@ _WORDS: dict[bytes, int] = {}
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: of ``size`` words, or of all if there are fewer; none without words."""
+    claim_memory("shingles", _WORDS.clear)
     if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
     rows = [t.lower().split() for t in texts]

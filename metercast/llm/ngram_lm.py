@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, map_texts, pack_numbers, text_bytes, unpack_numbers, work_dir
+from .common import claim_memory, local_path, map_texts, pack_numbers, text_bytes, unpack_numbers, work_dir
 from .elias_fano import EliasFano
 
 #: Orders of the model. (Level 2 has most of the words' neighbours; see the README on higher orders.)
@@ -270,6 +270,7 @@ _WORKERS: dict[str, Worker] = {}
 
 
 def _worker(key: str, model: NgramModel) -> Worker:
+    claim_memory("trie", _WORKERS.clear)
     if key not in _WORKERS:
         _WORKERS.clear()
         _WORKERS[key] = Worker(model)

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_bytes, work_dir, written
+from .common import claim_memory, map_texts, text_bytes, work_dir, written
 
 CAPACITY = 1024
 END_ID = 2
 #: Encoded words that a worker keeps; it starts afresh beyond that (memory only, results don't depend on it).
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_200_000
 
 
 def tokenizer_path() -> str:
@@ -47,7 +47,8 @@ class WordEncoder:
     space beside a space or line feed is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -96,7 +97,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) + len(self.words) > CACHE_WORDS:
+        if len(self.cache) + len(self.words) > self.cache_words:
             self.cache.clear()
             self.words.clear()
             self.marks = {"": b""}
@@ -117,10 +118,12 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One encoder for each worker process and vocabulary."""
+    claim_memory("words", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].cache_words = cache_words
     return _ENCODERS[path]
 
 
@@ -135,7 +138,7 @@ def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                 capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end id."""
     path = path or tokenizer_path()
     end = np.array([end_id], "<u4").tobytes()
@@ -151,7 +154,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
     return map_texts(text_bytes(docs, id_col, text_col), cut,
                      "doc_id long, piece int, start long, length long, ids_crc32 long", _PIECES,
-                     setup=lambda: encoder(path))
+                     setup=lambda: encoder(path, cache_words))
 
 
 def exact_patterns(lengths: list[int], capacity: int, depth: int = 3) -> list[tuple[int, ...]]:
@@ -335,7 +338,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, depth: int = 3, folder: st
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                   capacity: int = CAPACITY, depth: int = 3, folder: str | None = None) -> DataFrame:
+                   capacity: int = CAPACITY, depth: int = 3, folder: str | None = None,
+                   cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     A null or empty text is the end id alone. Only documents of more than
@@ -344,5 +348,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored.
     """
     folder = folder or work_dir(docs.sparkSession)
-    pieces = written(token_pieces(docs, id_col, text_col, path, capacity), "pieces", folder)
+    pieces = written(token_pieces(docs, id_col, text_col, path, capacity, cache_words=cache_words), "pieces", folder)
     return pack(pieces, capacity, depth, folder)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_bytes, work_dir, written
+from .common import bounded_sample, claim_memory, map_texts, text_bytes, work_dir, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -65,6 +65,7 @@ def repeated_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts of every whole text: one row per row of ``docs``."""
     def counts(ids, texts):
+        claim_memory()
         words = [t.split() for t in texts]
         lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
         lost = lambda t, chars: len(t) - len(t.translate(None, chars))
@@ -193,8 +194,7 @@ def train_rules(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     the driver as a handful of numbers each.
     """
     names = list(features())
-    sample = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality")
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled))
+    sample = bounded_sample(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality"), max_labelled)
     rows = stats.join(sample, "doc_id").select("doc_id", "quality", *[c.alias(f"f_{k}") for k, c in features().items()])
     data = sorted(tuple(r) for r in rows.collect())
     if not data:

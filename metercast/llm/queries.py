@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity,
                url_filter)
-from .common import documents
+from .common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, sf_dir)
+        query.__name__, query.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, text_bytes
+from .common import claim_memory, map_texts, text_bytes
 
 SPACE = "▁"
 #: Encoded words that a worker keeps; it starts afresh beyond that (memory only, results don't depend on it).
@@ -261,6 +261,7 @@ _CODECS: dict[str, PieceCodec] = {}
 
 def codec(path: str) -> PieceCodec:
     """One codec for each worker process and vocabulary."""
+    claim_memory("pieces", _CODECS.clear)
     if path not in _CODECS:
         _CODECS[path] = PieceCodec(path)
     return _CODECS[path]

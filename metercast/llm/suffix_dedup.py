@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_answers, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written
+from .common import claim_memory, join_answers, pack_numbers, text_blocks, text_bytes, unpack_numbers, work_dir, written
 from .suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH = 50
@@ -108,6 +108,7 @@ class Block:
     """A block's texts and its runs of windows."""
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes, length: int, gram: int, shards: int):
+        claim_memory()
         self.ids = np.frombuffer(ids, np.int64)
         self.sizes = np.frombuffer(sizes, np.int64)
         self.data = zstandard.decompress(data)
@@ -193,6 +194,7 @@ def window_owners(segments: list[bytes], low: np.ndarray, length: int) -> np.nda
 
 def answer_segments(blocks: list[tuple], length: int) -> list[tuple[int, bytes, bytes]]:
     """For each block of a shard, the smallest document of each window of its segments (runs: values, lengths)."""
+    claim_memory()
     number: dict[bytes, int] = {}
     which, lows, grams = [], [], []
     for _, hashes, sizes, data, docs in blocks:

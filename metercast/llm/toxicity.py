@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_bytes
+from .common import bounded_sample, claim_memory, map_texts, text_bytes
 
 ORDER = 6
 #: Labelled texts of each label used for fitting, at most (those of smallest id hash).
@@ -203,7 +203,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_per_
         "doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = None
     for label in (0, 1):
-        part = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
+        part = bounded_sample(rows.where(F.col("toxic") == label), max_per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * max_per_class narrow rows
     return text_bytes(docs).join(F.broadcast(picked), "doc_id")
@@ -272,6 +272,7 @@ _SCORERS: dict[int, WordScorer] = {}
 
 def _scorer(shared) -> WordScorer:
     """One scorer for each worker process and model."""
+    claim_memory("scorers", _SCORERS.clear)
     ratios = shared.value
     if id(ratios) not in _SCORERS:
         _SCORERS.clear()
