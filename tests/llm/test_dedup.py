@@ -159,6 +159,53 @@ def test_suffix_dedup(make_docs, messy_rows, monkeypatch):
     assert suffix_dedup.removed_spans(make_docs([])).count() == 0
 
 
+def hot_rows(n):
+    """A passage of every second text and a phrase of every third, each within text of the document's own."""
+    rng = np.random.default_rng(5)
+    own = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    passage, phrase = own(140), "a phrase of many documents "
+    return [(7 * k % n, own(45) + (passage if k % 2 else "") + own(30) + (phrase if k % 3 else "") + own(40)) for k in range(n)]
+
+
+@pytest.mark.parametrize("hot_segments", [0, 5, 60])
+def test_hot_grams_are_split_by_window(make_docs, messy_rows, monkeypatch, hot_segments):
+    rows = hot_rows(200) + [(i if i is None else i + 10_000, t) for i, t in messy_rows if len(t or "") < 1000]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9_000)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 2_000)
+    got = suffix_dedup.removed_spans(make_docs(rows, 5), hot_segments=hot_segments)
+    assert sorted(((r.doc_id, r.n_bytes, r.starts, r.ends, bytes(r.kept)) for r in got.collect()), key=str) == brute_spans(rows)
+
+
+def test_a_hot_gram_is_no_group_of_its_own(monkeypatch):
+    """However many documents share a passage, what comes to one place by one hash, and goes into one suffix array, is bounded."""
+    rows = hot_rows(20_000)
+    blocks = []
+    for k in range(4):
+        own = rows[5000 * k:5000 * (k + 1)]
+        texts = [t.encode() for _, t in own]
+        blocks.append(suffix_dedup.Block(np.array([i for i, _ in own]).tobytes(), np.array([len(t) for t in texts]).tobytes(),
+                                         suffix_dedup.zstandard.compress(b"".join(texts)), 50, 24, 1))
+    told = suffix_dedup.shared_hashes([(k, *x.ask_grams()[0][1:]) for k, x in enumerate(blocks)], 4000)
+    hot = {k: bits for k, _, bits, _ in told if bits}
+    wide = {k: bits for k, bits, *_ in suffix_dedup.shared_hashes(
+        [(k, *blocks[k].ask_windows([(0, bits)])[0][1:]) for k, bits in hot.items()])}
+    sent, keys, calls = [], [], []
+    for k, bits, *_ in told:
+        *_, segments, hashes, low, _ = blocks[k].segments([(0, bits, hot.get(k), wide.get(k))])
+        order = np.argsort(hashes, kind="stable")
+        segments, hashes, low = [segments[j] for j in order], hashes[order], low[order]
+        assert len(set(segments)) == len(segments)
+        sent.append((k, suffix_dedup.pack_numbers(np.diff(hashes, prepend=np.uint64(0))),
+                     suffix_dedup.pack_numbers(np.array([len(x) for x in segments], np.int32)),
+                     suffix_dedup.zstandard.compress(b"".join(segments)), suffix_dedup.pack_numbers(low)))
+        keys.append(hashes)
+    assert np.unique(np.concatenate(keys), return_counts=True)[1].max() <= 4000
+    index = suffix_dedup.window_owners
+    monkeypatch.setattr(suffix_dedup, "window_owners", lambda keys, *more: calls.append(sum(map(len, keys))) or index(keys, *more))
+    found = suffix_dedup.answer_segments(sent, 50)
+    assert [x[0] for x in found] == [0, 1, 2, 3] and hot and max(calls, default=0) <= suffix_dedup.INDEX_BYTES
+
+
 # -- near duplicates ------------------------------------------------------------------
 def shingles(t, size=3):
     w = WORD.findall(lower(t or ""))
