@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import claim_memory, local_path, map_texts, pack_numbers, text_bytes, unpack_numbers, work_dir
 from .elias_fano import EliasFano
 
-#: Orders of the model. (Level 2 has most of the words' neighbours; see the README on higher orders.)
-ORDER = 2
+#: Orders of the model: words are scored after the two before them.
+ORDER = 3
 #: Counted tokens for each part of a level.
 PART_TOKENS = 2 << 20
 #: Tokens that a task counts before it sends them.

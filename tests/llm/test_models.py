@@ -258,3 +258,11 @@ def test_registered_scores_beat_the_unigrams_on_held_out_texts(spark):
     from metercast.llm.queries import QUERIES
     rows = [r for r in QUERIES["op7_lm_scoring"](spark, SF_SMALL).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_default_model_counts_and_uses_trigrams(make_docs):
+    train = [(k, "a b c") for k in range(30)] + [(100 + k, "x b d") for k in range(30)]
+    model = ngram_lm.train_model(make_docs(train))
+    assert model.order >= 3 and len(model.levels) == model.order and model.levels[2].n > 0
+    score = {r.doc_id: r.score for r in ngram_lm.score_texts(make_docs([(1, "a b c"), (2, "a b d")]), model).collect()}
+    assert score[1] > score[2] + 0.5  # "b c" and "b d" are equally frequent: only the word before tells
