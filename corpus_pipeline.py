@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, packed into sequences."""
     small_batches(spark)
     # workers hold what the stages before have left as well: fewer words are remembered here
-    return packing.pack_documents(docs, cache_words=300_000)
+    return packing.pack_documents(docs, cache_words=300_000, literal=False)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates),

@@ -52,7 +52,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text, unless ``encode`` is told otherwise
+        self.path, self.default = path, None
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -95,8 +97,24 @@ class WordEncoder:
         self.cache.update((c, self.words[w] + self.marks[m] if w[0] == " " else self.feed + self.words[w] + self.marks[m])
                           for c, w, m in split)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _encode_default(self, text: str) -> bytes:
+        """Ids of a text by the library's default: an added token's string is that token."""
+        if self.default is None:
+            from tokenizers import Tokenizer
+            self.default = Tokenizer.from_file(self.path)
+        return array("I", self.default.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str], literal: bool = True) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        ``literal``: the strings of special tokens are ordinary text. If not,
+        texts that hold an added token's string are encoded whole by the
+        library's default.
+        """
+        if not literal:
+            held = {k: self._encode_default(t) for k, t in enumerate(texts) if any(a in t for a in self.added)}
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in held]))
+            return [held[k] if k in held else next(rest) for k in range(len(texts))]
         if len(self.cache) + len(self.words) > self.cache_words:
             self.cache.clear()
             self.words.clear()
@@ -138,14 +156,15 @@ def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                 capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS,
+                 literal: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end id."""
     path = path or tokenizer_path()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(ids, texts, enc):
         out = {k: [] for k in _PIECES.names}
-        for i, data in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts])):
+        for i, data in zip(ids, enc.encode([t.decode("utf-8", "replace") for t in texts], literal)):
             data += end
             for k, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
                 for name, v in zip(_PIECES.names, (i, k, start, length,
@@ -339,14 +358,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, depth: int = 3, folder: st
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                    capacity: int = CAPACITY, depth: int = 3, folder: str | None = None,
-                   cache_words: int = CACHE_WORDS) -> DataFrame:
+                   cache_words: int = CACHE_WORDS, literal: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     A null or empty text is the end id alone. Only documents of more than
     ``capacity`` ids are cut. Repeated rows are packed as documents of their
     own; a null id stays null. An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. ``literal``: see ``WordEncoder.encode``.
     """
     folder = folder or work_dir(docs.sparkSession)
-    pieces = written(token_pieces(docs, id_col, text_col, path, capacity, cache_words=cache_words), "pieces", folder)
+    pieces = written(token_pieces(docs, id_col, text_col, path, capacity, cache_words=cache_words, literal=literal), "pieces", folder)
     return pack(pieces, capacity, depth, folder)

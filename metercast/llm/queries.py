@@ -47,7 +47,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir))
+    return packing.pack_documents(documents(spark, sf_dir), literal=False)
 
 
 @register("op1_sentencepiece")

@@ -137,3 +137,15 @@ def test_patterns_and_pieces():
     x = packing.nnls_repeats([(3, 1), (2, 2), (2, 1, 1)], np.array([0, 10, 6, 4, 0]))
     assert (x >= 0).all()
     assert packing.pack_histogram(np.zeros(9, int), 8) == ([], 0)
+
+
+def test_query_and_stage_encode_by_the_library_default(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    from metercast.llm.queries import QUERIES
+    from tokenizers import Tokenizer
+    rows = [(1, "hi <|endoftext|> there"), (2, "hi there"), (3, "<|endoftext|>"), (4, "a<|endoftext|><|endoftext|>\n b"), (5, None)]
+    docs = make_docs(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    check_packing(QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect(), rows, library)
+    check_packing(dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, str(tmp_path)).collect(), rows, library)
