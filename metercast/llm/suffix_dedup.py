@@ -92,6 +92,12 @@ def _window_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (width - n)], v[width - n:]) if width > n else v
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes mixed once more. The smallest of a window's hashes crowd near 0; shards are equal ranges of what this returns."""
+    h = (h ^ (h >> np.uint64(32))) * _ODD[3]
+    return h ^ (h >> np.uint64(31))
+
+
 def designated(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(hash, first window, windows, text number) of each run of windows with one designated gram.
 
@@ -113,7 +119,7 @@ def designated(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram:
         new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)))) if len(best) else start
         place = (best[new] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
         first = start[new] + a
-        out.append((h[place] >> np.uint64(64 - _HASH_BITS), first, np.diff(new, append=len(best)),
+        out.append((_spread(h[place]) >> np.uint64(64 - _HASH_BITS), first, np.diff(new, append=len(best)),
                     np.searchsorted(ends, first, side="right")))
     if not out:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))

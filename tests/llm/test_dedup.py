@@ -9,6 +9,7 @@ import pytest
 
 from metercast.llm import components, exact_dedup, jaccard_join, line_dedup, suffix_arrays, suffix_dedup
 
+from ..conftest import SF_SMALL
 from .conftest import SENTENCE, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -123,6 +124,14 @@ def test_designated_grams_agree_for_equal_windows():
     assert (ha[333:333 + 151] == hb[:151]).all()
 
 
+def test_designated_grams_spread_over_the_shards(spark):
+    texts = [r.text.encode() for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect() if r.text]
+    hashes = suffix_dedup.designated(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))[0]
+    for shards in (4, 64):
+        shard = np.unique(hashes) >> np.uint64(suffix_dedup._HASH_BITS - shards.bit_length() + 1)
+        assert np.bincount(shard.astype(int), minlength=shards).max() < 2 / shards * len(shard)
+
+
 def brute_spans(rows, length=50):
     first = {}
     for i, t in rows:
