@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, sentence_pieces, suffix_dedup, toxicity,
-               url_filter)
+from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, reply_trees, sentence_pieces,
+               suffix_dedup, toxicity, url_filter)
 from .common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ngram_lm.train_model(docs.where(~held_out))
     scored = ngram_lm.score_texts(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op12_chat_formatting", reply_trees.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.conversation_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

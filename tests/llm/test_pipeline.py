@@ -18,7 +18,7 @@ from .test_models import brute_counts
 
 def test_registered_queries():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(names) == set(queries.QUERIES)
     assert "pipeline" in E.queries() and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
@@ -33,6 +33,8 @@ def test_oracles(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_other_queries_cover_the_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF_SMALL)
+    if name == "op13_spelling_variants":
+        pytest.skip("one row for each word: tests/llm/test_spelling.py")
     key = "page_id" if "page_id" in df.columns else "doc_id"
     table = "pages" if key == "page_id" else "documents"
     ids = {r[0] for r in spark.read.parquet(f"{SF_SMALL}/{table}.parquet").select(key).collect()}
