@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, reply_trees, sentence_pieces,
-               suffix_dedup, toxicity, url_filter)
+               spelling, suffix_dedup, toxicity, url_filter)
 from .common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_chat_formatting", reply_trees.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversation_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@register("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
