@@ -134,8 +134,9 @@ def format_trees(messages: DataFrame, id_col: str = "message_id", parent_col: st
                                    F.col(text_col).cast("string").alias("text"), score.alias("score"))
                    .withColumn("node", F.monotonically_increasing_id()), "messages", folder)
     known = rows.where("id is not null").groupBy(F.col("id").alias("parent")).agg(F.min("node").alias("up"))
-    nodes = written(rows.select("node", "parent", "score").join(known, "parent", "left").select("node", "up", "score"),
-                    "nodes", folder)
+    asked = rows.select("node", "parent", "score")  # roots meet no join: without a parent they would be one key
+    nodes = written(asked.where("parent is not null").join(known, "parent", "left").select("node", "up", "score").unionByName(
+        asked.where("parent is null").select("node", F.lit(None).cast("long").alias("up"), "score")), "nodes", folder)
     paths = reply_paths(nodes, top, folder)
     turns = (paths.join(rows.select("node", "tree", "role", "text"), "node").groupBy("leaf")
              .agg(F.first("rank").alias("rank"), F.first("score").alias("score"),
