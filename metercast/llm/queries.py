@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (exact_dedup, jaccard_join, line_dedup, ngram_lm, packing, quality_rules, reply_trees, sentence_pieces,
-               spelling, suffix_dedup, toxicity, url_filter)
+               spelling, suffix_dedup, token_alignment, toxicity, url_filter)
 from .common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@register("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(documents(spark, sf_dir))

@@ -169,7 +169,7 @@ def near_words(words: DataFrame, folder: str | None = None, modulus: int = _MODU
     same = F.when(F.col("edit") == "d", F.col("end_word") == F.concat(head, tail)).otherwise(
         F.col("end_word") == F.concat(head, F.expr("substring(end_word, at + 1, 1)"), tail))
     forth = lambda c: F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c))
-    pairs = ends.where(same).select("edit", forth("word").alias("word"), "n", forth("end_word").alias("near"), F.col("end_n").alias("near_n"))
+    pairs = ends.where(same & (F.col("end_word") != F.col("word"))).select("edit", forth("word").alias("word"), "n", forth("end_word").alias("near"), F.col("end_n").alias("near_n"))
     back = pairs.where("edit = 'd'").select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"),
                                             F.col("n").alias("near_n"))
     return pairs.drop("edit").unionByName(back).distinct()
