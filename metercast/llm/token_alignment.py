@@ -14,7 +14,6 @@ back by block, so that a pair of every document is one row for each block.
 from __future__ import annotations
 
 import hashlib
-import os
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -27,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packing, sentence_pieces
-from .common import CHUNK_BYTES, claim_memory, pack_numbers, unpack_numbers, work_dir, written
+from .common import claim_memory, pack_numbers, unpack_numbers, work_dir, written
 
 #: Texts of about so many bytes share one request for counts (a longer text is a block of its own).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Tokens of about so many bytes of text are arrays at once.
+CHUNK_BYTES = 2 << 20
 #: Remembered windows and words; a worker starts afresh beyond them (memory only, results don't depend on it).
-CACHE_WINDOWS, CACHE_WORDS = 400_000, 500_000
+CACHE_WINDOWS, CACHE_WORDS = 300_000, 700_000
 
 
 # -- vocabularies ----------------------------------------------------------------
@@ -69,29 +70,104 @@ class Tokens:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
 
+class PairEncoder(packing.WordEncoder):
+    """Ids of whole texts by both libraries, from remembered words.
+
+    As for the byte-level side, a text is cut before single spaces and line
+    feeds. The pieces of the other side never go on across such a cut if none
+    holds a line feed, or a space mark behind another character; otherwise
+    each text is encoded whole.
+    """
+
+    def __init__(self, a_path: str, b_path: str, cache_words: int):
+        super().__init__(a_path, cache_words)
+        import sentencepiece
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = Tokens(a_bytes(self.tok)), Tokens(b_bytes(self.pieces))
+        self.other: dict[str, bytes] = {}
+        names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
+        self.cuts = not any("\n" in x or "▁" in x.lstrip("▁") for x in names)
+        self.space = self.pieces.piece_to_id("▁")
+
+    def _pieces(self, texts: list[str]) -> list[list[int]]:
+        return self.pieces.encode(texts, num_threads=1)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember new chunks; False where a side's ids alone are not the chunk's bytes."""
+        super()._learn(chunks)
+        known = [c for c in chunks if self.cache[c] is not False]
+        table_a, table_b = self.a.table, self.b.table
+        for c, ids in zip(known, self._pieces(known)):
+            wanted = (c if c[0] == "\n" else " " + c).encode()
+            if c[0] == "\n":  # the library's space before it goes
+                ids = ids[1:] if ids[:1] == [self.space] else []
+            if b"".join([table_b[i] for i in ids]) == wanted == b"".join([table_a[i] for i in memoryview(self.cache[c]).cast("I")]):
+                self.other[c] = array("I", ids).tobytes()
+            else:
+                self.cache[c] = False
+
+    def encode_both(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of space + text by A and of the text by B; both empty where a side's bytes are not those of space + text."""
+        if len(self.cache) + len(self.words) > self.cache_words:
+            self.cache.clear()
+            self.words.clear()
+            self.other.clear()
+            self.marks = {"": b""}
+        rows = [(" " + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        if self.cuts:
+            new = set()
+            for r in rows:
+                new |= set(r).difference(self.cache)
+            if new:
+                self._learn(new)
+        get, other, out_a, out_b = self.cache.get, self.other.__getitem__, [], []
+        for t, r in zip(texts, rows):
+            ids = list(map(get, r)) if self.cuts else [False]
+            if not t:
+                a = b = b""
+            elif False not in ids:
+                a, b = b"".join(ids), b"".join(map(other, r))
+            else:
+                a, b = self._encode([" " + t])[0], array("I", self._pieces([t])[0]).tobytes()
+                wanted = (" " + t).encode()
+                if any(v.joined(np.frombuffer(x, "<u4")) != wanted for v, x in ((self.a, a), (self.b, b))):
+                    a = b = b""
+            out_a.append(a)
+            out_b.append(b)
+        return out_a, out_b
+
+
 # -- windows ---------------------------------------------------------------------
-def align_window(a: list[int], b: list[int], size_a, size_b) -> tuple[str, int, int, dict[tuple[int, int], int]]:
-    """(groups as text, groups, links, links of each id pair) of ids that cover the same bytes."""
-    texts, links, pairs = [], 0, Counter()
+def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, int, list[tuple[int, int, int]]]:
+    """(groups as text, groups, links, (A id, B id, links)) of ids that cover the same bytes; an id pair may come several times."""
+    texts, links, pairs = [], 0, []
     i = j = 0
     while i < len(a):
+        x, y = a[i], b[j]
+        end_a, end_b = size_a[x], size_b[y]
+        if end_a == end_b:
+            texts.append(f"{x}|{y}")
+            links += 1
+            pairs.append((x, y, 1))
+            i, j = i + 1, j + 1
+            continue
         first_a, first_b = i, j
-        end_a, end_b = int(size_a[a[i]]), int(size_b[b[j]])
         while end_a != end_b:  # the side that is behind goes on
             if end_a < end_b:
                 i += 1
-                end_a += int(size_a[a[i]])
+                end_a += size_a[a[i]]
             else:
                 j += 1
-                end_b += int(size_b[b[j]])
+                end_b += size_b[b[j]]
         i, j = i + 1, j + 1
         own_a, own_b = a[first_a:i], b[first_b:j]
         texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
         links += len(own_a) * len(own_b)
-        count_b = Counter(own_b)
-        for x, n in Counter(own_a).items():
-            for y, m in count_b.items():
-                pairs[x, y] += n * m
+        if len(own_a) * len(own_b) < 64:
+            pairs += [(x, y, 1) for x in own_a for y in own_b]
+        else:  # many tokens, few different ones
+            count_b = Counter(own_b).items()
+            pairs += [(x, y, n * m) for x, n in Counter(own_a).items() for y, m in count_b]
     return ";".join(texts), len(texts), links, pairs
 
 
@@ -100,57 +176,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Between the two sides' ids in a window's key: no id is that large.
+_BETWEEN = b"\xff" * 4
+
+
 class Aligner:
     """Aligns texts and remembers windows by their ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        self.words = packing.WordEncoder(a_path, CACHE_WORDS)  # special tokens' strings are ordinary text
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a, self.b = Tokens(a_bytes(self.words.tok)), Tokens(b_bytes(self.pieces))
+        self.words = PairEncoder(a_path, b_path, CACHE_WORDS)
+        self.a, self.b = self.words.a, self.words.b
+        self.size_a, self.size_b = self.a.size.tolist(), self.b.size.tolist()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups, self.links = array("q"), array("q")
         self.first, self.pair, self.times = array("q", [0]), array("Q"), array("q")  # windows' pairs, end to end
 
-    def window(self, key: tuple[bytes, bytes]) -> int:
+    def window(self, a: bytes, b: bytes) -> int:
+        key = a + _BETWEEN + b
         n = self.number.get(key)
         if n is None:
-            text, groups, links, pairs = align_window(*(np.frombuffer(k, "<u4").tolist() for k in key), self.a.size, self.b.size)
+            text, groups, links, pairs = align_window(memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist(),
+                                                      self.size_a, self.size_b)
             n = self.number[key] = len(self.texts)
             self.texts.append(text)
             self.groups.append(groups)
             self.links.append(links)
-            for (x, y), times in pairs.items():
-                self.pair.append(x << 32 | y)
-                self.times.append(times)
+            self.pair.extend([x << 32 | y for x, y, _ in pairs])
+            self.times.extend([times for _, _, times in pairs])
             self.first.append(len(self.pair))
         return n
 
-    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides of each text; none where the text is empty or a side's bytes are not those of space + text."""
-        a = [np.frombuffer(x, "<u4") for x in self.words.encode([" " + t for t in texts])]
-        b = [np.array(x, "<u4") for x in self.pieces.encode(texts, num_threads=1)]
-        none = np.zeros(0, "<u4")
-        wanted = [b" " + t.encode() for t in texts]
-        for side, vocabulary in ((a, self.a), (b, self.b)):
-            if vocabulary.joined(np.concatenate([none, *side])) != b"".join(wanted) or \
-                    [int(vocabulary.size[x].sum()) for x in side] != [len(x) for x in wanted]:
-                for k, x in enumerate(side):
-                    if vocabulary.joined(x) != wanted[k]:
-                        a[k] = b[k] = none
-        for k, t in enumerate(texts):
-            if not t or not len(a[k]) or not len(b[k]):
-                a[k] = b[k] = none
-        return a, b
-
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, windows of each text, numbers of all windows)."""
-        a, b = self.tokens(texts)
+        a, b = ([np.frombuffer(x, "<u4") for x in side] for side in self.words.encode_both(texts))
         n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
         if not n_a.sum():
             return n_a, n_b, np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
@@ -173,7 +235,7 @@ class Aligner:
 
         def look_up(windows: np.ndarray) -> list[int]:
             cuts = zip(*((4 * x[windows]).tolist() for x in (start_a, stop_a, start_b, stop_b)))
-            return [self.window((raw_a[p:q], raw_b[r:s])) for p, q, r, s in cuts]
+            return [self.window(raw_a[p:q], raw_b[r:s]) for p, q, r, s in cuts]
         key = np.zeros(len(start_a), np.uint64)
         sides = []
         for salt, ids, start, stop in ((1, ids_a, start_a, stop_a), (2, ids_b, start_b, stop_b)):

@@ -90,13 +90,13 @@ def test_equal_hashes_of_different_windows(own, libraries, monkeypatch):
     want = own.align([text])[3].tolist()
     monkeypatch.setattr(token_alignment, "_mix", lambda x: x * np.uint64(0))
     assert own.align([text])[3].tolist() == want
-    assert len({tuple(k) for k in own.number}) == len(own.texts)
+    assert len(own.number) == len(own.texts)
 
 
 def test_a_group_of_many_tokens_is_counted_not_listed():
-    size = np.array([1, 2, 3])
-    text, groups, links, pairs = token_alignment.align_window([2] * 200 + [0], [0] + [2] * 200, size, size)
-    assert (groups, links, pairs) == (1, 201 * 201, {(2, 0): 200, (2, 2): 200 * 200, (0, 0): 1, (0, 2): 200})
+    text, groups, links, pairs = token_alignment.align_window([2] * 200 + [0], [0] + [2] * 200, [1, 2, 3], [1, 2, 3])
+    assert (groups, links) == (1, 201 * 201)
+    assert sorted(pairs) == [(0, 0, 1), (0, 2, 200), (2, 0, 200), (2, 2, 200 * 200)]
 
 
 @pytest.mark.parametrize("block_bytes", [1, 1500, 1 << 24])
