@@ -29,6 +29,11 @@ def period_usage(metering: DataFrame, as_of, service_type: str = "AI_SERVICES")
         money.exact_sum(F.when(F.to_date("start_time") == today, e8).otherwise(zero)).alias("d"),
         money.exact_sum(F.when(F.col("start_time") >= week_start, e8).otherwise(zero)).alias("w"),
         money.exact_sum(F.when(F.col("start_time") >= month_start, e8).otherwise(zero)).alias("m"))
+    return periods_of_sums(g)
+
+
+def periods_of_sums(g: DataFrame) -> DataFrame:
+    """(period, used) of the one row of exact sums ``d``, ``w`` and ``m``."""
     return g.select(F.explode(F.array(
         *[F.struct(F.lit(p).alias("period"),
                    F.coalesce(money.e8_to_credits(c), F.lit(0.0)).alias("used"))
@@ -39,7 +44,11 @@ def budget_status(metering: DataFrame, limits: DataFrame, as_of,
                   service_type: str = "AI_SERVICES", price: float = 3.0) -> DataFrame:
     """Per limit row (``period``, ``limit``, ``enabled`` + any profile
     columns): used credits, cost, percent of the limit and its light."""
-    used = period_usage(metering, as_of, service_type)
+    return status_of_usage(period_usage(metering, as_of, service_type), limits, price)
+
+
+def status_of_usage(used: DataFrame, limits: DataFrame, price: float = 3.0) -> DataFrame:
+    """The lights of :func:`budget_status` from the credits used in each period."""
     # ``used`` is three rows by construction (one global aggregate, exploded)
     j = limits.join(F.broadcast(used), "period", "left")
     u = F.coalesce(F.col("used"), F.lit(0.0))

@@ -31,7 +31,11 @@ def model_analysis(usage: DataFrame, qh: DataFrame, as_of, days: int = 30,
                    label: str = "Specialized Function") -> DataFrame:
     """Per (model, function): invocations, tokens, credits and per-call means,
     most expensive first."""
-    g = model_function_groups(usage, qh, as_of, days, label)
+    return analysis_of_groups(model_function_groups(usage, qh, as_of, days, label))
+
+
+def analysis_of_groups(g: DataFrame) -> DataFrame:
+    """The report of :func:`model_analysis` from its (model, function) groups."""
     g = g.withColumn("total_credits", money.e8_to_credits("credits_e8"))
     return (g.select("model_name", "function_name", "invocations", "total_tokens",
                      "total_credits", *_per_call(g, "invocations"))
@@ -178,8 +182,12 @@ def usage_overview(metering: DataFrame, as_of, days: int = 30, price: float = 3.
     of days observed."""
     m = metering.where(since(metering, "start_time", as_of, days)
                        & (F.col("service_type") == service_type))
-    g = m.agg(F.coalesce(money.exact_sum(credit_e8(m, "credits_used")),
-                         F.lit(0).cast(money.SUM_TYPE)).alias("e8"))
+    return overview_of_sum(m.agg(money.exact_sum(credit_e8(m, "credits_used")).alias("e8")), days, price)
+
+
+def overview_of_sum(g: DataFrame, days: int, price: float) -> DataFrame:
+    """The row of :func:`usage_overview` from the exact sum ``e8`` of its window (null: nothing used)."""
+    g = g.select(F.coalesce(F.col("e8"), F.lit(0)).cast(money.SUM_TYPE).alias("e8"))
     total = money.e8_to_credits("e8")
     avg_daily = total / F.lit(float(days))
     return g.select(total.alias("total_credits"),
@@ -196,7 +204,8 @@ def daily_service_usage(metering_daily: DataFrame, as_of, days: int = 30,
             .where((F.col("service_type") == service_type) & since_date("usage_date", as_of, days))
             .select("usage_date", "service_type", "credits_used", "credits_used_compute",
                     "credits_used_cloud_services")
-            .orderBy(F.desc("usage_date")))
+            .orderBy(F.desc("usage_date"), *[F.asc_nulls_last(c) for c in ("credits_used", "credits_used_compute",
+                                                                           "credits_used_cloud_services")]))
 
 
 def hourly_function_usage(usage_hourly: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -215,8 +224,23 @@ def top_query_usage(usage: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def search_usage(search_daily: DataFrame, as_of, days: int = 30) -> DataFrame:
-    return search_daily.where(since_date("usage_date", as_of, days)).orderBy(F.desc("usage_date"))
+    return _latest_first(search_daily.where(since_date("usage_date", as_of, days)), "usage_date")
 
 
 def analyst_usage(analyst: DataFrame, as_of, days: int = 30) -> DataFrame:
-    return analyst.where(since(analyst, "start_time", as_of, days)).orderBy(F.desc("start_time"))
+    return _latest_first(analyst.where(since(analyst, "start_time", as_of, days)), "start_time")
+
+
+def _latest_first(df: DataFrame, time_col: str) -> DataFrame:
+    """Newest rows first; rows of one time by their other columns, so that a
+    time that holds a third of all rows is cut over several sort ranges."""
+    return df.orderBy(F.desc(time_col), *[F.asc_nulls_last(c) for c in df.columns if c != time_col])
+
+
+# -- A16 ---------------------------------------------------------------------------
+
+def distinct_users(usage: DataFrame, qh: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """(model_name, users): how many users called each model, exactly. The
+    estimate from merged daily sketches is ``rollups.UsageRollups.distinct_users``."""
+    j = with_history(usage, qh, as_of, days, cols=("user_name",)).where("user_name is not null")
+    return j.select("model_name", "user_name").distinct().groupBy("model_name").agg(F.count(F.lit(1)).alias("users"))

@@ -40,4 +40,4 @@ def td(spark: SparkSession, sf_dir: str) -> TestData:
 
 
 # The query families register themselves on import (order = bench order).
-from . import usage_queries, metering_queries, costing_queries, runs_queries  # noqa: E402,F401
+from . import usage_queries, metering_queries, costing_queries, runs_queries, store_queries  # noqa: E402,F401

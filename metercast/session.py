@@ -64,6 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     error, because a machine-local folder would not survive the loss of that
     machine. Called where something is checkpointed, not for every session.
     """
+    d = checkpoint_base(spark)
+    spark.sparkContext.setCheckpointDir(d)
+    return d
+
+
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder of :func:`ensure_checkpoint_dir`, for tables written there; no checkpoint folder is made in it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.sparkContext.master
@@ -72,8 +79,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                "(HDFS / object store) for checkpoints")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d.rstrip("/")
 
 
 def ship_package(spark: SparkSession) -> None:
