@@ -12,7 +12,7 @@ def brute(texts, patterns):
     return Counter((k, p) for k, t in texts for p, w in patterns if t is not None and w is not None and w in t)
 
 
-@pytest.mark.parametrize("size", [{}, {"group_bytes": 40}, {"group_patterns": 7}])
+@pytest.mark.parametrize("size", [{}, {"group_bytes": 12_000}, {"group_patterns": 30}])
 def test_pairs_equal_contains(spark, size):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abé😀 "), n))

@@ -94,7 +94,7 @@ def test_invalidate_sweep_and_two_writers(spark, table, tmp_path):
     report(spark, table).write.parquet(f"{tmp_path}/cache/{key}/000000000000001-dead")  # its writer died before it was published
     assert cache.get(report(spark, table)).count() == 7
     now[0] += 61
-    assert cache.sweep(grace=3600) == 1 and cache.sweep(grace=0) == 3 and cache._names() == []
+    assert cache.sweep(grace=600) == 1 and cache.sweep(grace=0) == 3 and cache._names() == []
 
 
 # -- daily tables ------------------------------------------------------------------
