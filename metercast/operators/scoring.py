@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import money, tokens
-from .common import dimension
 from .costing import with_cost
 
 # scorer_factory() -> scorer(model, prompts: list[str]) -> list[str | Exception]
@@ -57,13 +56,13 @@ def _score_chunk(scorer: Scorer, model: str, prompts: list) -> tuple[list, list,
             ["error" if b else "success" for b in bad])
 
 
-def _score_partition(scorer_factory: Callable[[], Scorer], batch_size: int):
+def _score_partition(scorer_factory: Callable[[], Scorer], batch_size: int, models: list[tuple[str, bool]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()  # once per task
         for pdf in batches:
-            for (model, known), rows in pdf.groupby(["model", "known"], sort=False, dropna=False):
-                for lo in range(0, len(rows), batch_size):
-                    part = rows.iloc[lo:lo + batch_size]
+            for model, known in models:  # the prompts came over once for all models
+                for lo in range(0, len(pdf), batch_size):
+                    part = pdf.iloc[lo:lo + batch_size]
                     if known:
                         resp, lat, st = _score_chunk(scorer, model, part["prompt"].tolist())
                     else:
@@ -88,9 +87,9 @@ def score_texts(df: DataFrame, text_col: str, key_col: str, models: list[str],
     (E3) and the catalog cost (C1). A model that the catalog lacks is not
     called; its rows are error rows.
 
-    Prompts and lengths are made by column expressions and (text, model)
-    pairs are rows, so ``parallelism`` spreads the calls over that many tasks
-    whatever the table's size. With ``checkpoint`` the scored rows are written
+    Prompts and lengths are made by column expressions; a prompt crosses to
+    Python once and is fanned out to the models there, and ``parallelism``
+    spreads the texts over that many tasks. With ``checkpoint`` the scored rows are written
     to the shared checkpoint folder, so a lost executor never repeats the
     model calls. The scorer gets at most ``batch_size`` prompts per call; it
     is created once per task.
@@ -99,14 +98,12 @@ def score_texts(df: DataFrame, text_col: str, key_col: str, models: list[str],
     prompt = text if template is None else tokens.fill_prompt(template, text)
     src = df.where(text.isNotNull()).select(
         F.col(key_col).alias("key"), prompt.alias("prompt"), F.length(prompt).cast("long").alias("prompt_chars"),
-        tokens.est_input_tokens(text).alias("text_tokens"),
-        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    known = dimension(catalog.select(F.col("model").alias("_cat_model")), of=catalog)
-    src = (src.join(known, F.col("model") == F.col("_cat_model"), "left")
-           .select("key", "model", "prompt", "prompt_chars", "text_tokens", F.col("_cat_model").isNotNull().alias("known")))
+        tokens.est_input_tokens(text).alias("text_tokens"))
+    # of the models asked for, those that the catalog has: as many rows as ``models`` at most
+    known = {r[0] for r in catalog.where(F.col("model").isin(models)).select("model").distinct().collect()}
     if parallelism:
         src = src.repartition(int(parallelism))
-    scored = src.mapInPandas(_score_partition(scorer_factory, int(batch_size)), _out_schema(df.schema[key_col].dataType))
+    scored = src.mapInPandas(_score_partition(scorer_factory, int(batch_size), [(m, m in known) for m in models]), _out_schema(df.schema[key_col].dataType))
     if checkpoint:
         from ..session import materialize
         scored = materialize(scored)

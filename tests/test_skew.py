@@ -93,3 +93,21 @@ def test_history_window_reaches_the_usage_scan_as_a_bloom_filter(spark):
     assert got == want
     usage_scan = [ln for ln in plan.splitlines() if "might_contain" in ln]
     assert usage_scan and "l_orderkey" in usage_scan[0]
+
+
+def test_listings_cut_one_hot_instant_over_several_ranges(spark):
+    """A third of all rows at one time: the other columns order them, so that they are no single sort range."""
+    from pyspark.sql import functions as F
+    from metercast.operators import usage
+    rows = spark.range(30_000).select(
+        F.expr("timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, if(id % 3 = 0, 0, id))").alias("start_time"),
+        (F.col("id") / 7.0).alias("credits"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = usage.analyst_usage(rows, "2024-03-02 00:00:00", 30).withColumn("_p", F.spark_partition_id())
+        hot = out.where("start_time = timestamp_ntz'2024-03-01 00:00:00'").select("_p").distinct().count()
+        times = [r.start_time for r in out.select("start_time").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert hot > 1 and times == sorted(times, reverse=True)
