@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_base
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -99,11 +101,11 @@ def claim_memory(name: str = "", forget: Callable[[], None] = lambda: None) -> N
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Where it is unset (tests, single
-    process), the session's warehouse folder is used.
+    The setting is read from the session. Where it is unset in a single
+    process (tests) a folder beside the warehouse is used; on a cluster a
+    missing setting is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{checkpoint_base(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
