@@ -215,8 +215,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learned and the base rules decide alone.
     """
     stats = written(text_statistics(docs, id_col, text_col), "statistics", folder or work_dir(docs.sparkSession))
-    if rules is None:
-        rules = train_rules(stats, labels)
+    return verdicts(stats, train_rules(stats, labels) if rules is None else rules)
+
+
+def verdicts(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of :func:`judge_quality` from counts (:func:`text_statistics`) and rules, one for each row of counts."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = [F.col(c) for c in _COUNTS if c != "n_words"]
     return (stats.withColumn("_n", F.col("n_words"))
