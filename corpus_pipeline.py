@@ -2,9 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of ``documents``.
-Ids identify documents: rows without one are dropped by the first stage; of
-rows that repeat an id all stay or go together. Other nulls, empty texts and
-empty tables pass through.
+Ids identify documents: of rows that repeat an id all stay or go together.
+A row without an id is judged by its own text and shares nothing with other
+rows: line dedup, the join and the suffix arrays leave it as it is. Other nulls,
+empty texts and empty tables pass through.
 """
 
 from __future__ import annotations
@@ -20,8 +21,15 @@ from metercast.llm.texts import new_texts, without_lines, without_runs
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned rules reject."""
     small_batches(spark)
-    judged = quality_rules.judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    folder = work_dir(spark)
+    stats = written(quality_rules.text_statistics(docs), "statistics", folder)
+    rules = quality_rules.train_rules(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with_id = docs.join(quality_rules.verdicts(stats, rules).where("kept").select("doc_id"), "doc_id", "left_semi")
+    # rows without an id get a number in a table of their own, so that a verdict finds its row
+    numbered = written(docs.where("doc_id IS NULL").withColumn("_stage_row", F.monotonically_increasing_id()), "without_id", folder)
+    judged = quality_rules.verdicts(quality_rules.text_statistics(numbered, "_stage_row"), rules)
+    without_id = numbered.join(judged.where("kept").select(F.col("doc_id").alias("_stage_row")), "_stage_row", "left_semi")
+    return with_id.select(docs.columns).unionByName(without_id.select(docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +40,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8).
+    Rows without an id are in no group and stay."""
     small_batches(spark)
     groups = jaccard_join.near_duplicates(docs, percent=80, size=5)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    heads = docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return heads.unionByName(docs.where("doc_id IS NULL"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
