@@ -54,15 +54,22 @@ def corpus():
         w[10 * k] = "changed"
         rows.append((200 + k, " ".join(w)))
     rows += [(300 + k, f"a common line of many documents\n{text(50)}") for k in range(5)]
-    rows += [(400, SENTENCE), (401, ""), (402, None), (403, "too short"), (404, (text(20) + "\n") * 5), (None, text(50))]
-    return rows
+    rows += [(400, SENTENCE), (401, ""), (402, None), (403, "too short"), (404, (text(20) + "\n") * 5)]
+    own = text(50)  # rows without an id: clean ones (one twice), and some that the rules reject
+    return rows + [(None, own), (None, own), (None, f"a common line of many documents\n{text(50)}"), (None, "short"), (None, None)]
 
 
 def test_stages_against_brute_force(spark, make_docs, tmp_path):
     rows = corpus()
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = make_docs(rows)
-    read = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    clean = sorted(t for i, t in rows if i is None and len((t or "").split()) >= 20)  # no stage changes these
+    assert len(clean) == 3
+
+    def read(df):
+        got = df.collect()
+        assert sorted(r.text for r in got if r.doc_id is None) == clean
+        return sorted((r.doc_id, r.text) for r in got if r.doc_id is not None)
     stages = dict(corpus_pipeline.STAGES)
 
     out = stages["quality_rules"](spark, docs, str(tmp_path))
@@ -86,7 +93,8 @@ def test_stages_against_brute_force(spark, make_docs, tmp_path):
     assert out.columns == docs.columns and read(out) == sorted(fine)
 
     packed = stages["best_fit_packing"](spark, out, str(tmp_path))
-    assert {r.doc_id for r in packed.collect()} == {i for i, _ in fine}
+    assert {r.doc_id for r in packed.collect()} == {i for i, _ in fine} | {None}
+    assert packed.where("doc_id IS NULL AND piece = 0").count() == len(clean)
     assert packed.agg({"length": "max"}).first()[0] <= packing.CAPACITY
 
 
