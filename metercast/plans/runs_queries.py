@@ -6,11 +6,15 @@ from __future__ import annotations
 from ..operators import costing as C
 from ..operators import runs as RU
 from ..operators import scoring as SC
+from ..operators import scoring_ledger as LEDGER
+from ..operators import token_counts as TC
+from ..session import checkpoint_base
 from ..sources import catalog as CAT
 from ..sources import sinks as SK
+from ..sources.result_cache import snapshot
 from ..sources.testdata import MOD8_MODELS
 from . import fixtures_sql as X
-from .registry import register, td
+from .registry import ORACLE, register, td
 
 
 # --- C21-C31 logged runs, F1 batch scoring ------------------------------------------------
@@ -229,6 +233,30 @@ def q_scored_results(spark, sf_dir):
     return RU.results_table(rows).drop("latency")
 
 
+@register("score_texts_resumed", ORACLE["score_texts"])
+def q_score_texts_resumed(spark, sf_dir):
+    """F1 through a ledger kept beside the checkpoints: a run for two of the models, then one for all four, which calls
+    the rest only. Calls that an earlier run of this query has made on the same files are not made again."""
+    docs, catalog = td(spark, sf_dir).texts(), CAT.load_catalog(spark)
+    ledger = LEDGER.ScoringLedger(spark, f"{checkpoint_base(spark)}/scores-{snapshot(docs)[:32]}")
+    for models in (SCORE_MODELS[:2], SCORE_MODELS):
+        out = LEDGER.score_texts_resumable(docs, "text", "doc_id", models, SC.echo_scorer_factory(fail_every=97), catalog,
+                                           ledger, template=SCORE_TEMPLATE, retry_errors=False)
+    return out.drop("latency_s")
+
+
+@register("exact_token_counts")
+def q_exact_token_counts(spark, sf_dir):
+    """tokens of every document by a public byte-level vocabulary, each distinct text encoded once."""
+    return TC.exact_token_counts(td(spark, sf_dir).texts(), "text", "doc_id", TC.vocabulary_tokenizer_factory())
+
+
+@register("exact_token_stats")
+def q_exact_token_stats(spark, sf_dir):
+    """C18 with exact counts: the token statistics of each language's documents."""
+    return TC.exact_token_stats(td(spark, sf_dir).raw("documents"), "text", "lang", TC.vocabulary_tokenizer_factory())
+
+
 def _scored_texts(spark, sf_dir):
     return SC.score_texts(td(spark, sf_dir).texts(), "text", "doc_id", SCORE_MODELS,
                           SC.echo_scorer_factory(fail_every=97), CAT.load_catalog(spark),
