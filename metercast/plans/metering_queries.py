@@ -238,3 +238,25 @@ FROM (SELECT *, CAST(e8 AS DOUBLE) / 1e8 AS used,
 def q_budget_windows_monthly(spark, sf_dir):
     t = td(spark, sf_dir)
     return BM.budget_windows(t.metering(), t.limits(), periods=("monthly",), watermark=None)
+
+
+@register("limit_crossings", X.with_(X.METERING, _LIMITS_SQL, """h AS (
+  SELECT date_trunc('hour', start_time) AS hour, SUM(e8) AS e8 FROM metering WHERE service_type = 'AI_SERVICES' GROUP BY 1)""",
+"""w AS (
+  SELECT 'daily' AS period, date_trunc('day', hour) AS window_start,
+         date_trunc('day', hour) + INTERVAL 1 DAY AS window_end, hour, e8 FROM h
+  UNION ALL
+  SELECT 'weekly', date_trunc('day', hour) - k * INTERVAL 1 DAY,
+         date_trunc('day', hour) - k * INTERVAL 1 DAY + INTERVAL 7 DAY, hour, e8 FROM h CROSS JOIN range(0, 7) r(k)
+  UNION ALL
+  SELECT 'monthly', date_trunc('month', hour), date_trunc('month', hour) + INTERVAL 1 MONTH, hour, e8 FROM h)""",
+"""t AS (
+  SELECT period, window_start, window_end, hour,
+         CAST(SUM(e8) OVER (PARTITION BY period, window_start ORDER BY hour) AS DOUBLE) / 1e8 AS used FROM w)""") + """
+SELECT profile, "limit", enabled, period, CAST(window_start AS TIMESTAMP) AS window_start,
+       CAST(window_end AS TIMESTAMP) AS window_end, CAST(MIN(hour) AS TIMESTAMP) AS crossed_at, arg_min(used, hour) AS used
+FROM t JOIN limits USING (period) WHERE enabled AND used > "limit" GROUP BY profile, "limit", enabled, period, t.window_start, t.window_end""")
+def q_limit_crossings(spark, sf_dir):
+    """C14: the hour in which each limit was first exceeded, in every daily, weekly and monthly window."""
+    t = td(spark, sf_dir)
+    return BM.limit_crossings(t.metering(), t.limits())

@@ -17,7 +17,7 @@ begins, then it leaves the state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -197,3 +197,36 @@ def latest_alerts(alerts: DataFrame) -> DataFrame:
         F.max(F.struct("batch_id", "used", "used_usd", "pct", "light", "alert")).alias("_s"))
     return (last.select(*keys, "_s.used", "_s.used_usd", "_s.pct", "_s.light", "_s.alert")
                 .where(F.col("alert")))
+
+
+def limit_crossings(metering: DataFrame, limits: DataFrame, service_type: str | None = "AI_SERVICES",
+                    time_col: str = "start_time") -> DataFrame:
+    """When each enabled limit was first exceeded in each of its windows (batch): the limit's columns, period,
+    window_start, window_end, crossed_at (start of the hour in which the running total passed the limit), used (the total
+    at that hour's end). Windows that stay within their limit have no row.
+
+    The log is summed by hour first; running totals then go over the hours of
+    a window, at most 168 (a month: 744), whatever the log's size. Where
+    corrections bring a total back under its limit, the first crossing counts.
+    """
+    kind = metering.schema[time_col].dataType
+    m = metering if service_type is None else metering.where(F.col("service_type") == service_type)
+    hour = F.date_trunc("hour", F.col(time_col).cast("timestamp")).cast(kind)
+    hourly = (m.where(F.col(time_col).isNotNull()).groupBy(hour.alias("_hour"))
+              .agg(money.exact_sum(credit_e8(m, "credits_used")).alias("_e8")))
+    day, days = F.date_trunc("day", F.col("_hour").cast("timestamp")).cast(kind), lambda n: F.make_dt_interval(F.lit(n))
+    month = F.date_trunc("month", F.col("_hour").cast("timestamp")).cast(kind)
+    k = F.explode(F.sequence(F.lit(0), F.lit(6)))
+    of = [hourly.select(F.lit("daily").alias("period"), day.alias("window_start"), (day + days(1)).alias("window_end"), "_hour", "_e8"),
+          hourly.withColumn("_k", k).select(F.lit("weekly").alias("period"), (day - F.make_dt_interval(F.col("_k"))).alias("window_start"),
+                                            (day - F.make_dt_interval(F.col("_k")) + days(7)).alias("window_end"), "_hour", "_e8"),
+          hourly.select(F.lit("monthly").alias("period"), month.alias("window_start"),
+                        F.add_months(month, 1).cast(kind).alias("window_end"), "_hour", "_e8")]
+    rows = of[0].unionByName(of[1]).unionByName(of[2])
+    so_far = F.sum("_e8").over(Window.partitionBy("period", "window_start").orderBy("_hour")
+                               .rowsBetween(Window.unboundedPreceding, 0))
+    running = rows.withColumn("used", money.e8_to_credits(so_far))
+    over = running.join(dimension(limits), "period").where(F.col("enabled") & (F.col("used") > F.col("limit")))
+    names = [c for c in limits.columns if c != "period"]
+    first = over.groupBy(*names, "period", "window_start", "window_end").agg(F.min(F.struct("_hour", "used")).alias("_first"))
+    return first.select(*names, "period", "window_start", "window_end", F.col("_first._hour").alias("crossed_at"), "_first.used")

@@ -95,3 +95,61 @@ def test_late_event_beyond_watermark_is_dropped(spark):
     batch = {r.window_start.day for r in BM.budget_windows(
         spark.read.parquet(src), limits, periods=("daily",), watermark=None).collect()}
     assert batch == {2, 10, 11}
+
+
+def test_alerts_fire_once(spark):
+    """Through the monitor and the second stream: one row per (limit, window), none on replay or restart."""
+    from metercast.streaming import alert_once as AO
+    root = tempfile.mkdtemp(prefix="metercast-once-")
+    src, states, out = (os.path.join(root, x) for x in ("feed", "states", "alerts"))
+    from datetime import datetime
+    schema = "start_time timestamp_ntz, service_type string, credits_used double"
+    limits = spark.createDataFrame([("a", "daily", 3.0, True), ("b", "daily", 9.0, True), ("off", "daily", 1.0, False)],
+                                   "profile string, period string, `limit` double, enabled boolean")
+
+    def feed(*credits):
+        spark.createDataFrame([(datetime(2024, 1, d, 5), "AI_SERVICES", c) for d, c in credits], schema) \
+            .coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        monitor = BM.start_budget_monitor(stream, limits, states, checkpoint_location=os.path.join(root, "c1"),
+                                          trigger={"availableNow": True})
+        assert monitor.awaitTermination(60) and monitor.exception() is None
+        q = AO.start_first_alerts(states, spark, out, checkpoint_location=os.path.join(root, "c2"), keep="9 days", trigger={"availableNow": True})
+        assert q.awaitTermination(60) and q.exception() is None
+        return sorted((r.profile, r.window_start.day, r.used) for r in spark.read.parquet(out).collect())
+    feed((10, 2.0))                                    # below both limits
+    assert run() == []
+    feed((10, 2.0))                                    # over a's: fires
+    feed((10, 1.0))                                    # still over: nothing new
+    assert run() == [("a", 10, 4.0)]
+    feed((10, 5.0), (11, 4.5))                         # b's limit on the 10th, a's on the 11th; after a restart
+    want = [("a", 10, 4.0), ("a", 11, 4.5), ("b", 10, 10.0)]
+    assert run() == want
+    part = spark.read.parquet(states).where("batch_id = 1").drop("batch_id").coalesce(1)
+    part.write.mode("append").parquet(os.path.join(states, "batch_id=1"))  # a replayed batch's files come again
+    assert run() == want
+    feed((31, 1.0))                                    # 20 days on (keep: 9 days): the state of the 10th is dropped
+    assert run() == want
+    part.write.mode("append").parquet(os.path.join(states, "batch_id=1"))
+    assert run() == want                               # and its rows are late: nothing fires again
+    batch = AO.first_alerts(spark.read.parquet(states))
+    assert sorted((r.profile, r.window_start.day, r.used) for r in batch.collect()) == want
+
+
+def test_crossings_of_limits(spark):
+    from datetime import datetime
+    rows = [(datetime(2024, 1, 31, 3, 10), "AI_SERVICES", 2.0), (datetime(2024, 1, 31, 3, 50), "AI_SERVICES", 1.0),
+            (datetime(2024, 1, 31, 7), "AI_SERVICES", 0.5), (datetime(2024, 1, 31, 9), "AI_SERVICES", -3.0),
+            (datetime(2024, 2, 1, 1), "AI_SERVICES", 3.0), (datetime(2024, 2, 1, 2), "OTHER", 99.0), (None, "AI_SERVICES", 50.0)]
+    met = spark.createDataFrame(rows, "start_time timestamp_ntz, service_type string, credits_used double")
+    limits = spark.createDataFrame([("daily", 3.0, True), ("weekly", 3.4, True), ("monthly", 2.9, True), ("daily", 0.1, False)],
+                                   "period string, `limit` double, enabled boolean")
+    got = {(r.period, r.window_start.month, r.window_start.day): (r.crossed_at.day, r.crossed_at.hour, r.used)
+           for r in BM.limit_crossings(met, limits).collect()}
+    # exactly at the limit is no crossing; the correction at 9 does not take one back
+    assert got.pop(("daily", 1, 31)) == (31, 7, 3.5)
+    assert got.pop(("monthly", 1, 1)) == (31, 3, 3.0) and got.pop(("monthly", 2, 1)) == (1, 1, 3.0)
+    assert all(p == "weekly" and v == (31, 7, 3.5) for (p, *_), v in got.items()) and len(got) == 7
+    assert BM.limit_crossings(met.limit(0), limits).count() == 0
