@@ -10,6 +10,7 @@ from ..operators import containment, rollups as RO
 from ..operators import usage as U
 from ..operators.common import ts_literal
 from ..session import checkpoint_base
+from ..sources import nested_text
 from ..sources.result_cache import ResultCache, snapshot
 from ..sources.testdata import AS_OF_EVENTS, AS_OF_ORDERS
 from . import fixtures_sql as X
@@ -132,3 +133,24 @@ def q_benchmark_passages(spark, sf_dir):
     """Documents that hold a benchmark item's whole text (J6), by one automaton pass."""
     t = td(spark, sf_dir)
     return containment.containment_join(t.texts(), t.raw("benchmark"), "doc_id", "text", "item_id", "text")
+
+
+# -- S8 / S12 --------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+@register("nested_texts", f"""
+SELECT doc_id, 'meta.lang' AS path, lang AS text FROM documents WHERE lang IS NOT NULL
+UNION ALL SELECT doc_id, 'meta.source', source FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT doc_id, 'lines[].line', line FROM ({_LINES})
+UNION ALL SELECT doc_id, 'raw.source', source FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT doc_id, 'raw.lines[]', line FROM ({_LINES})""")
+def q_nested_texts(spark, sf_dir):
+    """Every text inside a struct, an array of structs and a VARIANT made from the documents' columns."""
+    lines = F.split("text", "\n")
+    docs = td(spark, sf_dir).texts().select(
+        "doc_id", F.struct("lang", "source").alias("meta"),
+        F.transform(lines, lambda x, i: F.struct(i.alias("no"), x.alias("line"))).alias("lines"),
+        F.parse_json(F.to_json(F.struct("source", lines.alias("lines")))).alias("raw"))
+    return nested_text.nested_texts(docs, "doc_id")
