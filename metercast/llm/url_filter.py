@@ -39,7 +39,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule text, its verdict) of the longest rule that fits, else nulls. Equally long ones: the first listed."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest ends up outermost
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):  # the longest, then the first, ends up outermost
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         text = F.when(fits, F.lit(h + p)).otherwise(text)
         verdict = F.when(fits, F.lit(v)).otherwise(verdict)

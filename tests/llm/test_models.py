@@ -266,3 +266,17 @@ def test_default_model_counts_and_uses_trigrams(make_docs):
     assert model.order >= 3 and len(model.levels) == model.order and model.levels[2].n > 0
     score = {r.doc_id: r.score for r in ngram_lm.score_texts(make_docs([(1, "a b c"), (2, "a b d")]), model).collect()}
     assert score[1] > score[2] + 0.5  # "b c" and "b d" are equally frequent: only the word before tells
+
+
+def test_of_equally_long_rules_the_first_listed_wins(spark):
+    from pyspark.sql import functions as F
+
+    from metercast.llm.url_filter import rule_columns
+    df = spark.createDataFrame([("a.com.x", "/"), ("b.a.com.x", "/yz")], "host string, path string")
+    rules = [("a.com.x", "/", "block"), ("com.x", "/yz", "allow"), ("com.x", "/", "allow")]
+    for order, want in ((rules, ["block", "block"]), ([rules[1], rules[0], rules[2]], ["block", "allow"]),
+                        ([("com.x", "/yz", "allow"), ("a.com.x", "", "block")], ["block", "allow"]),
+                        ([("a.com.x", "", "block"), ("com.x", "/y", "allow")], ["block", "block"]),
+                        ([("com.x", "/y", "allow"), ("a.com.x", "", "block")], ["block", "allow"])):
+        text, verdict = rule_columns(F.col("host"), F.col("path"), order)
+        assert [r[0] for r in df.select(verdict).collect()] == want, order
