@@ -14,8 +14,9 @@ alone: equal windows of different documents meet at the hash of their gram.
 2. Each block sends the byte segments around the shared grams (all windows that
    designate one, each distinct segment once, with its smallest document) to
    the shard; of a hot gram, each shared window is a segment of its own, in a
-   piece of the shard of its own hash. There a suffix array over the distinct segments, by
-   induced sorting, and its permuted common prefixes group the equal windows;
+   piece of the shard of its own hash. There a suffix array over the distinct segments that
+   have a window hash in common with others of their gram's, by induced sorting,
+   and its permuted common prefixes group the equal windows;
    the shard answers with the smallest document of each window.
 3. Each block marks the bytes of the windows that have a smaller document.
 
@@ -281,6 +282,22 @@ def shared_hashes(blocks: list[tuple], hot_segments: int = HOT_SEGMENTS) -> list
     return out
 
 
+def with_repeats(segments: list[bytes], length: int) -> np.ndarray:
+    """Of each segment: whether the hash of one of its windows comes twice or more. Equal windows have equal hashes, so
+    the others share no window."""
+    size = np.array([len(s) for s in segments], np.int64)
+    n = size - length + 1
+    first = np.repeat(np.cumsum(size) - size, n) + _inside(n)
+    segment = np.repeat(np.arange(len(size)), n)
+    h = gram_hashes(np.frombuffer(b"".join(segments), np.uint8), length)[first]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(size), bool)
+    out[segment[order[1:][same]]] = True
+    out[segment[order[:-1][same]]] = True
+    return out
+
+
 def window_owners(segments: list[bytes], low: np.ndarray, length: int) -> np.ndarray:
     """The smallest document of each window, segment after segment. ``low``: each segment's smallest document."""
     size = np.array([len(s) for s in segments], np.int64)
@@ -321,16 +338,20 @@ def answer_segments(blocks: list[tuple], length: int) -> list[tuple[int, bytes,
     order = np.argsort(gram, kind="stable")
     windows = np.array([len(s) - length + 1 for s in keys], np.int64)
     at = np.cumsum(windows) - windows
-    owners = np.repeat(low, windows)                # right for a gram with one segment: there is nothing to sort
+    # right for a gram with one segment, and for a segment without a repeated window: there is nothing to sort
+    owners = np.repeat(low, windows)
     pending: list[int] = []
     pending_bytes = 0
 
     def index() -> None:
         nonlocal pending, pending_bytes
-        if pending:
-            found = window_owners([keys[k] for k in pending], low[pending], length)
-            n = windows[pending]
-            place = np.repeat(at[pending], n) + _inside(n)
+        own = np.array(pending, np.int64)
+        if len(own):
+            own = own[with_repeats([keys[k] for k in pending], length)]
+        if len(own):
+            found = window_owners([keys[k] for k in own.tolist()], low[own], length)
+            n = windows[own]
+            place = np.repeat(at[own], n) + _inside(n)
             owners[place] = found
         pending, pending_bytes = [], 0
 
@@ -490,9 +511,7 @@ def _cut_block(x: Block, answers: list) -> dict:
         inside = _inside(n)
         earlier = owner[np.repeat(at, n) + inside] < np.repeat(doc, n)
         first = (np.repeat(start, n) + inside)[earlier]
-        edge = np.zeros(size + 1, np.int32)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + x.length, -1)
+        edge = np.bincount(first, minlength=size + 1) - np.bincount(first + x.length, minlength=size + 1)
         gone = np.cumsum(edge[:-1]) > 0
     out = {n: [] for n in ("doc_id", "n_bytes", "starts", "ends", "kept")}
     data = np.frombuffer(x.data, np.uint8)

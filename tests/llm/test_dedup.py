@@ -309,3 +309,15 @@ def test_rows_are_as_many_as_documents(make_docs):
     near = jaccard_join.near_duplicates(docs)
     assert Counter(r.component_id for r in near.collect())[0] == 200
     assert len(rows_of(suffix_dedup.removed_spans(docs))) == 201
+
+
+def test_segments_without_a_repeated_window_need_no_sort():
+    rng = np.random.default_rng(5)
+    shared = bytes(rng.integers(97, 101, 70, np.uint8))
+    segments = [bytes(rng.integers(97, 101, n, np.uint8)) for n in (50, 51, 60, 76)]
+    segments += [segments[2][:10] + shared[:55], shared[3:] + segments[3][:5], b"x" * 52, b"y" * 50]
+    windows = [{s[k:k + 50] for k in range(len(s) - 49)} for s in segments]
+    wanted = [any(s[k:k + 50] in w for j, w in enumerate(windows) if j != i for k in range(len(s) - 49))
+              or len(windows[i]) < len(s) - 49 for i, s in enumerate(segments)]
+    assert suffix_dedup.with_repeats(segments, 50).tolist() == wanted
+    assert sum(wanted) == 3
