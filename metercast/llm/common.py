@@ -135,13 +135,13 @@ def local_path(url: str) -> str:
 
 # -- blocks of texts: rows that ask shards of a key space and get their answers back by block id --------------------
 
-#: Texts are written in blocks of about this many bytes (a longer text is a block of its own).
+#: Texts are written in blocks of about this many bytes, or as many as an operator says (a longer text is a block of its own).
 BLOCK_BYTES = 2 << 20
 
 _BLOCKS = pa.schema([("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("n_bytes", pa.int64())])
 
 
-def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     ids, texts, size = [], [], 0
 
     def block() -> pa.RecordBatch:
@@ -151,7 +151,7 @@ def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, t in zip(b.column(0), b.column(1)):
             t = t.as_py()
-            if size and size + len(t) > BLOCK_BYTES:
+            if size and size + len(t) > block_bytes:
                 yield block()
                 ids, texts, size = [], [], 0
             ids.append(i.as_py())
@@ -161,9 +161,10 @@ def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def text_blocks(rows: DataFrame, folder: str) -> DataFrame:
+def text_blocks(rows: DataFrame, folder: str, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, data) rows, none of them null, written as (block, ids, sizes, data, n_bytes): compressed texts end to end."""
-    return written(rows.mapInArrow(_to_blocks, "ids binary, sizes binary, data binary, n_bytes long")
+    size = block_bytes or BLOCK_BYTES
+    return written(rows.mapInArrow(lambda batches: _to_blocks(batches, size), "ids binary, sizes binary, data binary, n_bytes long")
                    .withColumn("block", F.monotonically_increasing_id()), "blocks", folder)
 
 

@@ -5,7 +5,7 @@ document with a smaller id. Each window of that length has one designated
 gram (the smallest hash of its 24-byte grams), which depends on the window
 alone: equal windows of different documents meet at the hash of their gram.
 
-1. Documents are written in blocks of about 2 MB. Each block sends the hashes
+1. Documents are written in blocks of about 4 MB. Each block sends the hashes
    of its designated grams, each once, to the hash's shard; the shard answers
    with a bitmap of those that several documents hold, and of the hot ones
    among them: those with more than ``HOT_SEGMENTS`` segments, summed over the
@@ -39,8 +39,9 @@ from .suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 24
-#: Bytes of text for each shard of gram hashes.
-SHARD_BYTES = 8 << 20
+#: Bytes of text for each block, and for each shard of gram hashes. A block sends a row to every shard.
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 #: Segment bytes that are indexed by one suffix array; a gram's segments stay together.
 INDEX_BYTES = 512 << 10
 #: Segments of a gram, each block's distinct ones summed, beyond which its windows are dealt by their own hashes. (So
@@ -390,7 +391,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     rows = text_bytes(docs, id_col, text_col)
-    blocks = text_blocks(rows.where("doc_id IS NOT NULL"), folder)
+    blocks = text_blocks(rows.where("doc_id IS NOT NULL"), folder, BLOCK_BYTES)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
 
