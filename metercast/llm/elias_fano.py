@@ -69,7 +69,8 @@ class EliasFano:
 
     @classmethod
     def open(cls, folder: str, n: int, width: int) -> "EliasFano":
-        return cls(n, width, *(np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r") for name in cls.NAMES))
+        # plain arrays over the mapped files: slices of a memmap are costly
+        return cls(n, width, *(np.asarray(np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")) for name in cls.NAMES))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -99,14 +100,16 @@ class EliasFano:
         start = 64 * word + _select(~self.high[word], k - self.zeros[word]) + 1
         start[bucket == 0] = 0
         # ones from there on
-        count = np.zeros(len(x), np.int64)
-        at, live = start, np.arange(len(x))
-        while len(live):
-            off = (at & 63).astype(np.uint64)
-            w = self.high[at >> 6] >> off
+        off = start & 63
+        w = self.high[start >> 6] >> off.astype(np.uint64)
+        count = np.bitwise_count(w & ~(w + _ONE)).astype(np.int64)
+        live = np.flatnonzero(count == 64 - off)
+        at = start[live] + count[live]
+        while len(live):  # buckets that go on in the next word
+            w = self.high[at >> 6]
             run = np.bitwise_count(w & ~(w + _ONE)).astype(np.int64)
             count[live] += run
-            full = run == 64 - (at & 63)
+            full = run == 64
             live, at = live[full], (at + run)[full]
         lo = start - bucket
         hi = lo + count

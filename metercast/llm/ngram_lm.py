@@ -83,7 +83,7 @@ class Part:
             for name in ("counts", "codes", "backoff", "suffix"):
                 path = os.path.join(self.folder, f"{name}.npy")
                 if os.path.exists(path):
-                    found[name] = np.load(path, mmap_mode="r")
+                    found[name] = np.asarray(np.load(path, mmap_mode="r"))
         return found
 
 
@@ -156,18 +156,28 @@ class NgramModel:
         node, code = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint16)
         lv = self.levels[level - 1]
         real = np.flatnonzero((context >= 0) & (word >= 0))
-        for p, rows in _by_part(lv.part_of(context[real], word[real])) if lv.parts else ():
-            rows = real[rows]
+        if not lv.parts or not len(real):
+            return node, code
+        context, word, which = self._distinct(context[real], word[real])
+        found, told = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint16)
+        for p, rows in _by_part(lv.part_of(context, word)):
             part = lv.parts[p]
-            inside = (context[rows] >= part.first) & (context[rows] < part.stop)
-            rows = rows[inside]
+            rows = rows[(context[rows] >= part.first) & (context[rows] < part.stop)]
             data = part.open(cache)
             at = data["keys"].find(((context[rows] - part.first) << self.bits) | word[rows])
             hit = at >= 0
-            node[rows[hit]] = at[hit] + part.offset
-            code[rows[hit]] = data["codes"][at[hit]]
+            found[rows[hit]] = at[hit] + part.offset
+            told[rows[hit]] = data["codes"][at[hit]]
+        node[real], code[real] = found[which], told[which]
         return node, code
 
+    def _distinct(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs in order, and the place of each pair among them: each is looked up once, near the one before."""
+        if int(context.max()) >> (63 - self.bits):  # a pair is no 64-bit number
+            return context, word, np.arange(len(context))
+        key, which = np.unique((context << self.bits) | word, return_inverse=True)
+        return key >> self.bits, key & ((1 << self.bits) - 1), which
+
     def backoff(self, level: int, context: np.ndarray, cache: dict) -> np.ndarray:
         """log10 of the weight that a context of ``level`` words leaves to shorter ones (0: unseen)."""
         out = np.zeros(len(context))
@@ -206,6 +216,19 @@ class NgramModel:
         return self.node_values(level, node, "suffix", cache, missing=-1)
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first look-up; ``new``: words since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Worker:
     """Words and open parts of one worker process."""
 
@@ -215,28 +238,25 @@ class Worker:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number or -1, count, tokens of each text): the words of each text, then the end."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        rows = [t.lower().split() for t in texts]
-        new: set[bytes] = set()
-        for r in rows:
-            r.append(_END)
-            new |= set(r).difference(self.index)
-        if new:
-            words = list(new)
-            ids, counts = self.model.word_ids(np.array([word_hash(w) for w in words], np.int64), self.parts)
-            self.index.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        index, flat, sizes = self.index, array("q"), []
+        for t in texts:
+            words = t.lower().split()
+            words.append(_END)
+            flat.extend(map(index.__getitem__, words))
+            sizes.append(len(words))
+        if index.new:
+            ids, counts = self.model.word_ids(np.array([word_hash(w) for w in index.new], np.int64), self.parts)
+            index.new = []
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        flat = array("q")
-        for r in rows:
-            flat.extend(map(self.index.__getitem__, r))
         at = np.array(flat)
-        return self.ids[at], self.counts[at], np.array([len(r) for r in rows], np.int64)
+        return self.ids[at], self.counts[at], np.array(sizes, np.int64)
 
     def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The word before each token; before the first, the number after the last word's."""
