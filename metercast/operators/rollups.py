@@ -16,13 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..session import task_sizes
 from ..sources.daily_table import DAY, DailyTable
 from . import budget, usage as U
-from .common import LOG_DATE, _as_str, credit_e8, model_label, ts_literal
+from .common import LOG_DATE, _as_str, credit_e8, dimension, model_label, ts_literal
 
 #: Sketches of 2^12 registers: a standard error of 1.04 / 2^6, that is 1.6 %, in some 2 KB for each day and group.
 SKETCH_LG = 12
 
+#: Compressed bytes that a task of the upkeep reads from a shuffle, and from the written sums. Its sort of calls and its
+#: table of groups, which are about as many as the calls, take some ten times that and stay in memory.
+SHUFFLE_BYTES = 24 << 20
+SPLIT_BYTES = 8 << 20
+#: Late queries whose ids are sent to every scan of the calls (and 8 MB of them at most, see ``dimension``).
+FEW_QUERIES = 400_000
+
 
 def _time(as_of) -> datetime:
     return datetime.fromisoformat(_as_str(as_of).strip())
@@ -75,6 +83,13 @@ class UsageRollups:
         return usage.join(h, "query_id").select(DAY, "model_name", "function_name", "user_name", "tokens",
                                                 credit_e8(usage, "token_credits").alias("credits_e8"))
 
+    @staticmethod
+    def calls_of(usage: DataFrame, history: DataFrame) -> DataFrame:
+        """The usage rows that ``history`` may have, picked in the scan if its query ids are proven few, else all rows."""
+        ids = history.select("query_id").distinct()
+        few = dimension(ids, FEW_QUERIES)
+        return usage if few is ids else usage.join(few, "query_id", "left_semi")
+
     @staticmethod
     def partial_sums(calls: DataFrame) -> DataFrame:
         return calls.groupBy(DAY, "model_name", "function_name", "user_name").agg(
@@ -92,8 +107,10 @@ class UsageRollups:
         ``usage`` and ``history`` are the whole logs, the new rows included. A
         late call touches the day of its query, a late query its own day;
         without new rows all days are computed. Doing it twice changes nothing.
+        The logs are joined once: a day's users are those of its sums.
         """
-        if new_usage is None and new_history is None:
+        every = new_usage is None and new_history is None
+        if every:
             days = _days_of(history) | set(self.sums.days())
         else:
             days = _days_of(new_history) if new_history is not None else set()
@@ -101,10 +118,11 @@ class UsageRollups:
                 ids = new_usage.select("query_id").distinct()
                 days |= _days_of(history.join(ids, "query_id", "left_semi"))
         if days:
-            calls = self.calls(usage, _on_days(history, sorted(days)))
-            sums, sketches = self.partial_sums(calls), self.partial_sketches(calls)
-            self.sums.replace(days, sums)
-            self.sketches.replace(days, sketches)
+            touched = _on_days(history, sorted(days))
+            with task_sizes(self.sums.spark, SHUFFLE_BYTES):
+                self.sums.replace(days, self.partial_sums(self.calls(usage if every else self.calls_of(usage, touched), touched)))
+            with task_sizes(self.sums.spark, SHUFFLE_BYTES, SPLIT_BYTES):
+                self.sketches.replace(days, self.partial_sketches(self.sums.read(min(days), max(days))))
         return days
 
     # -- answers ----------------------------------------------------------------

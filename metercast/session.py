@@ -8,6 +8,7 @@ session and only filled in when they are unset (local tests).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -127,6 +128,23 @@ def tune_for_input(spark: SparkSession, input_bytes: int, split_bytes: int = 256
     return n
 
 
+@contextlib.contextmanager
+def task_sizes(spark: SparkSession, shuffle_bytes: int, split_bytes: int | None = None):
+    """While it lasts, adaptive execution merges shuffle partitions up to ``shuffle_bytes`` and scans read at most
+    ``split_bytes`` per task, for jobs whose sorts and hash tables are several times their compressed input. Smaller
+    settings of the session stay."""
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    wanted = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": shuffle_bytes, "spark.sql.files.maxPartitionBytes": split_bytes}
+    old = {k: spark.conf.get(k) for k, v in wanted.items() if v}
+    try:
+        for k, v in old.items():
+            spark.conf.set(k, str(min(int(wanted[k]), as_bytes(v))))
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metercast.operators import budget, rollups, usage
+from metercast.session import task_sizes
 from metercast.sources import daily_table
 from metercast.sources.catalog import local_frame
 from metercast.sources.daily_table import DailyTable
@@ -189,6 +190,47 @@ def test_only_touched_days_are_replaced(spark, tmp_path):
     assert own.model_analysis(u2, h, AS_OF, 30).collect() == usage.model_analysis(u2, h, AS_OF, 30).collect()
 
 
+def test_upkeep_joins_the_logs_once(spark, tmp_path):
+    calls, queries = logs(4)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    u = spark.createDataFrame(calls, _CALL).mapInArrow(count, _CALL)
+    h = spark.createDataFrame(queries, _QUERY)
+    own = rollups.UsageRollups(spark, f"{tmp_path}/r")
+    own.apply(u, h)
+    assert read.value == len(calls)  # sums and sketches from one pass
+    own.apply(u, h, new_history=h.where("query_id IN (402, 404)"))
+    assert read.value == 2 * len(calls)
+    exact = {r.model_name: r.users for r in usage.distinct_users(u, h, AS_OF, 30).collect()}
+    near = {r.model_name: r.users for r in own.distinct_users(u, h, AS_OF, 30).collect()}
+    assert exact.keys() == near.keys() and all(abs(near[m] - n) <= max(1, 0.065 * n) for m, n in exact.items())
+
+
+def test_calls_of_few_late_queries_are_picked_in_the_scan(spark, monkeypatch):
+    calls, queries = logs(5)
+    u, h = spark.createDataFrame(calls, _CALL), spark.createDataFrame(queries, _QUERY).where("query_id > 400")
+    own = rollups.UsageRollups
+    few = own.calls_of(u, h)
+    assert few.count() == u.where("query_id IN (401, 402, 403, 404)").count() < u.count()
+    assert sorted(own.calls(few, h).collect(), key=str) == sorted(own.calls(u, h).collect(), key=str)
+    monkeypatch.setattr(rollups, "FEW_QUERIES", 3)
+    assert own.calls_of(u, h) is u
+
+
+def test_task_sizes_end_with_their_block(spark):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    now = lambda: [spark.conf.get(n) for n in names]
+    old = now()
+    with pytest.raises(KeyError), task_sizes(spark, 24 << 20, 1 << 40):
+        assert now()[0] == str(24 << 20) and int(now()[1]) == 128 << 20  # the session's own is smaller
+        raise KeyError
+    assert now() == old
+
+
 def test_sketches_of_many_users(spark, tmp_path):
     n = 60_000
     u = spark.range(n).selectExpr("id AS query_id", "'COMPLETE' AS function_name", "concat('m', id % 2) AS model_name", "1L AS tokens",
