@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def joined(ids: Iterable[bytes | bool]) -> bytes | None:
+    """The chunks' ids end to end; None if a chunk has none of its own (False)."""
+    try:
+        return b"".join(ids)
+    except TypeError:
+        return None
+
+
 class WordEncoder:
     """Byte-level BPE ids of whole texts, from remembered words.
 
@@ -121,15 +130,13 @@ class WordEncoder:
             self.marks = {"": b""}
         # a line feed before the text, whose id is dropped again, makes its first chunk one like the others
         rows = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        new = set()
-        for r in rows:
-            new |= set(r).difference(self.cache)
+        new = set().union(*rows).difference(self.cache)  # a group's chunks, each looked up once
         if new:
             self._learn(new)
         get, out = self.cache.__getitem__, []
         for t, r in zip(texts, rows):
-            ids = list(map(get, r))
-            out.append(b"".join(ids)[4:] if False not in ids else self._encode([t])[0])
+            ids = joined(map(get, r))
+            out.append(ids[4:] if ids is not None else self._encode([t])[0])
         return out
 
 

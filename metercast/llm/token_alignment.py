@@ -115,18 +115,16 @@ class PairEncoder(packing.WordEncoder):
             self.marks = {"": b""}
         rows = [(" " + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if self.cuts:
-            new = set()
-            for r in rows:
-                new |= set(r).difference(self.cache)
+            new = set().union(*rows).difference(self.cache)  # a group's chunks, each looked up once
             if new:
                 self._learn(new)
         get, other, out_a, out_b = self.cache.get, self.other.__getitem__, [], []
         for t, r in zip(texts, rows):
-            ids = list(map(get, r)) if self.cuts else [False]
+            ids = packing.joined(map(get, r)) if self.cuts else None
             if not t:
                 a = b = b""
-            elif False not in ids:
-                a, b = b"".join(ids), b"".join(map(other, r))
+            elif ids is not None:
+                a, b = ids, b"".join(map(other, r))
             else:
                 a, b = self._encode([" " + t])[0], array("I", self._pieces([t])[0]).tobytes()
                 wanted = (" " + t).encode()

@@ -149,3 +149,14 @@ def test_query_and_stage_encode_by_the_library_default(spark, make_docs, tmp_pat
     library = Tokenizer.from_file(packing.tokenizer_path())
     check_packing(QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect(), rows, library)
     check_packing(dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, str(tmp_path)).collect(), rows, library)
+
+
+def test_chunks_without_ids_of_their_own_send_only_their_text_to_the_library():
+    assert packing.joined([b"ab", b"", b"c"]) == b"abc" and packing.joined([]) == b""
+    assert packing.joined([b"ab", False, b"c"]) is None
+    enc = packing.WordEncoder(packing.tokenizer_path())
+    texts = ["one two, three", "", "a  b", " ", "\n\n", "one\ttwo three", "three\n one", "one two, three"] * 2
+    whole, asked = enc._encode, []
+    enc._encode = lambda t: asked.append(list(t)) or whole(t)
+    assert enc.encode(texts) == whole(texts)
+    assert ["a  b"] in asked and not any("one two, three" in x for x in asked)
