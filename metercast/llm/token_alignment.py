@@ -1,10 +1,13 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes, and which pairs do so corpus-wide.
 
-Every text is tokenised whole by both libraries. Ends of tokens that both
-sides share and that a space-marked token follows on both sides are anchors;
-they split a document into windows of token ids. A window is aligned once and
-remembered by its ids: byte offsets where tokens of both sides end cut it into
-groups, and a group links each of its A tokens with each of its B tokens.
+A window is a piece of text whose both ends are ends of tokens on both sides:
+byte offsets where tokens of both sides end cut it into groups, and a group
+links each of its A tokens with each of its B tokens. Texts are cut before
+spaces and line feeds; a chunk that both libraries encode on its own is a
+window, aligned once, many new ones at a time, and remembered by its text. A
+text with another chunk is tokenised whole by both libraries; there, ends of
+tokens that both sides share and that a space-marked token follows on both
+sides cut it into windows, remembered by their ids.
 
 Documents are worked on in blocks of some MB of text. A block asks for the
 document count of each of its distinct id pairs once, and the answers come
@@ -32,8 +35,10 @@ from .common import claim_memory, pack_numbers, unpack_numbers, work_dir, writte
 BLOCK_BYTES = 12 << 20
 #: Tokens of about so many bytes of text are arrays at once.
 CHUNK_BYTES = 2 << 20
-#: Remembered windows and words; a worker starts afresh beyond them (memory only, results don't depend on it).
-CACHE_WINDOWS, CACHE_WORDS = 300_000, 700_000
+#: New chunks that are encoded as one text, at first and where that is not its bytes.
+JOINED = (200, 20, 1)
+#: Remembered windows; a worker starts afresh beyond them (memory only, results don't depend on it).
+CACHE_WINDOWS = 500_000
 
 
 # -- vocabularies ----------------------------------------------------------------
@@ -70,8 +75,18 @@ class Tokens:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
 
+def _by_owner(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the first n[0] values, of the next n[1], and so on."""
+    return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[np.concatenate(([0], np.cumsum(n)))])
+
+
+def _inside(n: np.ndarray) -> np.ndarray:
+    """0, 1, .. n[0] - 1, 0, 1, .. n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class PairEncoder(packing.WordEncoder):
-    """Ids of whole texts by both libraries, from remembered words.
+    """Ids by both libraries, of chunks and of whole texts.
 
     As for the byte-level side, a text is cut before single spaces and line
     feeds. The pieces of the other side never go on across such a cut if none
@@ -79,12 +94,11 @@ class PairEncoder(packing.WordEncoder):
     each text is encoded whole.
     """
 
-    def __init__(self, a_path: str, b_path: str, cache_words: int):
-        super().__init__(a_path, cache_words)
+    def __init__(self, a_path: str, b_path: str):
+        super().__init__(a_path)
         import sentencepiece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = Tokens(a_bytes(self.tok)), Tokens(b_bytes(self.pieces))
-        self.other: dict[str, bytes] = {}
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.cuts = not any("\n" in x or "▁" in x.lstrip("▁") for x in names)
         self.space = self.pieces.piece_to_id("▁")
@@ -92,47 +106,60 @@ class PairEncoder(packing.WordEncoder):
     def _pieces(self, texts: list[str]) -> list[list[int]]:
         return self.pieces.encode(texts, num_threads=1)
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember new chunks; False where a side's ids alone are not the chunk's bytes."""
-        super()._learn(chunks)
-        known = [c for c in chunks if self.cache[c] is not False]
-        table_a, table_b = self.a.table, self.b.table
-        for c, ids in zip(known, self._pieces(known)):
-            wanted = (c if c[0] == "\n" else " " + c).encode()
-            if c[0] == "\n":  # the library's space before it goes
-                ids = ids[1:] if ids[:1] == [self.space] else []
-            if b"".join([table_b[i] for i in ids]) == wanted == b"".join([table_a[i] for i in memoryview(self.cache[c]).cast("I")]):
-                self.other[c] = array("I", ids).tobytes()
-            else:
-                self.cache[c] = False
-
-    def encode_both(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        return (" " + text).replace("\n", " \n").split(" ")[1:]
+
+    def encode_chunks(self, chunks: set[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """The chunks whose ids are their bytes on both sides, and of either side: their ids end to end, how many each has.
+
+        ``JOINED`` chunks are one text, cut again at their bytes; the chunks of a text that is not its bytes, or has no
+        token end at a cut, are encoded in shorter texts, at last one by one.
+        """
+        own = []
+        for c in chunks:
+            rest = c[1:] if c[:1] == "\n" else c
+            if rest and not rest[0].isspace() and not rest[-1].isspace():  # beside white space: the text is encoded whole
+                own.append(c if c[0] == "\n" else " " + c)
+        found = []
+        for n in JOINED:
+            found.append(self._checked([["a", *own[k:k + n]] for k in range(0, len(own), n)]))
+            done = set(found[-1][0])
+            own = [c for c in own if c not in done]
+        known = [c.removeprefix(" ") for names, _ in found for c in names]
+        return known, [tuple(map(np.concatenate, zip(*(sides[k] for _, sides in found)))) for k in (0, 1)]
+
+    def _checked(self, groups: list[list[str]]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """As ``encode_chunks``, of groups' chunks but the first, a word that keeps a side's space before the text from
+        the second; without groups that are not their bytes."""
+        texts = ["".join(g) for g in groups]
+        wanted = [(" " + t).encode() for t in texts]
+        size = np.array([len(w) for w in wanted], np.int64)
+        sides = [[np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
+                 [np.array(ids, np.int64) for ids in self._pieces(texts)]]
+        good = np.ones(len(groups), bool)
+        ends = [np.cumsum([len(c.encode()) for c in g]) + 1 for g in groups]
+        cuts = []
+        for v, side in zip((self.a, self.b), sides):
+            for k, ids in enumerate(side):
+                end = np.cumsum(v.size[ids], dtype=np.int64)
+                at = np.searchsorted(end, ends[k])
+                good[k] &= len(end) and end[-1] == size[k] and bool((end[at] == ends[k]).all()) and v.joined(ids) == wanted[k]
+                cuts.append(at + 1)
+        keep = np.flatnonzero(good).tolist()
+        out = []
+        for side, own in zip(sides, (cuts[:len(groups)], cuts[len(groups):])):
+            out.append((np.concatenate([np.zeros(0, np.int64), *(side[k][own[k][0]:] for k in keep)]),
+                        np.concatenate([np.zeros(0, np.int64), *(np.diff(own[k]) for k in keep)])))
+        return [c for k in keep for c in groups[k][1:]], out
+
+    def encode_whole(self, text: str) -> tuple[bytes, bytes]:
         """Ids of space + text by A and of the text by B; both empty where a side's bytes are not those of space + text."""
-        if len(self.cache) + len(self.words) > self.cache_words:
-            self.cache.clear()
-            self.words.clear()
-            self.other.clear()
-            self.marks = {"": b""}
-        rows = [(" " + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        if self.cuts:
-            new = set().union(*rows).difference(self.cache)  # a group's chunks, each looked up once
-            if new:
-                self._learn(new)
-        get, other, out_a, out_b = self.cache.get, self.other.__getitem__, [], []
-        for t, r in zip(texts, rows):
-            ids = packing.joined(map(get, r)) if self.cuts else None
-            if not t:
-                a = b = b""
-            elif ids is not None:
-                a, b = ids, b"".join(map(other, r))
-            else:
-                a, b = self._encode([" " + t])[0], array("I", self._pieces([t])[0]).tobytes()
-                wanted = (" " + t).encode()
-                if any(v.joined(np.frombuffer(x, "<u4")) != wanted for v, x in ((self.a, a), (self.b, b))):
-                    a = b = b""
-            out_a.append(a)
-            out_b.append(b)
-        return out_a, out_b
+        a, b = self._encode([" " + text])[0], array("I", self._pieces([text])[0]).tobytes()
+        wanted = (" " + text).encode()
+        if any(v.joined(np.frombuffer(x, "<u4")) != wanted for v, x in ((self.a, a), (self.b, b))):
+            return b"", b""
+        return a, b
 
 
 # -- windows ---------------------------------------------------------------------
@@ -179,41 +206,124 @@ _BETWEEN = b"\xff" * 4
 
 
 class Aligner:
-    """Aligns texts and remembers windows by their ids."""
+    """Aligns texts and remembers windows: chunks by their text, others by their ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.words = PairEncoder(a_path, b_path, CACHE_WORDS)
+        self.words = PairEncoder(a_path, b_path)
         self.a, self.b = self.words.a, self.words.b
         self.size_a, self.size_b = self.a.size.tolist(), self.b.size.tolist()
+        # ids as text with what comes after them: A's inside and at the end of its part of a group, B's likewise
+        n_a, n_b = len(self.size_a), len(self.size_b)
+        self.names = [f"{k}{mark}" for n, mark in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")) for k in range(n)]
+        self.name_size = np.array([len(x) for x in self.names], np.int64)
+        self.name_of = (np.array([0, n_a]), np.array([2 * n_a, 2 * n_a + n_b]))
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes | str, int] = {}
+        self.apart: set[str] = set()  # chunks that are not encoded on their own
         self.texts: list[str] = []
-        self.groups, self.links = array("q"), array("q")
-        self.first, self.pair, self.times = array("q", [0]), array("Q"), array("q")  # windows' pairs, end to end
+        self.n_a, self.n_b, self.groups, self.links = (array("i") for _ in range(4))
+        self.first, self.pair, self.times = array("q", [0]), array("Q"), array("i")  # windows' pairs, end to end
+
+    def _remember(self, key: bytes | str, a: list[int], b: list[int]) -> int:
+        text, groups, links, pairs = align_window(a, b, self.size_a, self.size_b)
+        n = self.number[key] = len(self.texts)
+        self.texts.append(text)
+        for own, value in zip((self.n_a, self.n_b, self.groups, self.links), (len(a), len(b), groups, links)):
+            own.append(value)
+        self.pair.extend([x << 32 | y for x, y, _ in pairs])
+        self.times.extend([times for _, _, times in pairs])
+        self.first.append(len(self.pair))
+        return n
 
     def window(self, a: bytes, b: bytes) -> int:
         key = a + _BETWEEN + b
         n = self.number.get(key)
         if n is None:
-            text, groups, links, pairs = align_window(memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist(),
-                                                      self.size_a, self.size_b)
-            n = self.number[key] = len(self.texts)
-            self.texts.append(text)
-            self.groups.append(groups)
-            self.links.append(links)
-            self.pair.extend([x << 32 | y for x, y, _ in pairs])
-            self.times.extend([times for _, _, times in pairs])
-            self.first.append(len(self.pair))
+            n = self._remember(key, memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist())
         return n
 
+    def learn(self, chunks: set[str]) -> None:
+        """Align new chunks, all at once."""
+        known, ((a, n_a), (b, n_b)) = self.words.encode_chunks(chunks)
+        self.apart |= chunks.difference(known)
+        if not known:
+            return
+        end_a, end_b = np.cumsum(self.a.size[a], dtype=np.int64), np.cumsum(self.b.size[b], dtype=np.int64)
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)  # of each group
+        last_b = at[last_a]
+        in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        owner = np.searchsorted(np.cumsum(n_a), last_a, side="right")
+        if (in_a * in_b).max() >= 64:  # many tokens: one at a time
+            many = np.zeros(len(known), bool)
+            many[owner[in_a * in_b >= 64]] = True
+            stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+            for k in np.flatnonzero(many).tolist():
+                self._remember(known[k], a[stop_a[k] - n_a[k]:stop_a[k]].tolist(), b[stop_b[k] - n_b[k]:stop_b[k]].tolist())
+            known = [c for c, m in zip(known, many.tolist()) if not m]
+            if not known:
+                return
+            a, b, rest = a[np.repeat(~many, n_a)], b[np.repeat(~many, n_b)], ~many[owner]
+            n_a, n_b, in_a, in_b = n_a[~many], n_b[~many], in_a[rest], in_b[rest]
+            owner = (np.cumsum(~many) - 1)[owner[rest]]
+            last_a, last_b = np.cumsum(in_a) - 1, np.cumsum(in_b) - 1
+        # groups as text: A's ids of the first group, B's, A's of the next
+        names = np.empty(len(a) + len(b), np.int64)
+        for ids, last, place, (more, end) in ((a, last_a, np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a), self.name_of[0]),
+                                              (b, last_b, np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b), self.name_of[1])):
+            code = ids + more
+            code[last] += end - more
+            names[place] = code
+        text = "".join(map(self.names.__getitem__, names.tolist()))
+        ends = np.cumsum(_by_owner(self.name_size[names], n_a + n_b)).tolist()
+        n = len(self.texts)
+        self.texts += [text[p:q - 1] for p, q in zip([0, *ends], ends)]
+        links = in_a * in_b
+        for own, values in zip((self.n_a, self.n_b, self.groups, self.links),
+                               (n_a, n_b, np.bincount(owner, minlength=len(known)), np.bincount(owner, links, len(known)))):
+            own.frombytes(values.astype(np.int32).tobytes())
+        # a group's pairs: each of A's with each of B's
+        inside, width = _inside(links), np.repeat(in_b, links)
+        x = a[np.repeat(last_a + 1 - in_a, links) + inside // width].astype(np.uint64)
+        y = b[np.repeat(last_b + 1 - in_b, links) + inside % width].astype(np.uint64)
+        before = len(self.pair)
+        self.pair.frombytes((x << np.uint64(32) | y).tobytes())
+        self.times.frombytes(np.ones(len(x), np.int32).tobytes())
+        self.first.frombytes((before + np.cumsum(np.bincount(owner, links, len(known)).astype(np.int64))).tobytes())
+        self.number.update(zip(known, range(n, n + len(known))))
+
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, windows of each text, numbers of all windows)."""
-        a, b = ([np.frombuffer(x, "<u4") for x in side] for side in self.words.encode_both(texts))
-        n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        own: list[np.ndarray | None] = [None] * len(texts)
+        if self.words.cuts:
+            rows = [self.words.chunks(t) if t else [] for t in texts]
+            new = set().union(*rows).difference(self.number, self.apart)
+            if new:
+                self.learn(new)
+            get = self.number.__getitem__
+            for k, r in enumerate(rows):
+                try:
+                    own[k] = np.array(array("q", map(get, r)))
+                except KeyError:  # a chunk that is not encoded on its own
+                    pass
+        rest = [k for k, x in enumerate(own) if x is None]
+        if rest:
+            for k, x in zip(rest, self._align_whole([texts[k] for k in rest])):
+                own[k] = x
+        n_windows = np.array([len(x) for x in own], np.int64)
+        numbers = np.concatenate(own) if own else np.zeros(0, np.int64)
+        n_a, n_b = (_by_owner(np.frombuffer(x, np.int32)[numbers], n_windows) if len(numbers) else np.zeros(len(texts), np.int64)
+                    for x in (self.n_a, self.n_b))
+        return n_a, n_b, n_windows, numbers
+
+    def _align_whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's windows, from the ids of the whole text."""
+        a, b = ([np.frombuffer(x, "<u4") for x in side] for side in zip(*(self.words.encode_whole(t) if t else (b"", b"") for t in texts)))
+        n_a = np.array([len(x) for x in a], np.int64)
         if not n_a.sum():
-            return n_a, n_b, np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+            return [np.zeros(0, np.int64)] * len(texts)
         ids_a, ids_b = np.concatenate(a), np.concatenate(b)
         end_a, end_b = np.cumsum(self.a.size[ids_a], dtype=np.int64), np.cumsum(self.b.size[ids_b], dtype=np.int64)
         at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
@@ -225,7 +335,7 @@ class Aligner:
         stop_b = at[stop_a]
         start_a, start_b = np.concatenate(([0], stop_a[:-1] + 1)), np.concatenate(([0], stop_b[:-1] + 1))
         numbers = self._numbers(ids_a, ids_b, start_a, stop_a + 1, start_b, stop_b + 1)
-        return n_a, n_b, np.diff(np.searchsorted(stop_a, np.cumsum(n_a)), prepend=0), numbers
+        return np.split(numbers, np.searchsorted(stop_a, np.cumsum(n_a))[:-1])
 
     def _numbers(self, ids_a, ids_b, start_a, stop_a, start_b, stop_b) -> np.ndarray:
         """The number of each window: distinct ones are found by a hash, compared id by id, and looked up by their ids."""
@@ -270,11 +380,18 @@ _BLOCKS_DDL = ("ids binary, known binary, counts binary, digests binary, held bi
 
 
 def _sums(which: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers in order, and the sum of the values of each."""
-    order = np.argsort(which, kind="stable")
-    which = which[order]
-    first = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else which
-    return which[first], np.add.reduceat(values[order], first) if len(which) else values
+    """Distinct numbers in order, and the sum of the values of each. All are 0 or more."""
+    if not len(which):
+        return which, values
+    bits = int(values.max()).bit_length()
+    if int(which.max()) >> (63 - bits):
+        order = np.argsort(which, kind="stable")
+        which, values = which[order], values[order]
+    else:  # as one number: values are sorted much faster than places
+        both = np.sort(which << bits | values)
+        which, values = both >> bits, both & ((1 << bits) - 1)
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+    return which[first], np.add.reduceat(values, first)
 
 
 class _Block:
@@ -291,18 +408,18 @@ class _Block:
         own = self.own
         n_a, n_b, n_windows, numbers = own.align(texts)
         stop = np.cumsum(n_windows)
-        sums = [np.diff(np.concatenate(([0], np.cumsum(np.frombuffer(x, np.int64)[numbers])))[np.concatenate(([0], stop))])
-                for x in (own.groups, own.links)] if len(numbers) else [np.zeros(len(ids), np.int64)] * 2
+        sums = [_by_owner(np.frombuffer(x, np.int32)[numbers], n_windows) if len(numbers) else np.zeros(len(ids), np.int64)
+                for x in (own.groups, own.links)]
         self.counts.append(np.stack([n_a, n_b, *sums]))
         text, plain = own.texts, numbers.tolist()
         for p, q in zip((stop - n_windows).tolist(), stop.tolist()):
             self.digests.append(hashlib.sha256(";".join([text[k] for k in plain[p:q]]).encode()).hexdigest() if q > p else "")
         # a document's distinct windows
         doc = np.repeat(np.arange(len(ids)), n_windows) + len(self.ids)
-        key, times = _sums(doc << 32 | numbers, np.ones(len(numbers), np.int64))
-        self.doc.append(key >> 32)
-        self.window.append(key & 0xFFFFFFFF)
-        self.times.append(times)
+        key, times = np.unique(doc << 32 | numbers, return_counts=True)
+        self.doc.append((key >> 32).astype(np.int32))
+        self.window.append((key & 0xFFFFFFFF).astype(np.int32))
+        self.times.append(times.astype(np.int32))
         self.ids += ids
         self.size += sum(map(len, texts))
 
@@ -311,10 +428,18 @@ class _Block:
         doc, window, times = (np.concatenate(x) for x in (self.doc, self.window, self.times))
         first = np.frombuffer(own.first, np.int64)
         size = first[window + 1] - first[window]
+        # the block's distinct pairs, from those of its distinct windows
+        used = np.flatnonzero(np.bincount(window, minlength=len(own.texts)))
+        n = first[used + 1] - first[used]
+        place = np.repeat(first[used], n) + _inside(n)
+        pairs, number = np.unique(np.frombuffer(own.pair, np.uint64)[place], return_inverse=True)
+        number_at = np.zeros(len(own.pair), np.int32)
+        number_at[place] = number
         # one slice of a window's pairs for each document that holds it
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[window], size)
-        pairs, which = np.unique(np.frombuffer(own.pair, np.uint64)[place], return_inverse=True)
-        key, held = _sums(np.repeat(doc, size) << 32 | which, np.frombuffer(own.times, np.int64)[place] * np.repeat(times, size))
+        place = np.repeat(first[window], size) + _inside(size)
+        key, held = _sums(np.repeat(doc.astype(np.int64), size) << 32 | number_at[place],
+                          np.frombuffer(own.times, np.int32)[place] * np.repeat(times.astype(np.int64), size))
+        del place
         known = np.array([i is not None for i in self.ids], np.uint8)
         pair = (key & 0xFFFFFFFF).astype(np.int32)
         return pa.RecordBatch.from_pydict({

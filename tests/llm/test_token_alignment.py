@@ -93,6 +93,24 @@ def test_equal_hashes_of_different_windows(own, libraries, monkeypatch):
     assert len(own.number) == len(own.texts)
 
 
+def test_new_chunks_are_encoded_together(libraries, monkeypatch):
+    own, seen = token_alignment.Aligner(packing.tokenizer_path(), sentence_pieces.vocabulary_path()), []
+    plain = own.words._pieces
+    monkeypatch.setattr(own.words, "_pieces", lambda texts: seen.extend(texts) or plain(texts))
+    words = [f"wo{k:03}rd{'.,!'[k % 3]}" for k in range(900)]
+    texts = [" ".join(words[:500]), "\n".join(words[400:]), " ".join(words[:3] + ["x▁y", "|" * 90, "z\tz"] + words[-3:]), "x  y", ""]
+    n_a, n_b, n_windows, numbers = own.align(texts)
+    assert len(seen) < 100  # not each chunk by itself
+    start = 0
+    for t, a, b, n in zip(texts, n_a, n_b, n_windows):
+        g = brute_groups(t, libraries) or ([], [], [])
+        assert (a, b) == (len(g[0]), len(g[1]))
+        assert ";".join(own.texts[k] for k in numbers[start:start + n]) == ";".join(
+            f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in g[2])
+        start += n
+    assert [own.groups[k] for k in numbers[:n_windows[0]]] == [own.texts[k].count("|") for k in numbers[:n_windows[0]]]
+
+
 def test_a_group_of_many_tokens_is_counted_not_listed():
     text, groups, links, pairs = token_alignment.align_window([2] * 200 + [0], [0] + [2] * 200, [1, 2, 3], [1, 2, 3])
     assert (groups, links) == (1, 201 * 201)
