@@ -32,14 +32,15 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th (from 0) set bit of each word."""
-    word, k, place = word.copy(), k.copy(), np.zeros(len(word), np.int64)
+    k, place = k.astype(np.uint8), np.zeros(len(word), np.uint8)
     for half in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+        ones = np.bitwise_count(word & np.uint64((1 << half) - 1))
         up = k >= ones
-        k -= np.where(up, ones, 0)
-        place += np.where(up, half, 0)
-        word = np.where(up, word >> np.uint64(half), word)
-    return place
+        k -= ones * up
+        step = up * np.uint8(half)
+        place += step
+        word = word >> step
+    return place.astype(np.int64)
 
 
 class EliasFano:

@@ -24,11 +24,11 @@ import json
 import os
 import shutil
 import uuid
-from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +111,11 @@ class Level:
 
 def _by_part(where: np.ndarray):
     """(part, rows) of each part that has rows."""
-    order = np.argsort(where, kind="stable")
+    if (where[1:] >= where[:-1]).all():
+        order = np.arange(len(where))
+    else:
+        small = len(where) and 0 <= int(where.min()) and int(where.max()) < 1 << 16  # a radix sort
+        order = np.argsort(where.astype(np.uint16) if small else where, kind="stable")
     cuts = np.flatnonzero(np.diff(where[order])) + 1
     for rows in np.split(order, cuts) if len(order) else ():
         yield int(where[rows[0]]), rows
@@ -216,6 +220,20 @@ class NgramModel:
         return self.node_values(level, node, "suffix", cache, missing=-1)
 
 
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, place of each word among them, words of each text), A-Z lower-cased."""
+    data = pa.array(texts, pa.binary()).view(pa.string())  # only ASCII matters below
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(data))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not real.all():  # white space at a text's ends
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[real], minlength=len(texts))
+        words = words.filter(pa.array(real))
+    found = words.dictionary_encode()
+    return found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False), sizes
+
+
 class _Numbers(dict):
     """Numbers of words in the order of their first look-up; ``new``: words since it was emptied."""
 
@@ -245,18 +263,19 @@ class Worker:
         """(word number or -1, count, tokens of each text): the words of each text, then the end."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        index, flat, sizes = self.index, array("q"), []
-        for t in texts:
-            words = t.lower().split()
-            words.append(_END)
-            flat.extend(map(index.__getitem__, words))
-            sizes.append(len(words))
+        index = self.index
+        words, which, sizes = split_words(texts)
+        number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        sizes = sizes + 1
+        at = np.full(sizes.sum(), index[_END], np.int64)
+        inside = np.ones(len(at), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        at[inside] = number[which]
         if index.new:
             ids, counts = self.model.word_ids(np.array([word_hash(w) for w in index.new], np.int64), self.parts)
             index.new = []
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        at = np.array(flat)
-        return self.ids[at], self.counts[at], np.array(sizes, np.int64)
+        return self.ids[at], self.counts[at], sizes
 
     def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The word before each token; before the first, the number after the last word's."""
@@ -354,7 +373,7 @@ def _build(sent: DataFrame, build) -> list[dict]:
 
 def _texts_in(batches):
     for b in batches:
-        ends = np.cumsum([len(x) if x is not None else 0 for x in b.column(1).to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < b.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (4 << 20), side="right")))
@@ -376,9 +395,9 @@ def _vocabulary(rows: DataFrame, n_parts: int, folder: str, part_tokens: int) ->
             return _send([p for p, _ in own], [h[r] - (p << shift) for p, r in own], [n[r] for _, r in own])
         for texts in _texts_in(batches):
             get = seen.get
-            for t in texts:
-                for w in t.lower().split():
-                    seen[w] = get(w, 0) + 1
+            words, which, _ = split_words(texts)
+            for w, n in zip(words, np.bincount(which, minlength=len(words)).tolist()):
+                seen[w] = get(w, 0) + n
             seen[_END] = get(_END, 0) + len(texts)
             if len(seen) > CACHE_WORDS:
                 yield send()

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from metercast.llm import elias_fano, ngram_lm, quality_rules, toxicity, url_filter
@@ -280,3 +282,27 @@ def test_of_equally_long_rules_the_first_listed_wins(spark):
                         ([("com.x", "/y", "allow"), ("a.com.x", "", "block")], ["block", "allow"])):
         text, verdict = rule_columns(F.col("host"), F.col("path"), order)
         assert [r[0] for r in df.select(verdict).collect()] == want, order
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85\u00a0\u2003AaZÉé😀,"), max_size=30), max_size=8))
+def test_words_of_texts(texts):
+    texts = [t.encode() for t in texts]
+    words, which, sizes = ngram_lm.split_words(texts)
+    want = [t.lower().split() for t in texts]
+    assert [words[k] for k in which] == sum(want, []) and len(set(words)) == len(words)
+    assert sizes.tolist() == [len(x) for x in want]
+
+
+def test_a_repeated_word_is_looked_up_once():
+    class Counted(ngram_lm._Numbers):
+        looked_up = 0
+
+        def __getitem__(self, word):
+            Counted.looked_up += 1
+            return super().__getitem__(word)
+    worker = ngram_lm.Worker(ngram_lm.NgramModel(3))
+    worker.index = Counted()
+    ids, counts, sizes = worker.tokens([b"the the THE a " * 500, b"", b" a"])
+    assert sizes.tolist() == [2001, 1, 2] and (ids == -1).all() and not counts.any()
+    assert Counted.looked_up == 3  # the, a and the end
