@@ -116,6 +116,17 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, name: str, folder: str, col: str) -> DataFrame:
+    """As ``written``, in as many buckets of ``col`` as a shuffle has partitions: joins by it leave the frame where it is."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", f"{folder}/{name}")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), col).saveAsTable(table))
+    frame = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its name only: the files are the folder's
+    return frame
+
+
 def drop_tables(spark: SparkSession, folder: str, *names: str) -> None:
     """Delete tables that ``written`` made in an operator's own folder, once nothing reads them any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -161,11 +172,15 @@ def _to_blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[
         yield block()
 
 
-def text_blocks(rows: DataFrame, folder: str, block_bytes: int | None = None) -> DataFrame:
-    """(doc_id, data) rows, none of them null, written as (block, ids, sizes, data, n_bytes): compressed texts end to end."""
+def text_blocks(rows: DataFrame, folder: str, block_bytes: int | None = None, buckets: bool = False) -> DataFrame:
+    """(doc_id, data) rows, none of them null, written as (block, ids, sizes, data, n_bytes): compressed texts end to end.
+
+    ``buckets``: in buckets of ``block``, so that answers come to the blocks and the texts are not shuffled.
+    """
     size = block_bytes or BLOCK_BYTES
-    return written(rows.mapInArrow(lambda batches: _to_blocks(batches, size), "ids binary, sizes binary, data binary, n_bytes long")
-                   .withColumn("block", F.monotonically_increasing_id()), "blocks", folder)
+    blocks = (rows.mapInArrow(lambda batches: _to_blocks(batches, size), "ids binary, sizes binary, data binary, n_bytes long")
+              .withColumn("block", F.monotonically_increasing_id()))
+    return written_in_buckets(blocks, "blocks", folder, "block") if buckets else written(blocks, "blocks", folder)
 
 
 def join_answers(blocks: DataFrame, answers: DataFrame, *cols: str) -> DataFrame:

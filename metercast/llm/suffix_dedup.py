@@ -23,7 +23,8 @@ alone: equal windows of different documents meet at the hash of their gram.
 Segments at the edges of a shared passage reach into each document's own text
 and differ. A gram that isn't hot brings ``HOT_SEGMENTS`` of them to its shard
 at most; a window of a hot one brings one entry for each block, not one for
-each document. Questions and answers are joined by block id, which is unique.
+each document. Questions and answers are joined by block id, which is unique;
+blocks lie in buckets of it, so that their texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -391,7 +392,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     rows = text_bytes(docs, id_col, text_col)
-    blocks = text_blocks(rows.where("doc_id IS NOT NULL"), folder, BLOCK_BYTES)
+    blocks = text_blocks(rows.where("doc_id IS NOT NULL"), folder, BLOCK_BYTES, buckets=True)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
 
@@ -459,7 +460,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out["block"].append(b.column("block")[k].as_py())
                     out["hashes"].append(pack_numbers(np.diff(hashes[p:q], prepend=np.uint64(0))))
                     out["sizes"].append(pack_numbers(np.array([len(g) for g in segments[p:q]], np.int32)))
-                    out["data"].append(zstandard.compress(b"".join(segments[p:q]), 1))
+                    out["data"].append(zstandard.compress(b"".join(segments[p:q]), 6))
                     out["docs"].append(pack_numbers(low[p:q]))
                 yield pa.RecordBatch.from_pydict(out, schema=send)
 

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from metercast.llm import components, exact_dedup, jaccard_join, line_dedup, suffix_arrays, suffix_dedup
+from metercast.llm import common, components, exact_dedup, jaccard_join, line_dedup, suffix_arrays, suffix_dedup
 
 from ..conftest import SF_SMALL
 from .conftest import SENTENCE, rows_of
@@ -321,3 +322,21 @@ def test_segments_without_a_repeated_window_need_no_sort():
               or len(windows[i]) < len(s) - 49 for i, s in enumerate(segments)]
     assert suffix_dedup.with_repeats(segments, 50).tolist() == wanted
     assert sum(wanted) == 3
+
+
+def test_texts_of_blocks_are_not_shuffled(spark, make_docs):
+    folder, rows = common.work_dir(spark), [(k, f"text {k} " * 9) for k in range(40)]
+    blocks = common.text_blocks(common.text_bytes(make_docs(rows, 4)), folder, 200, buckets=True)
+    answers = common.written(blocks.select("block", F.lit(1).alias("shard"), F.lit(b"x").alias("bits")), "answers", folder)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = common.join_answers(blocks, answers, "bits")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        got = joined.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the answers
+    assert len(got) > 10 and all(len(r.answers) == 1 for r in got)
+    assert sum(r.n_bytes for r in got) == sum(len(t) for _, t in rows)
+    assert not any(t.name.startswith("blocks_") for t in spark.catalog.listTables())
