@@ -77,11 +77,30 @@ class EliasFano:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         at = i * self.width
-        word, off = at >> 6, (at & 63).astype(np.uint64)
-        out = self.low[word] >> off
+        word, off = at >> 6, (at & 63).view(np.uint64)
+        out = self.low.take(word) >> off
         # two shifts: by 64 - off, which may be 64
-        out |= (self.low[word + 1] << (np.uint64(63) - off)) << _ONE
-        return out & np.uint64((1 << self.width) - 1)
+        word += 1
+        out |= (self.low.take(word) << (np.uint64(63) - off)) << _ONE
+        out &= np.uint64((1 << self.width) - 1)
+        return out
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th (from 0) zero of the high bits."""
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        return 64 * word + _select(~self.high.take(word), k - self.zeros.take(word))
+
+    def _buckets(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first index, number of values) of each bucket of the universe: each ends in a zero."""
+        start = self._zero(np.maximum(bucket - 1, 0)) + 1
+        start[bucket == 0] = 0
+        off = start & 63
+        w = self.high.take(start >> 6) >> off.view(np.uint64)
+        count = np.bitwise_count(w & ~(w + _ONE)).astype(np.int64)
+        on = np.flatnonzero(count == 64 - off)  # they go on in the next word
+        if len(on):
+            count[on] = self._zero(bucket[on]) - start[on]
+        return start - bucket, count
 
     def values(self) -> np.ndarray:
         """The whole sequence."""
@@ -90,39 +109,29 @@ class EliasFano:
         return (upper << self.width) | self._low(np.arange(self.n)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1: its bucket by the pointers, then the successor of its low bits there."""
-        out = np.full(len(x), -1, np.int64)
-        if not self.n:
-            return out
+        """Index of each value, or -1: its bucket by the pointers, then the successor of its low bits there.
+
+        Values in order are found faster: those of one bucket share its pointers.
+        """
+        if not self.n or not len(x):
+            return np.full(len(x), -1, np.int64)
         bucket = x >> self.width
-        # the zero that ends the bucket before; it is there for all buckets of the universe
-        k = np.maximum(bucket - 1, 0)
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        start = 64 * word + _select(~self.high[word], k - self.zeros[word]) + 1
-        start[bucket == 0] = 0
-        # ones from there on
-        off = start & 63
-        w = self.high[start >> 6] >> off.astype(np.uint64)
-        count = np.bitwise_count(w & ~(w + _ONE)).astype(np.int64)
-        live = np.flatnonzero(count == 64 - off)
-        at = start[live] + count[live]
-        while len(live):  # buckets that go on in the next word
-            w = self.high[at >> 6]
-            run = np.bitwise_count(w & ~(w + _ONE)).astype(np.int64)
-            count[live] += run
-            full = run == 64
-            live, at = live[full], (at + run)[full]
-        lo = start - bucket
-        hi = lo + count
-        want = x.astype(np.uint64) & np.uint64((1 << self.width) - 1)
-        live = np.flatnonzero(count)
-        while len(live):  # successor search inside the bucket
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < want[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        live = np.flatnonzero((count > 0) & (lo < start - bucket + count))
-        hit = live[self._low(lo[live]) == want[live]]
-        out[hit] = lo[hit]
-        return out
+        fresh = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        if 2 * len(fresh) < len(x):
+            runs = np.diff(fresh, prepend=0, append=len(x))
+            at, count = (np.repeat(a, runs) for a in self._buckets(bucket[np.concatenate(([0], fresh))]))
+        else:
+            at, count = self._buckets(bucket)
+        want = (x & ((1 << self.width) - 1)).view(np.uint64)
+        live = np.flatnonzero(count > 1)
+        lo, left, low = at[live], count[live], want[live]
+        while len(live):  # successor search: half of the bucket's rest goes; a last value needs no search
+            half = left >> 1
+            mid = lo + half
+            lo = np.where(self._low(mid - 1) < low, mid, lo)
+            left -= half
+            more = left > 1
+            if 4 * np.count_nonzero(more) < 3 * len(live):
+                at[live] = lo
+                live, lo, left, low = live[more], lo[more], left[more], low[more]
+        return np.where((count > 0) & (self._low(at) == want), at, -1)

@@ -20,10 +20,12 @@ holds a line for each part.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import shutil
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,8 +62,9 @@ def _from_code(code: np.ndarray) -> np.ndarray:
     return code * -_STEP
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> (64 - _HASH_BITS)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (digests >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
 
 
 @dataclass
@@ -135,9 +138,9 @@ class NgramModel:
         """(number or -1, count or 0) of each word hash."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         if self.words:
-            level = self.levels[0]
-            for p, rows in _by_part(np.searchsorted(level.firsts, hashes, side="right") - 1):
-                part = level.parts[p]
+            level, order = self.levels[0], np.argsort(hashes)
+            for p, rows in _by_part(np.searchsorted(level.firsts, hashes[order], side="right") - 1):
+                part, rows = level.parts[p], order[rows]
                 data = part.open(cache)
                 at = data["keys"].find(hashes[rows] - part.first)
                 hit = at >= 0
@@ -164,21 +167,28 @@ class NgramModel:
             return node, code
         context, word, which = self._distinct(context[real], word[real])
         found, told = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint16)
-        for p, rows in _by_part(lv.part_of(context, word)):
-            part = lv.parts[p]
-            rows = rows[(context[rows] >= part.first) & (context[rows] < part.stop)]
+        where = lv.part_of(context, word)  # pairs and parts are in order
+        cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)])).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            part = lv.parts[int(where[a])]
+            a, b = a + np.searchsorted(context[a:b], (part.first, part.stop))
+            if a == b:
+                continue
             data = part.open(cache)
-            at = data["keys"].find(((context[rows] - part.first) << self.bits) | word[rows])
+            at = data["keys"].find(((context[a:b] - part.first) << self.bits) | word[a:b])
             hit = at >= 0
-            found[rows[hit]] = at[hit] + part.offset
-            told[rows[hit]] = data["codes"][at[hit]]
-        node[real], code[real] = found[which], told[which]
+            found[a:b] = np.where(hit, at + part.offset, -1)
+            told[a:b] = np.where(hit, data["codes"].take(at, mode="clip"), 0)
+        node[real], code[real] = found.take(which), told.take(which)
         return node, code
 
     def _distinct(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs in order, and the place of each pair among them: each is looked up once, near the one before."""
         if int(context.max()) >> (63 - self.bits):  # a pair is no 64-bit number
-            return context, word, np.arange(len(context))
+            order = np.lexsort((word, context))
+            which = np.empty(len(order), np.int64)
+            which[order] = np.arange(len(order))
+            return context[order], word[order], which
         key, which = np.unique((context << self.bits) | word, return_inverse=True)
         return key >> self.bits, key & ((1 << self.bits) - 1), which
 
@@ -234,17 +244,17 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray
     return found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False), sizes
 
 
-class _Numbers(dict):
-    """Numbers of words in the order of their first look-up; ``new``: words since it was emptied."""
+class _Numbers(defaultdict):
+    """Numbers of words in the order of their first look-up."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+        super().__init__(itertools.count().__next__)
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each of these distinct words, those that are new, in the order of their numbers)."""
+        known = len(self)
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return number, [words[k] for k in np.flatnonzero(number >= known).tolist()]
 
 
 class Worker:
@@ -265,15 +275,15 @@ class Worker:
             self.clear()
         index = self.index
         words, which, sizes = split_words(texts)
-        number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        words.append(_END)
+        number, new = index.numbers(words)
         sizes = sizes + 1
-        at = np.full(sizes.sum(), index[_END], np.int64)
+        at = np.full(sizes.sum(), number[-1], np.int64)
         inside = np.ones(len(at), bool)
         inside[np.cumsum(sizes) - 1] = False
         at[inside] = number[which]
-        if index.new:
-            ids, counts = self.model.word_ids(np.array([word_hash(w) for w in index.new], np.int64), self.parts)
-            index.new = []
+        if new:
+            ids, counts = self.model.word_ids(word_hashes(new), self.parts)
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
         return self.ids[at], self.counts[at], sizes
 
@@ -339,6 +349,17 @@ def _merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return k[first], np.add.reduceat(n, first)
 
 
+def _counted(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of each distinct pair, in order."""
+    if int(context.max()) >> (63 - bits):  # a pair is no 64-bit number
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        first = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        return context[first], word[first], np.diff(first, append=len(word))
+    key, n = np.unique((context << bits) | word, return_counts=True)
+    return key >> bits, key & ((1 << bits) - 1), n
+
+
 def _range_starts(counts: np.ndarray, part_tokens: int):
     """(first node, parts of it): ranges of nodes with about ``part_tokens`` counts; a node over that is cut by word."""
     hot = np.flatnonzero(counts > part_tokens)
@@ -385,24 +406,23 @@ def _vocabulary(rows: DataFrame, n_parts: int, folder: str, part_tokens: int) ->
     shift = _HASH_BITS - (n_parts - 1).bit_length()
 
     def count(batches):
-        seen: dict[bytes, int] = {}
+        index, counts = _Numbers(), np.zeros(0, np.int64)
 
         def send():
-            h = np.array([word_hash(w) for w in seen], np.int64)
+            h = word_hashes(list(index))  # in the order of their numbers
             order = np.argsort(h)
-            h, n = h[order], np.array(list(seen.values()), np.int64)[order]
+            h, n = h[order], counts[order]
             own = list(_by_part(h >> shift))
             return _send([p for p, _ in own], [h[r] - (p << shift) for p, r in own], [n[r] for _, r in own])
         for texts in _texts_in(batches):
-            get = seen.get
             words, which, _ = split_words(texts)
-            for w, n in zip(words, np.bincount(which, minlength=len(words)).tolist()):
-                seen[w] = get(w, 0) + n
-            seen[_END] = get(_END, 0) + len(texts)
-            if len(seen) > CACHE_WORDS:
+            number, new = index.numbers([*words, _END])
+            counts = np.concatenate([counts, np.zeros(len(new), np.int64)])
+            counts[number] += np.append(np.bincount(which, minlength=len(words)), len(texts))
+            if len(index) > CACHE_WORDS:
                 yield send()
-                seen.clear()
-        if seen:
+                index, counts = _Numbers(), np.zeros(0, np.int64)
+        if index:
             yield send()
 
     def build(part, keys, counts):
@@ -440,13 +460,9 @@ def _next_level(rows: DataFrame, model: NgramModel, ranges: list, nodes: int, fo
         held, size = [], 0
 
         def send():
-            c, w = (np.concatenate(x) for x in zip(*held))
-            out = ([], [], [])
-            for p, r in _by_part(frame.part_of(c, w)):
-                k, n = np.unique(((c[r] - parts[p].first) << bits) | w[r], return_counts=True)
-                for v, o in zip((p, k, n), out):
-                    o.append(v)
-            return _send(*out)
+            c, w, n = _counted(*(np.concatenate(x) for x in zip(*held)), bits)
+            own = list(_by_part(frame.part_of(c, w)))
+            return _send([p for p, _ in own], [((c[r] - parts[p].first) << bits) | w[r] for p, r in own], [n[r] for _, r in own])
         for texts in _texts_in(batches):
             ids, _, sizes = worker.tokens(texts)
             context = worker.contexts(ids, sizes)

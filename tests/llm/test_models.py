@@ -306,3 +306,50 @@ def test_a_repeated_word_is_looked_up_once():
     ids, counts, sizes = worker.tokens([b"the the THE a " * 500, b"", b" a"])
     assert sizes.tolist() == [2001, 1, 2] and (ids == -1).all() and not counts.any()
     assert Counted.looked_up == 3  # the, a and the end
+
+
+def test_elias_fano_reads_little(monkeypatch):
+    """Values of one bucket share its pointers, and a value alone in its bucket is compared once."""
+    selected, read = [], []
+    select, low = elias_fano._select, elias_fano.EliasFano._low
+    monkeypatch.setattr(elias_fano, "_select", lambda word, k: selected.append(len(k)) or select(word, k))
+    monkeypatch.setattr(elias_fano.EliasFano, "_low", lambda self, i: read.append(len(i)) or low(self, i))
+    hot = np.concatenate([np.arange(4000) * 3, 10**7 + np.arange(40) * 100_000])  # two full buckets, then sparse ones
+    ef = elias_fano.EliasFano.build(hot, 2 * 10**7)
+    assert ef.find(hot[:4000]).tolist() == list(range(4000)) and ef.find(hot[:4000] + 1).max() == -1
+    assert sum(selected) <= 4 * len(np.unique(hot[:4000] >> ef.width))  # before: one for each value
+    read.clear()
+    assert ef.find(hot[4000:]).tolist() == list(range(4000, 4040))
+    assert sum(read) == 40  # before: 80
+
+
+@settings(max_examples=100, deadline=None)
+@given(values=st.sets(st.one_of(st.integers(0, 300), st.integers(0, 2**40)), max_size=200),
+       ask=st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**40)), max_size=200))
+def test_elias_fano_finds_in_any_order(values, ask):
+    v = np.array(sorted(values), np.int64)
+    ef = elias_fano.EliasFano.build(v, 2**40 + 1)
+    place = {x: i for i, x in enumerate(v.tolist())}
+    for some in (ask, sorted(ask), sorted(values)[::-1], sorted(values) * 2):
+        assert ef.find(np.array(some, np.int64)).tolist() == [place.get(x, -1) for x in some]
+
+
+@pytest.mark.parametrize("bits,top", [(10, 1 << 40), (30, 1 << 40)])  # the second one's pairs are no 64-bit numbers
+def test_pairs_are_counted_and_told_apart(bits, top):
+    rng = np.random.default_rng(bits)
+    context = np.concatenate([rng.integers(0, 4, 300), top + rng.integers(0, 4, 300)])
+    word = rng.integers(0, 5, 600)
+    pairs = list(zip(context.tolist(), word.tolist()))
+    c, w, n = ngram_lm._counted(context, word, bits)
+    assert list(zip(zip(c.tolist(), w.tolist()), n.tolist())) == sorted(Counter(pairs).items())
+    c, w, which = ngram_lm.NgramModel(3, bits=bits)._distinct(context, word)
+    assert [(int(c[k]), int(w[k])) for k in which] == pairs
+    assert list(zip(c.tolist(), w.tolist())) == sorted(zip(c.tolist(), w.tolist()))
+
+
+def test_numbers_of_words():
+    index = ngram_lm._Numbers()
+    number, new = index.numbers([b"b", b"a", b" "])
+    assert number.tolist() == [0, 1, 2] and new == [b"b", b"a", b" "]
+    number, new = index.numbers([b"c", b"a", b"d", b" "])
+    assert number.tolist() == [3, 1, 4, 2] and new == [b"c", b"d"] and list(index) == [b"b", b"a", b" ", b"c", b"d"]
